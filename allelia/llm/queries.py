@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import licenses
 from .common import table
 
 #: The vocabulary file for packing; a parameter of the operator.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    found = identify(docs, fit(docs, remainder != 2))
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grades, learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, grades(table(spark, sf_dir, "labels"))))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
     return roundtrip(table(spark, sf_dir, "pages")).drop("archive", "record_offset")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import learn, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, learn(docs))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -31,7 +60,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
+    "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
 }
 
@@ -45,4 +78,5 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes < 100 OR first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM m
     """,
+    "op9_licenses": licenses.oracle(),
 }
