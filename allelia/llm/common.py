@@ -105,13 +105,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all white-space-separated words of these UTF-8 texts: hash, text's number, start and end byte in the joined texts."""
+_LUT_BARE = np.where([chr(i).isalnum() or i > 127 for i in range(256)], _LUT_LOWER, np.uint64(0))
+
+
+def words(texts: list[bytes], lower: bool = True, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all white-space-separated words of these UTF-8 texts: hash, text's number, start and end byte in the joined texts. bare: marks after a word don't count."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[buf], prepend=True))
     starts, ends = edge[::2], edge[1::2]
     forward, back = _power(len(buf))
-    total = np.cumsum((_LUT_LOWER if lower else _LUT)[buf] * forward[: len(buf)], dtype=np.uint64)
+    total = np.cumsum((_LUT_BARE if bare else _LUT_LOWER if lower else _LUT)[buf] * forward[: len(buf)], dtype=np.uint64)
     hashes = mix((total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))) * back[starts])
     offsets = np.cumsum([0, *(len(x) + 1 for x in texts)])
     return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, ends

@@ -27,6 +27,8 @@ from .common import bounded_batches, mix, sliced, small, words
 
 SAMPLE, SAMPLE_CHARS = 6_000, 20_000
 BITS = 17
+#: Features of fewer sample documents keep weight 0.
+LEAST_DOCS = 4
 #: A document is selected from so high a probability of the highest grade.
 SELECT = 0.5
 _PLACES = np.arange(256)
@@ -36,7 +38,7 @@ _KIND = np.select([(_PLACES >= 97) & (_PLACES <= 122), (_PLACES >= 65) & (_PLACE
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every feature occurrence: text's number, slot and value. Texts' numbers ascend."""
-    hashes, doc, starts, ends = words(texts)
+    hashes, doc, starts, ends = words(texts, bare=True)
     if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -70,13 +72,16 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds, -60, 60)))
 
 
-def fit(texts: list[bytes], grades: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 2e-5) -> Ordinal:
+def fit(texts: list[bytes], grades: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 2e-4) -> Ordinal:
     """Maximum likelihood of the grades, with thresholds t_0 and logarithms of the gaps as free parameters."""
     top = int(grades.max()) if len(grades) else 1
     n = len(texts)
     if not n or top == 0:
         return Ordinal(np.zeros(1 << BITS), np.zeros(max(top, 1)))
     doc, slots, values = features(texts)
+    pairs = np.unique(slots * n + doc)
+    common = np.bincount(pairs // n, minlength=1 << BITS)[slots] >= LEAST_DOCS
+    doc, slots, values = doc[common], slots[common], values[common]
     used, local = np.unique(slots, return_inverse=True)
     w, free = np.zeros(len(used)), np.zeros(top)
     state = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(free), np.zeros_like(free)]]
