@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import decontaminate, licenses
 from .common import table
 
 #: The vocabulary file for packing; a parameter of the operator.
@@ -44,6 +44,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import grades, learn, score
 
@@ -85,11 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_ngram_join": op3_ngram_join,
     "op4_langid": op4_langid,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
