@@ -80,7 +80,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = known.select("item_id", "w", F.col("fp").alias("item_fp"), counts.alias("item_sh"), F.size("sh").alias("item_n"), F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact"))
     index = index.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("exact").bitwiseXOR(m)))).drop("exact")
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words")).select("doc_id", shingles(F.col("words")).alias("sh"))
-    found = hashed.select("doc_id", "sh", F.posexplode("sh").alias("pos", "h")).join(small(anchors), "h")
+    # outer, for the filter that Spark would infer evaluates every text's words anew for each shingle; the join drops the nulls
+    found = hashed.select("doc_id", "sh", F.posexplode_outer("sh").alias("pos", "h")).join(small(anchors), "h")
     windows = found.select("doc_id", "pos", F.explode("sizes").alias("w"), "sh").select("doc_id", "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
     # a window that can't reach the similarity, cut short by the text's end, is left out
     windows = with_fingerprint(windows.where(F.size("win") >= SIMILAR * (F.col("w") - (SHINGLE - 1))), "win")
