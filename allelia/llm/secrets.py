@@ -253,8 +253,11 @@ def fit(samples: list[str], steps: int = 150, longest: int = 10) -> Field:
 
 def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
     """A field fitted on `size` documents, the smallest by a hash of their id."""
-    named = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("key"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    return fit([r["text"] for r in named.orderBy("key", "text").limit(size).collect()])
+    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("key"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    keys = [r["key"] for r in keyed.select("key").orderBy("key").limit(size).collect()]
+    if not keys:
+        return fit([])
+    return fit([r["text"] for r in keyed.where(F.col("key") <= keys[-1]).orderBy("key", "text").limit(size).collect()])
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
