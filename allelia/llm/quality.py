@@ -58,6 +58,16 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, slots, np.concatenate([share, 4 * flat, 4 * flat]).astype(np.float32)
 
 
+def gathered(texts: list[bytes], block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of many texts with the occurrences of a slot in a text added up, made in blocks of texts."""
+    parts = []
+    for a in range(0, len(texts), block):
+        doc, slots, values = features(texts[a : a + block])
+        key, which = np.unique(doc << BITS | slots, return_inverse=True)
+        parts.append(((key >> BITS).astype(np.int32) + np.int32(a), (key & (1 << BITS) - 1).astype(np.int32), np.bincount(which, weights=values).astype(np.float32)))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))  # type: ignore[return-value]
+
+
 @dataclass
 class Ordinal:
     """Weights and ordered thresholds."""
@@ -78,11 +88,11 @@ def fit(texts: list[bytes], grades: np.ndarray, steps: int = 200, rate: float =
     n = len(texts)
     if not n or top == 0:
         return Ordinal(np.zeros(1 << BITS), np.zeros(max(top, 1)))
-    doc, slots, values = features(texts)
-    pairs = np.unique(slots * n + doc)
-    common = np.bincount(pairs // n, minlength=1 << BITS)[slots] >= LEAST_DOCS
+    doc, slots, values = gathered(texts)
+    common = np.bincount(slots, minlength=1 << BITS)[slots] >= LEAST_DOCS
     doc, slots, values = doc[common], slots[common], values[common]
-    used, local = np.unique(slots, return_inverse=True)
+    used = np.unique(slots)
+    local = np.searchsorted(used, slots).astype(np.int32)
     w, free = np.zeros(len(used)), np.zeros(top)
     state = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(free), np.zeros_like(free)]]
     share = np.bincount(grades, minlength=top + 1)
