@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join with a prefix tree, for connected components of near copies.
 
 1. Every document becomes a set of 64-bit shingle hashes. Documents of equal sets are one class, so copies cost nothing.
-2. Shingles are globally ordered, frequent ones last: a document's first elements are its rarest. Two sets of Jaccard
-   similarity s or more share one of their first n - ceil(s n) + 1 elements, so classes that share none can't link. The
-   frequent ones are counted over all documents; the order is any fixed one, so its list may be bounded (ORDERED) without
-   losing a link.
-3. Classes that share such an element are joined to candidate components. A component is cut by length (a link needs
-   lengths within a factor s) and, beyond BLOCK elements, dealt by a hash into blocks that meet in pairs: every two
-   classes that can link meet in one group, and no group grows with the data.
+2. Two sets that link differ in at most D = (100 - percent) / (100 + percent) of their sizes' sum elements. The hash space
+   is cut into D + 1 ranges, so some range holds the same elements of both; what a set has in each range, as one hash,
+   is a key. D follows from bands of sizes (a factor of 1.5), and a set near its band's end has the next band's keys
+   too. A range that is the same because it is empty gives no key: for few ranges several cuts by different hashes
+   make up for that, and a link without a common key has a chance under 1e-9.
+3. Classes that share a key are joined to candidate components, of near copies mostly. A component is cut by length (a
+   link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash into blocks that meet in pairs:
+   every two classes that can link meet in one group, and no group grows with the data.
 4. Within a group, sets are stored in a trie in order of descending frequency, so that shared parts are shared paths. A
    set walks the trie with its partial overlap; a subtree is left when its remaining length can't reach the needed
    overlap.
@@ -33,10 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, materialize, mix, shingles, sliced, small, words
 
-#: A shingle in more documents is frequent, and goes last in the order.
-FREQUENT = 24
-#: So many of the most frequent shingles are ordered by frequency; a bounded list, for it is broadcast.
-ORDERED = 1_000_000
+#: Sizes from which on a band begins: powers of 1.5.
+EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
 #: Elements of all sets in one block.
 BLOCK = 400_000
 
@@ -57,52 +56,77 @@ def class_of(found: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def needed(size: int, percent: int) -> int:
-    """Length of the part of a set of which one element must be shared: size - ceil(percent size / 100) + 1."""
-    return size - -(-percent * size // 100) + 1 if size else 0
+def cuts(ranges: int) -> int:
+    """How many cuts by different hashes so many ranges need."""
+    return 8 if ranges <= 4 else 6 if ranges <= 8 else 4 if ranges <= 16 else 2 if ranges <= 32 else 1
+
+
+def keys(found: np.ndarray, percent: int) -> np.ndarray:
+    """A set's keys: sets that reach the similarity but differ share one."""
+    n = len(found)
+    own = int(np.searchsorted(EDGES, n, side="right")) - 1
+    inner, out = mix(found ^ np.uint64(0x5DEECE66D)), []
+    for band in (own, own + 1) if 100 * n >= percent * EDGES[own + 1] else (own,):
+        ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
+        for k in range(cuts(ranges) if ranges > 1 else 0):
+            spread = mix(found + np.uint64(k * 0x9E3779B9)) if k else found
+            place = ((spread >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            starts = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
+            out.append(mix(np.add.reduceat(inner[order], starts) + mix(place[starts] * np.uint64(1024) + np.uint64(band * 8 + k))))
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
 
 
-def frequent(docs: DataFrame, n: int, percent: int) -> np.ndarray:
-    """The most frequent shingles among each document's first elements in hash order, twice as many as a link needs, sorted."""
+def named(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n (set size), class of each document."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 4 << 20):
-            low = [found[: 2 * needed(len(found), percent)] for found in sets(_texts(batch), n)]
-            grams, counts = np.unique(np.concatenate([*low, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
+            found = sets(_texts(batch), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64())], names=["doc_id", "n", "class"])
 
-    rows = docs.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    top = rows.orderBy(F.desc("n"), "gram").limit(ORDERED).select("gram").toArrow()
-    return np.sort(top.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+    return docs.mapInArrow(make, "doc_id long, n long, class long")
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), class, prefix: each document's first elements, those in `last` after all others."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): each class with the least class that shares a key with it. Rows of a key are streamed, never gathered."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, 4 << 20):
-            rows = []
-            for found in sets(_texts(batch), n):
-                take = needed(len(found), percent)
-                if len(known) and len(found):
-                    place = np.searchsorted(known, found)
-                    place[place == len(known)] = 0
-                    late = known[place] == found
-                    first = np.concatenate([found[~late][:take], found[late][: max(0, take - int((~late).sum()))]])
-                else:
-                    first = found[:take]
-                rows.append((len(found), class_of(found), first.view(np.int64)))
-            size, name, first = zip(*rows, strict=True)
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), flat], names=["doc_id", "n", "class", "prefix"])
-
-    return docs.mapInArrow(make, "doc_id long, n long, class long, prefix array<long>")
+            seen = {class_of(x): x for x in sets(_texts(batch), n) if len(x)}
+            each = [keys(x, percent) for x in seen.values()]
+            names = np.repeat(np.array(list(seen), np.int64), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(names)], names=["key", "class"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = center = None
+        for batch in batches:
+            key, name = (batch.column(c).to_numpy() for c in (0, 1))
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.diff(key, prepend=key[0]) != 0)
+            starts = np.concatenate([[0], first])
+            centers = name[starts].copy()
+            if key[0] == last:
+                centers[0] = center
+            of = np.repeat(centers, np.diff(np.append(starts, len(key))))
+            last, center = key[-1], of[-1]
+            apart = of != name
+            pairs = np.unique(np.stack([name[apart], of[apart]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    spark = docs.sparkSession
+    shared = docs.mapInArrow(emit, "key long, class long").repartition("key").sortWithinPartitions("key", "class")
+    found = shared.mapInArrow(stars, "a long, b long").distinct()
+    bounded_batches(spark, 20_000)
+    found = materialize(found, "candidates")
+    bounded_batches(spark)
+    return found
 
 
 class Trie:
@@ -223,12 +247,9 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(prefixes(docs, n, percent, frequent(docs, n, percent)), "prefixes")
-    classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    grams = classes.select("class", F.explode("prefix").alias("gram"))
-    # classes that share an element, as stars around the least of them
-    shared = grams.groupBy("gram").agg(F.min("class").alias("center"), F.count("*").alias("k")).where("k > 1").select("gram", "center")
-    near = connected_components(grams.join(shared, "gram").select(F.col("class").alias("a"), F.col("center").alias("b")).distinct())
+    rows = materialize(named(docs, n), "classes")
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    near = connected_components(candidates(docs, n, percent))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
     # bands of length: a link's two lengths are in the same or in neighbouring ones
     members = materialize(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "members")
@@ -267,9 +288,9 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     edges = full.groupBy("part", "band", "x", "y").applyInPandas(meet, "a long, b long")
     final = connected_components(edges)
-    named = classes.select("class", "first").join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "root").select("class", "component_id")
+    ids = classes.select("class", "first").join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = ids.join(least, "root").select("class", "component_id")
     result = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(ids, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return result.select("doc_id", "n_shingles", component.alias("component_id"))
