@@ -1 +1,3 @@
-"""Association analytics over Spark DataFrames."""
+"""Additive and dominance association analytics on Spark: sources, operators and whole runs."""
+
+__version__ = "0.1.0"

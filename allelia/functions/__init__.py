@@ -1 +1 @@
-"""Association analytics over Spark DataFrames."""
+"""Column functions and tail probabilities."""

@@ -1 +1 @@
-"""Association analytics over Spark DataFrames."""
+"""Samples, relationship, variance components, scans and predictions."""

@@ -1 +1 @@
-"""Association analytics over Spark DataFrames."""
+"""Whole runs, their limits, command lines and the registered queries."""

@@ -1 +1 @@
-"""Association analytics over Spark DataFrames."""
+"""PLINK filesets and simulated cohorts."""

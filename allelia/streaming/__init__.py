@@ -1 +1 @@
-"""Association analytics over Spark DataFrames."""
+"""Empty: the engine has bounded batch scans only. A scan writes each chromosome as it ends, so nothing here keeps state."""
