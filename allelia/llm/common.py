@@ -66,7 +66,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a column of texts holds about so many bytes in each; a longer text is alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -29,7 +29,7 @@ SEQUENCE, END_ID = 4096, 2
 #: Pieces of one packing group on average; a group is one task's memory.
 GROUP = 20_000
 #: Entries of a worker's word cache, which is emptied when full.
-CACHE = 1_500_000
+CACHE = 500_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts for which normalising means lower-casing alone, and whose white space is ASCII.
