@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 2.220446049250313e-16
+#: A determinant under so much of its product is rounding: the two predictors are one.
+SINGULAR = 1e-12
 
 
 def moments(genotypes: DataFrame, traits: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def _terms(m: DataFrame) -> DataFrame:
 
 
 def _root(x: Column) -> Column:
-    return F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0))))  # greatest alone skips nulls
 
 
 def marginal(m: DataFrame, which: str = "additive") -> DataFrame:
@@ -45,7 +47,7 @@ def marginal(m: DataFrame, which: str = "additive") -> DataFrame:
 def joint(m: DataFrame) -> DataFrame:
     """variant_index, trait, n, genotype_filter_pass and the additive and dominance effects fitted together, on the dosage scale."""
     t = _terms(m).withColumn("det", F.col("aa") * F.col("aa") - F.col("ad") * F.col("ad"))
-    ok = F.coalesce(F.col("det") > EPS, F.lit(False)) & (F.col("n") > 3)
+    ok = F.coalesce((F.col("det") > EPS) & (F.col("det") > SINGULAR * F.col("aa") * F.col("aa")), F.lit(False)) & (F.col("n") > 3)
     t = t.withColumns({"ok": ok, "det": F.when(ok, F.col("det"))})
     t = t.withColumns({"ba": (F.col("aa") * F.col("ay") - F.col("ad") * F.col("dy")) / F.col("det"), "bd": (F.col("aa") * F.col("dy") - F.col("ad") * F.col("ay")) / F.col("det")})
     t = t.withColumn("s2", F.greatest(F.col("ypy") - F.col("ba") * F.col("ay") - F.col("bd") * F.col("dy"), F.lit(0.0)) / (F.col("n") - 3))
