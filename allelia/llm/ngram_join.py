@@ -11,7 +11,7 @@
    every two classes that can link meet in one group, and no group grows with the data.
 4. Within a group, sets are stored in a trie in order of descending frequency, so that shared parts are shared paths. A
    set walks the trie with its partial overlap; a subtree is left when its remaining length can't reach the needed
-   overlap.
+   overlap, or when all of it is in the set's component already.
 5. Links become components; each row gets its component's smallest id.
 
 Words are runs of bytes other than white space (space and 09-0D), A-Z lower-cased. A set has the distinct n-word shingles; a text of fewer
@@ -129,64 +129,65 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return found
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of all ranges (start, size), one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Trie:
-    """Ascending integer arrays as a compressed trie, with what a walk needs to prune: the lengths below each node."""
-
-    def __init__(self) -> None:
-        self.edge: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.children: list[dict[int, int]] = [{}]
-        self.depth: list[int] = [0]
-        self.members: list[list[int]] = [[]]
-        self.shortest: list[int] = [1 << 60]
-        self.longest: list[int] = [0]
-        self._flat: dict[int, tuple] = {}
-
-    def _new(self, edge: np.ndarray, depth: int) -> int:
-        self.edge.append(edge)
-        self.children.append({})
-        self.depth.append(depth)
-        self.members.append([])
-        self.shortest.append(1 << 60)
-        self.longest.append(0)
-        return len(self.edge) - 1
-
-    def insert(self, item: int, values: np.ndarray) -> None:
-        node, at, size = 0, 0, len(values)
-        while True:
-            self.shortest[node], self.longest[node] = min(self.shortest[node], size), max(self.longest[node], size)
-            self._flat.pop(node, None)
-            if at == size:
-                self.members[node].append(item)
-                return
-            child = self.children[node].get(int(values[at]))
-            if child is None:
-                child = self._new(values[at:], size)
-                self.children[node][int(values[at])] = child
-                node, at = child, size
-                continue
-            edge = self.edge[child]
-            both = min(len(edge), size - at)
-            same = edge[:both] == values[at : at + both]
-            k = both if same.all() else int(same.argmin())
-            if k < len(edge):  # split the edge
-                upper = self._new(edge[:k], at + k)
-                self.children[node][int(values[at])] = upper
-                self.children[upper][int(edge[k])] = child
-                self.shortest[upper], self.longest[upper] = self.shortest[child], self.longest[child]
-                self.edge[child] = edge[k:]
-                child = upper
-            node, at = child, at + k
-
-    def flat(self, node: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A node's children with their edges joined, so that all are matched at once."""
-        found = self._flat.get(node)
-        if found is None:
-            kids = list(self.children[node].values())
-            edges = [self.edge[c] for c in kids]
-            starts = np.cumsum([0, *map(len, edges[:-1])])
-            found = (kids, np.concatenate(edges), starts, *(np.array([x[c] for c in kids]) for x in (self.depth, self.shortest, self.longest)))
-            self._flat[node] = found
-        return found
+    """Distinct ascending integer arrays as a compressed trie.
+
+    Nodes are numbered by levels, so a node's children, and their edges, lie together and are matched at once. A node
+    knows the shortest and longest set below it, and its sets' range in depth-first order.
+    """
+
+    def __init__(self, found: list[np.ndarray]) -> None:
+        order = sorted(range(len(found)), key=lambda i: found[i].tolist())
+        # sets in lexicographic order share with the next one `common` elements; nodes are the ranges that share more
+        common = [0] * (len(order) + 1)
+        for k, (i, j) in enumerate(zip(order, order[1:], strict=False), 1):
+            both = min(len(found[i]), len(found[j]))
+            differ = np.flatnonzero(found[i][:both] != found[j][:both])
+            common[k] = int(differ[0]) if len(differ) else both
+        self.order = np.array(order)
+        level, at = [(0, len(order), 0)], 0
+        nodes, kids, edges, member = [(0, len(order), 0)], [], [], []
+        while level:
+            below: list[tuple[int, int, int]] = []
+            for low, high, depth in level:
+                mine = low if len(found[order[low]]) == depth else -1  # the set that ends here comes first
+                member.append(order[mine] if mine >= 0 else -1)
+                first, start = len(nodes) + len(below), low + (mine >= 0)
+                while start < high:
+                    stop = start + 1
+                    while stop < high and common[stop] > depth:
+                        stop += 1
+                    reach = min(common[start + 1 : stop], default=len(found[order[start]]))
+                    below.append((start, stop, reach))
+                    edges.append(found[order[start]][depth:reach])
+                    start = stop
+                kids.append((first, len(nodes) + len(below) - first))
+            nodes += below
+            level, at = below, at + 1
+        self.low, self.high, self.depth = (np.array(x) for x in zip(*nodes, strict=True))
+        self.first, self.kids = (np.array(x) for x in zip(*kids, strict=True))
+        self.member = np.array(member)
+        self.edge = np.concatenate([*edges, np.zeros(0, np.int64)])
+        self.length = np.array([0, *map(len, edges)])
+        self.start = np.cumsum(self.length) - self.length
+        self.last = np.array([-1, *(x[-1] for x in edges)])
+        sizes = np.array([len(found[i]) for i in order])
+        self.shortest, self.longest = self._over(sizes, np.minimum), self._over(sizes, np.maximum)
+
+    def _over(self, values: np.ndarray, f: np.ufunc) -> np.ndarray:
+        """f over each node's sets, from values in depth-first order."""
+        return f.reduceat(np.append(values, values[-1]), np.stack([self.low, self.high], 1).ravel())[::2]
+
+    def uniform(self, labels: np.ndarray) -> np.ndarray:
+        """Each node's label if all sets below have it, else -1."""
+        mine = labels[self.order]
+        low, high = self._over(mine, np.minimum), self._over(mine, np.maximum)
+        return np.where(low == high, low, -1)
 
 
 class Union:
@@ -213,32 +214,32 @@ def links(found: list[np.ndarray], percent: int, sides: np.ndarray | None = None
     rank = np.empty(len(values), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(values))  # frequent first: shared parts are shared paths
     local = [np.sort(rank[np.searchsorted(values, x)]) for x in found]
-    trie, union, out = Trie(), Union(len(found)), []
+    trie, union, out = Trie(local), Union(len(found)), []
     mark = np.zeros(len(values) + 1, np.int64)
-    for item in sorted(range(len(found)), key=lambda i: (len(local[i]), i)):
+    for turn, item in enumerate(sorted(range(len(found)), key=lambda i: (len(local[i]), i))):
+        if turn % 32 == 0:  # components only grow, so an older view leaves out less, never more
+            uniform = trie.uniform(np.array([union.find(i) for i in range(len(found))]))
         mine = local[item]
-        size = len(mine)
+        size, least = len(mine), -(-percent * len(mine) // 100)  # no shorter set links
         mark[mine] = 1
-        stack = [(0, 0)]
-        least = -(-percent * size // 100)  # no shorter set links
-        while stack:
-            node, overlap = stack.pop()
-            for other in trie.members[node]:
-                other_size = trie.depth[node]
-                if 100 * overlap >= percent * (size + other_size - overlap) and (sides is None or sides[other] != sides[item]) and union.join(item, other):
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            of, n = trie.member[nodes], trie.depth[nodes]
+            for other in of[(of >= 0) & (of != item) & (100 * overlap >= percent * (size + n - overlap))].tolist():
+                if (sides is None or sides[other] != sides[item]) and union.join(item, other):
                     out.append((other, item))
-            if not trie.children[node]:
-                continue
-            kids, joined, starts, depth, shortest, longest = trie.flat(node)
-            got = overlap + np.add.reduceat(mark[joined], starts)
-            last = joined[np.append(starts[1:], len(joined)) - 1]
-            left = size - np.searchsorted(mine, last, side="right")  # of mine, beyond the edge
-            most = got + np.minimum(left, longest - depth)
-            low = np.maximum(shortest, least)
-            for i in np.flatnonzero((longest >= least) & ((100 + percent) * most >= percent * (size + low))).tolist():
-                stack.append((kids[i], int(got[i])))
+            kids = spans(trie.first[nodes], trie.kids[nodes])
+            if not len(kids):
+                break
+            overlap = np.repeat(overlap, trie.kids[nodes])
+            length = trie.length[kids]
+            got = overlap + np.add.reduceat(mark[trie.edge[spans(trie.start[kids], length)]], np.cumsum(length) - length)
+            left = size - np.searchsorted(mine, trie.last[kids], side="right")  # of mine, beyond the edge
+            most = got + np.minimum(left, trie.longest[kids] - trie.depth[kids])
+            low = np.maximum(trie.shortest[kids], least)
+            open_ = (trie.longest[kids] >= least) & ((100 + percent) * most >= percent * (size + low)) & (uniform[kids] != union.find(item))
+            nodes, overlap = kids[open_], got[open_]
         mark[mine] = 0
-        trie.insert(item, mine)
     return out
 
 
