@@ -30,12 +30,12 @@ _PARTS = {
     "q": """SELECT variant_index, count(d) AS n_obs, count(*) FILTER (d = 0) AS aa, count(*) FILTER (d = 1) AS ab, count(*) FILTER (d = 2) AS bb,
             sum(d) / (2.0::DOUBLE * count(d)) AS f, nullif(stddev_samp(d::DOUBLE), 0) AS sd FROM g GROUP BY 1""",
     "z": "SELECT g.*, (d - avg(d) OVER v) / nullif(stddev_samp(d::DOUBLE) OVER v, 0) AS z FROM g WINDOW v AS (PARTITION BY variant_index)",
-    "m": """SELECT variant_index, trait, count(*) AS n, avg(y) AS my, count(d) AS n_obs, avg(d) AS mg, stddev_samp(d::DOUBLE) AS sa, avg((d = 1)::INT) AS mh, stddev_samp((d = 1)::INT::DOUBLE) AS sd
+    "m": """SELECT variant_index, trait, count(*) AS n, avg(y) AS my, count(d) AS n_obs, avg(d) AS mg, nullif(stddev_samp(d::DOUBLE), 0) AS sa, avg((d = 1)::INT) AS mh, nullif(stddev_samp((d = 1)::INT::DOUBLE), 0) AS sd
             FROM g JOIN t USING (sample_index) GROUP BY 1, 2""",
     "x": """SELECT g.variant_index, t.trait, m.n, m.sa, m.sd, y - my AS y, CASE WHEN d IS NULL THEN 0 ELSE (d - mg) / sa END AS a, CASE WHEN d IS NULL THEN 0 ELSE ((d = 1)::INT - mh) / sd END AS h
             FROM g JOIN t USING (sample_index) JOIN m ON m.variant_index = g.variant_index AND m.trait = t.trait""",
     "k": "SELECT variant_index, trait, any_value(n) AS n, any_value(sa) AS sa, any_value(sd) AS sd, sum(y * y) AS yy, sum(a * y) AS ay, sum(h * y) AS hy, sum(a * a) AS aa, sum(h * h) AS hh, sum(a * h) AS ah FROM x GROUP BY 1, 2",
-    "j": """SELECT *, (hh * ay - ah * hy) / det AS ba, (aa * hy - ah * ay) / det AS bh FROM (SELECT *, aa * hh - ah * ah AS det FROM k)""",
+    "j": """SELECT *, (hh * ay - ah * hy) / det AS ba, (aa * hy - ah * ay) / det AS bh FROM (SELECT *, CASE WHEN aa * hh - ah * ah > 1e-12 * aa * hh THEN aa * hh - ah * ah END AS det FROM k)""",
     "e": """SELECT variant_index, trait, n, ba / sa AS a, bh / sd AS d, sqrt(s2 * hh / det) / sa AS a_se, sqrt(s2 * aa / det) / sd AS d_se, ba / sqrt(s2 * hh / det) AS ta, bh / sqrt(s2 * aa / det) AS td
             FROM (SELECT *, greatest(yy - ba * ay - bh * hy, 0) / (n - 3) AS s2 FROM j)""",
     "pair": """SELECT a.chrom, a.sample_index AS i, b.sample_index AS j, coalesce(sum(a.z * b.z), 0) AS products, count(a.z * b.z) AS shared
@@ -365,7 +365,7 @@ def nested_f(s: SparkSession, d: str) -> DataFrame:
     r AS (SELECT variant_index, trait, n, sa, a - avg(a) OVER v AS a, y - avg(y) OVER v AS y, level FROM xl WINDOW v AS (PARTITION BY variant_index, trait, level)),
     f AS (SELECT variant_index, trait, any_value(n) AS n, any_value(sa) AS sa, count(DISTINCT level) AS levels, sum(a * a) AS aa, sum(a * y) AS ay, sum(y * y) AS yy FROM r GROUP BY 1, 2),
     o AS (SELECT *, sqrt(greatest(yy - ay * ay / aa, 0) / ((n - levels - 1) * aa)) AS se FROM f)
-    SELECT variant_index, trait, {_r('ay / aa / sa', 3)} AS beta_raw, {_r('se / sa', 3)} AS se_raw, {_r('ay / aa / se')} AS stat FROM o WHERE n - levels - 1 > 0""", "m", "s")
+    SELECT variant_index, trait, {_r('ay / aa / sa', 3)} AS beta_raw, {_r('se / sa', 3)} AS se_raw, {_r('ay / aa / se')} AS stat FROM o WHERE n - levels - 1 > 0 AND ay / aa / se IS NOT NULL""", "m", "s")
 def ols_additive_factor(s: SparkSession, d: str) -> DataFrame:
     found = ols.demeaned(g(s, d), t(s, d), cohort.samples(s, d).select("sample_index", "level"))
     return _told(found.where(F.col("stat").isNotNull()), ["beta_raw", "se_raw"], ["stat"])
@@ -389,16 +389,16 @@ def degree_of_dominance(s: SparkSession, d: str) -> DataFrame:
     return df.select("variant_index", "trait", rounded(fn.degree(a, dom), 3).alias("degree"))
 
 
-_COARSE = "CASE WHEN abs(d / a) < 0.25 THEN 'A' WHEN abs(d / a) < 0.75 THEN 'PD' WHEN abs(d / a) < 1.25 THEN 'D' ELSE 'OD' END"
+_COARSE = "CASE WHEN a IS NULL OR d IS NULL THEN 'NA' WHEN abs(d / a) < 0.25 THEN 'A' WHEN abs(d / a) < 0.75 THEN 'PD' WHEN abs(d / a) < 1.25 THEN 'D' ELSE 'OD' END"
 
 
-@query(f"SELECT variant_index, trait, {_COARSE} AS da_class, CASE WHEN abs(a) > a_se THEN {_COARSE} ELSE 'UNSTABLE' END AS dominance_class FROM e", "e")
+@query(f"SELECT variant_index, trait, {_COARSE} AS da_class, CASE WHEN a IS NULL OR abs(a) > a_se THEN {_COARSE} ELSE 'UNSTABLE' END AS dominance_class FROM e", "e")
 def da_class(s: SparkSession, d: str) -> DataFrame:
     df, a, dom, se = _effects(s, d)
     return df.select("variant_index", "trait", fn.coarse_class(fn.degree(a, dom)).alias("da_class"), fn.signed_class(a, dom, se).alias("dominance_class"))
 
 
-_MODE = """CASE WHEN NOT abs(a) > a_se THEN 'additive_near_zero' WHEN abs(d / a) < 0.25 THEN 'additive'
+_MODE = """CASE WHEN a IS NULL OR d IS NULL THEN 'NA' WHEN NOT abs(a) > a_se THEN 'additive_near_zero' WHEN abs(d / a) < 0.25 THEN 'additive'
     WHEN abs(d / a) < 1.25 THEN CASE WHEN abs(d / a) < 0.75 THEN 'partial' ELSE 'complete' END || '_dominant_' || CASE WHEN d / a > 0 THEN 'A1' ELSE 'A0' END
     WHEN d > 0 THEN 'overdominant_high' ELSE 'underdominant_low' END"""
 
