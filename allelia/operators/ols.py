@@ -20,7 +20,7 @@ def moments(genotypes: DataFrame, traits: DataFrame) -> DataFrame:
     het = F.when(g == 1, 1.0).when(g.isNotNull(), 0.0)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     rows = genotypes.select("variant_index", "sample_index", "dosage").join(traits, "sample_index")
-    return rows.groupBy("variant_index", "trait").agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.count(g).alias("n_obs"), zero(g).alias("sg"), zero(g * g).alias("sgg"), zero(het).alias("sh"), zero(g * y).alias("sgy"), zero(het * y).alias("shy"), zero(F.when(g.isNotNull(), y)).alias("syo"))
+    return rows.groupBy("variant_index", "trait").agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.count(g).alias("n_obs"), zero(g).alias("sg"), zero(g * g).alias("sgg"), zero(het).alias("sh"), zero(g * y).alias("sgy"), zero(het * y).alias("shy"), zero(F.when(g.isNotNull(), y)).alias("syo"), zero(F.when(g.isNotNull(), y * y)).alias("syyo"))
 
 
 def _terms(m: DataFrame) -> DataFrame:
@@ -56,6 +56,24 @@ def joint(m: DataFrame) -> DataFrame:
     return t.select("variant_index", "trait", "n", F.col("ok").alias("genotype_filter_pass"), (F.col("ba") / F.col("add_sd")).alias("beta_add_joint_raw"), (F.col("se") / F.col("add_sd")).alias("se_add_joint_raw"), (F.col("bd") / F.col("dom_sd")).alias("beta_dom_joint_raw"), (F.col("se") / F.col("dom_sd")).alias("se_dom_joint_raw"), stat("ba").alias("stat_add_joint"), stat("bd").alias("stat_dom_joint"), (stat("bd") * stat("bd")).alias("f_avsad"))
 
 
+def observed_only(m: DataFrame) -> DataFrame:
+    """variant_index, trait, n_obs and additive tests on the samples with a call alone: nothing imputed, n_obs - 2 degrees of freedom.
+
+    For traits that are whitened beforehand; f is the gain of a dominance term over its residual, on n_obs - 3.
+    """
+    t = _terms(m)
+    yy = F.col("syyo") - F.col("syo") * F.col("syo") / F.col("n_obs")
+    ok = F.col("add_sd").isNotNull() & (F.col("n_obs") > 2)
+    beta = F.when(ok, F.col("ay") / F.col("aa"))
+    rss = yy - beta * F.col("ay")
+    se = _root(rss / ((F.col("n_obs") - 2) * F.col("aa")))
+    det = F.col("aa") * F.col("aa") - F.col("ad") * F.col("ad")
+    both = F.when((F.col("n_obs") > 3) & (det > SINGULAR * F.col("aa") * F.col("aa")), det)
+    extra = F.pow(F.col("dy") - F.col("ad") * beta, F.lit(2.0)) * F.col("aa") / both
+    f = extra / ((rss - extra) / (F.col("n_obs") - 3))
+    return t.select("variant_index", "trait", "n_obs", (beta / F.col("add_sd")).alias("beta_raw"), (se / F.col("add_sd")).alias("se_raw"), (beta / F.nullif(se, F.lit(0.0))).alias("stat"), f.alias("f"))
+
+
 def demeaned(genotypes: DataFrame, traits: DataFrame, factor: DataFrame) -> DataFrame:
     """Additive tests with an intercept and one categorical covariate (sample_index, level): both sides less their level's mean.
 

@@ -360,6 +360,17 @@ def nested_f(s: SparkSession, d: str) -> DataFrame:
     return ols.joint(_moments(s, d)).select("variant_index", "trait", rounded(F.col("f_avsad"), 5).alias("f"))
 
 
+@query(f"""
+    , o AS (SELECT g.variant_index, t.trait, d::DOUBLE AS d, (d = 1)::INT::DOUBLE AS h, y FROM g JOIN t USING (sample_index) WHERE d IS NOT NULL),
+    r AS (SELECT variant_index, trait, count(*) AS n_obs, regr_slope(y, d) AS b, regr_sxx(y, d) AS xx, regr_syy(y, d) - regr_slope(y, d) * regr_sxy(y, d) AS rss,
+          regr_sxy(y, h) AS hy, regr_sxx(y, h) AS hh, regr_sxy(d, h) AS dh FROM o GROUP BY 1, 2),
+    f AS (SELECT *, (hy - b * dh) * (hy - b * dh) / (hh - dh * dh / xx) AS gain, sqrt(rss / ((n_obs - 2) * xx)) AS se FROM r WHERE xx > 0 AND hh - dh * dh / xx > 1e-9)
+    SELECT variant_index, trait, n_obs, {_r('b', 3)} AS beta_raw, {_r('se', 3)} AS se_raw, {_r('b / se')} AS stat, {_r('gain / ((rss - gain) / (n_obs - 3))', 5)} AS f FROM f""", "g", "t")
+def ols_observed(s: SparkSession, d: str) -> DataFrame:
+    found = ols.observed_only(_moments(s, d)).where(F.col("f").isNotNull())
+    return found.select("variant_index", "trait", "n_obs", rounded(F.col("beta_raw"), 3).alias("beta_raw"), rounded(F.col("se_raw"), 3).alias("se_raw"), rounded(F.col("stat")).alias("stat"), rounded(F.col("f"), 5).alias("f"))
+
+
 @query(f"""
     , xl AS (SELECT x0.*, s.level FROM (SELECT g.variant_index, t.trait, g.sample_index, m.n, m.sa, t.y, CASE WHEN d IS NULL THEN 0 ELSE (d - mg) / sa END AS a FROM g JOIN t USING (sample_index) JOIN m ON m.variant_index = g.variant_index AND m.trait = t.trait) x0 JOIN s USING (sample_index)),
     r AS (SELECT variant_index, trait, n, sa, a - avg(a) OVER v AS a, y - avg(y) OVER v AS y, level FROM xl WINDOW v AS (PARTITION BY variant_index, trait, level)),
