@@ -4,8 +4,8 @@
 2. Two sets that link differ in at most D = (100 - percent) / (100 + percent) of their sizes' sum elements. The hash space
    is cut into D + 1 ranges, so some range holds the same elements of both; what a set has in each range, as one hash,
    is a key. D follows from bands of sizes (a factor of 1.5), and a set near its band's end has the next band's keys
-   too. A range that is the same because it is empty gives no key: for few ranges several cuts by different hashes
-   make up for that, and a link without a common key has a chance under 1e-9.
+   too. A range that is the same because it is empty gives no key, nor, where there are many, one of few elements: for
+   few ranges several cuts by different hashes make up for that, and a link without a common key has a chance under 1e-9.
 3. Classes that share a key are joined to candidate components, of near copies mostly. A component is cut by length (a
    link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash into blocks that meet in pairs:
    every two classes that can link meet in one group, and no group grows with the data.
@@ -24,6 +24,8 @@ links others; rows that share an id keep their own sets; an empty table gives no
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from .common import bounded_batches, connected_components, materialize, mix, shi
 #: Sizes from which on a band begins: powers of 1.5.
 EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
 #: Elements of all sets in one block.
-BLOCK = 400_000
+BLOCK = 800_000
 
 
 def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -61,20 +63,38 @@ def cuts(ranges: int) -> int:
     return 8 if ranges <= 4 else 6 if ranges <= 8 else 4 if ranges <= 16 else 2 if ranges <= 32 else 1
 
 
+@functools.cache
+def least_elements(band: int, percent: int) -> tuple[int, int]:
+    """Ranges of a band, and how many elements a range must hold to give a key.
+
+    Of M ranges a link of the most different sets leaves a share 1 / e as they were. Elements per range are Poisson, with
+    the band's least size for a mean; so many are asked for that all ranges left alone hold fewer with a chance of 1e-10.
+    """
+    ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
+    mean, m, below = 0.9 * EDGES[band] / ranges, 1, 0.0
+    while ranges > 32:
+        below += math.exp(-mean + m * math.log(mean) - math.lgamma(m + 1)) + (math.exp(-mean) if m == 1 else 0.0)
+        if (1 - (1 - below) / math.e) ** ranges > 1e-10:
+            break
+        m += 1
+    return ranges, m
+
+
 def keys(found: np.ndarray, percent: int) -> np.ndarray:
     """A set's keys: sets that reach the similarity but differ share one."""
     n = len(found)
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     inner, out = mix(found ^ np.uint64(0x5DEECE66D)), []
     for band in (own, own + 1) if 100 * n >= percent * EDGES[own + 1] else (own,):
-        ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
+        ranges, least = least_elements(band, percent)
         for k in range(cuts(ranges) if ranges > 1 else 0):
             spread = mix(found + np.uint64(k * 0x9E3779B9)) if k else found
             place = ((spread >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(place, kind="stable")
             place = place[order]
             starts = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
-            out.append(mix(np.add.reduceat(inner[order], starts) + mix(place[starts] * np.uint64(1024) + np.uint64(band * 8 + k))))
+            full = np.diff(np.append(starts, n)) >= least
+            out.append(mix(np.add.reduceat(inner[order], starts) + mix(place[starts] * np.uint64(1024) + np.uint64(band * 8 + k)))[full])
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
