@@ -2,7 +2,10 @@
 
 Normalising, in this order: lower case; copyright lines go; equivalent spellings are made one; every run of characters
 that aren't letters or digits becomes one space; the ends are trimmed. The digest is SHA-256 of what is left. All of it
-is built-in column functions, one pass without a shuffle: the table of known licences is bounded by this module's list.
+is built-in column functions, one pass without a shuffle of the documents. The known licences are a parameter, the texts
+of each id; by default LICENSES, LINES and the whole texts in license_texts/ (with and without what follows their terms).
+A whole GNU text doesn't say whether later versions hold too, so its id has no "only" or "or-later". A text is looked
+up as a whole: a licence line within a longer document isn't found.
 
 Defined results: a null or empty text, or one of punctuation alone, has an empty canonical text, its digest is null and
 it matches nothing; repeated rows are matched alike; a null doc_id is kept; further columns aren't read.
@@ -10,6 +13,9 @@ it matches nothing; repeated rows are matched alike; a null doc_id is kept; furt
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +56,27 @@ LICENSES: dict[str, list[str]] = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
 }
+# Further one-liners. The SQL of `oracle` knows LICENSES alone.
+LINES: dict[str, list[str]] = {"GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."]}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """The texts in license_texts/ by id (the file's name); those with an end mark also up to there."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out[path.stem] = [text, text[: text.index(_END)] + _END, text[: text.index(_END)]] if _END in text else [text]
+    return out
+
+
+def default_licenses() -> dict[str, list[str]]:
+    """LICENSES, LINES and the whole texts."""
+    out: dict[str, list[str]] = {}
+    for part in (LICENSES, LINES, whole_texts()):
+        for k, texts in part.items():
+            out[k] = [*out.get(k, []), *texts]
+    return out
 
 
 def canonical(text: Column) -> Column:
@@ -60,16 +87,20 @@ def canonical(text: Column) -> Column:
     return F.nullif(F.trim(out), F.lit(""))
 
 
-def known(docs: DataFrame) -> DataFrame:
-    """license_id and canonical_digest of every known licence."""
-    rows = docs.sparkSession.createDataFrame([(k, t) for k, texts in LICENSES.items() for t in texts], "license_id string, text string")
+def known(docs: DataFrame, licenses: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """license_id and canonical_digest of every known licence; of ids with an equal text the least."""
+    texts_of = default_licenses() if licenses is None else licenses
+    rows = docs.sparkSession.createDataFrame([(k, t) for k, texts in texts_of.items() for t in texts], "license_id string, text string")
     return rows.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest")).groupBy("canonical_digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, canonical_digest, license_id of every document; license_id is null unless the whole text is a known licence."""
+def scan(docs: DataFrame, licenses: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """doc_id, canonical_digest, license_id of every document; license_id is null unless the whole text is a known licence.
+
+    licenses: the texts of each id; default_licenses() if None.
+    """
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest"))
-    return digests.join(F.broadcast(known(docs)), "canonical_digest", "left").select("doc_id", "canonical_digest", "license_id")
+    return digests.join(F.broadcast(known(docs, licenses)), "canonical_digest", "left").select("doc_id", "canonical_digest", "license_id")
 
 
 def oracle() -> str:

@@ -416,6 +416,18 @@ def test_licences_by_canonical_digest(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_whole_licence_texts_and_the_callers_own(spark):
+    whole = licenses.whole_texts()
+    assert set(whole) >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    line = "This work is licensed under the GNU General Public License, version 3."
+    names = sorted(whole)
+    rows = [(i, whole[k][0].replace("\n", "\r\n")) for i, k in enumerate(names)] + [(90, line), (91, whole["Apache-2.0"][2]), (92, "Before. " + line), (93, "My own terms.")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(names)) | {90: "GPL-3.0-only", 91: "Apache-2.0", 92: None, 93: None}
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs(spark, rows[-4:]), {"own": ["MY OWN TERMS"]}).collect()}
+    assert got == {90: None, 91: None, 92: None, 93: "own"}
+
+
 # --- 10: packing ---
 
 
