@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, materialize, mix, shingles, sliced, small, words
@@ -103,14 +103,15 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def named(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (set size), class of each document."""
+    """doc_id, n (set size), class of each document, and what columns there are after doc_id and text."""
+    more = docs.schema.fields[2:]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             found = sets(_texts(batch), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64())], names=["doc_id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64()), *batch.columns[2:]], names=["doc_id", "n", "class", *(f.name for f in more)])
 
-    return docs.mapInArrow(make, "doc_id long, n long, class long")
+    return docs.mapInArrow(make, ", ".join(["doc_id long, n long, class long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
 
 
 def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -265,11 +266,27 @@ def links(found: list[np.ndarray], percent: int, sides: np.ndarray | None = None
 
 def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: components of the links at percent / 100 Jaccard similarity or more."""
+    return _joined(documents, n, percent, None)
+
+
+def copies(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash of the documents that go if one row of each component stays: that of the least id and, in it, text hash.
+
+    Documents of null id, and those without a word, don't go.
+    """
+    found = _joined(documents, n, percent, F.xxhash64(F.col("text").cast("string")))
+    return found.where("doc_id IS NOT NULL AND n_shingles > 0 AND (doc_id <> component_id OR text_hash <> first_hash)").select("doc_id", "text_hash")
+
+
+def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None) -> DataFrame:
+    """The join; with a text_hash, also that and first_hash, the least of the component's rows that have its name for an id."""
     spark = documents.sparkSession
     bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(named(docs, n), "classes")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    rows = materialize(named(docs if text_hash is None else docs.withColumn("text_hash", text_hash), n), "classes")
+    hashed = [] if text_hash is None else ["head"]
+    head = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("head")
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else []))
     near = connected_components(candidates(docs, n, percent))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
     # bands of length: a link's two lengths are in the same or in neighbouring ones
@@ -309,9 +326,9 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     edges = full.groupBy("part", "band", "x", "y").applyInPandas(meet, "a long, b long")
     final = connected_components(edges)
-    ids = classes.select("class", "first").join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = ids.join(least, "root").select("class", "component_id")
-    result = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(ids, "class", "left")
+    ids = classes.select("class", "first", *hashed).join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = ids.groupBy("root").agg(F.min("first").alias("component_id"), *(F.min(c).getField("text_hash").alias("first_hash") for c in hashed))
+    ids = ids.drop("head").join(least, "root").select("class", "component_id", *(["first_hash"] if hashed else []))
+    result = rows.withColumnRenamed("n", "n_shingles").join(ids, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), *(["text_hash", "first_hash"] if hashed else []))

@@ -1,8 +1,9 @@
 """Documents to packed training sequences: STAGES in order, each over all that its predecessor kept.
 
 language: the documents whose language is rejected go. Models are learned from the labelled documents themselves.
-near_copies: one document of each component of near copies stays, that of the smallest doc_id; a document that repeats
-    with the same id, set and text stays once for each different text of that id. Five words and a similarity of 0.8.
+near_copies: one row of each component of near copies stays, of those of the smallest doc_id that of the least text hash;
+    rows are told apart by id and text, so that other texts of an id are judged by themselves. A text without words is
+    in no component and stays once for each id and text. Five words and a similarity of 0.8.
 decontaminated: documents with a benchmark leak go.
 secrets: secrets are masked in the texts.
 packed: sequences of tokens; one row per piece.
@@ -28,10 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = ngram_join.join(docs, WORDS, PERCENT)
-    gone = joined.where("component_id <> doc_id").select("doc_id")
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    kept = named.join(ngram_join.small(materialize(gone.distinct(), "gone")), "doc_id", "left_anti")
+    gone = ngram_join.copies(docs, WORDS, PERCENT).withColumnRenamed("text_hash", "_text")
+    named = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    kept = named.join(ngram_join.small(materialize(gone.distinct(), "gone")), ["doc_id", "_text"], "left_anti")
     repeated = materialize(kept.where("doc_id IS NOT NULL").groupBy("doc_id", "_text").count().where("count > 1").select("doc_id", "_text"), "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)

@@ -33,3 +33,16 @@ def test_near_copies_keep_one_of_each(spark):
     kept = p.near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 4, 5, 6, None, None], key=repr)
+
+
+def test_near_copies_judge_each_text_of_an_id(spark):
+    import corpus_pipeline as p
+
+    a, b, c = ("a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 l1", "a2 b2 c2 d2 e2 f2 g2 h2 i2 j2 k2 l2", "a3 b3 c3 d3 e3 f3 g3 h3 i3 j3 k3 l3")
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, b), (5, c), (20, long), (20, long + " more"), (20, long), (None, a), (30, None), (30, "")]
+    docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_copies(spark, docs, SF).collect()), key=repr)
+    twenty = [x for x in got if x[0] == 20]
+    assert len(twenty) == 1 and twenty[0] in rows
+    assert [x for x in got if x[0] != 20] == sorted([(3, a), (5, b), (5, c), (None, a), (30, None), (30, "")], key=repr)
