@@ -13,7 +13,8 @@ same joins shuffle.
 
 Defined results: null or short texts have no windows; items of under five words have no shingle and match nothing; an item
 of over PART words is matched by consecutive parts, any of which counts; rows that share an id are reported as one; a null
-doc_id is reported as null; empty tables give no rows; further columns are kept by `keep_clean`.
+doc_id is reported as null; empty tables give no rows; further columns are kept by `keep_clean`, which judges each row
+by its own text.
 """
 
 from __future__ import annotations
@@ -74,15 +75,20 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word of each benchmark item in each document: the most similar window, the first of such."""
+    return _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
+    """The leaks of texts that are told apart by other columns, the keys."""
     known = materialize(items(benchmark), "items")
     anchors = known.select("w", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg(F.collect_set("w").alias("sizes"))
     counts = F.transform(F.array_distinct("sh"), lambda h: F.named_struct(F.lit("h"), h, F.lit("c"), F.size(F.filter("sh", lambda x: x == h))))
     index = known.select("item_id", "w", F.col("fp").alias("item_fp"), counts.alias("item_sh"), F.size("sh").alias("item_n"), F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact"))
     index = index.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("exact").bitwiseXOR(m)))).drop("exact")
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words")).select("doc_id", shingles(F.col("words")).alias("sh"))
+    hashed = docs.select(*keys, words(F.col("text")).alias("words")).select(*keys, shingles(F.col("words")).alias("sh"))
     # outer, for the filter that Spark would infer evaluates every text's words anew for each shingle; the join drops the nulls
-    found = hashed.select("doc_id", "sh", F.posexplode_outer("sh").alias("pos", "h")).join(small(anchors), "h")
-    windows = found.select("doc_id", "pos", F.explode("sizes").alias("w"), "sh").select("doc_id", "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
+    found = hashed.select(*keys, "sh", F.posexplode_outer("sh").alias("pos", "h")).join(small(anchors), "h")
+    windows = found.select(*keys, "pos", F.explode("sizes").alias("w"), "sh").select(*keys, "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
     # a window that can't reach the similarity, cut short by the text's end, is left out
     windows = with_fingerprint(windows.where(F.size("win") >= SIMILAR * (F.col("w") - (SHINGLE - 1))), "win")
     asked = windows.select("*", F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "value"))
@@ -90,13 +96,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = F.coalesce(*(F.when(F.bit_count(block(apart, k)) <= NEAR, k) for k in range(BLOCKS)))
     near = asked.join(small(index), ["w", "block", "value"]).where((F.bit_count(apart) <= RADIUS) & (first == F.col("block")))
     both = F.aggregate("item_sh", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("win", lambda x: x == e["h"]))))
-    scored = near.select("doc_id", "item_id", "pos", both.alias("both"), (F.size("win") + F.col("item_n")).alias("n"))
+    scored = near.select(*keys, "item_id", "pos", both.alias("both"), (F.size("win") + F.col("item_n")).alias("n"))
     scored = scored.withColumn("similarity", F.col("both") / (F.col("n") - F.col("both"))).where(F.col("similarity") >= SIMILAR)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"))
+    best = scored.groupBy(*keys, "item_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"))).alias("b"))
+    return best.select(*keys, "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, with all their columns; those of null id are judged together."""
-    found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(small(found), docs["doc_id"].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents without a leak, with all their columns; rows that share an id, or have none, are told apart by their text's hash."""
+    own, text = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    found = _leaks(docs.select(own.alias("_leaked"), text.alias("_hash"), "text"), benchmark, ["_leaked", "_hash"])
+    found = materialize(found.select("_leaked", "_hash").distinct(), "leaks")
+    return docs.join(small(found), own.eqNullSafe(F.col("_leaked")) & (text == F.col("_hash")), "left_anti")

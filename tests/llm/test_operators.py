@@ -290,6 +290,14 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_clean_rows_stay_beside_leaks_of_their_id(spark):
+    rnd = random.Random(4)
+    item, *clean = (words(rnd, 30) for _ in range(5))
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (7, "x " + item), (8, clean[3]), (8, clean[3]), (9, item)]
+    kept = decontaminate.keep_clean(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (8, clean[3]), (8, clean[3])], key=repr)
+
+
 def test_a_long_item_is_matched_by_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART", 20)
     rnd = random.Random(1)
