@@ -1,7 +1,7 @@
 """Secret scans: three fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
-A chunk is a run of characters without white space. Its tokens are runs of letters, digits and `+/_.-`, and single other
-characters. Each token is secret-begin (B), inside (I) or outside (O). B is allowed only on a token of MIN_SECRET or more
+A chunk is a run of characters without white space. Its tokens are runs of ASCII letters, digits and `+/_.-`, runs of
+characters beyond ASCII, and single other characters. Each token is secret-begin (B), inside (I) or outside (O). B is allowed only on a token of MIN_SECRET or more
 ASCII characters with a digit, and I only after B or I, so every token of a chunk without such a token is O, and chunks
 are decoded each on its own without changing the best sequence of the whole text: between chunks the state is O.
 Emissions add up weights of the token's shape, the neighbouring words and marks, and the file; Viterbi finds the best
@@ -37,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.\-\u0080-\U0010ffff]+|\S")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[\u0080-\U0010ffff]+|\S")
 _KEYWORD = re.compile(r"(?ai:pass|secret|token|key|auth|bearer|credential|private)")
 _WORD = re.compile(r"\S+")
 _LENGTHS = np.array([3, 6, 8, 12, 16, 20, 24, 32, 40, 64])

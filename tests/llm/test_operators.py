@@ -411,6 +411,13 @@ def test_field_decodes_and_finds_what_patterns_miss(spark):
     assert secrets.scan(df.limit(0), secrets.learn(df.limit(0))).count() == 0
 
 
+def test_keys_that_touch_characters_beyond_ascii():
+    field = secrets.fit([])
+    key = "ghp_" + "aB3dE6gH9" * 4
+    for left, right in (("some words “", "” more"), ("密钥", " more"), ("密钥", "的话")):
+        assert secrets.masked(left + key + right, field) == left + secrets.MASK + right
+
+
 # --- 9: licences ---
 
 
