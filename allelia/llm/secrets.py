@@ -59,6 +59,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _covered(a: int, b: int, base: list[tuple[int, int, str, int]]) -> bool:
+    """Whether the base spans, in order of start, hold all of a to b."""
+    for x, y, _, _ in base:
+        if x <= a < y:
+            a = y
+    return a >= b
+
+
 def _mark(c: str) -> int:
     return {"": 0, "=": 1, ":": 2, '"': 3, "'": 3, "@": 4}.get(c, 5)
 
@@ -163,9 +171,9 @@ class Field:
         return found
 
     def scan(self, text: str) -> list[tuple[int, int, str, int]]:
-        """The base spans and the field's spans that no base span covers, by start and kind."""
+        """The base spans and the field's spans that base spans don't cover wholly, by start and kind."""
         base = base_spans(text)
-        extra = [(a, b, "crf", a) for a, b in self.spans(text) if not any(x < b and a < y for x, y, _, _ in base)]
+        extra = [(a, b, "crf", a) for a, b in self.spans(text) if not _covered(a, b, base)]
         return sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]))) if extra else base
 
 

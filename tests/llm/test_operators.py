@@ -418,6 +418,15 @@ def test_keys_that_touch_characters_beyond_ascii():
         assert secrets.masked(left + key + right, field) == left + secrets.MASK + right
 
 
+def test_a_key_around_a_base_span_goes_whole():
+    field = secrets.fit([])
+    text = "words sk_live_" + "0a1b2c3d4e5f6071" * 2 + "XYZ789 more"
+    assert secrets.masked(text, field) == "words [SECRET] more"
+    assert {k for _, _, k, _ in field.scan(text)} == {"hex", "crf"}
+    assert [k for _, _, k, _ in field.scan("token " + "0a1b2c3d4e5f6071" * 2 + " more")] == ["hex"]
+    assert secrets._covered(2, 9, [(0, 5, "hex", 0), (4, 9, "hex", 4)]) and not secrets._covered(2, 9, [(0, 5, "hex", 0), (6, 9, "hex", 6)])
+
+
 # --- 9: licences ---
 
 
