@@ -12,7 +12,7 @@ All is built-in column functions. The items' shingles and index are counted and
 same joins shuffle.
 
 Defined results: null or short texts have no windows; items of under five words have no shingle and match nothing; an item
-of over PART words is matched by consecutive parts, any of which counts; rows that share an id are reported as one; a null
+of over PART words is matched by parts of PART words, any of which counts: consecutive ones and its last PART words; rows that share an id are reported as one; a null
 doc_id is reported as null; empty tables give no rows; further columns are kept by `keep_clean`, which judges each row
 by its own text.
 """
@@ -68,7 +68,7 @@ def block(fp: Column, k: int) -> Column:
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, w (words), sh (shingle hashes), fp of every item, or part of a long one."""
     w = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
-    parts = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PART).cast("int")), lambda i: F.slice("words", i * PART + 1, PART))).alias("words"))
+    parts = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PART).cast("int")), lambda i: F.slice("words", F.least(i * PART, F.greatest(F.size("words") - PART, F.lit(0))) + 1, PART))).alias("words"))
     sh = parts.where(F.size("words") >= SHINGLE).select("item_id", F.size("words").alias("w"), shingles(F.col("words")).alias("sh"))
     return with_fingerprint(sh, "sh")
 

@@ -306,6 +306,16 @@ def test_a_long_item_is_matched_by_parts(spark, monkeypatch):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
 
 
+def test_no_part_of_a_long_item_is_short(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 20)
+    rnd = random.Random(2)
+    a, b = words(rnd, 47).split(), words(rnd, 43).split()
+    bench = spark.createDataFrame([(7, " ".join(a)), (8, " ".join(b)), (9, " ".join(b[:12])), (10, " ".join(a[:40]))], "item_id long, text string")
+    assert sorted((r["item_id"], r["w"]) for r in decontaminate.items(bench).collect()) == [(7, 20)] * 3 + [(8, 20)] * 3 + [(9, 12)] + [(10, 20)] * 2
+    rows = [(1, "x y z " + " ".join(a[40:47])), (2, " ".join(b[23:])), (3, " ".join(a[27:]))]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), bench.where("item_id < 9")).collect()) == [(2, 8), (3, 7)]
+
+
 def test_index_finds_all_fingerprints_within_the_radius():
     rnd = random.Random(6)
     for _ in range(2000):
