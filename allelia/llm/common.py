@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch between the JVM and a Python worker; a single longer row still passes whole.
 BATCH_BYTES = 8 << 20
-#: Rows of a table up to which it may be broadcast; callers count before they broadcast.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes of a table up to which it may be broadcast; callers have both checked before they broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+#: Bytes of a text that are worked on at once; a longer text goes piece by piece, cut at white space.
+PIECE = 1 << 20
+#: Links up to which components are found in one task of an executor; more are contracted by grouped minima.
+UNION_LINKS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +32,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    """The folder that driver and executors share. Where the session names none: a local one on one machine, an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="allelia-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="allelia-"))
+        found = context._jsc.sc().getCheckpointDir().get()
     return str(found).rstrip("/")
 
 
+#: What is to go at the end of each open scratch, innermost last: folders' paths and broadcasts.
+_scratch: list[list] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A new folder's path in the shared folder; it goes when the driver ends."""
+    """A new folder's path in the shared folder; it goes with the scratch it was made in, or when the driver ends."""
     path = f"{shared_dir(spark)}/allelia-{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     atexit.register(remove, spark, path)
     return path
 
 
+def share(spark: SparkSession, value: object):
+    """A broadcast of a value of bounded size; it goes with the scratch it was made in."""
+    held = spark.sparkContext.broadcast(value)
+    if _scratch:
+        _scratch[-1].append(held)
+    return held
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Removes the folders and broadcasts made within, but for those whose path bears one of the kept labels."""
+    made: list = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for x in made:
+            if not isinstance(x, str):
+                x.destroy()
+            elif not any(f"/allelia-{label}-" in x for label in kept):
+                remove(spark, x)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that new_path named."""
     jvm = spark.sparkContext._jvm
@@ -50,7 +91,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and any executor can be lost."""
-    path = new_path(df.sparkSession, label)
+    return _written(df, new_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,9 +105,32 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(column: str, kind: T.DataType):
+    """A column's bytes in each row, roughly."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(F.col(column)), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(F.col(column)), F.lit(0)) * (8 if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields)) + 16
+    return F.lit(8)
+
+
+def fits(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df has at most so many rows and bytes; no more rows than that are looked at."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size
+
+
+def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it fits; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows, size) else df
+
+
+def fresh(taken: list[str], n: int) -> list[str]:
+    """n column names that aren't taken, whatever their case."""
+    low = {c.lower() for c in taken}
+    return [c for k in range(len(low) + n) if (c := f"_k{k}") not in low][:n]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -80,6 +147,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 19)
 
 # --- words and their 64-bit hashes, for whole blocks of texts at once ---
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -121,6 +189,27 @@ def words(texts: list[bytes], lower: bool = True, bare: bool = False) -> tuple[n
     return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def pieces(text: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A text in pieces of about so many bytes, cut before white space, so that no word is cut."""
+    size, at = size or PIECE, 0
+    while len(text) - at > size:
+        cut = _BLANK.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes], lower: bool = True, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text's number of all words; what a text takes beyond its words' hashes doesn't grow with its length."""
+    if sum(map(len, texts)) <= 2 * PIECE:
+        return words(texts, lower, bare)[:2]
+    found = [[words([x], lower, bare)[0] for x in pieces(t)] for t in texts]
+    counts = [sum(map(len, x)) for x in found]
+    return np.concatenate([np.zeros(0, np.uint64), *(x for each in found for x in each)]), np.repeat(np.arange(len(texts)), counts)
+
+
 def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text's number of every k words in a row; a text of fewer words gives the whole sequence as one."""
     n = len(hashes)
@@ -137,22 +226,53 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
     return out, of
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of these links and the smallest node of each one's component, by pointer jumping over whole arrays."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (x, y):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            return nodes, nodes[root]
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, links: int | None = None) -> DataFrame:
     """(node, root) with the smallest node of each component as root, from long columns a and b.
 
-    Large-star and small-star steps in turn, each a grouped minimum and a join, until the stars are stable; every step's
-    edges are written to the shared folder, so no lineage grows and nothing reaches the driver but two sums.
+    Up to UNION_LINKS distinct links, which are counted first, go to one task. Beyond, large-star and small-star steps in
+    turn, each a grouped minimum (combined before the shuffle) and a join with one row per node, whose skewed partitions
+    are split at run time, until the stars are stable. Every step's links are written to the shared folder and the step
+    before goes, so no lineage grows and nothing reaches the driver but two sums.
     """
+    spark = edges.sparkSession
     pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    if pairs.limit((UNION_LINKS if links is None else links) + 1).count() <= (UNION_LINKS if links is None else links):
+
+        def whole(frame: pd.DataFrame) -> pd.DataFrame:
+            node, root = _forest(frame["u"].to_numpy(), frame["v"].to_numpy())
+            return pd.DataFrame({"node": node, "root": root})
+
+        return materialize(pairs.groupBy(F.lit(0).alias("all")).applyInPandas(whole, "node long, root long"), "components")
+    seen, old = None, None
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        pairs = materialize(linked, "stars")
-        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        path = new_path(spark, "stars")
+        pairs = _written(linked, path)
+        if old:
+            remove(spark, old)
+        old = path
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())  # a count and a sum
         if state == seen:
             break
         seen = state

@@ -8,12 +8,16 @@ apart, some block differs in at most 2 bits, so the index of the items' blocks,
 every item within the radius. Candidates are verified by the weighted Jaccard similarity of their shingles (weights are
 counts): SIMILAR or more is a leak.
 
-All is built-in column functions. The items' shingles and index are counted and broadcast only if small; otherwise the
-same joins shuffle.
+All is built-in column functions. The search for starts is narrow: a row is a text's key, a place and one hash. The items'
+shingles, index and counts are measured and broadcast only within common.BROADCAST_ROWS and BROADCAST_BYTES; otherwise
+the same joins shuffle, the starts of a text are gathered (at most one per word) and the text's hashes are joined once.
+The index holds an item's number, size and fingerprint; the items' shingles come in after the radius test alone.
 
 Defined results: null or short texts have no windows; items of under five words have no shingle and match nothing; an item
-of over PART words is matched by parts of PART words, any of which counts: consecutive ones and its last PART words; rows that share an id are reported as one; a null
-doc_id is reported as null; empty tables give no rows; further columns are kept by `keep_clean`, which judges each row
+of over PART words is matched by parts of PART words, any of which counts: consecutive ones and its last PART words; of
+equally similar windows the first that starts with a shingle of an item of that size is told, which may lie a few words
+after a window as similar that starts with none; rows that share an id are reported as one; a null doc_id is reported as
+null; empty tables give no rows; further columns, whatever their names, are kept by `keep_clean`, which judges each row
 by its own text.
 """
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fits, fresh, materialize, small
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -74,27 +78,39 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start_word of each benchmark item in each document: the most similar window, the first of such."""
-    return _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+    """doc_id, item_id, similarity, start_word of each benchmark item in each document: the most similar window (see Defined results)."""
+    return _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"])
+
+
+def _starts(hashed: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sh, pos, sizes of every place where a text has a shingle of an item; sizes are these items' word counts."""
+    # outer, for the filter that Spark would infer evaluates every text's words anew for each shingle; the join drops the nulls
+    if fits(anchors):
+        return hashed.select("*", F.posexplode_outer("sh").alias("pos", "h")).join(F.broadcast(anchors), "h").select(*keys, "sh", "pos", "sizes")
+    named = hashed.withColumn("_own", F.xxhash64("sh"))
+    mine = [*keys, "_own"]
+    found = named.select(*mine, F.posexplode_outer("sh").alias("pos", "h")).join(anchors, "h").select(*mine, "pos", "sizes").distinct()
+    places = found.groupBy(*mine).agg(F.collect_list(F.struct("pos", "sizes")).alias("at"))
+    same = [named[c].eqNullSafe(places[c]) for c in mine]
+    return named.join(places, same).select(*(named[c] for c in keys), "sh", F.explode("at").alias("at")).select(*keys, "sh", "at.pos", "at.sizes")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
     """The leaks of texts that are told apart by other columns, the keys."""
-    known = materialize(items(benchmark), "items")
-    anchors = known.select("w", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg(F.collect_set("w").alias("sizes"))
-    counts = F.transform(F.array_distinct("sh"), lambda h: F.named_struct(F.lit("h"), h, F.lit("c"), F.size(F.filter("sh", lambda x: x == h))))
-    index = known.select("item_id", "w", F.col("fp").alias("item_fp"), counts.alias("item_sh"), F.size("sh").alias("item_n"), F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact"))
+    known = materialize(items(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
+    anchors = materialize(known.select("w", F.explode("sh").alias("h")).groupBy("h").agg(F.collect_set("w").alias("sizes")), "anchors")
+    index = known.select("w", "item", F.col("fp").alias("item_fp"), F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact"))
     index = index.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("exact").bitwiseXOR(m)))).drop("exact")
+    counts = F.transform(F.array_distinct("sh"), lambda h: F.named_struct(F.lit("h"), h, F.lit("c"), F.size(F.filter("sh", lambda x: x == h))))
+    told = known.select("item", "item_id", counts.alias("item_sh"), F.size("sh").alias("item_n"))
     hashed = docs.select(*keys, words(F.col("text")).alias("words")).select(*keys, shingles(F.col("words")).alias("sh"))
-    # outer, for the filter that Spark would infer evaluates every text's words anew for each shingle; the join drops the nulls
-    found = hashed.select(*keys, "sh", F.posexplode_outer("sh").alias("pos", "h")).join(small(anchors), "h")
-    windows = found.select(*keys, "pos", F.explode("sizes").alias("w"), "sh").select(*keys, "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
+    windows = _starts(hashed, anchors, keys).select(*keys, "pos", F.explode("sizes").alias("w"), "sh").select(*keys, "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
     # a window that can't reach the similarity, cut short by the text's end, is left out
     windows = with_fingerprint(windows.where(F.size("win") >= SIMILAR * (F.col("w") - (SHINGLE - 1))), "win")
     asked = windows.select("*", F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*(F.when(F.bit_count(block(apart, k)) <= NEAR, k) for k in range(BLOCKS)))
-    near = asked.join(small(index), ["w", "block", "value"]).where((F.bit_count(apart) <= RADIUS) & (first == F.col("block")))
+    near = asked.join(small(index), ["w", "block", "value"]).where((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select(*keys, "pos", "win", "item").join(small(told), "item")
     both = F.aggregate("item_sh", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("win", lambda x: x == e["h"]))))
     scored = near.select(*keys, "item_id", "pos", both.alias("both"), (F.size("win") + F.col("item_n")).alias("n"))
     scored = scored.withColumn("similarity", F.col("both") / (F.col("n") - F.col("both"))).where(F.col("similarity") >= SIMILAR)
@@ -105,6 +121,6 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns; rows that share an id, or have none, are told apart by their text's hash."""
     own, text = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    found = _leaks(docs.select(own.alias("_leaked"), text.alias("_hash"), "text"), benchmark, ["_leaked", "_hash"])
-    found = materialize(found.select("_leaked", "_hash").distinct(), "leaks")
-    return docs.join(small(found), own.eqNullSafe(F.col("_leaked")) & (text == F.col("_hash")), "left_anti")
+    found = _leaks(docs.select(own.alias("doc_id"), text.alias("hash"), docs["text"].cast("string").alias("text")), benchmark, ["doc_id", "hash"])
+    gone = small(materialize(found.select("doc_id", "hash").distinct().toDF(*fresh(docs.columns, 2)), "leaks"))
+    return docs.join(gone, own.eqNullSafe(gone[gone.columns[0]]) & (text == gone[gone.columns[1]]), "left_anti")
