@@ -90,9 +90,9 @@ def _starts(hashed: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame
     named = hashed.withColumn("_own", F.xxhash64("sh"))
     mine = [*keys, "_own"]
     found = named.select(*mine, F.posexplode_outer("sh").alias("pos", "h")).join(anchors, "h").select(*mine, "pos", "sizes").distinct()
-    places = found.groupBy(*mine).agg(F.collect_list(F.struct("pos", "sizes")).alias("at"))
-    same = [named[c].eqNullSafe(places[c]) for c in mine]
-    return named.join(places, same).select(*(named[c] for c in keys), "sh", F.explode("at").alias("at")).select(*keys, "sh", "at.pos", "at.sizes")
+    places = found.groupBy(*mine).agg(F.collect_list(F.struct("pos", "sizes")).alias("at")).toDF(*(f"_of_{c}" for c in mine), "at")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in mine]
+    return named.join(places, same).select(*keys, "sh", F.explode("at").alias("at")).select(*keys, "sh", "at.pos", "at.sizes")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:

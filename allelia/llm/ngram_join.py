@@ -1,31 +1,33 @@
 """Exact n-gram Jaccard join with a prefix tree, for connected components of near copies.
 
 1. Every document becomes a set of 64-bit shingle hashes. Documents of equal sets are one class, so copies cost nothing.
-2. Two sets that link differ in at most D = (100 - percent) / (100 + percent) of their sizes' sum elements. The hash space
-   is cut into D + 1 ranges, so some range holds the same elements of both; what a set has in each range, as one hash,
-   is a key. D follows from bands of sizes (a factor of 1.5), and a set near its band's end has the next band's keys
-   too. A range that is the same because it is empty gives no key, nor, where there are many, one of few elements: for
-   few ranges several cuts by different hashes make up for that, and a link without a common key has a chance under 1e-9.
-3. Classes that share a key are joined to candidate components, of near copies mostly. A component is cut by length (a
-   link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash into blocks that meet in pairs:
-   every two classes that can link meet in one group, and no group grows with the data.
-4. Within a group, sets are stored in a trie in order of descending frequency, so that shared parts are shared paths. A
-   set walks the trie with its partial overlap; a subtree is left when its remaining length can't reach the needed
-   overlap, or when all of it is in the set's component already.
-5. Links become components; each row gets its component's smallest id.
+2. One global order of all shingles: by how frequent they are, then by hash. The frequent ones are counted over all
+   documents (by 32-bit buckets of their hashes); the ORDERED most frequent buckets are told apart by the logarithm of
+   their count, all rarer ones are equal but for their hash. Whatever the counts, it is one order for all sets.
+3. Two sets that link share an element among the n - ceil(n percent / 100) + 1 last of each one's order, its rarest (the
+   prefix filter, which loses nothing). Each set gives these elements as keys; along a key sets go by size, and where
+   the next is too long for the one before, none after links with any before, so the run is cut there.
+4. Sets in one run are candidates; candidates are joined to components, of near copies mostly, for the shingles that many
+   texts share come first in the order and give no key. A component is cut by length (a link needs lengths within the
+   similarity) and, beyond BLOCK elements, dealt by a hash into blocks: every two classes that can link meet in a
+   group, and no group grows with the data. Blocks meet a bounded number of the component's sets first, for most of a
+   large cluster is one component then; blocks meet each other only for the sets that are still apart.
+5. Within a group, sets are stored in a trie in the global order, frequent elements first, so that shared parts are
+   shared paths. A set walks the trie with its partial overlap; a subtree is left when its remaining length can't reach
+   the needed overlap, or when all of it is in the set's component already.
+6. Links become components; each row gets its component's smallest id.
 
 Words are runs of bytes other than white space (space and 09-0D), A-Z lower-cased. A set has the distinct n-word shingles; a text of fewer
 words gives its whole sequence as one; one without words is empty and links with nothing. Hashes are 64 bits: two sets
 are taken as equal, or two shingles, with a chance of about 2^-64 a pair.
 
 Defined results: a null text is empty; a document of null id has a null component and lends no name, but its text still
-links others; rows that share an id keep their own sets; an empty table gives no rows; further columns aren't read.
+links others; rows that share an id keep their own sets; an empty table gives no rows; further columns aren't read. A
+text's set takes 8 bytes a word in memory; the text itself is hashed piece by piece.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialize, mix, shingles, sliced, small, words
+from .common import bounded_batches, connected_components, materialize, mix, share, shingles, sliced, small, word_hashes
 
-#: Sizes from which on a band begins: powers of 1.5.
-EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
 #: Elements of all sets in one block.
 BLOCK = 800_000
+#: Buckets that the order tells apart by their frequency; 5 bytes each wherever sets are ordered.
+ORDERED = 1 << 20
+#: Documents that a shingle must be in (by its bucket) to be told apart, and from how many on its key's run is split.
+LEAST_COMMON, HOT = 4, 1 << 13
+#: Classes that a task remembers, so that copies of one text give their keys once.
+REMEMBERED = 200_000
 
 
 def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    hashes, doc, _, _ = words(texts)
+    hashes, doc = word_hashes(texts)
     grams, of = shingles(hashes, doc, n)
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
     return [np.unique(grams[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -58,48 +64,56 @@ def class_of(found: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def cuts(ranges: int) -> int:
-    """How many cuts by different hashes so many ranges need."""
-    return 8 if ranges <= 4 else 6 if ranges <= 8 else 4 if ranges <= 16 else 2 if ranges <= 32 else 1
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
 
 
-@functools.cache
-def least_elements(band: int, percent: int) -> tuple[int, int]:
-    """Ranges of a band, and how many elements a range must hold to give a key.
+class Order:
+    """The global order of shingles: frequent ones first, by the logarithm of their bucket's count, then by hash."""
 
-    Of M ranges a link of the most different sets leaves a share 1 / e as they were. Elements per range are Poisson, with
-    the band's least size for a mean; so many are asked for that all ranges left alone hold fewer with a chance of 1e-10.
-    """
-    ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
-    mean, m, below = 0.9 * EDGES[band] / ranges, 1, 0.0
-    while ranges > 32:
-        below += math.exp(-mean + m * math.log(mean) - math.lgamma(m + 1)) + (math.exp(-mean) if m == 1 else 0.0)
-        if (1 - (1 - below) / math.e) ** ranges > 1e-10:
-            break
-        m += 1
-    return ranges, m
-
-
-def keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """A set's keys: sets that reach the similarity but differ share one."""
-    n = len(found)
-    own = int(np.searchsorted(EDGES, n, side="right")) - 1
-    inner, out = mix(found ^ np.uint64(0x5DEECE66D)), []
-    for band in (own, own + 1) if 100 * n >= percent * EDGES[own + 1] else (own,):
-        ranges, least = least_elements(band, percent)
-        for k in range(cuts(ranges) if ranges > 1 else 0):
-            spread = mix(found + np.uint64(k * 0x9E3779B9)) if k else found
-            place = ((spread >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.argsort(place, kind="stable")
-            place = place[order]
-            starts = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
-            full = np.diff(np.append(starts, n)) >= least
-            out.append(mix(np.add.reduceat(inner[order], starts) + mix(place[starts] * np.uint64(1024) + np.uint64(band * 8 + k)))[full])
-    return np.concatenate([*out, np.zeros(0, np.uint64)])
+    def __init__(self, buckets: np.ndarray, levels: np.ndarray):
+        place = np.argsort(buckets)
+        self.buckets, self.levels = buckets[place], levels[place]
 
+    def level(self, found: np.ndarray) -> np.ndarray:
+        """0 for the shingles that aren't told apart by frequency."""
+        if not len(self.buckets):
+            return np.zeros(len(found), np.int8)
+        bucket = (found >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        return np.where(self.buckets[at] == bucket, self.levels[at], np.int8(0))
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """How ascending distinct hashes go in this order."""
+        return np.argsort(-self.level(found), kind="stable")
+
+    def keys(self, found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """A set's keys, the rarest elements of which any set that links with it, but isn't equal, has one; and their levels."""
+        n = len(found)
+        if 100 * n < percent * (n + 1):  # no other set is close enough
+            return found[:0], np.zeros(0, np.int8)
+        rare = self.places(found)[-(n - -(-percent * n // 100) + 1) :]
+        return found[rare], self.level(found[rare])
+
+
+def frequencies(docs: DataFrame, n: int) -> Order:
+    """The order, from counts of all documents' shingles. The driver sees at most ORDERED buckets."""
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            found = np.concatenate([np.zeros(0, np.uint64), *sets(_texts(batch), n)])
+            yield pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["bucket"])
+
+    counts = docs.mapInArrow(buckets, "bucket int").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    counts = materialize(counts.select("bucket", F.floor(F.log2(F.col("n").cast("double"))).cast("tinyint").alias("level")), "frequencies")
+    total, least = 0, 127
+    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # a row per power of two
+        total += r["k"]
+        if total > ORDERED:
+            break
+        least = r["level"]
+    told = counts.where(F.col("level") >= least).toArrow()
+    return Order(told.column("bucket").to_numpy().view(np.uint32), told.column("level").to_numpy().astype(np.int8))
 
 
 def named(docs: DataFrame, n: int) -> DataFrame:
@@ -114,40 +128,78 @@ def named(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(make, ", ".join(["doc_id long, n long, class long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
 
 
-def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): each class with the least class that shares a key with it. Rows of a key are streamed, never gathered."""
+class Once:
+    """Tells whether a class is new to this task, of the REMEMBERED last ones at least."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, name: int) -> bool:
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        known = name in self.seen
+        self.seen.add(name)
+        return not known
+
+
+def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, salt, lo, hi, class) in this order: links (key null, a, b) of each run's members to its first, and the runs of salted keys."""
+    names = ["key", "a", "b", "lo", "hi"]
+    last, reach, center, run = None, 0, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, lo, hi, name = (batch.column(c).to_numpy() for c in range(5))
+        out: list[tuple] = []
+        for k, s, x, y, c in zip(key.tolist(), salt.tolist(), lo.tolist(), hi.tolist(), name.tolist(), strict=True):
+            if (k, s) == last and percent * x <= 100 * reach:
+                reach = max(reach, y)
+                if c != center:
+                    out.append((None, c, center, 0, 0))
+                if run:
+                    run[4] = reach
+                continue
+            if run:
+                out.append(tuple(run))
+            last, reach, center = (k, s), y, c
+            run = [k, None, c, x, y] if s >= 0 else None
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+    if run:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in run], names=names)
+
+
+def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """(a, b): links between classes whose components hold every two classes that can link.
+
+    A key's classes are sorted by size and streamed, never gathered. The run of a key that HOT or more documents have is
+    dealt by class to salted runs, whose firsts and sizes make a second, short run.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = Once()
         for batch in sliced(batches, 1):
-            seen = {class_of(x): x for x in sets(_texts(batch), n) if len(x)}
-            each = [keys(x, percent) for x in seen.values()]
-            names = np.repeat(np.array(list(seen), np.int64), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(names)], names=["key", "class"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = center = None
-        for batch in batches:
-            key, name = (batch.column(c).to_numpy() for c in (0, 1))
-            if not len(key):
-                continue
-            first = np.flatnonzero(np.diff(key, prepend=key[0]) != 0)
-            starts = np.concatenate([[0], first])
-            centers = name[starts].copy()
-            if key[0] == last:
-                centers[0] = center
-            of = np.repeat(centers, np.diff(np.append(starts, len(key))))
-            last, center = key[-1], of[-1]
-            apart = of != name
-            pairs = np.unique(np.stack([name[apart], of[apart]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    spark = docs.sparkSession
-    shared = docs.mapInArrow(emit, "key long, class long").repartition("key").sortWithinPartitions("key", "class")
-    found = shared.mapInArrow(stars, "a long, b long").distinct()
-    bounded_batches(spark, 20_000)
-    found = materialize(found, "candidates")
+            names, sizes, keys, levels = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+            for x in sets(_texts(batch), n):
+                if len(x) and new(name := class_of(x)):
+                    k, level = order.value.keys(x, percent)
+                    names += [name] * len(k)
+                    sizes += [len(x)] * len(k)
+                    keys.append(k)
+                    levels.append(level)
+            name, size, level = np.array(names, np.int64), np.array(sizes, np.int64), np.concatenate(levels).astype(np.int64)
+            parts = np.where(level >= hot, np.int64(1) << np.maximum(level - hot + 1, 0), 0)
+            salt = np.where(parts > 0, name % np.maximum(parts, 1), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(salt), pa.array(size), pa.array(size), pa.array(name)], names=["key", "salt", "lo", "hi", "class"])
+
+    hot = HOT.bit_length() - 1
+    spark, runs, out = docs.sparkSession, lambda batches: _runs(percent, batches), "key long, a long, b long, lo long, hi long"
+    shared = docs.mapInArrow(emit, "key long, salt long, lo long, hi long, class long").repartition("key", "salt").sortWithinPartitions("key", "salt", "lo", "class")
     bounded_batches(spark)
-    return found
+    found = materialize(shared.mapInArrow(runs, out).distinct(), "runs")
+    firsts = found.where("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("salt"), "lo", "hi", F.col("b").alias("class"))
+    met = firsts.repartition("key").sortWithinPartitions("key", "salt", "lo", "class").mapInArrow(runs, out)
+    return found.where("key IS NULL").select("a", "b").unionByName(met.select("a", "b"))
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -229,15 +281,24 @@ class Union:
         return x != y
 
 
-def links(found: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct sets: places of two that reach the similarity. sides: where given, only sets of different sides are compared."""
-    values, counts = np.unique(np.concatenate(found), return_counts=True)
+def links(found: list[np.ndarray], percent: int, order: Order | None = None, asks: np.ndarray | None = None, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct sets: places of two that reach the similarity.
+
+    asks: where given, only pairs with an asking set are looked at. roots: where given, sets of equal roots are known to
+    be in one component.
+    """
+    values = np.unique(np.concatenate(found))
     rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(values))  # frequent first: shared parts are shared paths
+    rank[(order or Order(np.zeros(0, np.uint32), np.zeros(0, np.int8))).places(values)] = np.arange(len(values))
     local = [np.sort(rank[np.searchsorted(values, x)]) for x in found]
     trie, union, out = Trie(local), Union(len(found)), []
+    if roots is not None:
+        _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+        for i, k in enumerate(first[which].tolist()):
+            union.join(i, k)
     mark = np.zeros(len(values) + 1, np.int64)
-    for turn, item in enumerate(sorted(range(len(found)), key=lambda i: (len(local[i]), i))):
+    asking = range(len(found)) if asks is None else np.flatnonzero(asks).tolist()
+    for turn, item in enumerate(sorted(asking, key=lambda i: (len(local[i]), i))):
         if turn % 32 == 0:  # components only grow, so an older view leaves out less, never more
             uniform = trie.uniform(np.array([union.find(i) for i in range(len(found))]))
         mine = local[item]
@@ -247,7 +308,7 @@ def links(found: list[np.ndarray], percent: int, sides: np.ndarray | None = None
         while len(nodes):
             of, n = trie.member[nodes], trie.depth[nodes]
             for other in of[(of >= 0) & (of != item) & (100 * overlap >= percent * (size + n - overlap))].tolist():
-                if (sides is None or sides[other] != sides[item]) and union.join(item, other):
+                if union.join(item, other):
                     out.append((other, item))
             kids = spans(trie.first[nodes], trie.kids[nodes])
             if not len(kids):
@@ -278,6 +339,59 @@ def copies(documents: DataFrame, n: int, percent: int) -> DataFrame:
     return found.where("doc_id IS NOT NULL AND n_shingles > 0 AND (doc_id <> component_id OR text_hash <> first_hash)").select("doc_id", "text_hash")
 
 
+def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """(a, b): the links found in each group (part, band, x, y, z) of asked, which has class, first, asks and root besides."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = Once()
+        for batch in sliced(batches, 1):
+            found = [(name, x.tobytes()) for x in sets(_texts(batch), n) if new(name := class_of(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["class", "grams"])
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["asks", "class"], ascending=[False, True]).drop_duplicates("class", ignore_index=True)
+        out = links([np.frombuffer(x, np.uint64) for x in frame["grams"]], percent, order.value, frame["asks"].to_numpy(bool), frame["root"].to_numpy())
+        names = frame["class"].to_numpy()
+        return pd.DataFrame({"a": names[[x for x, _ in out]], "b": names[[y for _, y in out]]}, dtype="int64")
+
+    # a class whose documents all lack an id is found by its null id
+    wanted = asked.select(F.col("first").alias("doc_id")).distinct()
+    chosen = docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    full = chosen.mapInArrow(again, "class long, grams binary").join(asked.drop("first"), "class")
+    return full.groupBy("part", "band", "x", "y", "z").applyInPandas(meet, "a long, b long")
+
+
+def _large(docs: DataFrame, members: DataFrame, plan: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """The links of the parts beyond BLOCK elements; plan: part, band, size, all.
+
+    Each block meets a bounded number of the part's classes, its seeds. What is then outside the part's largest component
+    meets all blocks of its own and the neighbouring bands, in chunks; within that component no link is needed.
+    """
+    blocks = plan.select("part", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "all")
+    mine = F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int")
+    placed = materialize(members.join(small(blocks), ["part", "band"]).withColumn("x", mine), "placed")
+    spot = F.pmod(F.xxhash64("class", F.lit(8)), F.lit(1 << 20))
+    seeds = placed.where(spot * F.col("all") < (BLOCK // 4) * (1 << 20)).select("class", "first", "part")
+    whole = blocks.select("part", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    own = placed.select("class", "first", "part", "band", "x")
+    group = lambda df, asks, root: df.withColumns({"asks": F.lit(asks), "root": root})
+    first = own.unionByName(seeds.join(small(whole), "part")).withColumns({"y": F.lit(0), "z": F.lit(0)})
+    found = materialize(_meet(docs, group(first, True, F.col("class")), n, percent, order), "within")
+    roots = connected_components(found)
+    rooted = materialize(placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    main = rooted.groupBy("part", "root").agg(F.sum("n").alias("size")).groupBy("part").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    outside = materialize(rooted.join(small(main), "part").where("root <> main").drop("main"), "outside")
+    chunks = outside.groupBy("part", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
+    # groups: part, band and block of all classes (band, x), band and chunk of the outside ones (y, z)
+    near = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("band") + d))
+    every = rooted.select("class", "first", "root", "part", "band", "x", near.alias("y")).join(small(chunks.withColumnRenamed("band", "y")), ["part", "y"])
+    every = every.select("class", "first", "root", "part", "band", "x", "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("z"), F.lit(False).alias("asks"))
+    asking = outside.join(small(chunks), ["part", "band"]).withColumn("z", F.pmod(F.xxhash64("class", F.lit(9)), F.col("chunks")).cast("int"))
+    asking = asking.select("class", "first", "root", "part", F.col("band").alias("y"), "z", near.alias("band")).join(small(blocks.select("part", "band", "blocks")), ["part", "band"])
+    asking = asking.select("class", "first", "root", "part", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", "z", F.lit(True).alias("asks"))
+    return found.unionByName(_meet(docs, every.unionByName(asking), n, percent, order))
+
+
 def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None) -> DataFrame:
     """The join; with a text_hash, also that and first_hash, the least of the component's rows that have its name for an id."""
     spark = documents.sparkSession
@@ -287,48 +401,25 @@ def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None
     hashed = [] if text_hash is None else ["head"]
     head = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("head")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else []))
-    near = connected_components(candidates(docs, n, percent))
+    order = share(spark, frequencies(docs, n))
+    near = connected_components(candidates(docs, n, percent, order))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
     # bands of length: a link's two lengths are in the same or in neighbouring ones
     members = materialize(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "members")
-    bands = members.groupBy("part", "band").agg(F.sum("n").alias("size"), F.count("*").alias("k"))
-    whole = bands.groupBy("part").agg(F.sum("size").alias("all"))
-    plan = bands.join(whole, "part").withColumn("blocks", F.when(F.col("all") <= BLOCK, 0).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int"))
-    after = plan.select("part", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
-    before = plan.select("part", (F.col("band") + 1).alias("band"), F.col("blocks").alias("previous"))
-    plan = plan.select("part", "band", "blocks").join(after, ["part", "band"], "left").join(before, ["part", "band"], "left")
-    mine = F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int")
-    empty = "CAST(array() AS array<struct<band: int, x: int, y: int, side: int>>)"
-    met = members.join(plan, ["part", "band"]).withColumn("b", F.when(F.col("blocks") > 0, mine).otherwise(0))
-    own = "transform(sequence(0, blocks - 1), o -> struct(band AS band, least(b, o) AS x, greatest(b, o) AS y, if(b = o, -1, if(b < o, 0, 1)) AS side))"
-    # own pairs of blocks have y >= x; meetings with the next band are told apart by y = -1 - y
-    up = f"if(next > 0, transform(sequence(0, next - 1), o -> struct(band AS band, b AS x, -1 - o AS y, 0 AS side)), {empty})"
-    down = f"if(previous > 0, transform(sequence(0, previous - 1), o -> struct(band - 1 AS band, o AS x, -1 - b AS y, 1 AS side)), {empty})"
-    met = met.withColumn("groups", F.expr(f"if(blocks = 0, array(struct(0 AS band, 0 AS x, 0 AS y, -1 AS side)), concat({own}, {up}, {down}))"))
-    asked = materialize(met.select("class", "first", "part", "groups"), "asked")
-    wanted = asked.select(F.col("first").alias("doc_id")).distinct()
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            found = sets(_texts(batch), n)
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["class", "grams"])
-
-    # a class whose documents all lack an id is found by its null id
-    chosen = docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    full = chosen.mapInArrow(again, "class long, grams binary").join(asked, "class").select("class", "grams", "part", F.explode("groups").alias("g")).select("class", "grams", "part", "g.*")
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("class", ignore_index=True).sort_values("class", ignore_index=True)
-        sides = frame["side"].to_numpy()
-        out = links([np.frombuffer(x, np.uint64) for x in frame["grams"]], percent, None if (sides == -1).all() else sides)
-        names = frame["class"].to_numpy()
-        return pd.DataFrame({"a": names[[x for x, _ in out]], "b": names[[y for _, y in out]]}, dtype="int64")
-
-    edges = full.groupBy("part", "band", "x", "y").applyInPandas(meet, "a long, b long")
+    bands = members.groupBy("part", "band").agg(F.sum("n").alias("size"))
+    large = materialize(bands.join(bands.groupBy("part").agg(F.sum("size").alias("all")).where(F.col("all") > BLOCK), "part"), "large")
+    beyond = small(large.select("part").distinct())
+    zero = F.lit(0)
+    alone = members.join(beyond, "part", "left_anti").select("class", "first", "part", *(zero.alias(c) for c in ("band", "x", "y", "z")), F.lit(True).alias("asks"), F.col("class").alias("root"))
+    edges = _meet(docs, alone, n, percent, order)
+    if not large.isEmpty():
+        edges = edges.unionByName(_large(docs, members.join(beyond, "part", "left_semi"), large, n, percent, order))
     final = connected_components(edges)
     ids = classes.select("class", "first", *hashed).join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = ids.groupBy("root").agg(F.min("first").alias("component_id"), *(F.min(c).getField("text_hash").alias("first_hash") for c in hashed))
     ids = ids.drop("head").join(least, "root").select("class", "component_id", *(["first_hash"] if hashed else []))
-    result = rows.withColumnRenamed("n", "n_shingles").join(ids, "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), *(["text_hash", "first_hash"] if hashed else []))
+    shown = ["doc_id", "n_shingles", "component_id", *(["text_hash", "first_hash"] if hashed else [])]
+    rows = rows.withColumnRenamed("n", "n_shingles")
+    named_rows = rows.where("n_shingles > 0").join(ids, "class", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id")} | ({"first_hash": F.lit(None).cast("long")} if hashed else {}))
+    return named_rows.select(shown).unionByName(empty.select(shown))

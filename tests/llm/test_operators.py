@@ -149,6 +149,9 @@ def brute_join(rows, n, percent):
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 400_000), (5, 80, 400_000), (3, 80, 150)])
 def test_join_is_exact(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # the small one makes every component meet in blocks
+    if block == 150:  # and every run of more than a few is split, and nothing is broadcast
+        monkeypatch.setattr(ngram_join, "HOT", 4)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rnd = random.Random(percent)
     rows = []
     for k in range(30):
@@ -168,6 +171,14 @@ def test_join_of_nothing(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rnd = random.Random(3)
+    texts = [words(rnd, k).encode() for k in (0, 3, 700, 1, 900)] + [b" \n", b"x" * 5000]
+    whole = ngram_join.sets(texts, 3)
+    monkeypatch.setattr(common, "PIECE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.sets(texts, 3), strict=True))
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_key_and_the_trie_finds_all_links(percent):
     rng = np.random.default_rng(percent)
@@ -180,7 +191,10 @@ def test_linked_sets_share_a_key_and_the_trie_finds_all_links(percent):
             x = np.unique(np.concatenate([x, rng.integers(0, 2**63, rng.integers(0, max(2, n // 12)), dtype=np.uint64)]))
             found[x.tobytes()] = x
         found = list(found.values())
-        keys = [set(ngram_join.keys(x, percent).tolist()) for x in found]
+        some = np.unique(np.concatenate(found) >> np.uint64(32)).astype(np.uint32)
+        some = some[rng.random(len(some)) < 0.5]
+        order = ngram_join.Order(some, rng.integers(1, 4, len(some)).astype(np.int8))
+        keys = [set(order.keys(x, percent)[0].tolist()) for x in found]
         u, v = ngram_join.Union(len(found)), ngram_join.Union(len(found))
         for a in range(len(found)):
             for b in range(a):
@@ -188,18 +202,53 @@ def test_linked_sets_share_a_key_and_the_trie_finds_all_links(percent):
                 if 100 * both >= percent * (len(found[a]) + len(found[b]) - both):
                     assert keys[a] & keys[b]
                     u.join(a, b)
-        for a, b in ngram_join.links(found, percent):
+        for a, b in ngram_join.links(found, percent, order):
             v.join(a, b)
         assert [u.find(i) for i in range(len(found))] == [v.find(i) for i in range(len(found))]
 
 
-def test_components(spark):
+def test_runs_are_cut_by_size_alone():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    rows = sorted((rnd.randint(0, 30), -1 if k < 15 else rnd.randint(0, 3), x, x, k) for k in range(300) for x in [int(1.3 ** rnd.randint(1, 25))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7], strict=True)], names=["key", "salt", "lo", "hi", "class"]) for i in range(0, 300, 7)]
+    told = [r for b in ngram_join._runs(80, iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    again = sorted((key, -1, lo, hi, name) for key, _, name, lo, hi in told if key is not None)
+    merged = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again, strict=True)], names=["key", "salt", "lo", "hi", "class"])
+    told += [r for b in ngram_join._runs(80, iter([merged])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    u = ngram_join.Union(300)
+    for key, a, b, _, _ in told:
+        if key is None:
+            u.join(a, b)
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x[0] == y[0] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and (x[1] < 0) == (y[1] < 0):
+                assert u.find(x[4]) == u.find(y[4])
+
+
+def test_a_large_cluster_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20_000)
+    rnd = random.Random(12)
+    base, far = words(rnd, 60).split(), words(rnd, 60).split()
+    rows = []
+    for k in range(3000):
+        text = list(base)
+        text[rnd.randrange(60)] = f"w{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(5000 + k, " ".join(far[: 60 - k])) for k in range(3)] + [(6000 + k, " ".join(base[:30] + words(rnd, 30).split())) for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, rows), 3, 80).collect()}
+    assert {got[k] for k in range(3000)} == {0} and {got[5000 + k] for k in range(3)} == {5000} and all(got[6000 + k] == 6000 + k for k in range(20))
+
+
+@pytest.mark.parametrize("links", [None, 0])
+def test_components(spark, links):
     rnd = random.Random(5)
     pairs = [(k, k + 1) for k in range(40)] + [(rnd.randint(100, 400), rnd.randint(100, 400)) for _ in range(200)] + [(7, 7)]
     u = ngram_join.Union(500)
     for a, b in pairs:
         u.join(a, b)
-    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long"), links=links).collect()}
     assert got == {x: u.find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
@@ -267,7 +316,10 @@ def brute_leaks(rows, items):
     return {k: (round(s, 9), -b) for k, (s, _, b) in out.items()}
 
 
-def test_leaks_against_all_windows(spark):
+@pytest.mark.parametrize("rows_broadcast", [None, 0])
+def test_leaks_against_all_windows(spark, monkeypatch, rows_broadcast):
+    if rows_broadcast is not None:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
     rnd = random.Random(9)
     items = [(k, words(rnd, rnd.choice([5, 7, 24, 24, 40]))) for k in range(12)] + [(50, "too short here"), (51, None), (52, words(rnd, 30)), (53, "echo " * 12)]
     rows = []
