@@ -66,7 +66,7 @@ def share(spark: SparkSession, value: object):
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
-    """Removes the folders and broadcasts made within, but for those whose path bears one of the kept labels."""
+    """Removes the folders and broadcasts made within; folders of the kept labels go to the scratch around it, if any."""
     made: list = []
     _scratch.append(made)
     try:
@@ -78,6 +78,8 @@ def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
                 x.destroy()
             elif not any(f"/allelia-{label}-" in x for label in kept):
                 remove(spark, x)
+            elif _scratch:
+                _scratch[-1].append(x)
 
 
 def remove(spark: SparkSession, path: str) -> None:

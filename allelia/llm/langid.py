@@ -6,15 +6,19 @@ neighbours below it, absolute discounts estimated from the counts of counts. The
 sorted array of 64-bit hashes per order, with a row of log probabilities beside it; a text's cross-entropy is the mean
 over all its characters, and the language with the lowest wins (ties: the smaller name).
 
-The score is the winner's share of a softmax over the cross-entropies, whose temperature is fitted on a held-in part of
-the sample; the same part gives each language a limit, and a text whose best cross-entropy lies above it is rejected.
+The score is the winner's share of a softmax over the cross-entropies, whose temperature is fitted on texts that the
+models weren't learned from; the same texts give each language a limit that at most REJECT of them pass (the conformal
+quantile, and SLACK more), and a text whose best cross-entropy lies above it is rejected.
 
-Bounds: SAMPLE labelled documents of at most SAMPLE_CHARS characters each per language, by a hash of their id, train the
-models. Every document is predicted on its whole text.
+Bounds: per language, the SAMPLE labelled documents of the smallest hashes of their ids train the models and the CALIBRATE
+next ones calibrate; all of each text is used. Languages are counted each in a task, merged in one, and cross-entropies
+of the calibrating texts are taken by all executors; the driver holds the merged model as bytes. Every document is
+predicted on its whole text, a long one piece by piece, with the last characters carried on.
 
 Defined results: a null text or one without letters is `und` with score 0 and rejected; a null doc_id or null label isn't
-learned from; repeated rows are predicted alike; without any labelled document every text is `und`; further columns are
-kept by `keep` and not read.
+learned from; repeated rows are predicted alike; without any labelled document every text is `und` and none with letters
+is rejected, for nothing is known to reject it by; a language of fewer calibrating texts than 1 / REJECT takes their
+largest value for the quantile, one of fewer than 5 rejects nothing; further columns are kept by `keep` and not read.
 """
 
 from __future__ import annotations
@@ -30,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, sliced
+from .common import bounded_batches, materialize, mix, scratch, share, sliced, small
 
 ORDER = 5
-SAMPLE, SAMPLE_CHARS = 400, 20_000
+SAMPLE, CALIBRATE = 400, 1000
+#: The share of a language's own texts that may be rejected, and what the limit lies above their quantile (in nats).
+REJECT, SLACK = 0.001, 0.5
+#: Characters of a text that are worked on at once.
+CHARS = 1 << 19
 #: The alphabet's assumed size, for characters that no language has seen.
 ALPHABET = 1 << 16
 UNDETERMINED = "und"
@@ -50,18 +58,42 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, normalised, each text after order - 1 spaces; which of them count; where each text starts."""
-    lowered = [("\0" * (order - 1)) + (t.replace("\0", " ") if "\0" in t else t).lower() + "\n" for t in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    pad, letter = codes == 0, _is_letter(codes)
-    after = np.zeros(len(codes), bool)
-    after[1:] = letter[:-1]
-    keep = letter | after | pad
-    starts = np.cumsum([0, *map(len, lowered[:-1])])
-    kept = np.cumsum(keep)
-    at = np.where(starts > 0, kept[np.maximum(starts - 1, 0)], 0)
-    return np.where(letter, codes, np.uint32(32))[keep].astype(np.uint64), ~pad[keep], at
+def normalised(text: str, before: bool = False) -> tuple[np.ndarray, bool]:
+    """A text's (or piece's) code points: letters, and one space for what follows a letter; before: whether a letter precedes. And whether it ends in one."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter(codes)
+    after = np.concatenate([[before], letter[:-1]])[: len(codes)]
+    return np.where(letter, codes, np.uint32(32))[letter | after].astype(np.uint64), bool(letter[-1]) if len(codes) else before
+
+
+def blocks(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of about CHARS characters: code points, which of them count, and of which text each is.
+
+    A text comes after order - 1 spaces and ends in a space if its last character is a letter. What a block has of a text
+    that began in the block before comes after that one's last order - 1 characters.
+    """
+    codes: list[np.ndarray] = []
+    counted: list[np.ndarray] = []
+    of: list[np.ndarray] = []
+    size = 0
+
+    def told() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate(codes), np.concatenate(counted), np.concatenate(of)
+
+    for i, text in enumerate(texts):
+        carry, before = np.full(order - 1, 32, np.uint64), False
+        for at in range(0, len(text) + 1, CHARS):
+            part = text[at : at + CHARS]
+            found, before = normalised(part if at + CHARS <= len(text) else part + "\n", before)
+            codes.append(np.concatenate([carry, found]))
+            counted.append(np.arange(len(codes[-1])) >= order - 1)
+            of.append(np.full(len(codes[-1]), i))
+            carry, size = codes[-1][len(codes[-1]) - (order - 1) :], size + len(found)
+            if size >= CHARS:
+                yield told()
+                codes, counted, of, size = [], [], [], 0
+    if codes:
+        yield told()
 
 
 def grams(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -76,30 +108,36 @@ def grams(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their counts added up, and the first row of more of each."""
+    found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return found, np.bincount(which, weights=counts, minlength=len(found)).astype(np.int64), more[first]
+
+
 def count(texts: list[str], order: int) -> dict[str, np.ndarray]:
     """One language's model: for each order k its n-grams, their probability, suffix and context, and the contexts' back-off mass."""
-    codes, scored, _ = characters(texts, order)
-    h = grams(codes, order)
-    places = np.flatnonzero(scored)
-    places = places[places >= order]
+    found, counts, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2 * order), np.uint64)
+    for codes, counted, _ in blocks(texts, order):
+        h = grams(codes, order)
+        at = np.flatnonzero(counted)
+        # of each n-gram of the highest order: the hashes of its suffixes of 0 to order - 1 characters, and those of the place before
+        mine = np.stack([*(h[k][at] for k in range(order)), *(h[k][at - 1] for k in range(order))], 1) if len(at) else rows[:0]
+        mine = _summed(h[order][at], np.ones(len(at)), mine)
+        found, counts, rows = _summed(np.concatenate([found, mine[0]]), np.concatenate([counts, mine[1]]), np.concatenate([rows, mine[2]]))
     levels: list[tuple] = []
-    found, first, counts = np.unique(h[order][places], return_index=True, return_counts=True)
-    at = places[first]
     for k in range(order, 0, -1):
-        levels.append((k, found, at, counts))
-        if k > 1:
-            found, first, counts = np.unique(h[k - 1][at], return_index=True, return_counts=True)
-            at = at[first]
+        levels.append((k, found, counts, rows))
+        if k > 1:  # below the highest order an n-gram counts once for each of its left neighbours
+            found, counts, rows = _summed(rows[:, k - 1], np.ones(len(rows)), rows)
     out: dict[str, np.ndarray] = {}
     below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k, found, at, counts in reversed(levels):
+    for k, found, counts, rows in reversed(levels):
         one, two = (counts == 1).sum(), (counts == 2).sum()
         discount = float(np.clip(one / max(1, one + 2 * two), 0.1, 0.95))
-        context = h[k - 1][at - 1]
+        suffix, context = rows[:, k - 1], rows[:, order + k - 1]
         contexts, which, types = np.unique(context, return_inverse=True, return_counts=True)
         total = np.bincount(which, weights=counts)
         mass = discount * types / total
-        suffix = h[k - 1][at]
         lower = 1 / ALPHABET if k == 1 else below[k - 1][1][np.searchsorted(below[k - 1][0], suffix)]
         p = np.maximum(counts - discount, 0) / total[which] + mass[which] * lower
         below[k] = (found, p)
@@ -121,8 +159,6 @@ class Model:
     order: int
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
-    temperature: float = 1.0
-    limits: np.ndarray | None = None
 
     @classmethod
     def merge(cls, parts: dict[str, dict[str, np.ndarray]], order: int) -> Model:
@@ -158,81 +194,134 @@ class Model:
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log probability of each text's characters in each language, and the number of letters-and-gaps counted."""
-        codes, scored, starts = characters(texts, self.order)
-        h = grams(codes, self.order)
-        places = np.flatnonzero(scored)
-        sums = np.zeros((len(texts), len(self.languages)))
-        counts = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(texts))
-        if len(places):
-            log_p = self._log_p(h, places, self.order)
-            full = np.flatnonzero(counts)
-            sums[full] = np.add.reduceat(log_p, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.float64)
+        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for codes, counted, of in blocks(texts, self.order):
+            places = np.flatnonzero(counted)
+            if len(places):
+                log_p = self._log_p(grams(codes, self.order), places, self.order)
+                own, first, n = np.unique(of[places], return_index=True, return_counts=True)
+                sums[own] += np.add.reduceat(log_p, first, axis=0, dtype=np.float64)
+                counts[own] += n
         return -sums / np.maximum(counts, 1)[:, None], counts
 
-    def calibrate(self, texts: list[str], labels: list[str]) -> None:
-        """Temperature of the softmax by likelihood, and each language's limit from its own texts' cross-entropies."""
-        entropy, counts = self.cross_entropy(texts)
-        own = np.array([self.languages.index(x) for x in labels], int)
-        used = counts > 0
-        entropy, own = entropy[used], own[used]
-
-        def likelihood(t: float) -> float:
-            z = -entropy * t
-            top = z.max(1)
-            return float((z[np.arange(len(own)), own] - top - np.log(np.exp(z - top[:, None]).sum(1))).sum())
-
-        self.temperature = max(np.geomspace(1, 256, 33).tolist(), key=likelihood) if len(own) else 16.0
-        self.limits = np.full(len(self.languages), np.inf)
-        for j in range(len(self.languages)):
-            if (own == j).sum() >= 5:
-                mine = entropy[own == j, j]
-                self.limits[j] = max(mine.max(), mine.mean() + 6 * mine.std()) + 0.5
+    def to_bytes(self) -> bytes:
+        parts = {f"{name}{k}_{j}": x for name, tables in (("g", self.grams), ("c", self.contexts)) for k, pair in enumerate(tables) for j, x in enumerate(pair)}
+        np.savez_compressed(out := io.BytesIO(), languages=np.array(self.languages, "U"), **parts)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        f = np.load(io.BytesIO(data))
+        order = sum(x.startswith("g") for x in f.files) // 2
+        tables = [[(f[f"{name}{k}_0"], f[f"{name}{k}_1"]) for k in range(order)] for name in "gc"]
+        return cls(f["languages"].tolist(), order, *tables)
+
+
+def temperature_of(entropy: np.ndarray, own: np.ndarray) -> float:
+    """The softmax's temperature by likelihood, of texts whose language is number own."""
+    if not len(own):
+        return 16.0
+
+    def likelihood(t: float) -> float:
+        z = -entropy * t
+        top = z.max(1)
+        return float((z[np.arange(len(own)), own] - top - np.log(np.exp(z - top[:, None]).sum(1))).sum())
+
+    return max(np.geomspace(1, 256, 33).tolist(), key=likelihood)
+
+
+def limit_of(own: np.ndarray) -> float:
+    """The cross-entropy above which at most REJECT of a language's texts are expected, from those of its calibrating texts."""
+    n = len(own)
+    return float(np.sort(own)[min(n, int(np.ceil((n + 1) * (1 - REJECT)))) - 1]) + SLACK if n >= 5 else np.inf
+
+
+@dataclass
+class Identifier:
+    """A merged model as bytes, the softmax's temperature and each language's limit; empty data: no language is known."""
+
+    data: bytes
+    temperature: float
+    limits: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected, for each text."""
-        if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        entropy, counts = self.cross_entropy(texts)
+        if not self.data:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.array([not _is_letter(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).any() for t in texts], bool)
+        model = _loaded(self.data)
+        entropy, counts = model.cross_entropy(texts)
         best = entropy.argmin(1)
         lowest = entropy[np.arange(len(best)), best]
         score = 1 / np.exp(-(entropy - lowest[:, None]) * self.temperature).sum(1)
         none = counts == 0
-        rejected = none | (lowest > (self.limits[best] if self.limits is not None else np.inf))
-        return [UNDETERMINED if e else self.languages[b] for b, e in zip(best, none, strict=True)], np.where(none, 0.0, score), rejected
+        rejected = none | (lowest > self.limits[best])
+        return [UNDETERMINED if e else model.languages[b] for b, e in zip(best, none, strict=True)], np.where(none, 0.0, score), rejected
+
+
+_model: list[tuple[int, bytes, Model]] = []
+
+
+def _loaded(data: bytes) -> Model:
+    """This worker's model; the last one is kept."""
+    if not _model or _model[0][1] != data:
+        _model[:] = [(0, data, Model.from_bytes(data))]
+    return _model[0][2]
+
 
+def sample(docs: DataFrame, learn: Column, size: int, more: int) -> DataFrame:
+    """lang, text, held of the size + more labelled documents per language of the smallest hashes of their ids; the last ones are held out.
 
-def sample(docs: DataFrame, learn: Column, size: int) -> DataFrame:
-    """lang, text, part of at most `size` labelled documents per language, by a hash of their id; part 0 calibrates."""
+    Ranks are taken per language and salt first, so that a language that most documents have isn't ranked in one task.
+    """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     keyed = labelled.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("key"))
-    ranked = keyed.select("lang", "key").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= size)
+    least = lambda df, by, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= n)
+    ranked = least(least(keyed.select("lang", "key", F.pmod("key", F.lit(64)).alias("salt")), ["lang", "salt"], size + more), ["lang"], size + more)
     limit = ranked.groupBy(F.col("lang").alias("of")).agg(F.max("key").alias("limit"))
-    near = keyed.join(F.broadcast(limit), (F.col("lang") == F.col("of")) & (F.col("key") <= F.col("limit"))).drop("of", "limit")
-    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", F.length("text"), "text"))).where(F.col("rank") <= size)
-    return chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), (F.col("rank") % 5).alias("part"))
+    near = keyed.join(small(materialize(limit, "limits")), (F.col("lang") == F.col("of")) & (F.col("key") <= F.col("limit"))).drop("of", "limit")
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", F.length("text"), "text"))).where(F.col("rank") <= size + more)
+    # with few documents, every fifth is held out
+    count = F.count("*").over(Window.partitionBy("lang"))
+    return chosen.select("lang", "text", F.when(count > 5 * size // 4, F.col("rank") > size).otherwise(F.col("rank") % 5 == 0).alias("held"))
 
 
-def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, order: int = ORDER) -> Model:
+def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, more: int = CALIBRATE, order: int = ORDER) -> Identifier:
     """Models of every language that the learnable documents name. learn: a condition on doc_id; by default all are learned from."""
+    spark = docs.sparkSession
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("text", kind="stable")
-        parts = frame["text"][frame["part"] != 0].tolist() or frame["text"].tolist()
-        np.savez_compressed(out := io.BytesIO(), **count([t for t in parts if any(map(str.isalpha, t))] or ["a"], order))
-        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "model": [out.getvalue()], "texts": [frame["text"][frame["part"] == 0].tolist()]})
-
-    chosen = sample(docs, F.lit(True) if learn is None else learn, size)
-    rows = chosen.groupBy("lang").applyInPandas(one, "lang string, model binary, texts array<string>").collect()
-    if not rows:
-        return Model([], order, [], [])
-    model = Model.merge({r["lang"]: dict(np.load(io.BytesIO(r["model"]))) for r in rows}, order)
-    held = [(t, r["lang"]) for r in sorted(rows, key=lambda r: r["lang"]) for t in r["texts"]]
-    model.calibrate([t for t, _ in held], [x for _, x in held])
-    return model
-
-
-def _scan(docs: DataFrame, model: Model, extra: list[str], schema: str, make) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        texts = frame.sort_values("text", kind="stable")["text"].tolist()
+        np.savez(out := io.BytesIO(), **count([t for t in texts if any(map(str.isalpha, t))] or ["a"], order))
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "model": [out.getvalue()]})
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = {k: dict(np.load(io.BytesIO(x))) for k, x in zip(frame["lang"], frame["model"], strict=True)}
+        return pd.DataFrame({"languages": [sorted(parts)], "model": [Model.merge(parts, order).to_bytes()]})
+
+    with scratch(spark):
+        chosen = materialize(sample(docs, F.lit(True) if learn is None else learn, size, more), "sample")
+        one_each = chosen.where("NOT held").groupBy("lang").applyInPandas(one, "lang string, model binary")
+        rows = one_each.groupBy(F.lit(0).alias("all")).applyInPandas(merged, "languages array<string>, model binary").collect()
+        if not rows:
+            return Identifier(b"", 1.0, np.zeros(0))
+        names, data = rows[0]["languages"], bytes(rows[0]["model"])
+        held = share(spark, data)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 1):
+                entropy, counts = _loaded(held.value).cross_entropy(batch.column(1).to_pylist())
+                some = pa.array(counts > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "entropy"]).filter(some)
+
+        bounded_batches(spark)
+        told = chosen.where(F.col("held") & F.col("lang").isin(names)).select("lang", "text").mapInArrow(measure, "lang string, entropy array<double>").collect()
+    entropy = np.array([r["entropy"] for r in told]).reshape(-1, len(names))
+    own = np.array([names.index(r["lang"]) for r in told], int)
+    return Identifier(data, temperature_of(entropy, own), np.array([limit_of(entropy[own == j, j]) for j in range(len(names))]))
+
+
+def _scan(docs: DataFrame, model: Identifier, schema: str, make) -> DataFrame:
+    shared = share(docs.sparkSession, model)
     place = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,16 +332,16 @@ def _scan(docs: DataFrame, model: Model, extra: list[str], schema: str, make) ->
     return docs.mapInArrow(predict, schema)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
 
     def make(batch: pa.RecordBatch, names: list[str], score: np.ndarray, rejected: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _scan(narrow, model, [], "doc_id long, lang_pred string, score double, rejected boolean", make)
+    return _scan(narrow, model, "doc_id long, lang_pred string, score double, rejected boolean", make)
 
 
-def keep(docs: DataFrame, model: Model) -> DataFrame:
+def keep(docs: DataFrame, model: Identifier) -> DataFrame:
     """The documents that the model doesn't reject, with all their columns as they were."""
-    return _scan(docs, model, [], docs.schema, lambda batch, names, score, rejected: batch.filter(pa.array(~rejected)))
+    return _scan(docs, model, docs.schema, lambda batch, names, score, rejected: batch.filter(pa.array(~rejected)))

@@ -287,6 +287,68 @@ def test_probabilities_sum_to_one():
     assert abs(sum(map(p, (32, 97, 98))) + (langid.ALPHABET - 3) * p(120) - 1) < 1e-5
 
 
+def brute_kneser_ney(texts, order):
+    """P(c | history) by dictionaries; each text comes after order - 1 spaces."""
+    plain = [" " * (order - 1) + "".join(c for i, c in enumerate(t + " ") if c != " " or (i and (t + " ")[i - 1] != " ")) for t in texts]
+    counts = {order: {}}
+    for t in plain:
+        for i in range(order - 1, len(t)):
+            counts[order][t[i - order + 1 : i + 1]] = counts[order].get(t[i - order + 1 : i + 1], 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    discount = {}
+    for k, c in counts.items():
+        one, two = (sum(v == x for v in c.values()) for x in (1, 2))
+        discount[k] = min(max(one / max(1, one + 2 * two), 0.1), 0.95)
+
+    def p(history, c, k):
+        if k == 0:
+            return 1 / langid.ALPHABET
+        context = history[len(history) - k + 1 :]
+        same = {g: v for g, v in counts[k].items() if g[:-1] == context}
+        if not same:
+            return p(history, c, k - 1)
+        total = sum(same.values())
+        return max(same.get(context + c, 0) - discount[k], 0) / total + discount[k] * len(same) / total * p(history, c, k - 1)
+
+    return lambda history, c: p(history, c, order)
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_models_against_dictionaries(order):
+    rnd = random.Random(order)
+    learned = {x: [language_text(rnd, x, rnd.randint(1, 12)) for _ in range(8)] for x in ("xa", "xc")}
+    model = langid.Model.merge({x: langid.count(t, order) for x, t in learned.items()}, order)
+    model = langid.Model.from_bytes(model.to_bytes())
+    asked = [language_text(rnd, x, 6) for x in ("xa", "xb", "xc")] + ["q", "ba komi"]
+    got, n = model.cross_entropy(asked)
+    for j, x in enumerate(model.languages):
+        p = brute_kneser_ney(learned[x], order)
+        for t, mine, size in zip(asked, got[:, j], n, strict=True):
+            padded = " " * (order - 1) + t + " "
+            told = [-np.log(p(padded[:i], padded[i])) for i in range(order - 1, len(padded))]
+            assert len(told) == size and abs(mine - np.mean(told)) < 1e-4
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rnd = random.Random(5)
+    model = langid.Model.merge({x: langid.count([language_text(rnd, x, 200)], 4) for x in SYLLABLES}, 4)
+    texts = [language_text(rnd, "xa", 300).replace(" ", "  7 "), "", "  ", "ba", language_text(rnd, "xb", 100)]
+    whole, learned = model.cross_entropy(texts), langid.count(texts, 4)
+    monkeypatch.setattr(langid, "CHARS", 7)
+    for a, b in zip(whole, model.cross_entropy(texts), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+    assert all(np.allclose(x, y) for x, y in zip(learned.values(), langid.count(texts, 4).values(), strict=True))
+
+
+def test_limits_reject_few_of_their_own():
+    rng = np.random.default_rng(1)
+    rejected = [np.mean(rng.gamma(9, 0.3, 5000) > langid.limit_of(rng.gamma(9, 0.3, n)) - langid.SLACK) for n in (1000, 3000) for _ in range(20)]
+    assert np.mean(rejected) < 1.5 * langid.REJECT and langid.limit_of(np.zeros(4)) == np.inf
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = langid.Model.merge({"a": langid.count(["ab ba"], 3), "b": langid.count(["cd dc"], 3)}, 3)
     alone, together = model.cross_entropy(["ab"])[0][0], model.cross_entropy(["cd cd", "ab", ""])[0][1]
