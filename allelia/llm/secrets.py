@@ -5,8 +5,10 @@ characters beyond ASCII, and single other characters. Each token is secret-begin
 ASCII characters with a digit, and I only after B or I, so every token of a chunk without such a token is O, and chunks
 are decoded each on its own without changing the best sequence of the whole text: between chunks the state is O.
 Emissions add up weights of the token's shape, the neighbouring words and marks, and the file; Viterbi finds the best
-sequence. Weights are fitted by conditional likelihood on chunks of a bounded sample of documents (SAMPLE documents by a
-hash of their id, labelled by the fixed patterns) and on generated keys, numbers, addresses and dates.
+sequence. Weights are fitted by conditional likelihood on all chunks of a bounded sample of documents (SAMPLE documents by
+a hash of their id and text, labelled by the fixed patterns) and on generated keys, numbers, addresses and dates. Executors
+make the chunks' features; equal ones are counted, so the driver sees each once. In fitting, a long chunk is cut where
+its labels are outside, and the parts are taken as given these labels.
 
 Defined results: a null text is empty and has no spans; a null doc_id is kept; repeated rows are scanned alike; an empty
 table gives no rows (the model is then fitted on generated chunks alone); further columns are kept by `redact`.
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sliced
+from .common import bounded_batches, share, sliced
 
-SAMPLE, SAMPLE_CHARS = 400, 20_000
+SAMPLE = 400
 MIN_SECRET = 8
 MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "crf")
@@ -40,6 +42,13 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[\u0080-\U0010ffff]+|\S")
 _KEYWORD = re.compile(r"(?ai:pass|secret|token|key|auth|bearer|credential|private)")
 _WORD = re.compile(r"\S+")
+_DIGIT, _LOWER, _HEXLIKE = re.compile(r"\d"), re.compile(r"[^\W\dA-Z_]"), re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
+_LONG = re.compile(r"[A-Za-z0-9+/_.\-]{%d}" % MIN_SECRET)
+_GAP = re.compile(r"\s")
+#: Characters that are looked through at once.
+CHARS = 1 << 20
+#: Tokens from which on a chunk is cut in fitting, at the next token that is labelled outside.
+CUT = 24
 _LENGTHS = np.array([3, 6, 8, 12, 16, 20, 24, 32, 40, 64])
 #: Values of each feature: length and digits; case and changes; hex and length; mark before; keyword's distance; joined before; file.
 SIZES = (11 * 4, 4 * 5, 2 * 11, 6, 5, 2, 3, 6)
@@ -71,41 +80,71 @@ def _mark(c: str) -> int:
     return {"": 0, "=": 1, ":": 2, '"': 3, "'": 3, "@": 4}.get(c, 5)
 
 
+def _words_before(text: str, start: int, n: int = 3) -> list[str]:
+    """The last n words before a place."""
+    reach = 64
+    while True:
+        low = max(0, start - reach)
+        found = _WORD.findall(text[low:start])
+        if low == 0 or len(found) > n:  # more than n: the first, which may be cut, isn't asked for
+            return found[-n:]
+        reach *= 4
+
+
+def _changes(t: str) -> int:
+    """How often a token's characters change between digit, upper case, other letters and marks; 10 for more."""
+    changes, last = 0, ""
+    for c in t:
+        kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p"
+        if kind != last:
+            changes += bool(last)
+            if changes == 10:
+                break
+            last = kind
+    return changes
+
+
 def features(text: str, start: int, end: int, file: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Of a chunk: its tokens' spans, feature values (tokens x SIZES) and whether each may begin a secret."""
     spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
-    before = _WORD.findall(text[max(0, start - 64) : start])[-3:]
+    before = _words_before(text, start)
     rows, may = [], []
     far = next((d for d, w in enumerate(reversed(before), 1) if _KEYWORD.search(w)), 4)
-    words = [(0 if far == 4 else far + 1)]
+    words = 0 if far == 4 else far + 1
+    keyed = [bool(_KEYWORD.search(text, x, y)) for x, y in spans]
     for i, (a, b) in enumerate(spans):
         t = text[a:b]
-        digits = sum(c.isdigit() for c in t)
-        kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p" for c in t[:128]]
-        changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+        digits = len(_DIGIT.findall(t))
         size = int(np.searchsorted(_LENGTHS, len(t), side="right"))
-        case = 2 * ("u" in kinds) + ("l" in kinds)
-        near = words[0]
-        if any(_KEYWORD.search(text[x:y]) for x, y in spans[max(0, i - 3) : i]):
-            near = 1
+        case = 2 * (not t.islower() and any(map(str.isupper, t))) + (_LOWER.search(t) is not None)
+        near = 1 if any(keyed[max(0, i - 3) : i]) else words
         previous = text[a - 1] if a > start else (before[-1][-1] if before else "")
-        rows.append((size * 4 + min(3, (digits + 2) // 3), case * 5 + min(4, (changes + 2) // 3), size + 11 * bool(re.fullmatch(r"[0-9a-f]*[0-9][0-9a-f]*", t)), _mark(previous), near, int(a > start), file, _mark(text[b : b + 1].strip())))
+        rows.append((size * 4 + min(3, (digits + 2) // 3), case * 5 + min(4, (_changes(t) + 2) // 3), size + 11 * bool(_HEXLIKE.fullmatch(t)), _mark(previous), near, int(a > start), file, _mark(text[b : b + 1].strip())))
         may.append(len(t) >= MIN_SECRET and digits > 0 and t.isascii())
     return spans, np.array(rows, np.int64).reshape(-1, len(SIZES)), np.array(may, bool)
 
 
 def chunks(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the chunks that hold a digit and MIN_SECRET characters or more."""
+    at = 0
+    while at < len(text):
+        cut = _GAP.search(text, at + CHARS) if len(text) - at > CHARS else None
+        to = cut.start() if cut else len(text)
+        yield from ((a + at, b + at) for a, b in _chunks(text[at:to]))
+        at = to if cut else len(text)
+
+
+def _chunks(text: str) -> list[tuple[int, int]]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     digits = np.flatnonzero((codes - np.uint32(48)) < 10)
     if not len(digits):
-        return
+        return []
     gaps = np.flatnonzero(_is_space(codes))
     right = np.unique(np.searchsorted(gaps, digits))
     starts = np.where(right > 0, gaps[np.maximum(right - 1, 0)] + 1, 0) if len(gaps) else np.zeros(1, np.int64)
     ends = np.append(gaps, len(codes))[right]
     long = ends - starts >= MIN_SECRET
-    yield from zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+    return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
 
 def _is_space(codes: np.ndarray) -> np.ndarray:
@@ -149,9 +188,8 @@ class Field:
         """Spans that the field tags in the whole text, without trailing full stops."""
         found, file = [], None
         for a, b in chunks(text):
-            if b - a > 4096 or not any(m.end() - m.start() >= MIN_SECRET for m in re.finditer(r"[A-Za-z0-9+/_.\-]+", text[a:b])):
-                if b - a <= 4096:
-                    continue
+            if not _LONG.search(text, a, b):
+                continue
             file = _file(text) if file is None else file
             spans, rows, may = features(text, a, b, file)
             if not may.any():
@@ -200,77 +238,130 @@ def generated(seed: int = 11, n: int = 1500) -> list[tuple[str, list[tuple[int,
     return out
 
 
-def fit(samples: list[str], steps: int = 150, longest: int = 10) -> Field:
-    """Weights by gradient ascent on the conditional likelihood; samples are labelled by the fixed patterns."""
-    rows_all, may_all, states_all = [], [], []
-    labelled = [(t, [(v, e) for _, e, _, v in base_spans(t)]) for t in samples] + generated()
-    for text, spans in labelled:
-        file = _file(text)
-        for a, b in chunks(text):
-            if b - a > 2048:
-                continue
-            tokens, rows, may = features(text, a, b, file)
-            states, last = [], None
-            for (x, y), ok in zip(tokens, may, strict=True):
-                hit = next((s for s in spans if s[0] < y and x < s[1]), None)
-                states.append(O if hit is None else I if hit == last else B if ok else O)
-                last = hit if states[-1] != O else None
-            if may.any():
-                rows_all.append(rows[:longest])
-                may_all.append(may[:longest])
-                states_all.append(states[:longest])
-    n, t = len(rows_all), longest
-    rows, may, gold, real = np.zeros((n, t, len(SIZES)), np.int64), np.zeros((n, t), bool), np.full((n, t), O), np.zeros((n, t), bool)
-    for i, (r, m, s) in enumerate(zip(rows_all, may_all, states_all, strict=True)):
-        rows[i, : len(r)], may[i, : len(r)], gold[i, : len(r)], real[i, : len(r)] = r, m, s, True
+#: A training sequence: feature rows, which tokens may begin, labels and the state before (3: none), as bytes of int8.
+Sequence = tuple[bytes, bytes, bytes, int]
+
+
+def sequences(text: str, secrets: list[tuple[int, int]]) -> Iterator[Sequence]:
+    """The training sequences of a text whose secrets are known."""
+    file = _file(text)
+    for a, b in chunks(text):
+        tokens, rows, may = features(text, a, b, file)
+        if not may.any():
+            continue
+        states, last, k = [], None, 0
+        for (x, y), ok in zip(tokens, may, strict=True):
+            while k < len(secrets) and secrets[k][1] <= x:
+                k += 1
+            hit = secrets[k] if k < len(secrets) and secrets[k][0] < y else None
+            states.append(O if hit is None else I if hit == last else B if ok else O)
+            last = hit if states[-1] != O else None
+        start, before = 0, 3
+        for end in range(1, len(states) + 1):
+            if end == len(states) or (end - start >= CUT and states[end - 1] == O):
+                if may[start:end].any():
+                    yield rows[start:end].astype(np.int8).tobytes(), may[start:end].tobytes(), np.array(states[start:end], np.int8).tobytes(), before
+                start, before = end, O
+
+
+def _secrets_of(text: str) -> list[tuple[int, int]]:
+    """The base spans' secrets, ascending and apart."""
+    out: list[tuple[int, int]] = []
+    for v, e in sorted((v, e) for _, e, _, v in base_spans(text)):
+        if not out or v >= out[-1][1]:
+            out.append((v, e))
+    return out
+
+
+def fit(samples: list[str], steps: int = 150) -> Field:
+    """A field fitted on these texts, labelled by the fixed patterns, and on generated ones."""
+    found: dict[Sequence, int] = {}
+    for t in samples:
+        for x in sequences(t, _secrets_of(t)):
+            found[x] = found.get(x, 0) + 1
+    return _fit(found, steps)
+
+
+def _fit(found: dict[Sequence, int], steps: int = 150) -> Field:
+    """Weights by gradient ascent on the conditional likelihood of these sequences, so many of each, and the generated ones."""
+    found = dict(found)
+    for text, spans in generated():
+        for x in sequences(text, spans):
+            found[x] = found.get(x, 0) + 1
+    groups: dict[int, list[Sequence]] = {}
+    for x in sorted(found):
+        groups.setdefault(len(x[1]), []).append(x)
+    total = sum(found.values())
+    sets = []
+    for t, mine in sorted(groups.items()):  # sequences of equal length are worked on together
+        rows = np.frombuffer(b"".join(x[0] for x in mine), np.int8).reshape(len(mine), t, len(SIZES)).astype(np.int64)
+        may = np.frombuffer(b"".join(x[1] for x in mine), bool).reshape(len(mine), t)
+        gold = np.frombuffer(b"".join(x[2] for x in mine), np.int8).reshape(len(mine), t).astype(np.int64)
+        sets.append((rows, may, gold, np.array([x[3] for x in mine]), np.array([found[x] for x in mine], float)))
     tables, moves = [np.zeros((k, 3)) for k in SIZES], np.zeros((4, 3))
     moves[[O, 3], I] = _NO
     weights = [*tables, moves]
     slopes = [np.zeros_like(w) for w in weights]
-    lse = lambda x, axis: (top := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis))
-    first = np.eye(3)[gold[:, 0]].sum(0)
-    pairs = np.zeros((3, 3))
-    np.add.at(pairs, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
     for _ in range(steps):
-        emit = sum(w[rows[..., i]] for i, w in enumerate(tables))
-        emit[~may, B] = _NO
-        alpha, beta = np.zeros((n, t, 3)), np.zeros((n, t, 3))
-        alpha[:, 0] = moves[3] + emit[:, 0]
-        for j in range(1, t):
-            alpha[:, j] = np.where(real[:, j, None], lse(alpha[:, j - 1, :, None] + moves[None, :3], 1) + emit[:, j], alpha[:, j - 1])
-        for j in range(t - 2, -1, -1):
-            beta[:, j] = np.where(real[:, j + 1, None], lse(moves[None, :3] + (emit[:, j + 1] + beta[:, j + 1])[:, None, :], 2), 0)
-        z = lse(alpha[:, -1], 1)
-        margin = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * real[..., None]
-        change = (np.eye(3)[gold] - margin) * real[..., None]
         grads = [np.zeros_like(w) for w in weights]
-        for i, g in enumerate(grads[:-1]):
-            np.add.at(g, rows[..., i].ravel(), change.reshape(-1, 3))
-        edge = np.zeros((3, 3))
-        for j in range(1, t):
-            both = alpha[:, j - 1, :, None] + moves[None, :3] + (emit[:, j] + beta[:, j])[:, None, :] - z[:, None, None]
-            edge += (np.exp(np.minimum(both, 0)) * real[:, j, None, None]).sum(0)
-        grads[-1][:3] = pairs - edge
-        grads[-1][3] = first - margin[:, 0].sum(0)
+        for data in sets:
+            _slope(data, tables, moves, grads)
         for w, g, s in zip(weights, grads, slopes, strict=True):
-            g = g / n - 2e-5 * np.where(w <= _NO, 0, w)
+            g = g / total - 2e-5 * np.where(w <= _NO, 0, w)
             s += g * g
             w += np.where(w <= _NO, 0, 0.5 * g / np.sqrt(s + 1e-9))
     return Field(tables, moves)
 
 
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return top.squeeze(axis) + np.log(np.exp(x - top).sum(axis))
+
+
+def _slope(data: tuple, tables: list[np.ndarray], moves: np.ndarray, grads: list[np.ndarray]) -> None:
+    """Adds the gradient of the conditional log likelihood of sequences of one length, by forward and backward sums."""
+    rows, may, gold, before, weight = data
+    n, t = gold.shape
+    emit = sum(w[rows[..., i]] for i, w in enumerate(tables))
+    emit[~may, B] = _NO
+    alpha, beta = np.zeros((n, t, 3)), np.zeros((n, t, 3))
+    alpha[:, 0] = moves[before] + emit[:, 0]
+    for j in range(1, t):
+        alpha[:, j] = _lse(alpha[:, j - 1, :, None] + moves[None, :3], 1) + emit[:, j]
+    for j in range(t - 2, -1, -1):
+        beta[:, j] = _lse(moves[None, :3] + (emit[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
+    z = _lse(alpha[:, -1], 1)
+    margin = np.exp(np.minimum(alpha + beta - z[:, None, None], 0))
+    change = (np.eye(3)[gold] - margin) * weight[:, None, None]
+    for i, g in enumerate(grads[:-1]):
+        np.add.at(g, rows[..., i].ravel(), change.reshape(-1, 3))
+    np.add.at(grads[-1], before, change[:, 0])
+    for j in range(1, t):
+        both = np.exp(np.minimum(alpha[:, j - 1, :, None] + moves[None, :3] + (emit[:, j] + beta[:, j])[:, None, :] - z[:, None, None], 0))
+        grads[-1][:3] -= (both * weight[:, None, None]).sum(0)
+        np.add.at(grads[-1], (gold[:, j - 1], gold[:, j]), weight)
+
+
 def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
-    """A field fitted on `size` documents, the smallest by a hash of their id."""
-    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("key"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
+    """A field fitted on the `size` documents of the smallest hashes of id and text."""
+    spark = docs.sparkSession
+    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
     keys = [r["key"] for r in keyed.select("key").orderBy("key").limit(size).collect()]
-    if not keys:
-        return fit([])
-    return fit([r["text"] for r in keyed.where(F.col("key") <= keys[-1]).orderBy("key", "text").limit(size).collect()])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0):
+            rows = [x for t in batch.column(0).to_pylist() for x in sequences(t, _secrets_of(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.binary()] * 3 + [pa.int32()], strict=True)], names=["rows", "may", "states", "before"])
+
+    bounded_batches(spark)
+    made = keyed.where(F.col("key") <= (keys[-1] if keys else 0)).select("text").mapInArrow(make, "rows binary, may binary, states binary, before int")
+    told = made.groupBy("rows", "may", "states", "before").count().collect() if keys else []
+    return _fit({(bytes(r["rows"]), bytes(r["may"]), bytes(r["states"]), r["before"]): r["count"] for r in told})
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     types = [pa.int64()] * 4 + [pa.string()] * 2
 
@@ -301,7 +392,7 @@ def masked(text: str, field: Field) -> str:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """Every document with its secrets masked and n_chars, if there, counted anew; other columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
     place = docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

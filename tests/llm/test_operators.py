@@ -551,6 +551,67 @@ def test_a_key_around_a_base_span_goes_whole():
     assert secrets._covered(2, 9, [(0, 5, "hex", 0), (4, 9, "hex", 4)]) and not secrets._covered(2, 9, [(0, 5, "hex", 0), (6, 9, "hex", 6)])
 
 
+def test_slope_is_the_likelihoods():
+    rnd = np.random.default_rng(3)
+    texts = [t for t, _ in secrets.generated(seed=5, n=30)] + ["password=hunter22hunter a=1,b=2,c=3,d=4;e=55555555x" * 3]
+    some = [x for t in texts for x in secrets.sequences(t, secrets._secrets_of(t))]
+    tables, moves = [rnd.normal(size=(k, 3)) for k in secrets.SIZES], rnd.normal(size=(4, 3))
+    moves[[2, 3], 1] = secrets._NO
+
+    def likelihood():
+        import itertools
+
+        out = 0.0
+        for rows, may, gold, before in some:
+            may = np.frombuffer(may, bool)
+            if len(may) > 7:
+                continue
+            emit = secrets.Field(tables, moves).emissions(np.frombuffer(rows, np.int8).reshape(-1, len(secrets.SIZES)).astype(int), may)
+            score = lambda s, e=emit, b=before: moves[b][s[0]] + e[0][s[0]] + sum(moves[x][y] + e[i][y] for i, (x, y) in enumerate(zip(s, s[1:], strict=False), 1))
+            out += score(list(gold)) - np.log(sum(np.exp(score(s)) for s in itertools.product(range(3), repeat=len(may))))
+        return out
+
+    grads = [np.zeros_like(w) for w in [*tables, moves]]
+    for rows, may, gold, before in some:
+        t = len(may)
+        if t <= 7:
+            secrets._slope((np.frombuffer(rows, np.int8).reshape(1, t, -1).astype(int), np.frombuffer(may, bool).reshape(1, t), np.frombuffer(gold, np.int8).reshape(1, t).astype(int), np.array([before]), np.ones(1)), tables, moves, grads)
+    for w, g in zip([*tables, moves], grads, strict=True):
+        for at in [tuple(x) for x in np.argwhere(w > secrets._NO)[:: max(1, w.size // 9)]]:
+            was, ends = w[at], []
+            for step in (1e-4, -1e-4):
+                w[at] = was + step
+                ends.append(likelihood())
+            w[at] = was
+            assert abs((ends[0] - ends[1]) / 2e-4 - g[at]) < 1e-3 * max(1, abs(g[at]))
+
+
+def test_planted_keys_in_real_documents(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").select("text").limit(400).collect()]
+    field, rnd = secrets.fit(rows[:100]), random.Random(8)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hits = wrong = planted = 0
+    for text in rows[100:]:
+        before = {(a, b) for a, b, _, _ in secrets.base_spans(text)}
+        wrong += sum(1 for a, b, k, _ in field.scan(text) if k == "crf")
+        key = rnd.choice(["ghp_", "sk_live_", "xoxb-", ""]) + "".join(rnd.choices(alnum, k=rnd.randint(24, 40)))
+        at = rnd.choice([m.start() for m in re.finditer(r"\s", text)] or [len(text)])
+        put = text[:at] + rnd.choice([" ", " key ", " auth: "]) + key + text[at:]
+        start = put.index(key)
+        planted += 1
+        hits += any(a <= start and b >= start + len(key) for a, b, k, _ in field.scan(put) if k == "crf" or (a, b) not in before)
+    assert hits >= 0.9 * planted and hits >= 0.9 * (hits + wrong)
+
+
+def test_chunks_of_long_texts(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices(["a", "1", " ", "\n", "xyz12345", "\u3000", "-"], k=rnd.randint(0, 60))) for _ in range(300)]
+    whole = [list(secrets.chunks(t)) for t in texts]
+    monkeypatch.setattr(secrets, "CHARS", 5)
+    assert [list(secrets.chunks(t)) for t in texts] == whole
+    assert secrets._words_before("x" * 500 + " key a b " + "y" * 900 + " ", 1410) == ["a", "b", "y" * 900]
+
+
 # --- 9: licences ---
 
 
