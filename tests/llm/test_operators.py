@@ -458,6 +458,64 @@ def test_quality_separates_held_out_grades(spark):
     assert {r["tail_probability"] for r in quality.score(df, none).collect()} == {0.5}
 
 
+def test_slopes_against_a_plain_likelihood():
+    rng = np.random.default_rng(2)
+    z, grades, weight, free = rng.normal(size=40), rng.integers(0, 4, 40), rng.random(40) + 0.5, rng.normal(size=3)
+
+    def likelihood(z, free):
+        t, out = [free[0], free[0] + np.exp(free[1]), free[0] + np.exp(free[1]) + np.exp(free[2])], 0.0
+        for x, g, w in zip(z, grades, weight, strict=True):
+            above = [1.0, *(1 / (1 + np.exp(y - x)) for y in t), 0.0]
+            out += w * np.log(above[g] - above[g + 1])
+        return out / 40
+
+    dz, dt = quality.slope(z, grades, weight, free)
+    for x, g, size in ((z, dz / 40, 40), (free, dt, 3)):
+        for i in range(size):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            told = (likelihood(up, free) - likelihood(down, free) if x is z else likelihood(z, up) - likelihood(z, down)) / 2e-5
+            assert abs(told - g[i]) < 1e-6
+
+
+def test_features_against_a_plain_count(monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["Ab,", "ab", "x1", "!!", "é", "ab."], k=k)).encode() for k in (0, 1, 40, 7, 300)]
+    doc, slots, values = quality.features(texts)
+    for i, t in enumerate(texts):
+        w = t.split()
+        told = {}
+        for k, x in enumerate(w):
+            h, _, s, e = common.words([x], bare=True)
+            kinds = [quality._KIND[b] for b in x]
+            shape = int(np.bitwise_or.reduce(kinds)) * 64 + min(sum(q == 8 for q in kinds), 7) * 8 + min(len(x) // 4, 7)
+            before = common.words([w[k - 1]], bare=True)[0][0] if k else None
+            rest = [int(common.mix(np.array([v], np.uint64))[0]) & (1 << quality.BITS) - 1 for v in (shape, 99 + (before == h[0]))]
+            for slot, v in [(int(h[0]) & (1 << quality.BITS) - 1, len(w) ** -0.5), *((s, 4 / len(w)) for s in rest)]:
+                told[slot] = told.get(slot, 0) + v
+        mine = dict(zip(slots[doc == i].tolist(), values[doc == i].tolist(), strict=True))
+        assert mine.keys() == told.keys() and all(abs(mine[s] - told[s]) < 1e-5 for s in told)
+    monkeypatch.setattr(quality, "PIECE", 30)
+    monkeypatch.setattr(common, "PIECE", 30)
+    assert all(np.allclose(a, b) for a, b in zip((doc, slots, values), quality.features(texts), strict=True))
+
+
+def test_recall_of_each_grade_on_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rated = quality.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    learned = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) > 0
+    got = quality.score(d, quality.learn(d, rated.where(learned))).join(rated.where(~learned), "doc_id").select("grade", (F.col("expected_grade") + 0.5).cast("int").alias("told")).collect()
+    recall = [np.mean([r["told"] == g for r in got if r["grade"] == g]) for g in range(3)]
+    assert recall[0] > 0.9 and recall[1] > 0.6 and recall[2] > 0.95, recall
+
+
+def test_quality_of_no_documents(spark):
+    none = docs(spark, [])
+    model = quality.learn(none, quality.grades(spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")))
+    assert quality.score(none, model).count() == 0
+
+
 # --- 7: WARC ---
 
 
