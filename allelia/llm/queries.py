@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from . import decontaminate, licenses
 from .common import table
 
-#: The vocabulary file for packing; a parameter of the operator.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-
 
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_tree import merge, read_back
@@ -74,14 +71,15 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
+    from .pipeline import TOKENIZER
 
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from .pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,13 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from allelia.llm import chat_tree, common, decontaminate, langid, licenses, ngram_join, packing, quality, secrets, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def docs(spark, rows):

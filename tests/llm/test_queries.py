@@ -4,14 +4,14 @@ import __spark_entry__ as e
 from tests.test_entry import SF, against
 
 
-@pytest.mark.parametrize("name", ["op1_chat_tree", "op2_topk", "op7_warc", "op9_licenses"])
+@pytest.mark.parametrize("name", ["op1_chat_tree", "op2_topk", "op3_ngram_join", "op7_warc", "op9_licenses"])
 def test_query_equals_its_sql(spark, name):
     got, expected = against(spark, name)
     assert got == expected and got
 
 
 def test_pipeline_stages(spark):
-    import corpus_pipeline as p
+    from allelia.llm import pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, last = docs.columns, docs.count()
@@ -25,7 +25,7 @@ def test_pipeline_stages(spark):
 
 
 def test_near_copies_keep_one_of_each(spark):
-    import corpus_pipeline as p
+    from allelia.llm import pipeline as p
 
     base = "a b c d e f g h i j k l m n o p q r s t"
     rows = [(1, base), (2, base), (2, base), (3, base + " u"), (4, "other words that are not the same at all"), (4, "other words that are not the same at all"), (5, None), (5, None), (None, "x"), (None, "x"), (6, "")]
@@ -36,7 +36,7 @@ def test_near_copies_keep_one_of_each(spark):
 
 
 def test_near_copies_judge_each_text_of_an_id(spark):
-    import corpus_pipeline as p
+    from allelia.llm import pipeline as p
 
     a, b, c = ("a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 l1", "a2 b2 c2 d2 e2 f2 g2 h2 i2 j2 k2 l2", "a3 b3 c3 d3 e3 f3 g3 h3 i3 j3 k3 l3")
     long = " ".join(f"w{i}" for i in range(40))
@@ -46,3 +46,72 @@ def test_near_copies_judge_each_text_of_an_id(spark):
     twenty = [x for x in got if x[0] == 20]
     assert len(twenty) == 1 and twenty[0] in rows
     assert [x for x in got if x[0] != 20] == sorted([(3, a), (5, b), (5, c), (None, a), (30, None), (30, "")], key=repr)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _text string, _n int, _leaked int, _k0 long, tags map<string,int>"
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame([(i, t, lang, None, None, "a", 1, 2, 3, {"x": 1}) for i, t, lang in rows], ODD)
+
+
+def test_pipeline_with_odd_rows_and_clashing_names(spark, tmp_path):
+    import random
+
+    from allelia.llm import pipeline as p
+
+    rnd = random.Random(6)
+    syllables = {"xa": "ba ko mi tu".split(), "xb": "ren sol vik dar".split()}
+    text = lambda lang, n: " ".join("".join(rnd.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate(["xa", "xb"] * 30)]
+    leak, long = text("xa", 25), text("xb", 30_000)
+    rows += [(100, None, "xa"), (101, "", None), (102, "12 . 34", "xb"), (103, long, "xb"), (104, long + " " + text("xb", 3), None), (None, text("xa", 30), None), (105, text("xa", 5) + " " + leak + " " + text("xa", 5), "xa")]
+    rows += [(3, rows[3][1], "xb"), (3, rows[3][1], "xb"), (106, rows[5][1], None), (107, text("xa", 20) + " password=hunter22 " + text("xa", 20), "xa"), (None, rows[7][1], "xb")]
+    _odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = p.table(spark, tmp_path, "documents"), []
+    for name, stage in p.STAGES[:-1]:
+        docs = p.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == [x.split()[0] for x in ODD.replace("string,int", "").split(", ")]
+        seen.append(sorted((r["doc_id"] for r in docs.collect()), key=repr))
+    wordless, copies = {100, 101, 102}, [104, 106]
+    assert seen[0] == sorted((i for i, _, _ in rows if i not in wordless), key=repr)
+    kept = [i for i, _, _ in rows if i not in wordless and i not in copies]
+    kept.remove(3)
+    kept.remove(3)
+    assert seen[1] == sorted(kept, key=repr)
+    assert seen[2] == seen[3] == sorted((i for i in kept if i != 105), key=repr)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert "hunter22" not in texts[107] and "[SECRET]" in texts[107] and texts[103] == long
+    packed = p.run(spark, str(tmp_path))
+    assert sorted({r["doc_id"] for r in packed.collect()}, key=repr) == sorted(set(seen[3]), key=repr)
+
+
+def test_pipeline_of_nothing_and_without_labels(spark, tmp_path):
+    from allelia.llm import pipeline as p
+
+    for name, rows in (("none", []), ("unlabelled", [(1, "some words that stand here alone", None), (2, None, None), (3, "...", None)])):
+        _odd(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert {r["doc_id"] for r in p.run(spark, f"{tmp_path}/{name}").collect()} == ({1} if rows else set())
+
+
+def test_pipeline_near_copies_against_brute_force(spark):
+    from allelia.llm import pipeline as p
+    from tests.llm.test_operators import brute_join
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stays = {i for i, n, c in brute_join(rows, p.WORDS, p.PERCENT) if n == 0 or i == c}
+    assert {r["doc_id"] for r in p.near_copies(spark, docs, SF).collect()} == stays and len(stays) < len(rows)
+
+
+def test_pipeline_decontaminated_against_brute_force(spark):
+    from allelia.llm import pipeline as p
+    from tests.llm.test_operators import brute_leaks
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 500")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = {d for d, _ in brute_leaks(rows, items)}
+    assert {r["doc_id"] for r in p.decontaminated(spark, docs, SF).collect()} == {d for d, _ in rows} - found
