@@ -1,72 +1,5 @@
-"""Documents to packed training sequences: STAGES in order, each over all that its predecessor kept.
+"""Documents to packed training sequences in five stages; see allelia.llm.pipeline, where they are defined."""
 
-language: the documents whose language is rejected go. Models are learned from the labelled documents themselves.
-near_copies: one row of each component of near copies stays, of those of the smallest doc_id that of the least text hash;
-    rows are told apart by id and text, so that other texts of an id are judged by themselves. A text without words is
-    in no component and stays once for each id and text. Five words and a similarity of 0.8.
-decontaminated: documents with a benchmark leak go.
-secrets: secrets are masked in the texts.
-packed: sequences of tokens; one row per piece.
-Documents of null id pass the second stage as they are.
-"""
+from allelia.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from allelia.llm import decontaminate, langid, ngram_join, packing, secrets
-from allelia.llm.common import materialize, table
-from allelia.llm.queries import TOKENIZER
-
-WORDS, PERCENT = 5, 80
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep(docs, langid.fit(docs))
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = ngram_join.copies(docs, WORDS, PERCENT).withColumnRenamed("text_hash", "_text")
-    named = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    kept = named.join(ngram_join.small(materialize(gone.distinct(), "gone")), ["doc_id", "_text"], "left_anti")
-    repeated = materialize(kept.where("doc_id IS NOT NULL").groupBy("doc_id", "_text").count().where("count > 1").select("doc_id", "_text"), "repeated")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    # rows that repeat as a whole id and text: the first in the order of all their columns stays
-    once = kept.join(ngram_join.small(repeated), ["doc_id", "_text"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(*[c for c in docs.columns if c != "text"]))).where("_n = 1")
-    rest = kept.alias("k").join(ngram_join.small(repeated).alias("r"), F.expr("k.doc_id <=> r.doc_id AND k._text <=> r._text"), "left_anti")
-    return once.select(docs.columns).unionByName(rest.select(docs.columns))
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs, secrets.learn(docs))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("near_copies", near_copies),
-    ("decontaminated", decontaminated),
-    ("secrets", masked),
-    ("packed", packed),
-]
-
-#: SQL can't express the models; every stage has a brute-force test instead.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
