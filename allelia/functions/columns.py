@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +66,9 @@ def inheritance_mode(a: Column, d: Column, se: Column | None = None, thresholds:
 def path_safe(name: Column) -> Column:
     """A chromosome's name as part of a path."""
     return F.regexp_replace(name, r"[^A-Za-z0-9_.\-]", "_")
+
+
+def safe_name(name: str) -> str:
+    """A name as part of a path, on the driver; one that had to be changed bears a digest, so that no two names share a path."""
+    safe = re.sub(r"[^A-Za-z0-9_.\-]", "_", name)
+    return safe if safe == name else f"{safe}-{hashlib.sha256(name.encode()).hexdigest()[:8]}"

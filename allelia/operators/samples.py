@@ -38,9 +38,14 @@ def observed(long: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
 
 
 def mask_groups(long: DataFrame) -> DataFrame:
-    """traits, n: traits grouped by the set of samples that they are observed on, at least LEAST_SAMPLES."""
-    masks = long.groupBy("trait").agg(F.sort_array(F.collect_set("sample_index")).alias("samples")).where(F.size("samples") >= LEAST_SAMPLES)
-    return masks.groupBy("samples").agg(F.sort_array(F.collect_list("trait")).alias("traits")).select("traits", F.size("samples").cast("long").alias("n"))
+    """traits, n: traits grouped by the set of samples that they are observed on, at least LEAST_SAMPLES.
+
+    A set is told by its size and two sums of its members' hashes, which are combined before the shuffle. One row per
+    trait and sample is taken for granted.
+    """
+    member = F.xxhash64("sample_index")
+    masks = long.groupBy("trait").agg(F.count("*").alias("n"), F.sum(member.cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("sample_index", F.lit(1))).alias("mixed")).where(F.col("n") >= LEAST_SAMPLES)
+    return masks.groupBy("n", "total", "mixed").agg(F.sort_array(F.collect_list("trait")).alias("traits")).select("traits", "n")
 
 
 def complete_cases(long: DataFrame, traits: int) -> DataFrame:

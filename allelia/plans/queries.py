@@ -204,12 +204,11 @@ def binary_traits(s: SparkSession, d: str) -> DataFrame:
     return samples.binary(rows.unionByName(c.select(F.lit("debt").alias("trait"), (F.col("c_acctbal") < 0).cast("double").alias("y"))).unionByName(c.select(F.lit("balance").alias("trait"), F.col("c_acctbal").alias("y"))))
 
 
-_LEVELS = list(range(10))
-
-
-@query("SELECT sample_index, " + ", ".join(f"(level = {x})::INT::DOUBLE AS level_{x}" for x in _LEVELS[1:]) + " FROM s", "s")
+@query("SELECT sample_index, 'level_' || x AS indicator, (level = x)::INT::DOUBLE AS value FROM s, (SELECT DISTINCT level AS x FROM s WHERE level > (SELECT min(level) FROM s)) WHERE level IS NOT NULL", "s")
 def one_hot(s: SparkSession, d: str) -> DataFrame:
-    return samples.one_hot(cohort.samples(s, d), "level", _LEVELS).drop("iid", "level")
+    """The indicators of every level but the first, as rows: the levels are those of the data."""
+    wide = samples.one_hot(cohort.samples(s, d), "level").drop("iid", "level")
+    return wide.unpivot(["sample_index"], [c for c in wide.columns if c != "sample_index"], "indicator", "value").where("value IS NOT NULL")
 
 
 @query(f"SELECT sample_index, trait, {_r('y', 7)} AS y FROM t", "t")
@@ -232,8 +231,18 @@ def coerce_numeric(s: SparkSession, d: str) -> DataFrame:
 # --- relationship ---
 
 
+def packed(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The cohort's packed variants and its number of samples."""
+    from ..sources.plink import to_blocks
+
+    n = cohort.table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    return to_blocks(g(s, d), n), n
+
+
 def _pairs(s: SparkSession, d: str, by_chrom: bool = True) -> DataFrame:
-    return grm.relational(qc.standardize(g(s, d)).select("variant_index", "chrom", "sample_index", "z"), by_chrom)
+    """Sums over variants for every two samples, from the tiled block form."""
+    variants, n = packed(s, d)
+    return grm.pairs(grm.tile_sums(variants, range(n), n, by_chrom=by_chrom), range(n))
 
 
 def _k(s: SparkSession, d: str) -> DataFrame:
@@ -277,12 +286,12 @@ def grm_trace(s: SparkSession, d: str) -> DataFrame:
     return z.agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count_distinct("variant_index").alias("variants")).select(rounded(F.col("zz") / F.col("variants")).alias("trace"), "variants")
 
 
-@query(f"SELECT sample_index, {_r('sum(coalesce(z, 0) * zy) / 64', 3)} AS ky FROM z JOIN (SELECT variant_index, sum(z * y) AS zy FROM z JOIN t USING (sample_index) WHERE trait = 'y_bal' GROUP BY 1) USING (variant_index) GROUP BY 1", "z", "t")
+@query(f"SELECT sample_index, {_r('sum(coalesce(z, 0) * zy) / (SELECT count(DISTINCT variant_index) FROM g)', 3)} AS ky FROM z JOIN (SELECT variant_index, sum(z * y) AS zy FROM z JOIN t USING (sample_index) WHERE trait = 'y_bal' GROUP BY 1) USING (variant_index) GROUP BY 1", "z", "t")
 def grm_operator_product(s: SparkSession, d: str) -> DataFrame:
     """K y without K: two aggregations over the calls instead of one over sample pairs."""
     z = qc.standardize(g(s, d)).select("variant_index", "sample_index", "z")
     inner = z.join(t(s, d).where("trait = 'y_bal'"), "sample_index").groupBy("variant_index").agg(F.sum(F.col("z") * F.col("y")).alias("zy"))
-    variants = 64
+    variants = g(s, d).agg(F.count_distinct("variant_index")).first()[0]
     return z.join(inner, "variant_index").groupBy("sample_index").agg(rounded(F.sum(F.coalesce("z", F.lit(0.0)) * F.col("zy")) / variants, 3).alias("ky"))
 
 
@@ -476,79 +485,31 @@ def lambda_t2(s: SparkSession, d: str) -> DataFrame:
     return ols.joint(_moments(s, d)).groupBy("trait").agg(rounded(F.median("f_avsad") / 0.45493642, 5).alias("lambda"))
 
 
-# --- without SQL: held against dense algebra in the tests ---
-
-
-def _group(s: SparkSession, d: str) -> tuple:
-    """Packed variants, and the samples that have both y_bal and y_ord with their traits."""
-    from ..sources.plink import to_blocks
-
-    import numpy as np
-
-    n = cohort.table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-    wide = samples.pivot(t(s, d).where("trait <> 'y_evt'"), "y", ["y_bal", "y_ord"], "sample_index").dropna().orderBy("sample_index").toPandas()
-    return to_blocks(g(s, d), n), wide["sample_index"].to_numpy(), wide[["y_bal", "y_ord"]].to_numpy(float), np.ones((len(wide), 1)), n
-
+# --- decompositions, by what the SQL can say of them ---
 
-@query(None)
-def reml_fits(s: SparkSession, d: str) -> DataFrame:
-    """h2 and yvar of each left-out chromosome and trait."""
-    from ..operators import mixed
 
-    variants, place, Y, C, n = _group(s, d)
-    rows = [(chrom, trait, f["h2"], f["yvar"], f["converged"]) for chrom, e in grm.loco_eigensystems(variants, place, n, ["1", "2", "3", "4"]) for trait, f in zip(("y_bal", "y_ord"), mixed.profile_fits(Y, e, C), strict=True)]
-    return s.createDataFrame(rows, "chrom string, trait string, h2 double, yvar double, converged boolean")
+def _chroms(s: SparkSession, d: str) -> list[str]:
+    return [r["chrom"] for r in g(s, d).select("chrom").distinct().orderBy("chrom").collect()]
 
 
-@query(None)
+@query(f"SELECT chrom, count(DISTINCT i) AS n, {_r('sum(k * k)', 4)} AS squares FROM lfull GROUP BY 1", "lfull")
 def eigenvalues(s: SparkSession, d: str) -> DataFrame:
-    variants, place, _, _, n = _group(s, d)
-    rows = [(chrom, k, float(x)) for chrom, e in grm.loco_eigensystems(variants, place, n, ["1", "2", "3", "4"]) for k, x in enumerate(e.s)]
-    return s.createDataFrame(rows, "chrom string, k int, s double")
-
-
-def _scan(s: SparkSession, d: str, joint: bool) -> DataFrame:
-    import numpy as np
-
-    from ..operators import mixed, multivariate
-    from ..operators.scan import Context, scan
-
-    variants, place, Y, C, n = _group(s, d)
-    parts, traits = [], ["y_bal", "y_ord"]
-    for chrom, e in grm.loco_eigensystems(variants, place, n, ["1", "2", "3", "4"]):
-        turned = mixed.multivariate_transform(Y, e, C) if joint else None
-        recover = multivariate.recovery(traits, turned["inverse_transform"], len(Y), int(np.linalg.matrix_rank(C)), "add-dom", fn.DEFAULT_THRESHOLDS, 1.0) if joint else None
-        context = Context.of(traits, turned["Y"] if joint else Y, C, e, turned["fits"] if joint else mixed.profile_fits(Y, e, C), place, n)
-        parts.append(scan(variants.where(F.col("chrom") == chrom), context, recover=recover, extra=multivariate.columns("add-dom") if joint else None))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-@query(None)
-def gls_scan(s: SparkSession, d: str) -> DataFrame:
-    return _scan(s, d, False)
+    """The sum of squares of each left-out chromosome's eigenvalues, which is that of its matrix's entries."""
+    variants, n = packed(s, d)
+    rows = [(chrom, len(e.s), float((e.s**2).sum())) for chrom, e in grm.loco_eigensystems(variants, range(n), n, _chroms(s, d))]
+    return s.createDataFrame(rows, "chrom string, n long, squares double").select("chrom", "n", rounded(F.col("squares"), 4).alias("squares"))
 
 
-@query(None)
-def multivariate_scan(s: SparkSession, d: str) -> DataFrame:
-    return _scan(s, d, True)
-
-
-@query(None)
-def blup(s: SparkSession, d: str) -> DataFrame:
-    from ..operators import blup as ops
-    from ..operators import mixed
-
-    variants, place, Y, C, n = _group(s, d)
-    e = mixed.eigensystem(grm.compute_grm(variants, place, n), negative="zero")
-    found = ops.calculate_blups(Y, e, mixed.profile_fits(Y, e, C), C, [str(i) for i in place], ["y_bal", "y_ord"])
-    return s.createDataFrame(found.astype(object).where(found.notna(), None), ops.SCHEMA)
-
-
-@query(None)
+@query(f"""
+    , vv AS (SELECT a.variant_index AS v, b.variant_index AS w, any_value(a.chrom) AS cv, any_value(b.chrom) AS cw, sum(a.z * b.z) AS p FROM z a JOIN z b USING (sample_index) GROUP BY 1, 2),
+    c AS (SELECT chrom, (SELECT count(DISTINCT variant_index) FROM z) - count(DISTINCT variant_index) AS m FROM z GROUP BY 1)
+    SELECT chrom, m AS variants, {_r('sum(p) FILTER (v = w) / m', 5)} AS trace, {_r('sum(p * p) / m / m', 3)} AS squares FROM c JOIN vv ON cv <> chrom AND cw <> chrom GROUP BY 1, 2""", "z")
 def randomized_loco(s: SparkSession, d: str) -> DataFrame:
-    variants, place, _, _, n = _group(s, d)
-    found = ((c, grm.randomized(variants.where(F.col("chrom") != c), place, n, 24, grm.chromosome_seed(c, 0))) for c in ("1", "2", "3", "4"))
-    return s.createDataFrame([(c, k, float(x), float(e.bulk), e.diagnostics["operator_relative_error"]) for c, e in found for k, x in enumerate(e.s)], "chrom string, k int, s double, bulk double, operator_relative_error double")
+    """A randomised basis of as many directions as there are variants misses nothing: trace and squares are those of the matrix."""
+    variants, n = packed(s, d)
+    rows = []
+    for c in _chroms(s, d):
+        others = variants.where(F.col("chrom") != c)
+        e = grm.randomized(others, range(n), n, min(others.count(), n - 1), grm.chromosome_seed(c, 0), tolerance=1e-6)
+        rows.append((c, e.diagnostics["variants_in_loco_grm"], float(e.s.sum() + e.bulk * (n - len(e.s))), float((e.s**2).sum() + e.bulk**2 * (n - len(e.s)))))
+    return s.createDataFrame(rows, "chrom string, variants long, trace double, squares double").select("chrom", "variants", rounded(F.col("trace"), 5).alias("trace"), rounded(F.col("squares"), 3).alias("squares"))

@@ -9,7 +9,6 @@ The prefix is a path that every executor can open.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from .files import absolute, open_binary, replacing
 
 # Fixed values of the format: the header, and each code's dosage.
 MAGIC = b"\x6c\x1b\x01"
@@ -28,9 +29,21 @@ VARIANTS = "variant_index long, chrom string, snp string, pos long, calls binary
 _TABLE = np.stack([DOSAGE[(np.arange(256) >> (2 * k)) & 3] for k in range(4)], 1)
 
 
-def _lines(path: str) -> list[list[str]]:
-    with open(path) as f:
-        return [x.split() for x in f if x.strip()]
+def _ordered_lines(path: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Place and cells of every line that isn't blank."""
+    at = 0
+    with open_binary(path) as f:
+        while block := f.read(1 << 22):
+            while not block.endswith(b"\n") and (more := f.read(1 << 12)):
+                block += more
+                if b"\n" in more:
+                    keep = block.rindex(b"\n") + 1
+                    f.seek(at + keep)
+                    block = block[:keep]
+            for line in block.splitlines(keepends=True):
+                if cells := line.split():
+                    yield at, cells
+                at += len(line)
 
 
 def read_bim(spark: SparkSession, prefix: str) -> DataFrame:
@@ -63,19 +76,20 @@ class BedFile:
 
     def __init__(self, prefix: str):
         self.path = f"{prefix}.bed"
-        self.n = len(_lines(f"{prefix}.fam"))
+        self.n = sum(1 for _ in _ordered_lines(f"{prefix}.fam"))
         self.width = (self.n + 3) // 4
-        with open(self.path, "rb") as f:
+        with open_binary(self.path) as f:
             head = f.read(3)
+            size = f.seek(0, 2)
         if head[:2] != MAGIC[:2]:
             raise ValueError(f"{self.path} is not a PLINK 1 BED file")
         if head[2:] != MAGIC[2:]:
             raise ValueError(f"{self.path} is sample-major; only variant-major files are read")
-        self.m = (os.path.getsize(self.path) - 3) // max(self.width, 1)
+        self.m = (size - 3) // max(self.width, 1)
 
     def packed(self, start: int, stop: int) -> np.ndarray:
         """Bytes of variants start to stop, one row each."""
-        with open(self.path, "rb") as f:
+        with open_binary(self.path) as f:
             f.seek(3 + start * self.width)
             data = np.frombuffer(f.read((stop - start) * self.width), np.uint8)
         return data.reshape(-1, self.width)
@@ -106,8 +120,10 @@ def dosages(calls: list[bytes], n: int, samples: np.ndarray | None = None) -> np
 
 
 class Range(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    """Variants start to stop, and the place of start's line in the BIM file."""
+
+    def __init__(self, start: int, stop: int, line: int):
+        self.start, self.stop, self.line = start, stop, line
 
 
 class BedReader(DataSourceReader):
@@ -121,34 +137,56 @@ class BedReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chrom",):
-                self.chroms = {f.value} if self.chroms is None else self.chroms & {f.value}
-            elif isinstance(f, In) and f.attribute == ("chrom",):
-                self.chroms = set(f.value) if self.chroms is None else self.chroms & set(f.value)
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("variant_index",):
-                self.start = max(self.start, f.value)
-            elif isinstance(f, LessThan) and f.attribute == ("variant_index",):
-                self.stop = min(self.stop, f.value)
+            column = getattr(f, "attribute", None)
+            if column == ("chrom",) and isinstance(f, EqualTo | In):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                self.chroms = wanted if self.chroms is None else self.chroms & wanted
+            elif column == ("variant_index",) and isinstance(f, GreaterThanOrEqual | GreaterThan):
+                self.start = max(self.start, f.value + isinstance(f, GreaterThan))
+            elif column == ("variant_index",) and isinstance(f, LessThan | LessThanOrEqual):
+                self.stop = min(self.stop, f.value + isinstance(f, LessThanOrEqual))
             else:
                 yield f
 
     def partitions(self) -> list[Range]:
-        if self.chroms is None:
-            return [Range(a, min(a + self.step, self.stop)) for a in range(self.start, self.stop, self.step)]
-        chroms = np.array([x[0] for x in _lines(f"{self.prefix}.bim")])
-        keep = np.flatnonzero(np.isin(chroms[self.start : self.stop], list(self.chroms))) + self.start
-        runs = np.split(keep, np.flatnonzero(np.diff(keep) != 1) + 1) if len(keep) else []
-        return [Range(a, min(a + self.step, int(run[-1]) + 1)) for run in runs for a in range(int(run[0]), int(run[-1]) + 1, self.step)]
+        """Runs of wanted variants, at most `step` in each, from one reading of the BIM."""
+        out: list[Range] = []
+        wanted = None if self.chroms is None else {str(c).encode() for c in self.chroms}
+        for k, (at, cells) in enumerate(_ordered_lines(f"{self.prefix}.bim")):
+            if k >= self.stop:
+                break
+            if k < self.start or (wanted is not None and cells[0] not in wanted):
+                continue
+            if out and out[-1].stop == k and k - out[-1].start < self.step:
+                out[-1].stop = k + 1
+            else:
+                out.append(Range(k, k + 1, at))
+        return out
+
+    def _bim(self, partition: Range) -> list[list[bytes]]:
+        rows: list[list[bytes]] = []
+        with open_binary(f"{self.prefix}.bim") as f:
+            f.seek(partition.line)
+            rest = b""
+            while len(rows) < partition.stop - partition.start:
+                block = f.read(1 << 20)
+                lines = (rest + block).split(b"\n")
+                rest = lines.pop() if block else b""
+                rows += [cells for line in lines if (cells := line.split())]
+                if not block:
+                    break
+        return rows
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        bim = _lines(f"{self.prefix}.bim")[partition.start : partition.stop]
+        bim = self._bim(partition)
         for a in range(partition.start, partition.stop, 1024):
             packed = self.bed.packed(a, min(a + 1024, partition.stop))
             if self.samples is not None:
                 picked = np.array(self.samples)
                 packed = pack((packed[:, picked // 4] >> (2 * (picked % 4)).astype(np.uint8)) & 3)
             rows = bim[a - partition.start : a - partition.start + len(packed)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(packed)), pa.int64()), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["variant_index", "chrom", "snp", "pos", "calls"])
+            cells = [[r[c].decode() for r in rows] for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(packed)), pa.int64()), *map(pa.array, cells), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["variant_index", "chrom", "snp", "pos", "calls"])
 
 
 class BedSource(DataSource):
@@ -168,7 +206,7 @@ def read_bed(spark: SparkSession, prefix: str, **options: object) -> DataFrame:
     BedFile(prefix)  # a bad header fails here, not in a task
     spark.dataSource.register(BedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("plink_bed").option("prefix", os.path.abspath(prefix))
+    reader = spark.read.format("plink_bed").option("prefix", absolute(prefix))
     for k, v in options.items():
         reader = reader.option(k, ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v))
     return reader.load()
@@ -203,6 +241,21 @@ def to_blocks(genotypes: DataFrame, n: int) -> DataFrame:
     return genotypes.select("variant_index", "chrom", "snp", "pos", "sample_index", F.col("dosage").cast("double").alias("dosage")).groupBy("variant_index").applyInPandas(packed, schema)
 
 
+def write_fileset(variants: DataFrame, iids: list[str], prefix: str, a0: str = "A", a1: str = "G") -> str:
+    """Writes packed variants (variant_index, chrom, snp, pos, calls) as a fileset, in order of variant_index.
+
+    The rows come sorted through the driver, one partition at a time, so no more than a partition is held.
+    """
+    rows = variants.select("variant_index", "chrom", "snp", "pos", "calls").orderBy("variant_index")
+    with replacing(f"{prefix}.bed") as bed, replacing(f"{prefix}.bim") as bim, replacing(f"{prefix}.fam") as fam:
+        bed.write(MAGIC)
+        for r in rows.toLocalIterator():
+            bed.write(bytes(r["calls"]))
+            bim.write(f"{r['chrom']}\t{r['snp']}\t0\t{r['pos']}\t{a0}\t{a1}\n".encode())
+        fam.write("".join(f"{i}\t{i}\t0\t0\t0\t-9\n" for i in iids).encode())
+    return prefix
+
+
 def write_plink(prefix: str, dosage: np.ndarray, iids: list[str], chroms: list[str], positions: list[int], a0: str = "A", a1: str = "G", snps: list[str] | None = None) -> None:
     """Writes samples-by-variants dosages (NaN: missing) as a fileset."""
     dosage = np.asarray(dosage, float).T

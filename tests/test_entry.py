@@ -8,7 +8,7 @@ from allelia.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"score_h2", "score_h2_loco", "boundary_count", "grm_matrix", "grm_pair_counts", "loco_grm", "reml_fits", "eigenvalues", "gls_scan", "multivariate_scan", "blup", "randomized_loco"}
+SLOW = {"score_h2", "score_h2_loco", "boundary_count", "loco_grm"}
 
 
 def against(spark, name):
