@@ -3,8 +3,13 @@
 A node is a turn after a given history; its key is a chained hash of all turns so far. Nodes in depth-first order make one
 long character stream of each tree (all conversations with the same first turn). Every node carries its offset in that
 stream, the position ids of its characters (its history's length onwards) and the stream intervals of its ancestors that
-it may attend to, besides itself, causally. A node's place follows from sorting by the path of its branches, so no tree
-is ever gathered in one task: offsets are running sums over range-sorted partitions with carried totals.
+it may attend to, besides itself, causally. A node's place follows from sorting by the path of its branches (8 bytes of
+the key at each fork), so no tree is ever gathered in one task: offsets are running sums over range-sorted partitions
+with carried totals.
+
+Reading back takes a conversation's last node alone: its intervals and itself are cut out of the stream, which is laid out
+in pages of PAGE characters with the ranges of the loss mask, and put together in order of position. A wrong offset,
+interval, position or mask gives another text, or an error.
 
 The template writes a turn as START role newline text END. The control strings are escaped inside roles and texts,
 reversibly: every one of them begins with `<|`, and any `<|` of a text becomes `<\\|`, any backslash run between
@@ -30,6 +35,8 @@ from .common import bounded_batches, materialize, small
 # The control strings.
 START, BREAK, END = "<|turn|>", "\n", "<|end|>"
 ASSISTANT = "assistant"
+#: Characters of a page of the stream.
+PAGE = 4096
 
 
 def escape(text: str) -> str:
@@ -95,10 +102,12 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = turns.sparkSession
     rows = materialize(chained(turns), "turns")
-    forks = rows.select("parent", "key").distinct().groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 AND parent <> ''").select("parent", F.lit(True).alias("fork"))
-    flagged = rows.join(small(materialize(forks, "forks")), "parent", "left")
+    forks = rows.where("parent <> ''").groupBy("parent").agg(F.count_distinct("key").alias("n")).where("n > 1").select("parent", F.lit(True).alias("fork"))
+    # first turns, which all have the same empty history, go round the join
+    first = rows.where("parent = ''").withColumn("fork", F.lit(None).cast("boolean"))
+    flagged = rows.where("parent <> ''").join(small(materialize(forks, "forks")), "parent", "left").select(first.columns).unionByName(first)
     node = ["key", "root", "pos", "start", "segment", "loss_from", "loss_to"]
-    columns = [("key", pa.string()), ("root", pa.string()), ("pos", pa.int64()), ("start", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("path", pa.list_(pa.string()))]
+    columns = [("key", pa.string()), ("root", pa.string()), ("pos", pa.int64()), ("start", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("path", pa.list_(pa.int64()))]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, path = object(), []
@@ -108,12 +117,12 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if conv_id != at:
                     at, path = conv_id, []
                 if fork:
-                    path = [*path, rest[0]]
+                    path = [*path, int(rest[0][:16], 16) - (1 << 63)]
                 out.append((*rest, path))
             yield _emit(columns, out)
 
     types = "key string, root string, pos long, start long, segment string, loss_from long, loss_to long"
-    walked = by_conversation(flagged.select("conv_id", "fork", *node), "pos").mapInArrow(walk, types + ", path array<string>")
+    walked = by_conversation(flagged.select("conv_id", "fork", *node), "pos").mapInArrow(walk, types + ", path array<long>")
     unique = walked.groupBy("key").agg(*(F.first(c).alias(c) for c in (*node[1:], "path")))
     # depth-first: by tree, by branches taken, by depth; running lengths within a partition, whole partitions' totals carried
     sorted_ = unique.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "root", "path", "pos").sortWithinPartitions("root", "path", "pos")
@@ -158,34 +167,73 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, materialize(placed.join(seen, "key"), "nodes")
 
 
+def pages(nodes: DataFrame, size: int = 0) -> DataFrame:
+    """page, text, losses of the emitted stream: its characters in pages of `size`, and the loss mask's (from, to) in each."""
+    size = size or PAGE
+    ends = nodes.withColumn("end", F.col("offset") + F.length("segment"))
+    numbers = F.sequence(F.floor(F.col("offset") / size), F.floor((F.col("end") - 1) / size))
+    piece = ends.select("*", F.explode(numbers).alias("page")).withColumns({"a": F.greatest("offset", F.col("page") * size), "b": F.least("end", (F.col("page") + 1) * size)})
+    low, high = F.greatest(F.col("a"), F.col("offset") + F.col("loss_from")), F.least(F.col("b"), F.col("offset") + F.col("loss_to"))
+    cut = piece.select("page", "a", F.substring("segment", (F.col("a") - F.col("offset") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("t"), F.when((F.col("loss_to") > F.col("loss_from")) & (low < high), F.struct(low.alias("from"), high.alias("to"))).alias("loss"))
+    each = cut.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("a", "t", "loss"))).alias("p"))
+    return each.select("page", F.concat_ws("", F.col("p.t")).alias("text"), F.filter(F.col("p.loss"), lambda x: x.isNotNull()).alias("losses"))
+
+
 def read_back(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per conversation, from the emitted nodes: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_intervals."""
+    """Per conversation, from the emitted stream: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_intervals."""
     columns = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_intervals", pa.int64())]
 
+    class Reader:
+        """What is read of one conversation."""
+
+        def __init__(self, conv_id, n: int) -> None:
+            self.id, self.n, self.turns, self.chars, self.masked = conv_id, n, 0, 0, 0
+            self.whole, self.loss, self.open, self.marks = hashlib.sha256(), hashlib.sha256(), "", []
+
+        def add(self, text: str, losses: list[tuple[int, int]]) -> None:
+            self.marks += [(a + len(self.open), b + len(self.open)) for a, b in losses]
+            self.open += text
+            self.chars += len(text)
+            while (end := self.open.find(END)) >= 0:
+                end += len(END)
+                role, said = parse(self.open[:end])
+                mask = unescape("".join(self.open[a : min(b, end)] for a, b in self.marks if a < end))
+                self.turns += 1
+                self.whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                self.loss.update(mask.encode("utf-8", "surrogatepass"))
+                self.masked += len(mask)
+                self.open, self.marks = self.open[end:], [(max(a - end, 0), b - end) for a, b in self.marks if b > end]
+
+        def told(self) -> tuple:
+            if self.open:
+                raise ValueError(f"conversation {self.id}: the stream ends inside a turn")
+            return self.id, self.turns, self.whole.hexdigest(), self.masked, self.loss.hexdigest(), self.chars, self.n
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        told = lambda: (at, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
+        now = None
         for batch in batches:
             out = []
-            for conv_id, piece, start, a, b, n, offset in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "loss_from", "loss_to", "n", "offset")), strict=True):
-                if state is None or conv_id != at:
-                    if state:
-                        out.append(told())
-                    at, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                if start != state[4]:
-                    raise ValueError(f"node at {offset}: its first position isn't its history's length")
-                role, text = parse(piece)
-                mask = unescape(piece[a:b])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                state[2] += len(mask)
-                state[3].update(mask.encode("utf-8", "surrogatepass"))
-                state[4] += len(piece)
-                state[5] = n
+            for conv_id, position, text, losses, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "text", "losses", "n")), strict=True):
+                if now is None or conv_id != now.id:
+                    out += [now.told()] if now else []
+                    now = Reader(conv_id, n)
+                if position != now.chars:
+                    raise ValueError(f"conversation {conv_id}: position {position} follows {now.chars} characters")
+                now.add(text, [(x["from"], x["to"]) for x in losses])
             yield _emit(columns, out)
-        if state:
-            yield _emit(columns, [told()])
-
-    joined = members.join(nodes, "key").select("conv_id", members["pos"], "segment", nodes["start"], "loss_from", "loss_to", F.size("intervals").cast("long").alias("n"), "offset")
+        if now:
+            yield _emit(columns, [now.told()])
+
+    last = members.groupBy("conv_id").agg(F.max_by("key", "pos").alias("key"))
+    ends = last.join(nodes, "key").select("conv_id", "intervals", "start", "offset", (F.col("offset") + F.length("segment")).alias("end"))
+    own = F.array(F.struct(F.col("offset").alias("from"), F.col("end").cast("long").alias("to")))
+    # a conversation's positions: those of its ancestors, one interval after the other, then its own from `start` on
+    before = F.transform(F.sequence(F.lit(0), F.size("intervals")), lambda i: F.aggregate(F.slice("intervals", F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y["to"] - y["from"]))
+    asked = ends.select("conv_id", F.size("intervals").cast("long").alias("n"), "start", F.concat("intervals", own).alias("all"), before.alias("before"))
+    asked = asked.select("conv_id", "n", "start", F.posexplode("all").alias("k", "r"), "before").select("conv_id", "n", "r", F.when(F.col("k") == F.col("n"), F.col("start")).otherwise(F.col("before")[F.col("k")]).alias("first"))
+    sheet = asked.select("*", F.explode(F.sequence(F.floor(F.col("r.from") / PAGE), F.floor((F.col("r.to") - 1) / PAGE))).alias("page"))
+    a, b, head = F.greatest(F.col("r.from"), F.col("page") * PAGE), F.least(F.col("r.to"), (F.col("page") + 1) * PAGE), F.col("page") * PAGE
+    read = sheet.join(pages(nodes), "page").select("conv_id", (F.col("first") + a - F.col("r.from")).alias("position"), F.substring("text", (a - head + 1).cast("int"), (b - a).cast("int")).alias("text"), "losses", a.alias("a"), b.alias("b"), "n")
+    mine = F.transform(F.filter("losses", lambda x: (x["from"] < F.col("b")) & (x["to"] > F.col("a"))), lambda x: F.struct((F.greatest(x["from"], F.col("a")) - F.col("a")).alias("from"), (F.least(x["to"], F.col("b")) - F.col("a")).alias("to")))
     bounded_batches(members.sparkSession)
-    return by_conversation(joined, "pos").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_intervals long")
+    return by_conversation(read.select("conv_id", "position", "text", mine.alias("losses"), "n"), "position").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_intervals long")
