@@ -113,10 +113,10 @@ ORACLES: dict[str, str] = {
     """,
     "op2_topk": """
         WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-        v AS (SELECT vec_id, min(list_transform(e, lambda c: floor(256 * c))) AS v FROM x WHERE len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 GROUP BY vec_id),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(e, lambda c: floor(256 * c)) AS v FROM x WHERE len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op3_ngram_join": r"""
