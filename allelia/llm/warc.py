@@ -1,7 +1,7 @@
 """WARC archives: a normaliser that turns a file-long gzip stream into one member per record, with an offset index beside it.
 
 Crawlers that compress a whole archive as one stream leave files that can't be entered in the middle. `normalise`
-inflates such a stream once, from front to back in bounded memory, writes each record as its own gzip member and lists
+inflates such a stream once, from front to back and CHUNK bytes at a time, writes each record as its own gzip member and lists
 every member's offset and length in a sidecar (`.idx`, tab-separated), so that a reader can seek to any record.
 
 The archives lie in a shared folder; each is written under a temporary name and renamed, so a task that runs again
@@ -35,7 +35,9 @@ _HEAD = re.compile(rb"\r\n\r\n")
 def _filesystem(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}")
+    if not re.match(r"[a-z0-9]+:", folder):
+        folder = f"file://{folder}"
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))  # Hadoop's names of a scheme that Arrow knows
 
 
 def _put(system, path: str, write) -> object:
@@ -78,11 +80,14 @@ def records(stream: BinaryIO) -> Iterator[bytes]:
             continue
         raw = raw or stream.read(CHUNK)
         if not raw:
+            if rest := unzip.flush():
+                held += rest
+                continue
             if held.strip():
                 raise ValueError("the archive ends inside a record")
             return
-        held += unzip.decompress(raw)
-        raw = b""
+        held += unzip.decompress(raw, CHUNK)  # no more at once, however well it was compressed
+        raw = unzip.unconsumed_tail
         if unzip.eof:
             raw, unzip = unzip.unused_data, zlib.decompressobj(31)
 

@@ -38,7 +38,7 @@ def test_escapes_are_reversible():
         assert piece.count("<|") == 2
 
 
-def test_tree_emits_shared_turns_once_depth_first(spark):
+def test_tree_emits_shared_turns_once_depth_first(spark, monkeypatch):
     rnd = random.Random(2)
     rows = []
     for c in range(60):
@@ -67,6 +67,7 @@ def test_tree_emits_shared_turns_once_depth_first(spark):
     for conv, places in convs.items():
         for k in range(len(places) - 1):
             assert nodes[places[k]]["offset"] < nodes[places[k + 1]]["offset"]
+    monkeypatch.setattr(chat_tree, "PAGE", 7)  # turns and escapes lie across pages
     back = {r["conv_id"]: r for r in chat_tree.read_back(members, spark.createDataFrame(list(nodes.values()))).collect()}
     for conv in convs:
         mine = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2] or "", x[3] or ""))
@@ -75,6 +76,20 @@ def test_tree_emits_shared_turns_once_depth_first(spark):
         assert back[conv]["loss_chars"] == len(loss) and back[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_reading_back_takes_the_stream_the_intervals_and_the_mask(spark):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"turn {k} of {c if k > 1 else 0} <|end|>") for c in range(3) for k in range(4)]
+    members, nodes = chat_tree.merge(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    digests = lambda n: {r["conv_id"]: (r["turns_sha256"], r["loss_sha256"]) for r in chat_tree.read_back(members, n).collect()}
+    right = digests(nodes)
+    assert right[1][1] == hashlib.sha256("".join(t for c, k, r, t in rows if c == 1 and k % 2).encode()).hexdigest()
+    first = F.col("pos") == 3
+    for column, wrong in (("intervals", F.expr("slice(intervals, 1, size(intervals) - 1)")), ("start", F.col("start") + 1), ("loss_from", F.col("loss_from") + 1), ("offset", F.col("offset") + 1)):
+        try:
+            assert digests(nodes.withColumn(column, F.when(first, wrong).otherwise(F.col(column)))) != right, column
+        except Exception as error:  # noqa: BLE001
+            assert "conversation" in str(error) or "segment" in str(error), error
+
+
 def test_empty_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     members, nodes = chat_tree.merge(empty)
@@ -85,15 +100,12 @@ def test_empty_conversations(spark):
 
 
 def brute_top(rows, k, every):
+    """Every row is a vector of its own; a query's own row is no candidate."""
     out = []
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(256 * x)) for x in v]
-            vectors[i] = min(vectors.get(i, q), q)
-    for i, q in vectors.items():
+    vectors = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for n, (i, q) in enumerate(vectors):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in vectors.items() if j != i)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for m, (j, c) in enumerate(vectors) if m != n)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -104,6 +116,7 @@ def test_top_k_is_exact(spark, bucket, block):
     rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 3])).tolist()) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(20)]  # ties
     rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] + [0.0] * 7), (310, [0.0] * 8), (None, [1.0] * 8), (5, [9.0] * 8), (320, [1.0, 2.0]), (330, [])]
+    rows += [(10, [2.0] * 8), (10, [2.0] * 8), (20, rows[20][1])]  # ids that repeat, with equal and other vectors
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, norm int")
     got = topk.top_k(df, F.col("vec_id") % 10 == 0, bucket=bucket, block=block).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top(rows, 5, 10)
@@ -115,16 +128,30 @@ def test_top_k_with_few_or_no_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_local_search_prunes_without_loss():
+@pytest.mark.parametrize("kind", ["clustered", "flat", "lengths"])
+def test_local_search_prunes_without_loss(kind):
     rng = np.random.default_rng(7)
-    items, ids = rng.integers(-300, 300, (400, 12)), np.arange(400)
-    queries = np.concatenate([items[:20] * 2, rng.integers(-300, 300, (20, 12))])  # near directions: steep thresholds
+    items = rng.integers(-300, 300, (2000, 32))
+    if kind == "clustered":  # some coordinates of each of 100 directions carry most of it
+        centers = rng.integers(-20, 20, (100, 32)) + 900 * (rng.random((100, 32)) < 0.1)
+        items = centers[np.arange(2000) % 100] + rng.integers(-9, 10, (2000, 32))
+    if kind == "lengths":
+        items = items * rng.choice([1, 2, 20], (2000, 1), p=[0.6, 0.3, 0.1])
+    ids, queries = np.arange(2000) * 3, items[:60]
     scores = queries @ items.T
+    scores[np.arange(60), np.arange(60)] = -(1 << 60)
     floors = np.sort(scores, 1)[:, -5].astype(float)
-    q, p, s = topk.search(queries, np.full(40, -1), floors, items, ids, 5)
-    for i in range(40):
+    f = topk.search(queries, np.arange(60), floors, items, ids, np.arange(2000), 5)
+    for i in range(60):
         best = sorted(zip(-scores[i], ids, strict=True))[:5]
-        assert sorted(zip(-s[q == i], p[q == i], strict=True))[:5] == best
+        assert sorted(zip(-f.score[f.query == i], ids[f.item[f.query == i]], strict=True))[:5] == best
+    pruned = 1 - sum(f.kept.values()) / sum(f.asked.values())
+    print(kind, f"pruned {pruned:.2f}", f.kept, f.asked)
+    assert sum(f.asked.values()) == 60 * 2000
+    if kind == "clustered":  # by coordinates
+        assert f.asked["coordinates"] > 0.5 * 60 * 2000 and pruned > 0.8
+    if kind == "lengths":
+        assert f.asked["length"] > 0.9 * 60 * 2000 and pruned > 0.5
 
 
 # --- 3: n-gram join ---
