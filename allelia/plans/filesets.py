@@ -150,3 +150,38 @@ def gwas_files(s: SparkSession, d: str) -> DataFrame:
         told = json.load(f)["output"]
     rows = s.createDataFrame([(c, x["rows"]) for c, x in told.items()], "chrom string, rows long")
     return rows.join(results.groupBy("chrom").agg(F.count("*").alias("read")), "chrom")
+
+
+@query("SELECT sample_index::VARCHAR AS iid, ((SELECT max(vec_id) FROM embeddings) - sample_index)::BIGINT AS place FROM s", "s")
+def sample_positions(s: SparkSession, d: str) -> DataFrame:
+    """Places of the samples in a panel whose order is turned."""
+    from .gwas import _positions
+
+    _, n = fileset(s, d)
+    ids = [str(r[0]) for r in cohort.table(s, d, "embeddings").select("vec_id").collect()]
+    places = _positions([str(i) for i in range(n)][::-1], ids, "the panel")
+    return s.createDataFrame(list(zip(ids, places.tolist(), strict=True)), "iid string, place long")
+
+
+@query(f"SELECT sample_index::VARCHAR AS iid, trait, {_r('y', 4)} AS phenotype, {_r('y', 4)} AS fitted_and_residual, 'additive_grm' AS blup_model FROM t WHERE trait <> 'y_evt'", "t")
+def blup_run(s: SparkSession, d: str) -> DataFrame:
+    """Whole predictions from the fileset, as written: what is fitted and what is left make up each trait."""
+    from .gwas import run_blup
+
+    prefix, _ = fileset(s, d)
+    out = run_blup(s, prefix, cohort.phenotypes(s, d), ["y_bal", "y_ord"], out=f"{shared_folder(s, 'blup')}.parquet")
+    read = s.read.parquet(out.attrs["output_path"])
+    return read.select("iid", "trait", rounded(F.col("phenotype"), 4).alias("phenotype"), rounded(F.col("fitted_value") + F.col("residual"), 4).alias("fitted_and_residual"), "blup_model")
+
+
+@query(f"""SELECT variant_index, trait, count(d)::DOUBLE AS n_obs, (count(*) FILTER (d = 0))::DOUBLE AS "count_AA", (count(*) FILTER (d = 1))::DOUBLE AS "count_AB", (count(*) FILTER (d = 2))::DOUBLE AS "count_BB",
+    {_r('least(sum(d) / (2.0 * count(d)), 1 - sum(d) / (2.0 * count(d)))')} AS maf, count(*)::INTEGER AS n_samples FROM g JOIN t USING (sample_index) WHERE trait <> 'y_evt' GROUP BY 1, 2""", "g", "t")
+def command_line(s: SparkSession, d: str) -> DataFrame:
+    """The command line from files to files: what its combined table says of each variant and trait."""
+    prefix, _ = fileset(s, d)
+    out = shared_folder(s, "cli")
+    with replacing(f"{out}.tsv") as f:
+        f.write(_phenotypes(s, d).to_csv(sep="\t", index=False).encode())
+    cli.main(["gwas", "--bfile", prefix, "--pheno", f"{out}.tsv", "--traits", "y_bal,y_ord", "--out", out, "--variance-estimator", "score"])
+    told = ["n_obs", "count_AA", "count_AB", "count_BB"]
+    return s.read.parquet(f"{out}.all.parquet").select("variant_index", "trait", *told, rounded(F.col("maf")).alias("maf"), "n_samples")

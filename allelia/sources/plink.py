@@ -2,13 +2,16 @@
 
 `spark.read.format("plink_bed").option("prefix", p).load()` gives one row per variant: its BIM columns and `calls`, the
 variant's packed two-bit genotypes. Options: samples (comma-separated positions; calls are then repacked for these),
-chrom, start and stop (variant_index range), variants_per_partition. Filters on chrom and variant_index are pushed down
-and prune partitions. Dosage counts the second allele column's allele: codes 00, 10, 11 are 0, 1, 2, and 01 is missing.
-The prefix is a path that every executor can open.
+chrom, start and stop (variant_index range), variants_per_partition, or tasks (partitions to aim at). Filters on chrom and
+variant_index are pushed down and prune partitions. Dosage counts the second allele column's allele: codes 00, 10, 11 are
+0, 1, 2, and 01 is missing. The prefix is a path that every executor can open, or one with a scheme that Arrow has a file
+system for (see files). The planner reads the BIM once and gives each partition the place of its lines, so a task reads
+its own variants alone.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,6 +29,8 @@ DOSAGE = np.array([0, np.nan, 1, 2])
 BIM = "variant_index long, chrom string, snp string, cm double, pos long, a0 string, a1 string"
 FAM = "sample_index int, fid string, iid string, father string, mother string, sex int, pheno double"
 VARIANTS = "variant_index long, chrom string, snp string, pos long, calls binary"
+#: Variants of a partition where the caller doesn't say how many: so that there is work for all cores, within these bounds.
+LEAST_VARIANTS, MOST_VARIANTS = 256, 8192
 _TABLE = np.stack([DOSAGE[(np.arange(256) >> (2 * k)) & 3] for k in range(4)], 1)
 
 
@@ -131,7 +136,8 @@ class BedReader(DataSourceReader):
         self.prefix = options["prefix"]
         self.bed = BedFile(self.prefix)
         self.samples = [int(x) for x in options["samples"].split(",")] if options.get("samples") else None
-        self.step = int(options.get("variants_per_partition", 8192))
+        self.step = int(options["variants_per_partition"]) if options.get("variants_per_partition") else None
+        self.tasks = int(options.get("tasks", 1))
         self.start, self.stop = int(options.get("start", 0)), min(int(options.get("stop", self.bed.m)), self.bed.m)
         self.chroms = {options["chrom"]} if options.get("chrom") else None
 
@@ -149,15 +155,19 @@ class BedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Range]:
-        """Runs of wanted variants, at most `step` in each, from one reading of the BIM."""
-        out: list[Range] = []
+        """Runs of wanted variants from one reading of the BIM: at most `step` in each, or as many as make `tasks` of them."""
+        numbers, lines = array("q"), array("q")
         wanted = None if self.chroms is None else {str(c).encode() for c in self.chroms}
         for k, (at, cells) in enumerate(_ordered_lines(f"{self.prefix}.bim")):
             if k >= self.stop:
                 break
-            if k < self.start or (wanted is not None and cells[0] not in wanted):
-                continue
-            if out and out[-1].stop == k and k - out[-1].start < self.step:
+            if k >= self.start and (wanted is None or cells[0] in wanted):
+                numbers.append(k)
+                lines.append(at)
+        step = self.step or min(max(-(-len(numbers) // self.tasks), LEAST_VARIANTS), MOST_VARIANTS)
+        out: list[Range] = []
+        for k, at in zip(numbers, lines, strict=True):
+            if out and out[-1].stop == k and k - out[-1].start < step:
                 out[-1].stop = k + 1
             else:
                 out.append(Range(k, k + 1, at))
@@ -206,7 +216,7 @@ def read_bed(spark: SparkSession, prefix: str, **options: object) -> DataFrame:
     BedFile(prefix)  # a bad header fails here, not in a task
     spark.dataSource.register(BedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("plink_bed").option("prefix", absolute(prefix))
+    reader = spark.read.format("plink_bed").option("prefix", absolute(prefix)).option("tasks", str(spark.sparkContext.defaultParallelism))
     for k, v in options.items():
         reader = reader.option(k, ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v))
     return reader.load()
