@@ -37,7 +37,9 @@ def coarse_class(ratio: Column, thresholds: tuple[float, float, float] = DEFAULT
     """A, PD, D or OD by half-open ranges of |d / a|; NA if it isn't known."""
     low, mid, high = thresholds
     known = finite(ratio)
-    return F.when(known.isNull() | (known < 0), "NA").when(known < low, "A").when(known < mid, "PD").when(known < high, "D").otherwise("OD")
+    return F.when(
+        known.isNull() | (known < 0), "NA"
+    ).when(known < low, "A").when(known < mid, "PD").when(known < high, "D").otherwise("OD")
 
 
 def stable(a: Column, d: Column, se: Column | None = None, z: float = 1.0) -> Column:
@@ -46,13 +48,17 @@ def stable(a: Column, d: Column, se: Column | None = None, z: float = 1.0) -> Co
     return F.coalesce(sure & (F.abs(a) > z * finite(se)) if se is not None else sure, F.lit(False))
 
 
-def signed_class(a: Column, d: Column, se: Column | None = None, thresholds: tuple[float, float, float] = DEFAULT_THRESHOLDS, z: float = 1.0) -> Column:
+def signed_class(
+    a: Column, d: Column, se: Column | None = None, thresholds: tuple[float, float, float] = DEFAULT_THRESHOLDS, z: float = 1.0
+) -> Column:
     """The coarse class, UNSTABLE where a isn't told apart from 0, NA where a or d isn't known."""
     known = finite(a).isNotNull() & finite(d).isNotNull()
     return F.when(~known, "NA").when(~stable(a, d, se, z), "UNSTABLE").otherwise(coarse_class(degree(a, d), thresholds))
 
 
-def inheritance_mode(a: Column, d: Column, se: Column | None = None, thresholds: tuple[float, float, float] = DEFAULT_THRESHOLDS, z: float = 1.0) -> Column:
+def inheritance_mode(
+    a: Column, d: Column, se: Column | None = None, thresholds: tuple[float, float, float] = DEFAULT_THRESHOLDS, z: float = 1.0
+) -> Column:
     """The mode in words: towards which homozygote the heterozygote lies, or beyond which."""
     c = signed_class(a, d, se, thresholds, z)
     side = F.when(d / a > 0, "A1").when(d / a < 0, "A0")

@@ -13,7 +13,10 @@ def counts(genotypes: DataFrame) -> DataFrame:
     g = F.col("dosage").cast("double")
     n, total = F.count("dosage"), F.coalesce(F.sum(g), F.lit(0.0))
     freq = total / F.greatest(2 * n, F.lit(1))
-    return genotypes.groupBy("variant_index").agg(n.alias("n_obs"), *(F.count_if(g == k).alias(f"count_{c}") for k, c in enumerate(("AA", "AB", "BB"))), F.least(freq, 1 - freq).alias("maf"), F.nullif(F.stddev_samp(g), F.lit(0.0)).alias("add_sd"))
+    return genotypes.groupBy("variant_index").agg(
+        n.alias("n_obs"), *(F.count_if(g == k).alias(f"count_{c}") for k, c in enumerate(("AA", "AB", "BB"))),
+        F.least(freq, 1 - freq).alias("maf"), F.nullif(F.stddev_samp(g), F.lit(0.0)).alias("add_sd")
+    )
 
 
 def eligible(qc: DataFrame, least: int = 0) -> DataFrame:
@@ -28,4 +31,6 @@ def standardize(genotypes: DataFrame, of: str = "dosage") -> DataFrame:
     rows = genotypes.withColumn("_x", x)
     scale = rows.groupBy("variant_index").agg(F.avg("_x").alias("_m"), F.nullif(F.stddev_samp("_x"), F.lit(0.0)).alias("_s"))
     # one row per variant: joined back, which never gathers a variant's samples as a window would
-    return rows.join(scale, "variant_index").withColumn("z", F.when(F.col("_x").isNotNull(), F.coalesce((F.col("_x") - F.col("_m")) / F.col("_s"), F.lit(0.0)))).drop("_x", "_m", "_s")
+    return rows.join(scale, "variant_index").withColumn(
+        "z", F.when(F.col("_x").isNotNull(), F.coalesce((F.col("_x") - F.col("_m")) / F.col("_s"), F.lit(0.0)))
+    ).drop("_x", "_m", "_s")

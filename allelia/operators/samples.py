@@ -44,7 +44,10 @@ def mask_groups(long: DataFrame) -> DataFrame:
     trait and sample is taken for granted.
     """
     member = F.xxhash64("sample_index")
-    masks = long.groupBy("trait").agg(F.count("*").alias("n"), F.sum(member.cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("sample_index", F.lit(1))).alias("mixed")).where(F.col("n") >= LEAST_SAMPLES)
+    masks = long.groupBy("trait").agg(
+        F.count("*").alias("n"), F.sum(member.cast("decimal(38,0)")).alias("total"),
+        F.bit_xor(F.xxhash64("sample_index", F.lit(1))).alias("mixed")
+    ).where(F.col("n") >= LEAST_SAMPLES)
     return masks.groupBy("n", "total", "mixed").agg(F.sort_array(F.collect_list("trait")).alias("traits")).select("traits", "n")
 
 
@@ -64,7 +67,9 @@ def one_hot(df: DataFrame, column: str, levels: list | None = None) -> DataFrame
         levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(1001).collect()]
         if len(levels) > 1000:
             raise ValueError(f"{column} has over 1000 levels")
-    return df.select("*", *(F.when(F.col(column).isNotNull(), (F.col(column) == x).cast("double")).alias(f"{column}_{x}") for x in levels[1:]))
+    return df.select(
+        "*", *(F.when(F.col(column).isNotNull(), (F.col(column) == x).cast("double")).alias(f"{column}_{x}") for x in levels[1:])
+    )
 
 
 def pivot(long: DataFrame, value: str, traits: list[str], key: str = "variant_index") -> DataFrame:
@@ -109,11 +114,17 @@ def encode(covariates, ids: list[str], categorical: list[str] | None = None) ->
     if absent:
         raise KeyError(f"samples without covariates: {absent[:5]}")
     rows = covariates.loc[ids]
-    kinds = {c: c in (categorical or ()) or not pd.api.types.is_numeric_dtype(rows[c]) or pd.api.types.is_bool_dtype(rows[c]) for c in rows}
+    kinds = {
+        c: c in (categorical or ()) or not pd.api.types.is_numeric_dtype(rows[c]) or pd.api.types.is_bool_dtype(rows[c])
+        for c in rows
+    }
     parts = [pd.to_numeric(rows[c], errors="coerce").to_numpy(float)[:, None] for c in rows if not kinds[c]]
     for c in (c for c in rows if kinds[c]):
         text = rows[c].astype("string")
-        parts += [np.where(text.isna(), np.nan, (text == x).fillna(False).astype(float))[:, None] for x in sorted(text.dropna().unique())[1:]]
+        parts += [
+            np.where(text.isna(), np.nan, (text == x).fillna(False).astype(float))[:, None]
+            for x in sorted(text.dropna().unique())[1:]
+        ]
     return np.column_stack(parts) if parts else None
 
 

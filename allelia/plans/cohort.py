@@ -19,15 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """variant_index, chrom, snp, pos, sample_index, dosage; about one call in a hundred is missing."""
     k, x = F.col("variant_index"), F.col("x").cast("double")
-    calls = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_index"), F.posexplode("embedding").alias("variant_index", "x"))
+    calls = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_index"), F.posexplode("embedding").alias("variant_index", "x")
+    )
     missing = (F.col("sample_index") * 31 + k * 17) % 97 == 0
     dosage = F.when(missing, None).when(x < CUTS[0], 0).when(x < CUTS[1], 1).otherwise(2)
-    return calls.select(k.cast("long").alias("variant_index"), (1 + F.floor(k / PER_CHROM)).cast("string").alias("chrom"), F.concat(F.lit("v"), k.cast("string")).alias("snp"), ((k % PER_CHROM + 1) * 1000).cast("long").alias("pos"), "sample_index", dosage.alias("dosage"))
+    return calls.select(
+        k.cast("long").alias("variant_index"), (1 + F.floor(k / PER_CHROM)).cast("string").alias("chrom"),
+        F.concat(F.lit("v"), k.cast("string")).alias("snp"), ((k % PER_CHROM + 1) * 1000).cast("long").alias("pos"), "sample_index",
+        dosage.alias("dosage")
+    )
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_index, iid, level (a categorical covariate)."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_index"), F.col("vec_id").cast("string").alias("iid"), F.col("label").alias("level"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_index"), F.col("vec_id").cast("string").alias("iid"), F.col("label").alias("level")
+    )
 
 
 def phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,4 +51,6 @@ def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_index, trait, y of the cohort's samples, without nulls."""
     from ..operators import samples as ops
 
-    return ops.observed(ops.melt(ops.align(samples(spark, sf_dir).select("sample_index", "iid"), phenotypes(spark, sf_dir)), TRAITS)).select("sample_index", "trait", "y")
+    return ops.observed(
+        ops.melt(ops.align(samples(spark, sf_dir).select("sample_index", "iid"), phenotypes(spark, sf_dir)), TRAITS)
+    ).select("sample_index", "trait", "y")

@@ -38,7 +38,9 @@ def bim_scan(s: SparkSession, d: str) -> DataFrame:
     return read_bim(s, fileset(s, d)[0])
 
 
-@query(f"SELECT sample_index::INTEGER AS sample_index, sample_index::VARCHAR AS fid, sample_index::VARCHAR AS iid, '0' AS father, '0' AS mother, 0 AS sex, -9.0::DOUBLE AS pheno FROM {_ALL}")
+@query(
+    f"SELECT sample_index::INTEGER AS sample_index, sample_index::VARCHAR AS fid, sample_index::VARCHAR AS iid, '0' AS father, '0' AS mother, 0 AS sex, -9.0::DOUBLE AS pheno FROM {_ALL}"
+)
 def fam_scan(s: SparkSession, d: str) -> DataFrame:
     return read_fam(s, fileset(s, d)[0])
 
@@ -48,22 +50,36 @@ def bed_scan(s: SparkSession, d: str) -> DataFrame:
     """Every call of the fileset, through the data source."""
     prefix, n = fileset(s, d)
     known = cohort.table(s, d, "embeddings").select(F.col("vec_id").cast("int").alias("sample_index"))
-    return to_long(read_bed(s, prefix), n).join(known, "sample_index", "left_semi").select("variant_index", "chrom", "snp", "pos", "sample_index", "dosage")
+    return to_long(read_bed(s, prefix), n).join(known, "sample_index", "left_semi").select(
+        "variant_index", "chrom", "snp", "pos", "sample_index", "dosage"
+    )
 
 
-@query("SELECT variant_index, (CASE sample_index WHEN 17 THEN 0 WHEN 3 THEN 1 ELSE 2 END) AS place, d::TINYINT AS dosage FROM g WHERE sample_index IN (17, 3, 29)", "g")
+@query(
+    "SELECT variant_index, (CASE sample_index WHEN 17 THEN 0 WHEN 3 THEN 1 ELSE 2 END) AS place, d::TINYINT AS dosage FROM g WHERE sample_index IN (17, 3, 29)",
+    "g"
+)
 def bed_subset(s: SparkSession, d: str) -> DataFrame:
     """Calls of chosen samples in a chosen order."""
-    return to_long(read_bed(s, fileset(s, d)[0], samples=[17, 3, 29]), 3).select("variant_index", F.col("sample_index").alias("place"), "dosage")
+    return to_long(read_bed(s, fileset(s, d)[0], samples=[17, 3, 29]), 3).select(
+        "variant_index", F.col("sample_index").alias("place"), "dosage"
+    )
 
 
-@query("SELECT (variant_index - 5) // 10 AS block, count(DISTINCT variant_index) AS variants, count(d) AS calls FROM g WHERE variant_index BETWEEN 5 AND 49 GROUP BY 1", "g")
+@query(
+    "SELECT (variant_index - 5) // 10 AS block, count(DISTINCT variant_index) AS variants, count(d) AS calls FROM g WHERE variant_index BETWEEN 5 AND 49 GROUP BY 1",
+    "g"
+)
 def bed_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks of ten variants of a range, each a partition."""
     prefix, n = fileset(s, d)
-    blocks = read_bed(s, prefix, start=5, variants_per_partition=10).where("variant_index <= 49").withColumn("block", F.spark_partition_id().cast("long"))
+    blocks = read_bed(
+        s, prefix, start=5, variants_per_partition=10
+    ).where("variant_index <= 49").withColumn("block", F.spark_partition_id().cast("long"))
     calls = to_long(blocks, n).groupBy("variant_index").agg(F.count("dosage").alias("calls"))
-    return blocks.select("variant_index", "block").join(calls, "variant_index").groupBy("block").agg(F.count("*").alias("variants"), F.sum("calls").alias("calls"))
+    return blocks.select("variant_index", "block").join(calls, "variant_index").groupBy("block").agg(
+        F.count("*").alias("variants"), F.sum("calls").alias("calls")
+    )
 
 
 @query("SELECT variant_index, snp, count(d) AS calls FROM g WHERE chrom IN ('1', '3') AND variant_index > 7 GROUP BY ALL", "g")
@@ -83,7 +99,10 @@ _TRAITS_SQL = f"SELECT iid, {_r('y_bal', 5)} AS y_bal, {_r('y_ord', 5)} AS y_ord
 
 def _table(s: SparkSession, frame: pd.DataFrame) -> DataFrame:
     frame = frame.astype(object).where(frame.notna(), None)
-    return s.createDataFrame([(str(i), *r) for i, r in zip(frame.index, frame.itertuples(index=False), strict=True)], "iid string, y_bal double, y_ord double").select("iid", *(rounded(F.col(c), 5).alias(c) for c in ("y_bal", "y_ord")))
+    return s.createDataFrame(
+        [(str(i), *r) for i, r in zip(frame.index, frame.itertuples(index=False), strict=True)],
+        "iid string, y_bal double, y_ord double"
+    ).select("iid", *(rounded(F.col(c), 5).alias(c) for c in ("y_bal", "y_ord")))
 
 
 @query(_TRAITS_SQL, "p")
@@ -91,7 +110,11 @@ def phenotype_file(s: SparkSession, d: str) -> DataFrame:
     """Traits from a white-space-separated file, found by its id column."""
     path = f"{shared_folder(s, 'pheno')}.txt"
     with replacing(path) as out:
-        out.write(_phenotypes(s, d).assign(FID="f").rename(columns={"iid": "IID"})[["FID", "IID", "y_bal", "y_ord"]].to_csv(sep=" ", index=False, na_rep="NA").encode())
+        out.write(
+            _phenotypes(s, d).assign(FID="f").rename(columns={"iid": "IID"})[["FID", "IID", "y_bal", "y_ord"]].to_csv(
+                sep=" ", index=False, na_rep="NA"
+            ).encode()
+        )
     return _table(s, sample_ops.load_pheno(s, path).apply(pd.to_numeric, errors="coerce")[["y_bal", "y_ord"]])
 
 
@@ -104,18 +127,25 @@ def phenotype_tsv(s: SparkSession, d: str) -> DataFrame:
     return _table(s, cli.read_table(s, path, "iid", ["y_bal", "y_ord"], [], [])[0])
 
 
-@query(f"SELECT i::VARCHAR AS iid, {_r('max(k) FILTER (i = j)', 7)} AS diagonal, {_r('sum(k)', 6)} AS row_sum FROM kfull GROUP BY 1", "kfull")
+@query(
+    f"SELECT i::VARCHAR AS iid, {_r('max(k) FILTER (i = j)', 7)} AS diagonal, {_r('sum(k)', 6)} AS row_sum FROM kfull GROUP BY 1",
+    "kfull"
+)
 def second_panel(s: SparkSession, d: str) -> DataFrame:
     """The relationship matrix from a panel of its own, whose samples are in another order."""
     from .gwas import _positions
 
     prefix, n = fileset(s, d)
-    turned = write_fileset(read_bed(s, prefix, samples=list(range(n))[::-1]), [str(i) for i in range(n)][::-1], shared_folder(s, "panel"))
+    turned = write_fileset(
+        read_bed(s, prefix, samples=list(range(n))[::-1]), [str(i) for i in range(n)][::-1], shared_folder(s, "panel")
+    )
     panel = [r["iid"] for r in read_fam(s, turned).orderBy("sample_index").collect()]
     wanted = [str(r[0]) for r in cohort.table(s, d, "embeddings").select("vec_id").orderBy("vec_id").collect()]
     K = grm.compute_grm(read_bed(s, turned), _positions(panel, wanted, "the panel"), n)
     told = pd.DataFrame({"iid": wanted, "diagonal": K.diagonal(), "row_sum": K.sum(1)})
-    return s.createDataFrame(told).select("iid", rounded(F.col("diagonal"), 7).alias("diagonal"), rounded(F.col("row_sum"), 6).alias("row_sum"))
+    return s.createDataFrame(told).select(
+        "iid", rounded(F.col("diagonal"), 7).alias("diagonal"), rounded(F.col("row_sum"), 6).alias("row_sum")
+    )
 
 
 @query(f"SELECT chrom, TRUE AS cache_hit, {_r('sum(k * k)', 4)} AS squares FROM lfull GROUP BY 1", "lfull")
@@ -124,8 +154,12 @@ def cached_eigensystems(s: SparkSession, d: str) -> DataFrame:
     prefix, n = fileset(s, d)
     chroms = [r["chrom"] for r in read_bim(s, prefix).select("chrom").distinct().orderBy("chrom").collect()]
     folder, files = shared_folder(s, "eigen"), [f"{prefix}{x}" for x in (".bed", ".bim", ".fam")]
-    again = [list(grm.loco_eigensystems(read_bed(s, prefix), np.arange(n), n, chroms, cache=folder, files=files)) for _ in range(2)][1]
-    return s.createDataFrame([(c, e.cache_hit, float((e.s**2).sum())) for c, e in again], "chrom string, cache_hit boolean, squares double").withColumn("squares", rounded(F.col("squares"), 4))
+    again = [
+        list(grm.loco_eigensystems(read_bed(s, prefix), np.arange(n), n, chroms, cache=folder, files=files)) for _ in range(2)
+    ][1]
+    return s.createDataFrame(
+        [(c, e.cache_hit, float((e.s**2).sum())) for c, e in again], "chrom string, cache_hit boolean, squares double"
+    ).withColumn("squares", rounded(F.col("squares"), 4))
 
 
 def _run(s: SparkSession, d: str) -> tuple[DataFrame, str]:
@@ -135,14 +169,22 @@ def _run(s: SparkSession, d: str) -> tuple[DataFrame, str]:
     return results, out
 
 
-@query(f"SELECT variant_index, trait, 'trait' AS test_scope, 0.0::DOUBLE AS h2, n::INTEGER AS n_samples, {_r('a', 2)} AS beta_add_joint_raw, {_r('a_se', 2)} AS se_add_joint_raw, {_r('ta', 5)} AS stat_add_joint, {_r('td', 5)} AS stat_dom_joint FROM e", "e")
+@query(
+    f"SELECT variant_index, trait, 'trait' AS test_scope, 0.0::DOUBLE AS h2, n::INTEGER AS n_samples, {_r('a', 2)} AS beta_add_joint_raw, {_r('a_se', 2)} AS se_add_joint_raw, {_r('ta', 5)} AS stat_add_joint, {_r('td', 5)} AS stat_dom_joint FROM e",
+    "e"
+)
 def gwas_run(s: SparkSession, d: str) -> DataFrame:
     """A whole run without correction, from the fileset to the written results, read back."""
     told = {"beta_add_joint_raw": 2, "se_add_joint_raw": 2, "stat_add_joint": 5, "stat_dom_joint": 5}
-    return _run(s, d)[0].select("variant_index", "trait", "test_scope", "h2", "n_samples", *(rounded(F.col(c), k).alias(c) for c, k in told.items()))
+    return _run(s, d)[0].select(
+        "variant_index", "trait", "test_scope", "h2", "n_samples", *(rounded(F.col(c), k).alias(c) for c, k in told.items())
+    )
 
 
-@query("SELECT chrom, count(*) AS rows, count(*) AS read FROM k JOIN (SELECT DISTINCT variant_index, chrom FROM g) USING (variant_index) GROUP BY 1", "k")
+@query(
+    "SELECT chrom, count(*) AS rows, count(*) AS read FROM k JOIN (SELECT DISTINCT variant_index, chrom FROM g) USING (variant_index) GROUP BY 1",
+    "k"
+)
 def gwas_files(s: SparkSession, d: str) -> DataFrame:
     """Rows that a run's execution record tells for each chromosome, and that its files hold."""
     results, out = _run(s, d)
@@ -163,7 +205,10 @@ def sample_positions(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(list(zip(ids, places.tolist(), strict=True)), "iid string, place long")
 
 
-@query(f"SELECT sample_index::VARCHAR AS iid, trait, {_r('y', 4)} AS phenotype, {_r('y', 4)} AS fitted_and_residual, 'additive_grm' AS blup_model FROM t WHERE trait <> 'y_evt'", "t")
+@query(
+    f"SELECT sample_index::VARCHAR AS iid, trait, {_r('y', 4)} AS phenotype, {_r('y', 4)} AS fitted_and_residual, 'additive_grm' AS blup_model FROM t WHERE trait <> 'y_evt'",
+    "t"
+)
 def blup_run(s: SparkSession, d: str) -> DataFrame:
     """Whole predictions from the fileset, as written: what is fitted and what is left make up each trait."""
     from .gwas import run_blup
@@ -171,7 +216,10 @@ def blup_run(s: SparkSession, d: str) -> DataFrame:
     prefix, _ = fileset(s, d)
     out = run_blup(s, prefix, cohort.phenotypes(s, d), ["y_bal", "y_ord"], out=f"{shared_folder(s, 'blup')}.parquet")
     read = s.read.parquet(out.attrs["output_path"])
-    return read.select("iid", "trait", rounded(F.col("phenotype"), 4).alias("phenotype"), rounded(F.col("fitted_value") + F.col("residual"), 4).alias("fitted_and_residual"), "blup_model")
+    return read.select(
+        "iid", "trait", rounded(F.col("phenotype"), 4).alias("phenotype"),
+        rounded(F.col("fitted_value") + F.col("residual"), 4).alias("fitted_and_residual"), "blup_model"
+    )
 
 
 @query(f"""SELECT variant_index, trait, count(d)::DOUBLE AS n_obs, (count(*) FILTER (d = 0))::DOUBLE AS "count_AA", (count(*) FILTER (d = 1))::DOUBLE AS "count_AB", (count(*) FILTER (d = 2))::DOUBLE AS "count_BB",
@@ -182,6 +230,13 @@ def command_line(s: SparkSession, d: str) -> DataFrame:
     out = shared_folder(s, "cli")
     with replacing(f"{out}.tsv") as f:
         f.write(_phenotypes(s, d).to_csv(sep="\t", index=False).encode())
-    cli.main(["gwas", "--bfile", prefix, "--pheno", f"{out}.tsv", "--traits", "y_bal,y_ord", "--out", out, "--variance-estimator", "score"])
+    cli.main(
+        [
+            "gwas", "--bfile", prefix, "--pheno", f"{out}.tsv", "--traits", "y_bal,y_ord", "--out", out, "--variance-estimator",
+            "score"
+        ]
+    )
     told = ["n_obs", "count_AA", "count_AB", "count_BB"]
-    return s.read.parquet(f"{out}.all.parquet").select("variant_index", "trait", *told, rounded(F.col("maf")).alias("maf"), "n_samples")
+    return s.read.parquet(f"{out}.all.parquet").select(
+        "variant_index", "trait", *told, rounded(F.col("maf")).alias("maf"), "n_samples"
+    )

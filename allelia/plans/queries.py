@@ -45,7 +45,10 @@ _PARTS = {
     "kfull": "SELECT i, j, k FROM rel UNION ALL SELECT j, i, k FROM rel WHERE i <> j",
     "lfull": "SELECT chrom, i, j, k FROM loco UNION ALL SELECT chrom, j, i, k FROM loco WHERE i <> j",
 }
-_NEEDS = {"w": "sp", "t": "w", "q": "g", "z": "g", "m": "gt", "x": "m", "k": "x", "j": "k", "e": "j", "pair": "z", "rel": ["pair"], "loco": ["pair"], "kfull": ["rel"], "lfull": ["loco"]}
+_NEEDS = {
+    "w": "sp", "t": "w", "q": "g", "z": "g", "m": "gt", "x": "m", "k": "x", "j": "k", "e": "j", "pair": "z", "rel": ["pair"],
+    "loco": ["pair"], "kfull": ["rel"], "lfull": ["loco"]
+}
 
 
 def _with(*parts: str) -> str:
@@ -100,7 +103,9 @@ def variant_scan(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT chrom, min(variant_index) AS first_variant, count(DISTINCT variant_index) AS variants FROM g GROUP BY 1", "g")
 def chrom_list(s: SparkSession, d: str) -> DataFrame:
-    return g(s, d).groupBy("chrom").agg(F.min("variant_index").alias("first_variant"), F.count_distinct("variant_index").alias("variants"))
+    return g(s, d).groupBy("chrom").agg(
+        F.min("variant_index").alias("first_variant"), F.count_distinct("variant_index").alias("variants")
+    )
 
 
 @query("SELECT variant_index, snp, pos, sum(d)::BIGINT AS alleles FROM g WHERE chrom = '2' GROUP BY ALL", "g")
@@ -108,15 +113,26 @@ def chrom_filter(s: SparkSession, d: str) -> DataFrame:
     return g(s, d).where("chrom = '2'").groupBy("variant_index", "snp", "pos").agg(F.sum("dosage").alias("alleles"))
 
 
-@query("SELECT variant_index, sample_index, d::INTEGER AS dosage FROM g WHERE sample_index IN (0, 3, 17, 201, 499) AND variant_index BETWEEN 11 AND 38", "g")
+@query(
+    "SELECT variant_index, sample_index, d::INTEGER AS dosage FROM g WHERE sample_index IN (0, 3, 17, 201, 499) AND variant_index BETWEEN 11 AND 38",
+    "g"
+)
 def sample_subset(s: SparkSession, d: str) -> DataFrame:
-    return g(s, d).where(F.col("sample_index").isin(0, 3, 17, 201, 499) & F.col("variant_index").between(11, 38)).select("variant_index", "sample_index", F.col("dosage").cast("int").alias("dosage"))
+    return g(s, d).where(
+        F.col("sample_index").isin(0, 3, 17, 201, 499) & F.col("variant_index").between(11, 38)
+    ).select("variant_index", "sample_index", F.col("dosage").cast("int").alias("dosage"))
 
 
-@query("SELECT variant_index, sample_index // 4 AS byte_index, sum(CASE d WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END * (1 << (2 * (sample_index % 4)))::BIGINT)::BIGINT AS byte FROM g GROUP BY 1, 2", "g")
+@query(
+    "SELECT variant_index, sample_index // 4 AS byte_index, sum(CASE d WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END * (1 << (2 * (sample_index % 4)))::BIGINT)::BIGINT AS byte FROM g GROUP BY 1, 2",
+    "g"
+)
 def bed_encode_bits(s: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("dosage") == 0, 0).when(F.col("dosage") == 1, 2).when(F.col("dosage") == 2, 3).otherwise(1)
-    rows = g(s, d).select("variant_index", F.expr("sample_index DIV 4").alias("byte_index"), (code * F.pow(F.lit(4), F.col("sample_index") % 4)).cast("long").alias("bits"))
+    rows = g(s, d).select(
+        "variant_index", F.expr("sample_index DIV 4").alias("byte_index"),
+        (code * F.pow(F.lit(4), F.col("sample_index") % 4)).cast("long").alias("bits")
+    )
     return rows.groupBy("variant_index", "byte_index").agg(F.sum("bits").alias("byte"))
 
 
@@ -126,7 +142,9 @@ def bed_decode_bits(s: SparkSession, d: str) -> DataFrame:
 
     n = cohort.table(s, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
     packed = to_blocks(g(s, d), n)
-    return packed.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))).select("variant_index", "sample_index", call(F.col("calls"), F.col("sample_index")).alias("dosage"))
+    return packed.withColumn("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)))).select(
+        "variant_index", "sample_index", call(F.col("calls"), F.col("sample_index")).alias("dosage")
+    )
 
 
 # --- quality control and encodings ---
@@ -157,7 +175,10 @@ def dominance_encode(s: SparkSession, d: str) -> DataFrame:
     return g(s, d).select("variant_index", "sample_index", fn.dominance(F.col("dosage")).alias("dominance"))
 
 
-@query(f"SELECT variant_index, sample_index, {_r('(h - avg(h) OVER v) / nullif(stddev_samp(h) OVER v, 0)', 9)} AS z FROM (SELECT *, (d = 1)::INT::DOUBLE AS h FROM g) WINDOW v AS (PARTITION BY variant_index)", "g")
+@query(
+    f"SELECT variant_index, sample_index, {_r('(h - avg(h) OVER v) / nullif(stddev_samp(h) OVER v, 0)', 9)} AS z FROM (SELECT *, (d = 1)::INT::DOUBLE AS h FROM g) WINDOW v AS (PARTITION BY variant_index)",
+    "g"
+)
 def standardize_dominance(s: SparkSession, d: str) -> DataFrame:
     return qc.standardize(g(s, d), "dominance").select("variant_index", "sample_index", rounded(F.col("z"), 9).alias("z"))
 
@@ -184,7 +205,10 @@ def trait_masks(s: SparkSession, d: str) -> DataFrame:
     return t(s, d).groupBy("trait").agg(F.count("*").alias("n_samples"))
 
 
-@query("SELECT string_agg(trait, ',' ORDER BY trait) AS traits, any_value(n) AS n FROM (SELECT trait, count(*) AS n, list(sample_index ORDER BY sample_index) AS mask FROM t GROUP BY 1) WHERE n >= 5 GROUP BY mask", "t")
+@query(
+    "SELECT string_agg(trait, ',' ORDER BY trait) AS traits, any_value(n) AS n FROM (SELECT trait, count(*) AS n, list(sample_index ORDER BY sample_index) AS mask FROM t GROUP BY 1) WHERE n >= 5 GROUP BY mask",
+    "t"
+)
 def mask_groups(s: SparkSession, d: str) -> DataFrame:
     return samples.mask_groups(t(s, d)).select(F.array_join("traits", ",").alias("traits"), "n")
 
@@ -201,14 +225,23 @@ _STATUS = "SELECT o_custkey AS sample_index, 'any_order' AS trait, 1.0::DOUBLE A
 def binary_traits(s: SparkSession, d: str) -> DataFrame:
     c = cohort.table(s, d, "customer")
     rows = cohort.table(s, d, "orders").select(F.lit("any_order").alias("trait"), F.lit(1.0).alias("y"))
-    return samples.binary(rows.unionByName(c.select(F.lit("debt").alias("trait"), (F.col("c_acctbal") < 0).cast("double").alias("y"))).unionByName(c.select(F.lit("balance").alias("trait"), F.col("c_acctbal").alias("y"))))
+    return samples.binary(
+        rows.unionByName(
+            c.select(F.lit("debt").alias("trait"), (F.col("c_acctbal") < 0).cast("double").alias("y"))
+        ).unionByName(c.select(F.lit("balance").alias("trait"), F.col("c_acctbal").alias("y")))
+    )
 
 
-@query("SELECT sample_index, 'level_' || x AS indicator, (level = x)::INT::DOUBLE AS value FROM s, (SELECT DISTINCT level AS x FROM s WHERE level > (SELECT min(level) FROM s)) WHERE level IS NOT NULL", "s")
+@query(
+    "SELECT sample_index, 'level_' || x AS indicator, (level = x)::INT::DOUBLE AS value FROM s, (SELECT DISTINCT level AS x FROM s WHERE level > (SELECT min(level) FROM s)) WHERE level IS NOT NULL",
+    "s"
+)
 def one_hot(s: SparkSession, d: str) -> DataFrame:
     """The indicators of every level but the first, as rows: the levels are those of the data."""
     wide = samples.one_hot(cohort.samples(s, d), "level").drop("iid", "level")
-    return wide.unpivot(["sample_index"], [c for c in wide.columns if c != "sample_index"], "indicator", "value").where("value IS NOT NULL")
+    return wide.unpivot(
+        ["sample_index"], [c for c in wide.columns if c != "sample_index"], "indicator", "value"
+    ).where("value IS NOT NULL")
 
 
 @query(f"SELECT sample_index, trait, {_r('y', 7)} AS y FROM t", "t")
@@ -216,16 +249,24 @@ def melt_traits(s: SparkSession, d: str) -> DataFrame:
     return t(s, d).withColumn("y", rounded(F.col("y"), 7))
 
 
-@query(f"SELECT sample_index, {_r('y_bal', 7)} AS y_bal, {_r('y_evt', 7)} AS y_evt, {_r('y_ord', 7)} AS y_ord FROM w WHERE coalesce(y_bal, y_evt, y_ord) IS NOT NULL", "w")
+@query(
+    f"SELECT sample_index, {_r('y_bal', 7)} AS y_bal, {_r('y_evt', 7)} AS y_evt, {_r('y_ord', 7)} AS y_ord FROM w WHERE coalesce(y_bal, y_evt, y_ord) IS NOT NULL",
+    "w"
+)
 def pivot_traits(s: SparkSession, d: str) -> DataFrame:
     return samples.pivot(t(s, d).withColumn("y", rounded(F.col("y"), 7)), "y", cohort.TRAITS, "sample_index")
 
 
-@query("SELECT event_id, try_cast(props AS DOUBLE) AS number, try_cast(substr(event_type || user_id, length(event_type) + 1) AS DOUBLE) AS parsed FROM events")
+@query(
+    "SELECT event_id, try_cast(props AS DOUBLE) AS number, try_cast(substr(event_type || user_id, length(event_type) + 1) AS DOUBLE) AS parsed FROM events"
+)
 def coerce_numeric(s: SparkSession, d: str) -> DataFrame:
     e = cohort.table(s, d, "events")
     joined = F.concat("event_type", F.col("user_id").cast("string"))
-    return e.select("event_id", F.col("props").try_cast("double").alias("number"), F.substr(joined, F.length("event_type") + 1).try_cast("double").alias("parsed"))
+    return e.select(
+        "event_id", F.col("props").try_cast("double").alias("number"),
+        F.substr(joined, F.length("event_type") + 1).try_cast("double").alias("parsed")
+    )
 
 
 # --- relationship ---
@@ -260,21 +301,33 @@ def grm_matrix(s: SparkSession, d: str) -> DataFrame:
     return _k(s, d).select("i", "j", rounded(F.col("k"), 8).alias("k"))
 
 
-@query("SELECT shared::BIGINT AS shared, count(*) AS pairs FROM (SELECT sum(shared) AS shared FROM pair GROUP BY i, j) GROUP BY 1", "pair")
+@query(
+    "SELECT shared::BIGINT AS shared, count(*) AS pairs FROM (SELECT sum(shared) AS shared FROM pair GROUP BY i, j) GROUP BY 1",
+    "pair"
+)
 def grm_pair_counts(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d, False).groupBy("shared").agg(F.count("*").alias("pairs"))
 
 
 def _summary(k: DataFrame, *keys: str) -> DataFrame:
-    return k.groupBy(*keys).agg(rounded(F.max(F.when(F.col("i") == F.col("j"), F.col("k"))), 7).alias("diagonal"), rounded(F.sum("k"), 6).alias("row_sum"), rounded(F.sum(F.col("k") * F.col("k")), 6).alias("row_squares"))
+    return k.groupBy(*keys).agg(
+        rounded(F.max(F.when(F.col("i") == F.col("j"), F.col("k"))), 7).alias("diagonal"), rounded(F.sum("k"), 6).alias("row_sum"),
+        rounded(F.sum(F.col("k") * F.col("k")), 6).alias("row_squares")
+    )
 
 
-@query(f"SELECT chrom, i, {_r('max(k) FILTER (i = j)', 7)} AS diagonal, {_r('sum(k)')} AS row_sum, {_r('sum(k * k)')} AS row_squares FROM lfull GROUP BY 1, 2", "lfull")
+@query(
+    f"SELECT chrom, i, {_r('max(k) FILTER (i = j)', 7)} AS diagonal, {_r('sum(k)')} AS row_sum, {_r('sum(k * k)')} AS row_squares FROM lfull GROUP BY 1, 2",
+    "lfull"
+)
 def loco_grm(s: SparkSession, d: str) -> DataFrame:
     return _summary(_both(grm.leave_one_out(_pairs(s, d))), "chrom", "i")
 
 
-@query("SELECT a.chrom, count(DISTINCT b.variant_index) AS variants FROM (SELECT DISTINCT chrom FROM g) a JOIN g b ON a.chrom <> b.chrom GROUP BY 1", "g")
+@query(
+    "SELECT a.chrom, count(DISTINCT b.variant_index) AS variants FROM (SELECT DISTINCT chrom FROM g) a JOIN g b ON a.chrom <> b.chrom GROUP BY 1",
+    "g"
+)
 def loco_variant_counts(s: SparkSession, d: str) -> DataFrame:
     n = g(s, d).groupBy("chrom").agg(F.count_distinct("variant_index").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("chrom", (F.col("all") - F.col("n")).alias("variants"))
@@ -283,28 +336,48 @@ def loco_variant_counts(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {_r('sum(z * z) / count(DISTINCT variant_index)')} AS trace, count(DISTINCT variant_index) AS variants FROM z", "z")
 def grm_trace(s: SparkSession, d: str) -> DataFrame:
     z = qc.standardize(g(s, d))
-    return z.agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count_distinct("variant_index").alias("variants")).select(rounded(F.col("zz") / F.col("variants")).alias("trace"), "variants")
+    return z.agg(
+        F.sum(F.col("z") * F.col("z")).alias("zz"), F.count_distinct("variant_index").alias("variants")
+    ).select(rounded(F.col("zz") / F.col("variants")).alias("trace"), "variants")
 
 
-@query(f"SELECT sample_index, {_r('sum(coalesce(z, 0) * zy) / (SELECT count(DISTINCT variant_index) FROM g)', 3)} AS ky FROM z JOIN (SELECT variant_index, sum(z * y) AS zy FROM z JOIN t USING (sample_index) WHERE trait = 'y_bal' GROUP BY 1) USING (variant_index) GROUP BY 1", "z", "t")
+@query(
+    f"SELECT sample_index, {_r('sum(coalesce(z, 0) * zy) / (SELECT count(DISTINCT variant_index) FROM g)', 3)} AS ky FROM z JOIN (SELECT variant_index, sum(z * y) AS zy FROM z JOIN t USING (sample_index) WHERE trait = 'y_bal' GROUP BY 1) USING (variant_index) GROUP BY 1",
+    "z", "t"
+)
 def grm_operator_product(s: SparkSession, d: str) -> DataFrame:
     """K y without K: two aggregations over the calls instead of one over sample pairs."""
     z = qc.standardize(g(s, d)).select("variant_index", "sample_index", "z")
-    inner = z.join(t(s, d).where("trait = 'y_bal'"), "sample_index").groupBy("variant_index").agg(F.sum(F.col("z") * F.col("y")).alias("zy"))
+    inner = z.join(
+        t(s, d).where("trait = 'y_bal'"), "sample_index"
+    ).groupBy("variant_index").agg(F.sum(F.col("z") * F.col("y")).alias("zy"))
     variants = g(s, d).agg(F.count_distinct("variant_index")).first()[0]
-    return z.join(inner, "variant_index").groupBy("sample_index").agg(rounded(F.sum(F.coalesce("z", F.lit(0.0)) * F.col("zy")) / variants, 3).alias("ky"))
+    return z.join(inner, "variant_index").groupBy("sample_index").agg(
+        rounded(F.sum(F.coalesce("z", F.lit(0.0)) * F.col("zy")) / variants, 3).alias("ky")
+    )
 
 
 def _score(k: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
     """h2 by the moment equations with an intercept: PKP is the doubly centred matrix, so sums over pairs are enough."""
-    k = k.join(y.select(F.col("sample_index").alias("i"), F.col("y").alias("yi")), "i").join(y.select(F.col("sample_index").alias("j"), F.col("y").alias("yj")), "j")
+    k = k.join(y.select(F.col("sample_index").alias("i"), F.col("y").alias("yi")), "i").join(
+        y.select(F.col("sample_index").alias("j"), F.col("y").alias("yj")), "j"
+    )
     rows = k.groupBy(*keys, "i").agg(F.avg("k").alias("r"))
-    total = rows.groupBy(*keys).agg(F.avg("r").alias("m"), F.count("*").alias("n")) if keys else rows.agg(F.avg("r").alias("m"), F.count("*").alias("n"))
+    total = rows.groupBy(*keys).agg(F.avg("r").alias("m"), F.count("*").alias("n")) if keys else rows.agg(
+        F.avg("r").alias("m"), F.count("*").alias("n")
+    )
     b2 = y.agg((F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count("*")).alias("b2"))
     centred = k.join(rows, [*keys, "i"]).join(rows.withColumnsRenamed({"i": "j", "r": "rj"}), [*keys, "j"])
-    centred = (centred.join(F.broadcast(total), list(keys)) if keys else centred.crossJoin(F.broadcast(total))).withColumn("c", F.col("k") - F.col("r") - F.col("rj") + F.col("m"))
-    sums = [F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("k1"), F.sum(F.col("c") * F.col("c")).alias("k2"), F.sum(F.col("c") * F.col("yi") * F.col("yj")).alias("b1"), F.max("n").alias("n")]
-    f = (centred.groupBy(*keys).agg(*sums) if keys else centred.agg(*sums)).crossJoin(F.broadcast(b2)).withColumn("df", F.col("n") - 1)
+    centred = (
+        centred.join(F.broadcast(total), list(keys)) if keys else centred.crossJoin(F.broadcast(total))
+    ).withColumn("c", F.col("k") - F.col("r") - F.col("rj") + F.col("m"))
+    sums = [
+        F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("k1"), F.sum(F.col("c") * F.col("c")).alias("k2"),
+        F.sum(F.col("c") * F.col("yi") * F.col("yj")).alias("b1"), F.max("n").alias("n")
+    ]
+    f = (
+        centred.groupBy(*keys).agg(*sums) if keys else centred.agg(*sums)
+    ).crossJoin(F.broadcast(b2)).withColumn("df", F.col("n") - 1)
     det = F.col("k2") * F.col("df") - F.col("k1") * F.col("k1")
     sg = F.greatest((F.col("df") * F.col("b1") - F.col("k1") * F.col("b2")) / det, F.lit(0.0))
     se = F.greatest((F.col("k2") * F.col("b2") - F.col("k1") * F.col("b1")) / det, F.lit(1e-10))
@@ -333,7 +406,13 @@ def score_h2_loco(s: SparkSession, d: str) -> DataFrame:
     return _score(_both(grm.leave_one_out(_pairs(s, d))), t(s, d).where("trait = 'y_bal'"), "chrom")
 
 
-@query(_score_sql("lfull", "chrom").replace(f"SELECT chrom,  {_r('least(sg / (sg + se), 1 - 1e-8)')} AS h2, n AS n_samples FROM o", "SELECT count(*) FILTER (least(sg / (sg + se), 1 - 1e-8) <= 1e-8 OR least(sg / (sg + se), 1 - 1e-8) >= 1 - 1e-8) AS boundary FROM o"), "lfull", "t")
+@query(
+    _score_sql("lfull", "chrom").replace(
+        f"SELECT chrom,  {_r('least(sg / (sg + se), 1 - 1e-8)')} AS h2, n AS n_samples FROM o",
+        "SELECT count(*) FILTER (least(sg / (sg + se), 1 - 1e-8) <= 1e-8 OR least(sg / (sg + se), 1 - 1e-8) >= 1 - 1e-8) AS boundary FROM o"
+    ),
+    "lfull", "t"
+)
 def boundary_count(s: SparkSession, d: str) -> DataFrame:
     return score_h2_loco(s, d).agg(F.count_if((F.col("h2") <= 1e-8) | (F.col("h2") >= 1 - 1e-8)).alias("boundary"))
 
@@ -342,7 +421,9 @@ def boundary_count(s: SparkSession, d: str) -> DataFrame:
 
 
 def _told(df: DataFrame, effects: list[str], stats: list[str]) -> DataFrame:
-    return df.select("variant_index", "trait", *(rounded(F.col(c), 3).alias(c) for c in effects), *(rounded(F.col(c)).alias(c) for c in stats))
+    return df.select(
+        "variant_index", "trait", *(rounded(F.col(c), 3).alias(c) for c in effects), *(rounded(F.col(c)).alias(c) for c in stats)
+    )
 
 
 def _marginal_sql(xy: str, xx: str, sd: str) -> str:
@@ -359,12 +440,21 @@ def ols_dominance(s: SparkSession, d: str) -> DataFrame:
     return _told(ols.marginal(_moments(s, d), "dominance"), ["beta_raw", "se_raw"], ["stat"])
 
 
-@query(f"SELECT variant_index, trait, {_r('a', 3)} AS beta_add_joint_raw, {_r('a_se', 3)} AS se_add_joint_raw, {_r('d', 3)} AS beta_dom_joint_raw, {_r('d_se', 3)} AS se_dom_joint_raw, {_r('ta')} AS stat_add_joint, {_r('td')} AS stat_dom_joint FROM e", "e")
+@query(
+    f"SELECT variant_index, trait, {_r('a', 3)} AS beta_add_joint_raw, {_r('a_se', 3)} AS se_add_joint_raw, {_r('d', 3)} AS beta_dom_joint_raw, {_r('d_se', 3)} AS se_dom_joint_raw, {_r('ta')} AS stat_add_joint, {_r('td')} AS stat_dom_joint FROM e",
+    "e"
+)
 def ols_joint(s: SparkSession, d: str) -> DataFrame:
-    return _told(ols.joint(_moments(s, d)), ["beta_add_joint_raw", "se_add_joint_raw", "beta_dom_joint_raw", "se_dom_joint_raw"], ["stat_add_joint", "stat_dom_joint"])
+    return _told(
+        ols.joint(_moments(s, d)), ["beta_add_joint_raw", "se_add_joint_raw", "beta_dom_joint_raw", "se_dom_joint_raw"],
+        ["stat_add_joint", "stat_dom_joint"]
+    )
 
 
-@query(f"SELECT variant_index, trait, {_r('((yy - ay * ay / aa) - (yy - ba * ay - bh * hy)) / ((yy - ba * ay - bh * hy) / (n - 3))', 5)} AS f FROM j", "j")
+@query(
+    f"SELECT variant_index, trait, {_r('((yy - ay * ay / aa) - (yy - ba * ay - bh * hy)) / ((yy - ba * ay - bh * hy) / (n - 3))', 5)} AS f FROM j",
+    "j"
+)
 def nested_f(s: SparkSession, d: str) -> DataFrame:
     return ols.joint(_moments(s, d)).select("variant_index", "trait", rounded(F.col("f_avsad"), 5).alias("f"))
 
@@ -377,7 +467,10 @@ def nested_f(s: SparkSession, d: str) -> DataFrame:
     SELECT variant_index, trait, n_obs, {_r('b', 3)} AS beta_raw, {_r('se', 3)} AS se_raw, {_r('b / se')} AS stat, {_r('gain / ((rss - gain) / (n_obs - 3))', 5)} AS f FROM f""", "g", "t")
 def ols_observed(s: SparkSession, d: str) -> DataFrame:
     found = ols.observed_only(_moments(s, d)).where(F.col("f").isNotNull())
-    return found.select("variant_index", "trait", "n_obs", rounded(F.col("beta_raw"), 3).alias("beta_raw"), rounded(F.col("se_raw"), 3).alias("se_raw"), rounded(F.col("stat")).alias("stat"), rounded(F.col("f"), 5).alias("f"))
+    return found.select(
+        "variant_index", "trait", "n_obs", rounded(F.col("beta_raw"), 3).alias("beta_raw"),
+        rounded(F.col("se_raw"), 3).alias("se_raw"), rounded(F.col("stat")).alias("stat"), rounded(F.col("f"), 5).alias("f")
+    )
 
 
 @query(f"""
@@ -412,10 +505,16 @@ def degree_of_dominance(s: SparkSession, d: str) -> DataFrame:
 _COARSE = "CASE WHEN a IS NULL OR d IS NULL THEN 'NA' WHEN abs(d / a) < 0.25 THEN 'A' WHEN abs(d / a) < 0.75 THEN 'PD' WHEN abs(d / a) < 1.25 THEN 'D' ELSE 'OD' END"
 
 
-@query(f"SELECT variant_index, trait, {_COARSE} AS da_class, CASE WHEN a IS NULL OR abs(a) > a_se THEN {_COARSE} ELSE 'UNSTABLE' END AS dominance_class FROM e", "e")
+@query(
+    f"SELECT variant_index, trait, {_COARSE} AS da_class, CASE WHEN a IS NULL OR abs(a) > a_se THEN {_COARSE} ELSE 'UNSTABLE' END AS dominance_class FROM e",
+    "e"
+)
 def da_class(s: SparkSession, d: str) -> DataFrame:
     df, a, dom, se = _effects(s, d)
-    return df.select("variant_index", "trait", fn.coarse_class(fn.degree(a, dom)).alias("da_class"), fn.signed_class(a, dom, se).alias("dominance_class"))
+    return df.select(
+        "variant_index", "trait", fn.coarse_class(fn.degree(a, dom)).alias("da_class"),
+        fn.signed_class(a, dom, se).alias("dominance_class")
+    )
 
 
 _MODE = """CASE WHEN a IS NULL OR d IS NULL THEN 'NA' WHEN NOT abs(a) > a_se THEN 'additive_near_zero' WHEN abs(d / a) < 0.25 THEN 'additive'
@@ -429,10 +528,16 @@ def inheritance_mode(s: SparkSession, d: str) -> DataFrame:
     return df.select("variant_index", "trait", fn.inheritance_mode(a, dom, se).alias("inheritance_mode"))
 
 
-@query(f"SELECT variant_index, {_r('sum(ta * ta)', 5)} AS stat_add_joint, {_r('sum(td * td)', 5)} AS stat_dom_joint, count(*)::DOUBLE AS df FROM e GROUP BY 1", "e")
+@query(
+    f"SELECT variant_index, {_r('sum(ta * ta)', 5)} AS stat_add_joint, {_r('sum(td * td)', 5)} AS stat_dom_joint, count(*)::DOUBLE AS df FROM e GROUP BY 1",
+    "e"
+)
 def wald_component_sum(s: SparkSession, d: str) -> DataFrame:
     df, square = ols.joint(_moments(s, d)), lambda c: rounded(F.sum(F.col(c) * F.col(c)), 5)
-    return df.groupBy("variant_index").agg(square("stat_add_joint").alias("stat_add_joint"), square("stat_dom_joint").alias("stat_dom_joint"), F.count("*").cast("double").alias("df"))
+    return df.groupBy("variant_index").agg(
+        square("stat_add_joint").alias("stat_add_joint"), square("stat_dom_joint").alias("stat_dom_joint"),
+        F.count("*").cast("double").alias("df")
+    )
 
 
 # --- shaping results ---
@@ -456,12 +561,19 @@ def union_joint_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT variant_index, u.trait, h2 FROM ({_UNION}) u LEFT JOIN {_H2_SQL} ON h.trait = u.trait", "k")
 def h2_map_join(s: SparkSession, d: str) -> DataFrame:
-    return _with_joint(s, d).join(F.broadcast(s.createDataFrame(list(_H2.items()), "trait string, h2 double")), "trait", "left").select("variant_index", "trait", "h2")
+    return _with_joint(s, d).join(
+        F.broadcast(s.createDataFrame(list(_H2.items()), "trait string, h2 double")), "trait", "left"
+    ).select("variant_index", "trait", "h2")
 
 
-@query(f"SELECT CASE WHEN trait = '__joint__' THEN 'multivariate' ELSE 'trait' END AS test_scope, count(*) AS n FROM ({_UNION}) GROUP BY 1", "k")
+@query(
+    f"SELECT CASE WHEN trait = '__joint__' THEN 'multivariate' ELSE 'trait' END AS test_scope, count(*) AS n FROM ({_UNION}) GROUP BY 1",
+    "k"
+)
 def test_scope(s: SparkSession, d: str) -> DataFrame:
-    return _with_joint(s, d).groupBy(F.when(F.col("trait") == "__joint__", "multivariate").otherwise("trait").alias("test_scope")).agg(F.count("*").alias("n"))
+    return _with_joint(s, d).groupBy(
+        F.when(F.col("trait") == "__joint__", "multivariate").otherwise("trait").alias("test_scope")
+    ).agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT variant_index, snp, chrom, pos FROM g", "g")
@@ -469,10 +581,15 @@ def distinct_variants(s: SparkSession, d: str) -> DataFrame:
     return g(s, d).select("variant_index", "snp", "chrom", "pos").dropDuplicates(["variant_index"])
 
 
-@query(f"SELECT trait, rank, variant_index, {_r('td * td', 5)} AS f FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY round(td * td, 5) DESC, variant_index)::INTEGER AS rank FROM e) WHERE rank <= 5", "e")
+@query(
+    f"SELECT trait, rank, variant_index, {_r('td * td', 5)} AS f FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY round(td * td, 5) DESC, variant_index)::INTEGER AS rank FROM e) WHERE rank <= 5",
+    "e"
+)
 def top_hits_per_trait(s: SparkSession, d: str) -> DataFrame:
     df = nested_f(s, d)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("trait").orderBy(F.desc("f"), "variant_index"))).where("rank <= 5").select("trait", "rank", "variant_index", "f")
+    return df.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("trait").orderBy(F.desc("f"), "variant_index"))
+    ).where("rank <= 5").select("trait", "rank", "variant_index", "f")
 
 
 @query("SELECT trait, variant_index FROM e ORDER BY round(td * td, 5) DESC, trait, variant_index LIMIT 1", "e")
@@ -497,7 +614,9 @@ def eigenvalues(s: SparkSession, d: str) -> DataFrame:
     """The sum of squares of each left-out chromosome's eigenvalues, which is that of its matrix's entries."""
     variants, n = packed(s, d)
     rows = [(chrom, len(e.s), float((e.s**2).sum())) for chrom, e in grm.loco_eigensystems(variants, range(n), n, _chroms(s, d))]
-    return s.createDataFrame(rows, "chrom string, n long, squares double").select("chrom", "n", rounded(F.col("squares"), 4).alias("squares"))
+    return s.createDataFrame(rows, "chrom string, n long, squares double").select(
+        "chrom", "n", rounded(F.col("squares"), 4).alias("squares")
+    )
 
 
 @query(f"""
@@ -511,5 +630,12 @@ def randomized_loco(s: SparkSession, d: str) -> DataFrame:
     for c in _chroms(s, d):
         others = variants.where(F.col("chrom") != c)
         e = grm.randomized(others, range(n), n, min(others.count(), n - 1), grm.chromosome_seed(c, 0), tolerance=1e-6)
-        rows.append((c, e.diagnostics["variants_in_loco_grm"], float(e.s.sum() + e.bulk * (n - len(e.s))), float((e.s**2).sum() + e.bulk**2 * (n - len(e.s)))))
-    return s.createDataFrame(rows, "chrom string, variants long, trace double, squares double").select("chrom", "variants", rounded(F.col("trace"), 5).alias("trace"), rounded(F.col("squares"), 3).alias("squares"))
+        rows.append(
+            (
+                c, e.diagnostics["variants_in_loco_grm"], float(e.s.sum() + e.bulk * (n - len(e.s))),
+                float((e.s**2).sum() + e.bulk**2 * (n - len(e.s)))
+            )
+        )
+    return s.createDataFrame(rows, "chrom string, variants long, trace double, squares double").select(
+        "chrom", "variants", rounded(F.col("trace"), 5).alias("trace"), rounded(F.col("squares"), 3).alias("squares")
+    )

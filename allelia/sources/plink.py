@@ -70,10 +70,15 @@ def _ordered(spark: SparkSession, path: str, types: list[str], schema: str) -> D
     for r in parts:
         starts.append((r["part"], before))
         before += r["n"]
-    offset = F.element_at(F.create_map(*(F.lit(x) for pair in starts for x in pair)), F.shiftright("at", 33)) if starts else F.lit(0)
+    offset = F.element_at(
+        F.create_map(*(F.lit(x) for pair in starts for x in pair)), F.shiftright("at", 33)
+    ) if starts else F.lit(0)
     cells = F.split(F.trim("value"), r"\s+")
     index = (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long" if names[0] == "variant_index" else "int")
-    return lines.select(index.alias(names[0]), *(F.try_element_at(cells, F.lit(i + 1)).try_cast(t).alias(n) for i, (t, n) in enumerate(zip(types, names[1:], strict=True))))
+    return lines.select(
+        index.alias(names[0]),
+        *(F.try_element_at(cells, F.lit(i + 1)).try_cast(t).alias(n) for i, (t, n) in enumerate(zip(types, names[1:], strict=True)))
+    )
 
 
 class BedFile:
@@ -121,7 +126,9 @@ def unpack(packed: np.ndarray, n: int, samples: np.ndarray | None = None) -> np.
 
 def dosages(calls: list[bytes], n: int, samples: np.ndarray | None = None) -> np.ndarray:
     """Dosages of packed calls, one row per variant."""
-    return unpack(np.frombuffer(b"".join(calls), np.uint8).reshape(len(calls), -1), n, samples) if calls else np.zeros((0, n if samples is None else len(samples)))
+    return unpack(
+        np.frombuffer(b"".join(calls), np.uint8).reshape(len(calls), -1), n, samples
+    ) if calls else np.zeros((0, n if samples is None else len(samples)))
 
 
 class Range(InputPartition):
@@ -196,7 +203,13 @@ class BedReader(DataSourceReader):
                 packed = pack((packed[:, picked // 4] >> (2 * (picked % 4)).astype(np.uint8)) & 3)
             rows = bim[a - partition.start : a - partition.start + len(packed)]
             cells = [[r[c].decode() for r in rows] for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(packed)), pa.int64()), *map(pa.array, cells), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["variant_index", "chrom", "snp", "pos", "calls"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(a, a + len(packed)), pa.int64()), *map(pa.array, cells),
+                    pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([x.tobytes() for x in packed], pa.binary())
+                ],
+                names=["variant_index", "chrom", "snp", "pos", "calls"]
+            )
 
 
 class BedSource(DataSource):
@@ -216,7 +229,9 @@ def read_bed(spark: SparkSession, prefix: str, **options: object) -> DataFrame:
     BedFile(prefix)  # a bad header fails here, not in a task
     spark.dataSource.register(BedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("plink_bed").option("prefix", absolute(prefix)).option("tasks", str(spark.sparkContext.defaultParallelism))
+    reader = spark.read.format("plink_bed").option("prefix", absolute(prefix)).option(
+        "tasks", str(spark.sparkContext.defaultParallelism)
+    )
     for k, v in options.items():
         reader = reader.option(k, ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v))
     return reader.load()
@@ -232,7 +247,9 @@ def call(calls: Column, sample: Column) -> Column:
 def to_long(variants: DataFrame, n: int) -> DataFrame:
     """(variant_index, chrom, snp, pos, sample_index, dosage) of every call: the relational form."""
     each = variants.withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return each.select("variant_index", "chrom", "snp", "pos", "sample_index", call(F.col("calls"), F.col("sample_index")).alias("dosage"))
+    return each.select(
+        "variant_index", "chrom", "snp", "pos", "sample_index", call(F.col("calls"), F.col("sample_index")).alias("dosage")
+    )
 
 
 def to_blocks(genotypes: DataFrame, n: int) -> DataFrame:
@@ -244,11 +261,20 @@ def to_blocks(genotypes: DataFrame, n: int) -> DataFrame:
 
         codes = np.ones((1, n), np.uint8)
         known = frame["dosage"].notna().to_numpy()
-        codes[0, frame["sample_index"].to_numpy()[known]] = np.array([0, 2, 3], np.uint8)[frame["dosage"].to_numpy()[known].astype(int)]
+        codes[0, frame["sample_index"].to_numpy()[known]] = np.array([0, 2, 3], np.uint8)[
+            frame["dosage"].to_numpy()[known].astype(int)
+        ]
         head = frame.iloc[0]
-        return pd.DataFrame({"variant_index": [head["variant_index"]], "chrom": [head["chrom"]], "snp": [head["snp"]], "pos": [head["pos"]], "calls": [pack(codes)[0].tobytes()]})
+        return pd.DataFrame(
+            {
+                "variant_index": [head["variant_index"]], "chrom": [head["chrom"]], "snp": [head["snp"]], "pos": [head["pos"]],
+                "calls": [pack(codes)[0].tobytes()]
+            }
+        )
 
-    return genotypes.select("variant_index", "chrom", "snp", "pos", "sample_index", F.col("dosage").cast("double").alias("dosage")).groupBy("variant_index").applyInPandas(packed, schema)
+    return genotypes.select(
+        "variant_index", "chrom", "snp", "pos", "sample_index", F.col("dosage").cast("double").alias("dosage")
+    ).groupBy("variant_index").applyInPandas(packed, schema)
 
 
 def write_fileset(variants: DataFrame, iids: list[str], prefix: str, a0: str = "A", a1: str = "G") -> str:
@@ -266,11 +292,16 @@ def write_fileset(variants: DataFrame, iids: list[str], prefix: str, a0: str = "
     return prefix
 
 
-def write_plink(prefix: str, dosage: np.ndarray, iids: list[str], chroms: list[str], positions: list[int], a0: str = "A", a1: str = "G", snps: list[str] | None = None) -> None:
+def write_plink(
+    prefix: str, dosage: np.ndarray, iids: list[str], chroms: list[str], positions: list[int], a0: str = "A", a1: str = "G",
+    snps: list[str] | None = None
+) -> None:
     """Writes samples-by-variants dosages (NaN: missing) as a fileset."""
     dosage = np.asarray(dosage, float).T
     codes = np.where(np.isnan(dosage), 1, np.array([0, 2, 3])[np.nan_to_num(dosage).astype(int)]).astype(np.uint8)
     Path(f"{prefix}.bed").write_bytes(MAGIC + pack(codes).tobytes())
     names = snps or [f"rs{i}" for i in range(len(dosage))]
-    Path(f"{prefix}.bim").write_text("".join(f"{c}\t{s}\t0\t{p}\t{a0}\t{a1}\n" for c, s, p in zip(chroms, names, positions, strict=True)))
+    Path(f"{prefix}.bim").write_text(
+        "".join(f"{c}\t{s}\t0\t{p}\t{a0}\t{a1}\n" for c, s, p in zip(chroms, names, positions, strict=True))
+    )
     Path(f"{prefix}.fam").write_text("".join(f"{i}\t{i}\t0\t0\t0\t-9\n" for i in iids))

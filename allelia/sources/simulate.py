@@ -8,7 +8,10 @@ import pandas as pd
 from .plink import write_plink
 
 
-def simulate(prefix: str, n_fam: int = 200, sibs: int = 4, n_chrom: int = 3, snps_per_chrom: int = 1000, Va: float = 0.25, Vd: float = 0.35, Ve: float = 0.40, n_causal_add: int = 60, n_causal_dom: int = 60, big_dom_effect: float = 6.0, seed: int = 0) -> dict:  # noqa: N803
+def simulate(
+    prefix: str, n_fam: int = 200, sibs: int = 4, n_chrom: int = 3, snps_per_chrom: int = 1000, Va: float = 0.25, Vd: float = 0.35,
+    Ve: float = 0.40, n_causal_add: int = 60, n_causal_dom: int = 60, big_dom_effect: float = 6.0, seed: int = 0
+) -> dict:  # noqa: N803
     """Independent loci, siblings of two random parents each; one locus of y_dom has a large overdominant effect.
 
     Returns the traits by sample id (y_add, y_dom, y_mix, y_null), the causal loci and the planted one.
@@ -33,6 +36,18 @@ def simulate(prefix: str, n_fam: int = 200, sibs: int = 4, n_chrom: int = 3, snp
     ga, gd = genetic(dosage, add, Va), genetic(het, dom, Vd)
     noise = lambda v: rng.normal(size=n) * np.sqrt(v)
     iids = [f"ID{i:05d}" for i in range(n)]
-    pheno = pd.DataFrame({"y_add": ga + noise(1 - Va), "y_dom": gd + noise(1 - Vd) + big_dom_effect * (het[:, big] - het[:, big].mean()), "y_mix": ga + gd + noise(Ve), "y_null": noise(1.0)}, index=iids)
-    write_plink(prefix, dosage, iids, [str(c) for c in np.repeat(np.arange(1, n_chrom + 1), snps_per_chrom)], np.tile(np.arange(1, snps_per_chrom + 1) * 1000, n_chrom).tolist())
-    return {"pheno": pheno, "causal_add": add, "causal_dom": dom, "big_dom_snp": big, "big_dom_name": f"rs{big}", "n": n, "m": m, "maf": maf, "dosage": dosage}
+    pheno = pd.DataFrame(
+        {
+            "y_add": ga + noise(1 - Va), "y_dom": gd + noise(1 - Vd) + big_dom_effect * (het[:, big] - het[:, big].mean()),
+            "y_mix": ga + gd + noise(Ve), "y_null": noise(1.0)
+        },
+        index=iids
+    )
+    write_plink(
+        prefix, dosage, iids, [str(c) for c in np.repeat(np.arange(1, n_chrom + 1), snps_per_chrom)],
+        np.tile(np.arange(1, snps_per_chrom + 1) * 1000, n_chrom).tolist()
+    )
+    return {
+        "pheno": pheno, "causal_add": add, "causal_dom": dom, "big_dom_snp": big, "big_dom_name": f"rs{big}", "n": n, "m": m,
+        "maf": maf, "dosage": dosage
+    }

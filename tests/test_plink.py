@@ -19,7 +19,9 @@ def test_round_trip_and_tables(spark, fileset):
     prefix, dosage = fileset
     rows = plink.read_bed(spark, prefix, variants_per_partition=7).orderBy("variant_index").collect()
     assert np.array_equal(plink.dosages([r["calls"] for r in rows], 50).T, dosage, equal_nan=True)
-    bim, fam = plink.read_bim(spark, prefix).orderBy("variant_index").collect(), plink.read_fam(spark, prefix).orderBy("sample_index").collect()
+    bim, fam = plink.read_bim(spark, prefix).orderBy(
+        "variant_index"
+    ).collect(), plink.read_fam(spark, prefix).orderBy("sample_index").collect()
     assert [r["snp"] for r in bim] == [f"rs{i}" for i in range(30)] and [r["pos"] for r in bim] == list(range(30))
     assert [r["iid"] for r in fam] == [f"I{i}" for i in range(50)]
 
@@ -27,7 +29,9 @@ def test_round_trip_and_tables(spark, fileset):
 def test_subsets_and_pruning(spark, fileset):
     prefix, dosage = fileset
     some = [0, 3, 17, 49]
-    rows = plink.read_bed(spark, prefix, samples=some).where((F.col("variant_index") >= 11) & (F.col("variant_index") < 20)).orderBy("variant_index").collect()
+    rows = plink.read_bed(spark, prefix, samples=some).where(
+        (F.col("variant_index") >= 11) & (F.col("variant_index") < 20)
+    ).orderBy("variant_index").collect()
     assert np.array_equal(plink.dosages([r["calls"] for r in rows], 4).T, dosage[some, 11:20], equal_nan=True)
     only = plink.read_bed(spark, prefix).where("chrom = 'X'")
     assert [r["variant_index"] for r in only.orderBy("variant_index").collect()] == list(range(12, 30))
