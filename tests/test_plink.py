@@ -40,6 +40,18 @@ def test_subsets_and_pruning(spark, fileset):
         plink.unpack(plink.BedFile(prefix).packed(0, 1), 50, np.array([50]))
 
 
+def test_ranges_and_a_streamed_fileset(spark, fileset, tmp_path):
+    prefix, dosage = fileset
+    some = plink.read_bed(spark, prefix).where((F.col("variant_index") > 4) & (F.col("variant_index") <= 21) & F.col("chrom").isin("1", "X"))
+    assert [r["variant_index"] for r in some.orderBy("variant_index").collect()] == list(range(5, 22))
+    parts = plink.BedReader({"prefix": prefix, "variants_per_partition": "7"}).partitions()
+    assert [(p.start, p.stop) for p in parts] == [(a, min(a + 7, 30)) for a in range(0, 30, 7)]
+    lines = open(f"{prefix}.bim", "rb").read()
+    assert all(lines[p.line :].split()[1] == f"rs{p.start}".encode() for p in parts)
+    again = plink.write_fileset(plink.read_bed(spark, prefix, variants_per_partition=4), [f"I{i}" for i in range(50)], str(tmp_path / "w"))
+    assert all(open(f"{again}{x}", "rb").read() == open(f"{prefix}{x}", "rb").read() for x in (".bed", ".bim", ".fam"))
+
+
 def test_long_and_block_forms_agree(spark, fileset):
     prefix, dosage = fileset
     long = plink.to_long(plink.read_bed(spark, prefix), 50)
