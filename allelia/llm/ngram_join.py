@@ -44,6 +44,8 @@ BLOCK = 800_000
 ORDERED = 1 << 20
 #: Documents that a shingle must be in (by its bucket) to be told apart, and from how many on its key's run is split.
 LEAST_COMMON, HOT = 4, 1 << 13
+#: Buckets that a task sorts at once, and the bits of a bucket within its range.
+FLUSH, LOW = 1 << 21, 20
 #: Classes that a task remembers, so that copies of one text give their keys once.
 REMEMBERED = 200_000
 
@@ -96,16 +98,93 @@ class Order:
         return found[rare], self.level(found[rare])
 
 
+def _told_apart(buckets: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Range and gaps of ascending 32-bit buckets: of each range, the differences as 16-bit numbers, 65535 for that and no bucket."""
+    place = (buckets >> np.uint32(LOW)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(buckets)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        low = (buckets[a:b] & np.uint32((1 << LOW) - 1)).astype(np.int64)
+        gap = np.diff(low, prepend=0)
+        out = np.full(len(gap) + int((gap // 65535).sum()), 65535, np.uint16)
+        out[np.cumsum(gap // 65535 + 1) - 1] = gap % 65535
+        yield int(place[a]), out.tobytes()
+
+
+def _buckets(gaps: bytes) -> np.ndarray:
+    """The buckets, within their range, that these gaps stand for."""
+    found = np.frombuffer(gaps, np.uint16)
+    return np.cumsum(found, dtype=np.int64)[found != 65535]
+
+
+class Counts:
+    """How often each bucket of a range was seen; never more than a range's buckets and FLUSH of what is not added up yet."""
+
+    def __init__(self) -> None:
+        self.found, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        self.held.append(buckets)
+        self.size += len(buckets)
+        if self.size >= FLUSH:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending buckets and their counts."""
+        weights = np.concatenate([self.counts, np.ones(self.size, np.int64)])
+        self.found, which = np.unique(np.concatenate([self.found, *self.held]), return_inverse=True)
+        self.counts = np.bincount(which, weights=weights, minlength=len(self.found)).astype(np.int64)
+        self.held, self.size = [], 0
+        return self.found, self.counts
+
+
 def frequencies(docs: DataFrame, n: int) -> Order:
-    """The order, from counts of all documents' shingles. The driver sees at most ORDERED buckets."""
+    """The order, from counts of all documents' shingles. The driver sees at most ORDERED buckets.
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            found = np.concatenate([np.zeros(0, np.uint64), *sets(_texts(batch), n)])
-            yield pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["bucket"])
+    A task sorts FLUSH shingles' buckets at a time and sends the gaps between them, two bytes each, by ranges; a range's
+    counts are then added up, streamed.
+    """
 
-    counts = docs.mapInArrow(buckets, "bucket int").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COMMON)
-    counts = materialize(counts.select("bucket", F.floor(F.log2(F.col("n").cast("double"))).cast("tinyint").alias("level")), "frequencies")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            rows = list(_told_apart(np.sort(np.concatenate(held))))
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "gaps"])
+
+        for batch in batches:
+            for small_ in sliced([batch], 1):
+                for x in sets(_texts(small_), n):
+                    held.append((x >> np.uint64(32)).astype(np.uint32))
+                    size += len(x)
+                if size >= FLUSH:
+                    yield told()
+                    held, size = [], 0
+        if size:
+            yield told()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, Counts()
+
+        def told() -> pa.RecordBatch:
+            found, counts = seen.sum()
+            low = found[counts >= LEAST_COMMON]
+            level = np.log2(counts[counts >= LEAST_COMMON]).astype(np.int8)
+            return pa.RecordBatch.from_arrays([pa.array((low + (at << LOW)).astype(np.uint32).view(np.int32)), pa.array(level)], names=["bucket", "level"])
+
+        for batch in batches:
+            for place, gaps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if place != at:
+                    if at is not None:
+                        yield told()
+                    at, seen = place, Counts()
+                seen.add(_buckets(gaps))
+        if at is not None:
+            yield told()
+
+    sent = docs.mapInArrow(send, "range int, gaps binary").repartition("range").sortWithinPartitions("range")
+    counts = materialize(sent.mapInArrow(add, "bucket int, level tinyint"), "frequencies")
     total, least = 0, 127
     for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # a row per power of two
         total += r["k"]

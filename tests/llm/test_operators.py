@@ -235,6 +235,21 @@ def test_linked_sets_share_a_key_and_the_trie_finds_all_links(percent):
         assert [u.find(i) for i in range(len(found))] == [v.find(i) for i in range(len(found))]
 
 
+def test_the_order_counts_every_shingle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FLUSH", 50)
+    monkeypatch.setattr(ngram_join, "LEAST_COMMON", 1)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices("abcd", k=rnd.randint(0, 30)))) for i in range(200)]
+    order = ngram_join.frequencies(docs(spark, rows).select("doc_id", "text"), 3)
+    found = np.concatenate(ngram_join.sets([t.encode() for _, t in rows], 3))
+    values, counts = np.unique(found, return_counts=True)
+    assert np.array_equal(order.level(values), np.log2(counts).astype(np.int8))
+    buckets = np.sort(np.array([0, 0, 5, 65535, 200_000, 200_000, (1 << 20) - 1, 1 << 20, (7 << 20) + 65535, 0xFFFFFFFF], np.uint32))
+    told = np.concatenate([ngram_join._buckets(x) + (r << 20) for r, x in ngram_join._told_apart(buckets)])
+    assert np.array_equal(told, buckets)
+    assert len(ngram_join.frequencies(docs(spark, []).select("doc_id", "text"), 3).buckets) == 0
+
+
 def test_runs_are_cut_by_size_alone():
     import pyarrow as pa
 
