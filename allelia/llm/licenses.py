@@ -1,6 +1,7 @@
 """Licence scans by canonical digest: a whole text, normalised, is hash-joined to the digests of known licences.
 
-Normalising, in this order: lower case; copyright lines go; equivalent spellings are made one; every run of characters
+Normalising, in this order: lower case; copyright lines go (a line that says more than a copyright line can stays, so that a
+text in one line isn't lost for its statement); equivalent spellings are made one; every run of characters
 that aren't letters or digits becomes one space; the ends are trimmed. The digest is SHA-256 of what is left. All of it
 is built-in column functions, one pass without a shuffle of the documents. The known licences are a parameter, the texts
 of each id; by default LICENSES, LINES and the whole texts in license_texts/ (with and without what follows their terms).
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 # Patterns and their replacements, in order of use, on lower-cased text. The syntax is common to Java and RE2.
 RULES: list[tuple[str, str]] = [
-    (r"(?m)^[^\n]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]*$", " "),
+    (r"(?m)^[^\n]{0,40}(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4})[^\n]{0,200}$", " "),
     (r"(?m)^[ \t]*all rights reserved\.?[ \t]*$", " "),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
@@ -56,7 +57,7 @@ LICENSES: dict[str, list[str]] = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
 }
-# Further one-liners. The SQL of `oracle` knows LICENSES alone.
+# Further one-liners. The SQL of `oracle` knows these and LICENSES, not the whole texts.
 LINES: dict[str, list[str]] = {"GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."]}
 _END = "END OF TERMS AND CONDITIONS"
 
@@ -113,7 +114,7 @@ def oracle() -> str:
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(put)}, 'g')"
         return f"nullif(trim({out}), '')"
 
-    rows = ", ".join(f"({quote(k)}, {quote(t)})" for k, texts in LICENSES.items() for t in texts)
+    rows = ", ".join(f"({quote(k)}, {quote(t)})" for part in (LICENSES, LINES) for k, texts in part.items() for t in texts)
     return f"""
         WITH k AS (SELECT sha256({told('t')}) AS canonical_digest, min(id) AS license_id FROM (VALUES {rows}) AS v(id, t) GROUP BY 1),
         d AS (SELECT doc_id, sha256({told('text')}) AS canonical_digest FROM documents)
