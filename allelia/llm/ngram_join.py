@@ -7,15 +7,18 @@
 3. Two sets that link share an element among the n - ceil(n percent / 100) + 1 last of each one's order, its rarest (the
    prefix filter, which loses nothing). Each set gives these elements as keys; along a key sets go by size, and where
    the next is too long for the one before, none after links with any before, so the run is cut there.
-4. Sets in one run are candidates; candidates are joined to components, of near copies mostly, for the shingles that many
-   texts share come first in the order and give no key. A component is cut by length (a link needs lengths within the
-   similarity) and, beyond BLOCK elements, dealt by a hash into blocks: every two classes that can link meet in a
-   group, and no group grows with the data. Blocks meet a bounded number of the component's sets first, for most of a
-   large cluster is one component then; blocks meet each other only for the sets that are still apart.
-5. Within a group, sets are stored in a trie in the global order, frequent elements first, so that shared parts are
+4. Two sets that link differ in at most D elements (by their sizes), so of D + 1 ranges of hashes one holds the same
+   elements of both: what a set has in each range, as one hash, are keys of a second kind, which loses nothing either.
+   The keys of each kind tie sets to components, and sets are candidates that are in one component of either kind: rare
+   shingles that unlike texts share by chance tie the first kind, ranges of few elements the second, but seldom both.
+5. A component is cut by length (a link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash
+   into blocks: every two classes that can link meet in a group, and no group grows with the data. Blocks meet a bounded
+   number of the component's sets first, for most of a large cluster is one component then; blocks meet each other only
+   for the sets that are still apart.
+6. Within a group, sets are stored in a trie in the global order, frequent elements first, so that shared parts are
    shared paths. A set walks the trie with its partial overlap; a subtree is left when its remaining length can't reach
    the needed overlap, or when all of it is in the set's component already.
-6. Links become components; each row gets its component's smallest id.
+7. Links become components; each row gets its component's smallest id.
 
 Words are runs of bytes other than white space (space and 09-0D), A-Z lower-cased. A set has the distinct n-word shingles; a text of fewer
 words gives its whole sequence as one; one without words is empty and links with nothing. Hashes are 64 bits: two sets
@@ -38,8 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, materialize, mix, share, shingles, sliced, small, word_hashes
 
-#: Elements of all sets in one block.
-BLOCK = 800_000
+#: Elements of all sets in one block, and of a component that is small.
+BLOCK, SMALL = 800_000, 50_000
+#: Sizes from which on a band of the second rule begins: powers of 1.5.
+EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
+#: Runs that the key of an empty range is dealt to.
+EMPTY_RUNS = 64
+#: Elements of small components that are looked at in one group.
+TOGETHER = 40_000
+#: Sizes from which on a band of the second rule begins: powers of 1.5.
+EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
 #: Buckets that the order tells apart by their frequency; 5 bytes each wherever sets are ordered.
 ORDERED = 1 << 20
 #: Documents that a shingle must be in (by its bucket) to be told apart, and from how many on its key's run is split.
@@ -207,6 +218,25 @@ def named(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(make, ", ".join(["doc_id long, n long, class long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
 
 
+def range_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set holds in each of D + 1 ranges of hashes, as one hash, and which are empty: sets that link have one in common.
+
+    D is that of the largest sets of the set's band of sizes; a set near its band's end has the next band's keys too.
+    """
+    n, out, empty = len(found), [], []
+    if 100 * n < percent * (n + 1):  # no other set is close enough
+        return found[:0], np.zeros(0, bool)
+    own = int(np.searchsorted(EDGES, n, side="right")) - 1
+    inner = mix(found ^ np.uint64(0x5DEECE66D))
+    for band in (own, own + 1) if 100 * n >= percent * EDGES[own + 1] else (own,):
+        ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
+        sums = np.zeros(ranges, np.uint64)
+        np.add.at(sums, (((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64), inner)
+        empty.append(sums == 0)
+        out.append(mix(sums + mix(np.arange(ranges, dtype=np.uint64) * np.uint64(1024) + np.uint64(band))))
+    return np.concatenate(out), np.concatenate(empty)
+
+
 class Once:
     """Tells whether a class is new to this task, of the REMEMBERED last ones at least."""
 
@@ -221,64 +251,94 @@ class Once:
         return not known
 
 
+_RUNS = ["key", "kind", "a", "b", "lo", "hi"]
+
+
 def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, lo, hi, class) in this order: links (key null, a, b) of each run's members to its first, and the runs of salted keys."""
-    names = ["key", "a", "b", "lo", "hi"]
-    last, reach, center, run = None, 0, 0, None
+    """Rows (key, salt, kind, lo, hi = lo, class) in this order: links (key null, kind, a, b) of each run's members to its first, and the runs of salted keys."""
+    open_ = None  # key, salt, kind, sizes from and to, and first class of the run that may go on
+
+    def told(key: np.ndarray, kind: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.nulls(len(key), pa.int64()), pa.array(first), pa.array(lo), pa.array(hi)], names=_RUNS)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, salt, lo, hi, name = (batch.column(c).to_numpy() for c in range(5))
+        key, salt, kind, lo, _, name = (batch.column(i).to_numpy() for i in range(6))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1]) | (percent * lo[1:] > 100 * lo[:-1])
+        if open_ is not None:
+            new[0] = (key[0], salt[0], kind[0]) != open_[:3] or percent * lo[0] > 100 * open_[4]
+            if new[0] and open_[1] >= 0:
+                yield told(*(np.array([x], np.int64) for x in (open_[0], open_[2], open_[5], open_[3], open_[4])))
+        starts = np.flatnonzero(new)
+        starts = starts if new[0] else np.concatenate([[0], starts])
+        ends = np.append(starts[1:], len(key)) - 1
+        first, low = name[starts], lo[starts]
+        if not new[0]:
+            first, low = first.copy(), low.copy()
+            first[0], low[0] = open_[5], open_[3]
+        of = np.repeat(first, ends - starts + 1)
+        links_ = np.unique(np.stack([kind, name, of], 1)[of != name], axis=0)
+        zero = np.zeros(len(links_), np.int64)
+        if len(links_):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(links_), pa.int64()), *(pa.array(links_[:, i]) for i in range(3)), pa.array(zero), pa.array(zero)], names=_RUNS)
+        over = np.flatnonzero(salt[starts[:-1]] >= 0)
+        if len(over):
+            yield told(key[starts[over]], kind[starts[over]], first[over], low[over], lo[ends[over]])
+        open_ = (key[-1], salt[-1], kind[-1], low[-1], lo[-1], first[-1])
+    if open_ is not None and open_[1] >= 0:
+        yield told(*(np.array([x], np.int64) for x in (open_[0], open_[2], open_[5], open_[3], open_[4])))
+
+
+def _merged(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, salt, kind, lo, hi, class) of runs, in this order: links (key null, kind, a, b) between the first classes of those that meet."""
+    last, reach, center = None, 0, 0
+    for batch in batches:
         out: list[tuple] = []
-        for k, s, x, y, c in zip(key.tolist(), salt.tolist(), lo.tolist(), hi.tolist(), name.tolist(), strict=True):
-            if (k, s) == last and percent * x <= 100 * reach:
+        for k, _, kind, x, y, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (k, kind) == last and percent * x <= 100 * reach:
                 reach = max(reach, y)
                 if c != center:
-                    out.append((None, c, center, 0, 0))
-                if run:
-                    run[4] = reach
-                continue
-            if run:
-                out.append(tuple(run))
-            last, reach, center = (k, s), y, c
-            run = [k, None, c, x, y] if s >= 0 else None
+                    out.append((None, kind, c, center, 0, 0))
+            else:
+                last, reach, center = (k, kind), y, c
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-    if run:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in run], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_RUNS)
 
 
 def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """(a, b): links between classes whose components hold every two classes that can link.
+    """kind (0, 1), a, b: links between classes. Every two classes that can link are in one component of either kind.
 
-    A key's classes are sorted by size and streamed, never gathered. The run of a key that HOT or more documents have is
-    dealt by class to salted runs, whose firsts and sizes make a second, short run.
+    A key's classes are sorted by size and streamed, never gathered. The run of a key that HOT or more documents have, or of
+    an empty range, is dealt by class to salted runs, whose firsts and sizes make a second, short run.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = Once()
         for batch in sliced(batches, 1):
-            names, sizes, keys, levels = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+            parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))]
             for x in sets(_texts(batch), n):
                 if len(x) and new(name := class_of(x)):
-                    k, level = order.value.keys(x, percent)
-                    names += [name] * len(k)
-                    sizes += [len(x)] * len(k)
-                    keys.append(k)
-                    levels.append(level)
-            name, size, level = np.array(names, np.int64), np.array(sizes, np.int64), np.concatenate(levels).astype(np.int64)
-            parts = np.where(level >= hot, np.int64(1) << np.maximum(level - hot + 1, 0), 0)
-            salt = np.where(parts > 0, name % np.maximum(parts, 1), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(salt), pa.array(size), pa.array(size), pa.array(name)], names=["key", "salt", "lo", "hi", "class"])
+                    rare, level = order.value.keys(x, percent)
+                    ranges, empty = range_keys(x, percent)
+                    deal = np.where(level >= hot, np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0), 0)
+                    deal = np.concatenate([deal, np.where(empty, EMPTY_RUNS, 0)])
+                    kind = np.repeat(np.array([0, 1]), [len(rare), len(ranges)])
+                    parts.append((np.concatenate([rare, ranges]), np.where(deal > 0, name % np.maximum(deal, 1), -1), kind, np.full(len(kind), len(x)), np.full(len(kind), name)))
+            key, salt, kind, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, (salt, kind, size, size, name))], names=["key", "salt", "kind", "lo", "hi", "class"])
 
     hot = HOT.bit_length() - 1
-    spark, runs, out = docs.sparkSession, lambda batches: _runs(percent, batches), "key long, a long, b long, lo long, hi long"
-    shared = docs.mapInArrow(emit, "key long, salt long, lo long, hi long, class long").repartition("key", "salt").sortWithinPartitions("key", "salt", "lo", "class")
+    spark, out = docs.sparkSession, "key long, kind long, a long, b long, lo long, hi long"
+    order_ = ["key", "salt", "kind", "lo", "class"]
+    shared = docs.mapInArrow(emit, "key long, salt long, kind long, lo long, hi long, class long").repartition("key", "salt").sortWithinPartitions(order_)
+    bounded_batches(spark, 20_000)
+    found = materialize(shared.mapInArrow(lambda batches: _runs(percent, batches), out).distinct(), "runs")
     bounded_batches(spark)
-    found = materialize(shared.mapInArrow(runs, out).distinct(), "runs")
-    firsts = found.where("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("salt"), "lo", "hi", F.col("b").alias("class"))
-    met = firsts.repartition("key").sortWithinPartitions("key", "salt", "lo", "class").mapInArrow(runs, out)
-    return found.where("key IS NULL").select("a", "b").unionByName(met.select("a", "b"))
+    firsts = found.where("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("salt"), "kind", "lo", "hi", F.col("b").alias("class"))
+    met = firsts.repartition("key").sortWithinPartitions(order_).mapInArrow(lambda batches: _merged(percent, batches), out)
+    return found.where("key IS NULL").select("kind", "a", "b").unionByName(met.select("kind", "a", "b"))
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -481,15 +541,24 @@ def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None
     head = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("head")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else []))
     order = share(spark, frequencies(docs, n))
-    near = connected_components(candidates(docs, n, percent, order))
+    tied = materialize(candidates(docs, n, percent, order), "tied")
+    rare, ranges = (connected_components(tied.where(F.col("kind") == k).select("a", "b")) for k in (0, 1))
+    near = rare.withColumnRenamed("root", "one").join(ranges.withColumnRenamed("root", "two"), "node").select("node", F.xxhash64("one", "two").alias("root"))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
+    members = materialize(members, "members")
+    # a class that is alone in its part links with nothing
+    members = members.join(small(materialize(members.groupBy("part").count().where("count > 1").select("part"), "parts")), "part", "left_semi")
     # bands of length: a link's two lengths are in the same or in neighbouring ones
-    members = materialize(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "members")
+    members = materialize(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "banded")
     bands = members.groupBy("part", "band").agg(F.sum("n").alias("size"))
     large = materialize(bands.join(bands.groupBy("part").agg(F.sum("size").alias("all")).where(F.col("all") > BLOCK), "part"), "large")
-    beyond = small(large.select("part").distinct())
-    zero = F.lit(0)
-    alone = members.join(beyond, "part", "left_anti").select("class", "first", "part", *(zero.alias(c) for c in ("band", "x", "y", "z")), F.lit(True).alias("asks"), F.col("class").alias("root"))
+    beyond, zero = small(large.select("part").distinct()), F.lit(0)
+    sizes = materialize(members.groupBy("part").agg(F.sum("n").alias("size")), "sizes")
+    total = sizes.where(F.col("size") <= SMALL).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # small parts share a group: band 1, and part is the group's number
+    shared = F.pmod(F.xxhash64("part", F.lit(3)), F.lit(max(1, -(-total // TOGETHER))))
+    alone = members.join(beyond, "part", "left_anti").join(small(sizes), "part").withColumn("few", F.col("size") <= SMALL)
+    alone = alone.select("class", "first", F.when(F.col("few"), shared).otherwise(F.col("part")).alias("part"), F.col("few").cast("int").alias("band"), *(zero.alias(c) for c in "xyz"), F.lit(True).alias("asks"), F.col("class").alias("root"))
     edges = _meet(docs, alone, n, percent, order)
     if not large.isEmpty():
         edges = edges.unionByName(_large(docs, members.join(beyond, "part", "left_semi"), large, n, percent, order))

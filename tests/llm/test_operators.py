@@ -179,6 +179,8 @@ def test_join_is_exact(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # the small one makes every component meet in blocks
     if block == 150:  # and every run of more than a few is split, and nothing is broadcast
         monkeypatch.setattr(ngram_join, "HOT", 4)
+        monkeypatch.setattr(ngram_join, "SMALL", 100)
+        monkeypatch.setattr(ngram_join, "TOGETHER", 300)
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rnd = random.Random(percent)
     rows = []
@@ -223,12 +225,13 @@ def test_linked_sets_share_a_key_and_the_trie_finds_all_links(percent):
         some = some[rng.random(len(some)) < 0.5]
         order = ngram_join.Order(some, rng.integers(1, 4, len(some)).astype(np.int8))
         keys = [set(order.keys(x, percent)[0].tolist()) for x in found]
+        ranges = [set(ngram_join.range_keys(x, percent)[0].tolist()) for x in found]
         u, v = ngram_join.Union(len(found)), ngram_join.Union(len(found))
         for a in range(len(found)):
             for b in range(a):
                 both = len(np.intersect1d(found[a], found[b]))
                 if 100 * both >= percent * (len(found[a]) + len(found[b]) - both):
-                    assert keys[a] & keys[b]
+                    assert keys[a] & keys[b] and ranges[a] & ranges[b]
                     u.join(a, b)
         for a, b in ngram_join.links(found, percent, order):
             v.join(a, b)
@@ -254,24 +257,28 @@ def test_runs_are_cut_by_size_alone():
     import pyarrow as pa
 
     rnd = random.Random(4)
-    rows = sorted((rnd.randint(0, 30), -1 if k < 15 else rnd.randint(0, 3), x, x, k) for k in range(300) for x in [int(1.3 ** rnd.randint(1, 25))])
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7], strict=True)], names=["key", "salt", "lo", "hi", "class"]) for i in range(0, 300, 7)]
+    names = ["key", "salt", "kind", "lo", "hi", "class"]
+    rows = sorted((rnd.randint(0, 30), -1 if k < 150 else rnd.randint(0, 3), k % 2, x, x, k) for k in range(300) for x in [int(1.3 ** rnd.randint(1, 25))])
+    rows.sort(key=lambda r: (*r[:4], r[5]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7], strict=True)], names=names) for i in range(0, 300, 7)]
     told = [r for b in ngram_join._runs(80, iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    again = sorted((key, -1, lo, hi, name) for key, _, name, lo, hi in told if key is not None)
-    merged = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again, strict=True)], names=["key", "salt", "lo", "hi", "class"])
-    told += [r for b in ngram_join._runs(80, iter([merged])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    again = sorted((key, -1, kind, lo, hi, name) for key, kind, _, name, lo, hi in told if key is not None)
+    merged = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again, strict=True)], names=names)
+    told += [r for b in ngram_join._merged(80, iter([merged])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     u = ngram_join.Union(300)
-    for key, a, b, _, _ in told:
+    for key, kind, a, b, _, _ in told:
         if key is None:
+            assert a % 2 == b % 2 == kind
             u.join(a, b)
     for i, x in enumerate(rows):
         for y in rows[:i]:
-            if x[0] == y[0] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and (x[1] < 0) == (y[1] < 0):
-                assert u.find(x[4]) == u.find(y[4])
+            if x[0] == y[0] and x[2] == y[2] and 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3]) and (x[1] < 0) == (y[1] < 0):
+                assert u.find(x[5]) == u.find(y[5])
 
 
 def test_a_large_cluster_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 20_000)
+    monkeypatch.setattr(ngram_join, "SMALL", 5_000)
     rnd = random.Random(12)
     base, far = words(rnd, 60).split(), words(rnd, 60).split()
     rows = []
@@ -726,6 +733,29 @@ def test_licences_by_canonical_digest(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_planted_licences_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rnd, rows = random.Random(5), []
+    texts = [(k, t) for part in (licenses.LICENSES, licenses.LINES) for k, each in part.items() for t in each]
+    for i, (_, t) in enumerate(texts):
+        flat = " ".join(t.split())
+        rows += [(10 * i, f"Copyright (c) 20{i:02} Some Body <a@b.c>\n\n{t}"), (10 * i + 1, t.upper().replace("LICENSE", "LICENCE")), (10 * i + 2, flat), (10 * i + 3, f"{flat} Copyright 2020 B"), (10 * i + 4, words(rnd, 50) + " " + t), (10 * i + 5, t.replace(".", " . "))]
+    rows += [(9001, None), (9002, ""), (9003, "© 2020 nobody"), (9004, "All rights reserved"), (9005, "(c) (c) " + "x" * 300)]
+    df = docs(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.execute(f"SELECT doc_id, canonical_digest, license_id FROM ({licenses.oracle()})").fetchall()
+    got = [(r["doc_id"], r["canonical_digest"], r["license_id"]) for r in licenses.scan(df).collect()]
+    assert sorted(got, key=repr) == sorted(told, key=repr)
+    found = {i: k for i, _, k in got}
+    for i, (k, _) in enumerate(texts):
+        assert found[10 * i] == found[10 * i + 1] == found[10 * i + 2] == found[10 * i + 5] == k and found[10 * i + 3] is None and found[10 * i + 4] is None
+    digests = {i: x for i, x, _ in got}
+    assert digests[9003] is None and all(digests[10 * i + 3] for i, (_, t) in enumerate(texts) if len(t) > 100) and digests[9005]
+
+
 def test_whole_licence_texts_and_the_callers_own(spark):
     whole = licenses.whole_texts()
     assert set(whole) >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
