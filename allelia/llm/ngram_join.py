@@ -11,6 +11,8 @@
    elements of both: what a set has in each range, as one hash, are keys of a second kind, which loses nothing either.
    The keys of each kind tie sets to components, and sets are candidates that are in one component of either kind: rare
    shingles that unlike texts share by chance tie the first kind, ranges of few elements the second, but seldom both.
+   Where a range would hold fewer than HELD elements on average, which follows from the similarity alone, the second
+   kind costs many keys that tell little, and the first kind's components are the candidates.
 5. A component is cut by length (a link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash
    into blocks: every two classes that can link meet in a group, and no group grows with the data. Blocks meet a bounded
    number of the component's sets first, for most of a large cluster is one component then; blocks meet each other only
@@ -45,6 +47,10 @@ from .common import bounded_batches, connected_components, materialize, mix, sha
 BLOCK, SMALL = 800_000, 50_000
 #: Sizes from which on a band of the second rule begins: powers of 1.5.
 EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
+#: Sizes of sets from which on ranges are cut in parts, and how many.
+PAIRED, QUARTERS = 1000, 4
+#: Elements that ranges must hold on average for the second kind of keys: from a similarity of 0.89 on.
+HELD = 8
 #: Runs that the key of an empty range is dealt to.
 EMPTY_RUNS = 64
 #: Elements of small components that are looked at in one group.
@@ -219,9 +225,12 @@ def named(docs: DataFrame, n: int) -> DataFrame:
 
 
 def range_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a set holds in each of D + 1 ranges of hashes, as one hash, and which are empty: sets that link have one in common.
+    """What a set holds in ranges of hashes, as one hash each, and which are empty: sets that link have one in common.
 
-    D is that of the largest sets of the set's band of sizes; a set near its band's end has the next band's keys too.
+    D is the most elements that the largest sets of the set's band of sizes may differ in; a set near its band's end has
+    the next band's keys too. In bands of up to PAIRED there are D + 1 ranges, of which one is equal in both. Beyond, there are half
+    as many, of which one differs in an element at most; that one is cut in QUARTERS parts, all but one of which are equal, so
+    its keys are what it holds without each part: twice as many keys, of half as many elements again.
     """
     n, out, empty = len(found), [], []
     if 100 * n < percent * (n + 1):  # no other set is close enough
@@ -229,10 +238,18 @@ def range_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]
     own = int(np.searchsorted(EDGES, n, side="right")) - 1
     inner = mix(found ^ np.uint64(0x5DEECE66D))
     for band in (own, own + 1) if 100 * n >= percent * EDGES[own + 1] else (own,):
-        ranges = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent)) + 1
+        most = int((100 - percent) * 2 * (EDGES[band + 1] - 1) // (100 + percent))
+        paired = EDGES[band + 1] > PAIRED
+        ranges = (most // 2 + 1) * QUARTERS if paired else most + 1
         sums = np.zeros(ranges, np.uint64)
         np.add.at(sums, (((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64), inner)
-        empty.append(sums == 0)
+        if paired:
+            parts = sums.reshape(-1, QUARTERS)
+            held = parts != 0
+            sums = (parts.sum(1, keepdims=True) - parts).ravel()
+            empty.append((held.sum(1, keepdims=True) - held == 0).ravel())
+        else:
+            empty.append(sums == 0)
         out.append(mix(sums + mix(np.arange(ranges, dtype=np.uint64) * np.uint64(1024) + np.uint64(band))))
     return np.concatenate(out), np.concatenate(empty)
 
@@ -307,8 +324,13 @@ def _merged(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=_RUNS)
 
 
+def both_kinds(percent: int) -> bool:
+    """Whether ranges hold enough at this similarity."""
+    return 100 + percent >= 2 * (100 - percent) * HELD
+
+
 def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """kind (0, 1), a, b: links between classes. Every two classes that can link are in one component of either kind.
+    """kind (0, 1), a, b: links between classes. Every two classes that can link are in one component of each kind there is.
 
     A key's classes are sorted by size and streamed, never gathered. The run of a key that HOT or more documents have, or of
     an empty range, is dealt by class to salted runs, whose firsts and sizes make a second, short run.
@@ -321,7 +343,7 @@ def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
             for x in sets(_texts(batch), n):
                 if len(x) and new(name := class_of(x)):
                     rare, level = order.value.keys(x, percent)
-                    ranges, empty = range_keys(x, percent)
+                    ranges, empty = range_keys(x, percent) if two else (rare[:0], np.zeros(0, bool))
                     deal = np.where(level >= hot, np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0), 0)
                     deal = np.concatenate([deal, np.where(empty, EMPTY_RUNS, 0)])
                     kind = np.repeat(np.array([0, 1]), [len(rare), len(ranges)])
@@ -329,7 +351,7 @@ def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
             key, salt, kind, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, (salt, kind, size, size, name))], names=["key", "salt", "kind", "lo", "hi", "class"])
 
-    hot = HOT.bit_length() - 1
+    hot, two = HOT.bit_length() - 1, both_kinds(percent)
     spark, out = docs.sparkSession, "key long, kind long, a long, b long, lo long, hi long"
     order_ = ["key", "salt", "kind", "lo", "class"]
     shared = docs.mapInArrow(emit, "key long, salt long, kind long, lo long, hi long, class long").repartition("key", "salt").sortWithinPartitions(order_)
@@ -542,8 +564,10 @@ def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else []))
     order = share(spark, frequencies(docs, n))
     tied = materialize(candidates(docs, n, percent, order), "tied")
-    rare, ranges = (connected_components(tied.where(F.col("kind") == k).select("a", "b")) for k in (0, 1))
-    near = rare.withColumnRenamed("root", "one").join(ranges.withColumnRenamed("root", "two"), "node").select("node", F.xxhash64("one", "two").alias("root"))
+    near = connected_components(tied.where("kind = 0").select("a", "b"))
+    if both_kinds(percent):
+        ranges = connected_components(tied.where("kind = 1").select("a", "b")).withColumnRenamed("root", "two")
+        near = near.join(ranges, "node").select("node", F.xxhash64("root", "two").alias("root"))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
     members = materialize(members, "members")
     # a class that is alone in its part links with nothing
