@@ -67,12 +67,18 @@ def by_conversation(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def _emit(columns: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(columns), columns, strict=True)], names=[n for n, _ in columns])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(columns), columns, strict=True)],
+        names=[n for n, _ in columns]
+    )
 
 
 def chained(turns: DataFrame) -> DataFrame:
     """conv_id, pos, key, parent, root, start (characters of the history), segment, loss_from, loss_to (in the segment)."""
-    columns = [("conv_id", pa.int64()), ("pos", pa.int64()), ("key", pa.string()), ("parent", pa.string()), ("root", pa.string()), ("start", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())]
+    columns = [
+        ("conv_id", pa.int64()), ("pos", pa.int64()), ("key", pa.string()), ("parent", pa.string()), ("root", pa.string()),
+        ("start", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())
+    ]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pos, key, root, start = object(), 0, "", "", 0
@@ -85,13 +91,21 @@ def chained(turns: DataFrame) -> DataFrame:
                 parent, key = key, hashlib.blake2b(f"{key}{piece}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
                 root = root or key
                 first = piece.index(BREAK) + 1 if role == ASSISTANT else 0
-                rows.append((conv_id, pos, key, parent, root, start, piece, first, len(piece) - len(END) if role == ASSISTANT else 0))
+                rows.append(
+                    (conv_id, pos, key, parent, root, start, piece, first, len(piece) - len(END) if role == ASSISTANT else 0)
+                )
                 pos, start = pos + 1, start + len(piece)
             yield _emit(columns, rows)
 
-    plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    plain = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
+    )
     bounded_batches(turns.sparkSession)
-    return by_conversation(plain, "turn", "role", "text").mapInArrow(chain, "conv_id long, pos long, key string, parent string, root string, start long, segment string, loss_from long, loss_to long")
+    return by_conversation(plain, "turn", "role", "text").mapInArrow(
+        chain,
+        "conv_id long, pos long, key string, parent string, root string, start long, segment string, loss_from long, loss_to long"
+    )
 
 
 def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,12 +116,19 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = turns.sparkSession
     rows = materialize(chained(turns), "turns")
-    forks = rows.where("parent <> ''").groupBy("parent").agg(F.count_distinct("key").alias("n")).where("n > 1").select("parent", F.lit(True).alias("fork"))
+    forks = rows.where("parent <> ''").groupBy("parent").agg(F.count_distinct("key").alias("n")).where("n > 1").select(
+        "parent", F.lit(True).alias("fork")
+    )
     # first turns, which all have the same empty history, go round the join
     first = rows.where("parent = ''").withColumn("fork", F.lit(None).cast("boolean"))
-    flagged = rows.where("parent <> ''").join(small(materialize(forks, "forks")), "parent", "left").select(first.columns).unionByName(first)
+    flagged = rows.where("parent <> ''").join(
+        small(materialize(forks, "forks")), "parent", "left"
+    ).select(first.columns).unionByName(first)
     node = ["key", "root", "pos", "start", "segment", "loss_from", "loss_to"]
-    columns = [("key", pa.string()), ("root", pa.string()), ("pos", pa.int64()), ("start", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("path", pa.list_(pa.int64()))]
+    columns = [
+        ("key", pa.string()), ("root", pa.string()), ("pos", pa.int64()), ("start", pa.int64()), ("segment", pa.string()),
+        ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("path", pa.list_(pa.int64()))
+    ]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, path = object(), []
@@ -125,7 +146,9 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     walked = by_conversation(flagged.select("conv_id", "fork", *node), "pos").mapInArrow(walk, types + ", path array<long>")
     unique = walked.groupBy("key").agg(*(F.first(c).alias(c) for c in (*node[1:], "path")))
     # depth-first: by tree, by branches taken, by depth; running lengths within a partition, whole partitions' totals carried
-    sorted_ = unique.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "root", "path", "pos").sortWithinPartitions("root", "path", "pos")
+    sorted_ = unique.repartitionByRange(
+        max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "root", "path", "pos"
+    ).sortWithinPartitions("root", "path", "pos")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,7 +162,9 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield _emit([*columns[:7], ("part", pa.int64()), ("local", pa.int64())], out)
 
     laid = materialize(sorted_.mapInArrow(lay, types + ", part long, local long"), "laid")
-    sums = {r["part"]: r["n"] for r in laid.groupBy("part").agg(F.sum(F.length("segment")).alias("n")).collect()}  # a row per partition
+    sums = {
+        r["part"]: r["n"] for r in laid.groupBy("part").agg(F.sum(F.length("segment")).alias("n")).collect()
+    }  # a row per partition
     before, carried = 0, []
     for part in sorted(sums):
         carried.append((part, before))
@@ -151,7 +176,9 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         at, spans = object(), []
         for batch in batches:
             out = []
-            for conv_id, key, offset, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "key", "offset", "size")), strict=True):
+            for conv_id, key, offset, size in zip(
+                *(batch.column(c).to_pylist() for c in ("conv_id", "key", "offset", "size")), strict=True
+            ):
                 if conv_id != at:
                     at, spans = conv_id, []
                 out.append((key, [{"from": a, "to": b} for a, b in spans]))
@@ -162,8 +189,15 @@ def merge(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield _emit([("key", pa.string()), ("intervals", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], out)
 
     members = rows.select("conv_id", "pos", "key")
-    ranges = by_conversation(members.join(placed.select("key", "offset", F.length("segment").cast("long").alias("size")), "key").select("conv_id", "pos", "key", "offset", "size"), "pos")
-    seen = ranges.mapInArrow(attend, "key string, intervals array<struct<from: bigint, to: bigint>>").groupBy("key").agg(F.first("intervals").alias("intervals"))
+    ranges = by_conversation(
+        members.join(
+            placed.select("key", "offset", F.length("segment").cast("long").alias("size")), "key"
+        ).select("conv_id", "pos", "key", "offset", "size"),
+        "pos"
+    )
+    seen = ranges.mapInArrow(
+        attend, "key string, intervals array<struct<from: bigint, to: bigint>>"
+    ).groupBy("key").agg(F.first("intervals").alias("intervals"))
     return members, materialize(placed.join(seen, "key"), "nodes")
 
 
@@ -172,16 +206,29 @@ def pages(nodes: DataFrame, size: int = 0) -> DataFrame:
     size = size or PAGE
     ends = nodes.withColumn("end", F.col("offset") + F.length("segment"))
     numbers = F.sequence(F.floor(F.col("offset") / size), F.floor((F.col("end") - 1) / size))
-    piece = ends.select("*", F.explode(numbers).alias("page")).withColumns({"a": F.greatest("offset", F.col("page") * size), "b": F.least("end", (F.col("page") + 1) * size)})
-    low, high = F.greatest(F.col("a"), F.col("offset") + F.col("loss_from")), F.least(F.col("b"), F.col("offset") + F.col("loss_to"))
-    cut = piece.select("page", "a", F.substring("segment", (F.col("a") - F.col("offset") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("t"), F.when((F.col("loss_to") > F.col("loss_from")) & (low < high), F.struct(low.alias("from"), high.alias("to"))).alias("loss"))
+    piece = ends.select("*", F.explode(numbers).alias("page")).withColumns(
+        {"a": F.greatest("offset", F.col("page") * size), "b": F.least("end", (F.col("page") + 1) * size)}
+    )
+    low, high = F.greatest(
+        F.col("a"), F.col("offset") + F.col("loss_from")
+    ), F.least(F.col("b"), F.col("offset") + F.col("loss_to"))
+    cut = piece.select(
+        "page", "a",
+        F.substring("segment", (F.col("a") - F.col("offset") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("t"),
+        F.when((F.col("loss_to") > F.col("loss_from")) & (low < high), F.struct(low.alias("from"), high.alias("to"))).alias("loss")
+    )
     each = cut.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("a", "t", "loss"))).alias("p"))
-    return each.select("page", F.concat_ws("", F.col("p.t")).alias("text"), F.filter(F.col("p.loss"), lambda x: x.isNotNull()).alias("losses"))
+    return each.select(
+        "page", F.concat_ws("", F.col("p.t")).alias("text"), F.filter(F.col("p.loss"), lambda x: x.isNotNull()).alias("losses")
+    )
 
 
 def read_back(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per conversation, from the emitted stream: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_intervals."""
-    columns = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_intervals", pa.int64())]
+    columns = [
+        ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+        ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_intervals", pa.int64())
+    ]
 
     class Reader:
         """What is read of one conversation."""
@@ -213,7 +260,9 @@ def read_back(members: DataFrame, nodes: DataFrame) -> DataFrame:
         now = None
         for batch in batches:
             out = []
-            for conv_id, position, text, losses, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "text", "losses", "n")), strict=True):
+            for conv_id, position, text, losses, n in zip(
+                *(batch.column(c).to_pylist() for c in ("conv_id", "position", "text", "losses", "n")), strict=True
+            ):
                 if now is None or conv_id != now.id:
                     out += [now.told()] if now else []
                     now = Reader(conv_id, n)
@@ -225,15 +274,41 @@ def read_back(members: DataFrame, nodes: DataFrame) -> DataFrame:
             yield _emit(columns, [now.told()])
 
     last = members.groupBy("conv_id").agg(F.max_by("key", "pos").alias("key"))
-    ends = last.join(nodes, "key").select("conv_id", "intervals", "start", "offset", (F.col("offset") + F.length("segment")).alias("end"))
+    ends = last.join(nodes, "key").select(
+        "conv_id", "intervals", "start", "offset", (F.col("offset") + F.length("segment")).alias("end")
+    )
     own = F.array(F.struct(F.col("offset").alias("from"), F.col("end").cast("long").alias("to")))
     # a conversation's positions: those of its ancestors, one interval after the other, then its own from `start` on
-    before = F.transform(F.sequence(F.lit(0), F.size("intervals")), lambda i: F.aggregate(F.slice("intervals", F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y["to"] - y["from"]))
-    asked = ends.select("conv_id", F.size("intervals").cast("long").alias("n"), "start", F.concat("intervals", own).alias("all"), before.alias("before"))
-    asked = asked.select("conv_id", "n", "start", F.posexplode("all").alias("k", "r"), "before").select("conv_id", "n", "r", F.when(F.col("k") == F.col("n"), F.col("start")).otherwise(F.col("before")[F.col("k")]).alias("first"))
-    sheet = asked.select("*", F.explode(F.sequence(F.floor(F.col("r.from") / PAGE), F.floor((F.col("r.to") - 1) / PAGE))).alias("page"))
-    a, b, head = F.greatest(F.col("r.from"), F.col("page") * PAGE), F.least(F.col("r.to"), (F.col("page") + 1) * PAGE), F.col("page") * PAGE
-    read = sheet.join(pages(nodes), "page").select("conv_id", (F.col("first") + a - F.col("r.from")).alias("position"), F.substring("text", (a - head + 1).cast("int"), (b - a).cast("int")).alias("text"), "losses", a.alias("a"), b.alias("b"), "n")
-    mine = F.transform(F.filter("losses", lambda x: (x["from"] < F.col("b")) & (x["to"] > F.col("a"))), lambda x: F.struct((F.greatest(x["from"], F.col("a")) - F.col("a")).alias("from"), (F.least(x["to"], F.col("b")) - F.col("a")).alias("to")))
+    before = F.transform(
+        F.sequence(F.lit(0), F.size("intervals")),
+        lambda i: F.aggregate(F.slice("intervals", F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y["to"] - y["from"])
+    )
+    asked = ends.select(
+        "conv_id", F.size("intervals").cast("long").alias("n"), "start", F.concat("intervals", own).alias("all"),
+        before.alias("before")
+    )
+    asked = asked.select("conv_id", "n", "start", F.posexplode("all").alias("k", "r"), "before").select(
+        "conv_id", "n", "r", F.when(F.col("k") == F.col("n"), F.col("start")).otherwise(F.col("before")[F.col("k")]).alias("first")
+    )
+    sheet = asked.select(
+        "*", F.explode(F.sequence(F.floor(F.col("r.from") / PAGE), F.floor((F.col("r.to") - 1) / PAGE))).alias("page")
+    )
+    a, b, head = F.greatest(F.col("r.from"), F.col("page") * PAGE), F.least(
+        F.col("r.to"), (F.col("page") + 1) * PAGE
+    ), F.col("page") * PAGE
+    read = sheet.join(pages(nodes), "page").select(
+        "conv_id", (F.col("first") + a - F.col("r.from")).alias("position"),
+        F.substring("text", (a - head + 1).cast("int"), (b - a).cast("int")).alias("text"), "losses", a.alias("a"), b.alias("b"),
+        "n"
+    )
+    mine = F.transform(
+        F.filter("losses", lambda x: (x["from"] < F.col("b")) & (x["to"] > F.col("a"))),
+        lambda x: F.struct(
+            (F.greatest(x["from"], F.col("a")) - F.col("a")).alias("from"), (F.least(x["to"], F.col("b")) - F.col("a")).alias("to")
+        )
+    )
     bounded_batches(members.sparkSession)
-    return by_conversation(read.select("conv_id", "position", "text", mine.alias("losses"), "n"), "position").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_intervals long")
+    return by_conversation(read.select("conv_id", "position", "text", mine.alias("losses"), "n"), "position").mapInArrow(
+        digest,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_intervals long"
+    )

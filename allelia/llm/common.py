@@ -112,7 +112,9 @@ def _width(column: str, kind: T.DataType):
     if isinstance(kind, T.StringType | T.BinaryType):
         return F.coalesce(F.octet_length(F.col(column)), F.lit(0)) + 8
     if isinstance(kind, T.ArrayType):
-        return F.greatest(F.size(F.col(column)), F.lit(0)) * (8 if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields)) + 16
+        return F.greatest(F.size(F.col(column)), F.lit(0)) * (
+            8 if not isinstance(kind.elementType, T.StructType) else 8 * len(kind.elementType.fields)
+        ) + 16
     return F.lit(8)
 
 
@@ -215,13 +217,21 @@ def word_hashes(texts: list[bytes], lower: bool = True, bare: bool = False) -> t
 def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text's number of every k words in a row; a text of fewer words gives the whole sequence as one."""
     n = len(hashes)
-    sums = mix(np.uint64(k) + sum(((mix(hashes[i : max(i, n - k + 1 + i)] + np.uint64(i))) * np.uint64(2 * i + 3) for i in range(k)), np.zeros(max(0, n - k + 1), np.uint64)))
+    sums = mix(
+        np.uint64(k) + sum(
+            ((mix(hashes[i : max(i, n - k + 1 + i)] + np.uint64(i))) * np.uint64(2 * i + 3) for i in range(k)),
+            np.zeros(max(0, n - k + 1), np.uint64)
+        )
+    )
     whole = doc[: max(0, n - k + 1)] == doc[k - 1 :] if n >= k else np.zeros(0, bool)
     out, of = sums[whole], doc[: len(whole)][whole]
     numbers, first, count = np.unique(doc, return_index=True, return_counts=True)
     short = count < k
     if short.any():
-        extra = [mix(np.uint64(c) + sum(mix(hashes[f + i : f + i + 1] + np.uint64(i)) * np.uint64(2 * i + 3) for i in range(c)))[0] for f, c in zip(first[short], count[short], strict=True)]
+        extra = [
+            mix(np.uint64(c) + sum(mix(hashes[f + i : f + i + 1] + np.uint64(i)) * np.uint64(2 * i + 3) for i in range(c)))[0]
+            for f, c in zip(first[short], count[short], strict=True)
+        ]
         out, of = np.concatenate([out, np.array(extra, np.uint64)]), np.concatenate([of, numbers[short]])
         order = np.argsort(of, kind="stable")
         out, of = out[order], of[order]
@@ -254,7 +264,9 @@ def connected_components(edges: DataFrame, rounds: int = 60, links: int | None =
     before goes, so no lineage grows and nothing reaches the driver but two sums.
     """
     spark = edges.sparkSession
-    pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    pairs = materialize(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    )
     if pairs.limit((UNION_LINKS if links is None else links) + 1).count() <= (UNION_LINKS if links is None else links):
 
         def whole(frame: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +280,11 @@ def connected_components(edges: DataFrame, rounds: int = 60, links: int | None =
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        linked = large.join(low, "u").select(
+            F.explode(
+                F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+            ).alias("e")
+        ).select("e.*").where("u <> v").distinct()
         path = new_path(spark, "stars")
         pairs = _written(linked, path)
         if old:
@@ -280,4 +296,6 @@ def connected_components(edges: DataFrame, rounds: int = 60, links: int | None =
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

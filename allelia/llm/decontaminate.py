@@ -42,7 +42,9 @@ def words(text: Column) -> Column:
 
 def shingles(w: Column) -> Column:
     """64-bit hashes of every SHINGLE words in a row."""
-    each = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(SHINGLE))))
+    each = F.transform(
+        F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(SHINGLE)))
+    )
     return F.when(F.size(w) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -61,7 +63,9 @@ def with_fingerprint(df: DataFrame, hashes: str) -> DataFrame:
     bits = F.lit(0).cast("long")
     for b in range(64):
         count = F.shiftrightunsigned(F.col("_sums")[b % 16], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
-        bits = bits.bitwiseOR(F.when(count * 2 > F.size(hashes), F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0)).cast("long"))
+        bits = bits.bitwiseOR(
+            F.when(count * 2 > F.size(hashes), F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0)).cast("long")
+        )
     return df.withColumn("fp", bits).drop("_sums")
 
 
@@ -71,25 +75,41 @@ def block(fp: Column, k: int) -> Column:
 
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, w (words), sh (shingle hashes), fp of every item, or part of a long one."""
-    w = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
-    parts = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PART).cast("int")), lambda i: F.slice("words", F.least(i * PART, F.greatest(F.size("words") - PART, F.lit(0))) + 1, PART))).alias("words"))
+    w = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")
+    ).where(F.size("words") >= SHINGLE)
+    parts = w.select(
+        "item_id",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PART).cast("int")),
+                lambda i: F.slice("words", F.least(i * PART, F.greatest(F.size("words") - PART, F.lit(0))) + 1, PART)
+            )
+        ).alias("words")
+    )
     sh = parts.where(F.size("words") >= SHINGLE).select("item_id", F.size("words").alias("w"), shingles(F.col("words")).alias("sh"))
     return with_fingerprint(sh, "sh")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word of each benchmark item in each document: the most similar window (see Defined results)."""
-    return _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"])
+    return _leaks(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"]
+    )
 
 
 def _starts(hashed: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     """keys, sh, pos, sizes of every place where a text has a shingle of an item; sizes are these items' word counts."""
     # outer, for the filter that Spark would infer evaluates every text's words anew for each shingle; the join drops the nulls
     if fits(anchors):
-        return hashed.select("*", F.posexplode_outer("sh").alias("pos", "h")).join(F.broadcast(anchors), "h").select(*keys, "sh", "pos", "sizes")
+        return hashed.select(
+            "*", F.posexplode_outer("sh").alias("pos", "h")
+        ).join(F.broadcast(anchors), "h").select(*keys, "sh", "pos", "sizes")
     named = hashed.withColumn("_own", F.xxhash64("sh"))
     mine = [*keys, "_own"]
-    found = named.select(*mine, F.posexplode_outer("sh").alias("pos", "h")).join(anchors, "h").select(*mine, "pos", "sizes").distinct()
+    found = named.select(
+        *mine, F.posexplode_outer("sh").alias("pos", "h")
+    ).join(anchors, "h").select(*mine, "pos", "sizes").distinct()
     places = found.groupBy(*mine).agg(F.collect_list(F.struct("pos", "sizes")).alias("at")).toDF(*(f"_of_{c}" for c in mine), "at")
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in mine]
     return named.join(places, same).select(*keys, "sh", F.explode("at").alias("at")).select(*keys, "sh", "at.pos", "at.sizes")
@@ -98,29 +118,47 @@ def _starts(hashed: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame
 def _leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
     """The leaks of texts that are told apart by other columns, the keys."""
     known = materialize(items(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
-    anchors = materialize(known.select("w", F.explode("sh").alias("h")).groupBy("h").agg(F.collect_set("w").alias("sizes")), "anchors")
-    index = known.select("w", "item", F.col("fp").alias("item_fp"), F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact"))
-    index = index.withColumn("value", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("exact").bitwiseXOR(m)))).drop("exact")
-    counts = F.transform(F.array_distinct("sh"), lambda h: F.named_struct(F.lit("h"), h, F.lit("c"), F.size(F.filter("sh", lambda x: x == h))))
+    anchors = materialize(
+        known.select("w", F.explode("sh").alias("h")).groupBy("h").agg(F.collect_set("w").alias("sizes")), "anchors"
+    )
+    index = known.select(
+        "w", "item", F.col("fp").alias("item_fp"),
+        F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "exact")
+    )
+    index = index.withColumn(
+        "value", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.col("exact").bitwiseXOR(m)))
+    ).drop("exact")
+    counts = F.transform(
+        F.array_distinct("sh"), lambda h: F.named_struct(F.lit("h"), h, F.lit("c"), F.size(F.filter("sh", lambda x: x == h)))
+    )
     told = known.select("item", "item_id", counts.alias("item_sh"), F.size("sh").alias("item_n"))
     hashed = docs.select(*keys, words(F.col("text")).alias("words")).select(*keys, shingles(F.col("words")).alias("sh"))
-    windows = _starts(hashed, anchors, keys).select(*keys, "pos", F.explode("sizes").alias("w"), "sh").select(*keys, "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win"))
+    windows = _starts(hashed, anchors, keys).select(*keys, "pos", F.explode("sizes").alias("w"), "sh").select(
+        *keys, "pos", "w", F.slice("sh", F.col("pos") + 1, F.col("w") - (SHINGLE - 1)).alias("win")
+    )
     # a window that can't reach the similarity, cut short by the text's end, is left out
     windows = with_fingerprint(windows.where(F.size("win") >= SIMILAR * (F.col("w") - (SHINGLE - 1))), "win")
     asked = windows.select("*", F.posexplode(F.array(*(block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "value"))
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*(F.when(F.bit_count(block(apart, k)) <= NEAR, k) for k in range(BLOCKS)))
-    near = asked.join(small(index), ["w", "block", "value"]).where((F.bit_count(apart) <= RADIUS) & (first == F.col("block"))).select(*keys, "pos", "win", "item").join(small(told), "item")
+    near = asked.join(small(index), ["w", "block", "value"]).where(
+        (F.bit_count(apart) <= RADIUS) & (first == F.col("block"))
+    ).select(*keys, "pos", "win", "item").join(small(told), "item")
     both = F.aggregate("item_sh", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("win", lambda x: x == e["h"]))))
     scored = near.select(*keys, "item_id", "pos", both.alias("both"), (F.size("win") + F.col("item_n")).alias("n"))
     scored = scored.withColumn("similarity", F.col("both") / (F.col("n") - F.col("both"))).where(F.col("similarity") >= SIMILAR)
     best = scored.groupBy(*keys, "item_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("back"))).alias("b"))
-    return best.select(*keys, "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"))
+    return best.select(
+        *keys, "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word")
+    )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with all their columns; rows that share an id, or have none, are told apart by their text's hash."""
     own, text = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    found = _leaks(docs.select(own.alias("doc_id"), text.alias("hash"), docs["text"].cast("string").alias("text")), benchmark, ["doc_id", "hash"])
+    found = _leaks(
+        docs.select(own.alias("doc_id"), text.alias("hash"), docs["text"].cast("string").alias("text")), benchmark,
+        ["doc_id", "hash"]
+    )
     gone = small(materialize(found.select("doc_id", "hash").distinct().toDF(*fresh(docs.columns, 2)), "leaks"))
     return docs.join(gone, own.eqNullSafe(gone[gone.columns[0]]) & (text == gone[gone.columns[1]]), "left_anti")

@@ -123,7 +123,9 @@ def count(texts: list[str], order: int) -> dict[str, np.ndarray]:
         # of each n-gram of the highest order: the hashes of its suffixes of 0 to order - 1 characters, and those of the place before
         mine = np.stack([*(h[k][at] for k in range(order)), *(h[k][at - 1] for k in range(order))], 1) if len(at) else rows[:0]
         mine = _summed(h[order][at], np.ones(len(at)), mine)
-        found, counts, rows = _summed(np.concatenate([found, mine[0]]), np.concatenate([counts, mine[1]]), np.concatenate([rows, mine[2]]))
+        found, counts, rows = _summed(
+            np.concatenate([found, mine[0]]), np.concatenate([counts, mine[1]]), np.concatenate([rows, mine[2]])
+        )
     levels: list[tuple] = []
     for k in range(order, 0, -1):
         levels.append((k, found, counts, rows))
@@ -171,7 +173,9 @@ class Model:
                 mass[np.searchsorted(known, parts[x][f"context{k}"]), j] = parts[x][f"mass{k}"]
             found, first = np.unique(np.concatenate([parts[x][f"gram{k}"] for x in names]), return_index=True)
             suffix, of = (np.concatenate([parts[x][f"{c}{k}"] for x in names])[first] for c in ("suffix", "of"))
-            lower = np.full((len(found), len(names)), -np.log(ALPHABET)) if k == 1 else model.grams[-1][1][np.searchsorted(model.grams[-1][0], suffix)].astype(float)
+            lower = np.full((len(found), len(names)), -np.log(ALPHABET)) if k == 1 else model.grams[-1][1][
+                np.searchsorted(model.grams[-1][0], suffix)
+            ].astype(float)
             table = np.log(mass[np.searchsorted(known, of)]) + lower
             for j, x in enumerate(names):
                 table[np.searchsorted(found, parts[x][f"gram{k}"]), j] = np.log(parts[x][f"p{k}"])
@@ -205,7 +209,10 @@ class Model:
         return -sums / np.maximum(counts, 1)[:, None], counts
 
     def to_bytes(self) -> bytes:
-        parts = {f"{name}{k}_{j}": x for name, tables in (("g", self.grams), ("c", self.contexts)) for k, pair in enumerate(tables) for j, x in enumerate(pair)}
+        parts = {
+            f"{name}{k}_{j}": x for name, tables in (("g", self.grams), ("c", self.contexts)) for k, pair in enumerate(tables)
+            for j, x in enumerate(pair)
+        }
         np.savez_compressed(out := io.BytesIO(), languages=np.array(self.languages, "U"), **parts)
         return out.getvalue()
 
@@ -247,7 +254,10 @@ class Identifier:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected, for each text."""
         if not self.data:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.array([not _is_letter(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).any() for t in texts], bool)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.array(
+                [not _is_letter(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).any() for t in texts],
+                bool
+            )
         model = _loaded(self.data)
         entropy, counts = model.cross_entropy(texts)
         best = entropy.argmin(1)
@@ -255,7 +265,9 @@ class Identifier:
         score = 1 / np.exp(-(entropy - lowest[:, None]) * self.temperature).sum(1)
         none = counts == 0
         rejected = none | (lowest > self.limits[best])
-        return [UNDETERMINED if e else model.languages[b] for b, e in zip(best, none, strict=True)], np.where(none, 0.0, score), rejected
+        return [
+            UNDETERMINED if e else model.languages[b] for b, e in zip(best, none, strict=True)
+        ], np.where(none, 0.0, score), rejected
 
 
 _model: list[tuple[int, bytes, Model]] = []
@@ -274,15 +286,28 @@ def sample(docs: DataFrame, learn: Column, size: int, more: int) -> DataFrame:
     Ranks are taken per language and salt first, so that a language that most documents have isn't ranked in one task.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    keyed = labelled.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("key"))
-    least = lambda df, by, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= n)
-    ranked = least(least(keyed.select("lang", "key", F.pmod("key", F.lit(64)).alias("salt")), ["lang", "salt"], size + more), ["lang"], size + more)
+    keyed = labelled.select(
+        F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("key")
+    )
+    least = lambda df, by, n: df.withColumn(
+        "rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    ).where(F.col("rank") <= n)
+    ranked = least(
+        least(keyed.select("lang", "key", F.pmod("key", F.lit(64)).alias("salt")), ["lang", "salt"], size + more), ["lang"],
+        size + more
+    )
     limit = ranked.groupBy(F.col("lang").alias("of")).agg(F.max("key").alias("limit"))
-    near = keyed.join(small(materialize(limit, "limits")), (F.col("lang") == F.col("of")) & (F.col("key") <= F.col("limit"))).drop("of", "limit")
-    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", F.length("text"), "text"))).where(F.col("rank") <= size + more)
+    near = keyed.join(
+        small(materialize(limit, "limits")), (F.col("lang") == F.col("of")) & (F.col("key") <= F.col("limit"))
+    ).drop("of", "limit")
+    chosen = near.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", F.length("text"), "text"))
+    ).where(F.col("rank") <= size + more)
     # with few documents, every fifth is held out
     count = F.count("*").over(Window.partitionBy("lang"))
-    return chosen.select("lang", "text", F.when(count > 5 * size // 4, F.col("rank") > size).otherwise(F.col("rank") % 5 == 0).alias("held"))
+    return chosen.select(
+        "lang", "text", F.when(count > 5 * size // 4, F.col("rank") > size).otherwise(F.col("rank") % 5 == 0).alias("held")
+    )
 
 
 def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, more: int = CALIBRATE, order: int = ORDER) -> Identifier:
@@ -311,10 +336,14 @@ def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, more:
             for batch in sliced(batches, 1):
                 entropy, counts = _loaded(held.value).cross_entropy(batch.column(1).to_pylist())
                 some = pa.array(counts > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "entropy"]).filter(some)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "entropy"]
+                ).filter(some)
 
         bounded_batches(spark)
-        told = chosen.where(F.col("held") & F.col("lang").isin(names)).select("lang", "text").mapInArrow(measure, "lang string, entropy array<double>").collect()
+        told = chosen.where(F.col("held") & F.col("lang").isin(names)).select("lang", "text").mapInArrow(
+            measure, "lang string, entropy array<double>"
+        ).collect()
     entropy = np.array([r["entropy"] for r in told]).reshape(-1, len(names))
     own = np.array([names.index(r["lang"]) for r in told], int)
     return Identifier(data, temperature_of(entropy, own), np.array([limit_of(entropy[own == j, j]) for j in range(len(names))]))
@@ -336,7 +365,10 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
 
     def make(batch: pa.RecordBatch, names: list[str], score: np.ndarray, rejected: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
+            names=["doc_id", "lang_pred", "score", "rejected"]
+        )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _scan(narrow, model, "doc_id long, lang_pred string, score double, rejected boolean", make)

@@ -44,17 +44,42 @@ _BSD_NONE = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
 _ISC_NONE = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _UNLICENSE = 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>'
 LICENSES: dict[str, list[str]] = {
-    "MIT": [f"MIT License\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_NONE}", f"{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_NONE}", "Released under the MIT License."],
+    "MIT": [
+        f"MIT License\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_NONE}",
+        f"{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_NONE}",
+        "Released under the MIT License."
+    ],
     "MIT-0": [f"MIT No Attribution\n\n{_MIT_GRANT}.\n\n{_MIT_NONE}"],
-    "BSD-2-Clause": ["\n\n".join([_BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_NONE]), "\n\n".join(["BSD 2-Clause License", _BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_NONE])],
-    "BSD-3-Clause": ["\n\n".join([_BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_THREE, _BSD_NONE]), "\n\n".join(["BSD 3-Clause License", _BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_THREE, _BSD_NONE])],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_NONE, "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_NONE],
-    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_NONE, "BSD Zero Clause License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_NONE],
+    "BSD-2-Clause": [
+        "\n\n".join([_BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_NONE]),
+        "\n\n".join(["BSD 2-Clause License", _BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_NONE])
+    ],
+    "BSD-3-Clause": [
+        "\n\n".join([_BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_THREE, _BSD_NONE]),
+        "\n\n".join(["BSD 3-Clause License", _BSD_HEAD, _BSD_ONE, _BSD_TWO, _BSD_THREE, _BSD_NONE])
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_NONE,
+        "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_NONE
+    ],
+    "0BSD": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_NONE,
+        "BSD Zero Clause License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_NONE
+    ],
     "Unlicense": [_UNLICENSE],
-    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."],
-    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', "Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
+    ],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Licensed under the Apache License, Version 2.0."
+    ],
+    "GPL-3.0-or-later": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
 }
 # Further one-liners. The SQL of `oracle` knows these and LICENSES, not the whole texts.
@@ -91,8 +116,12 @@ def canonical(text: Column) -> Column:
 def known(docs: DataFrame, licenses: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """license_id and canonical_digest of every known licence; of ids with an equal text the least."""
     texts_of = default_licenses() if licenses is None else licenses
-    rows = docs.sparkSession.createDataFrame([(k, t) for k, texts in texts_of.items() for t in texts], "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest")).groupBy("canonical_digest").agg(F.min("license_id").alias("license_id"))
+    rows = docs.sparkSession.createDataFrame(
+        [(k, t) for k, texts in texts_of.items() for t in texts], "license_id string, text string"
+    )
+    return rows.select(
+        "license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest")
+    ).groupBy("canonical_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licenses: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -100,8 +129,12 @@ def scan(docs: DataFrame, licenses: Mapping[str, Sequence[str]] | None = None) -
 
     licenses: the texts of each id; default_licenses() if None.
     """
-    digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest"))
-    return digests.join(F.broadcast(known(docs, licenses)), "canonical_digest", "left").select("doc_id", "canonical_digest", "license_id")
+    digests = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_digest")
+    )
+    return digests.join(
+        F.broadcast(known(docs, licenses)), "canonical_digest", "left"
+    ).select("doc_id", "canonical_digest", "license_id")
 
 
 def oracle() -> str:

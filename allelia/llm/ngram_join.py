@@ -79,7 +79,11 @@ def class_of(found: np.ndarray) -> int:
     """A set's 64-bit name."""
     if not len(found):
         return 0
-    total = mix(mix(found + np.uint64(0x51)).sum(keepdims=True) + np.bitwise_xor.reduce(mix(found), keepdims=True) * np.uint64(3) + np.uint64(len(found)))
+    total = mix(
+        mix(found + np.uint64(0x51)).sum(keepdims=True) + np.bitwise_xor.reduce(
+            mix(found), keepdims=True
+        ) * np.uint64(3) + np.uint64(len(found))
+    )
     return int(total.view(np.int64)[0])
 
 
@@ -168,7 +172,9 @@ def frequencies(docs: DataFrame, n: int) -> Order:
 
         def told() -> pa.RecordBatch:
             rows = list(_told_apart(np.sort(np.concatenate(held))))
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "gaps"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "gaps"]
+            )
 
         for batch in batches:
             for small_ in sliced([batch], 1):
@@ -188,7 +194,9 @@ def frequencies(docs: DataFrame, n: int) -> Order:
             found, counts = seen.sum()
             low = found[counts >= LEAST_COMMON]
             level = np.log2(counts[counts >= LEAST_COMMON]).astype(np.int8)
-            return pa.RecordBatch.from_arrays([pa.array((low + (at << LOW)).astype(np.uint32).view(np.int32)), pa.array(level)], names=["bucket", "level"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array((low + (at << LOW)).astype(np.uint32).view(np.int32)), pa.array(level)], names=["bucket", "level"]
+            )
 
         for batch in batches:
             for place, gaps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -219,9 +227,17 @@ def named(docs: DataFrame, n: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             found = sets(_texts(batch), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64()), *batch.columns[2:]], names=["doc_id", "n", "class", *(f.name for f in more)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([class_of(x) for x in found], pa.int64()), *batch.columns[2:]
+                ],
+                names=["doc_id", "n", "class", *(f.name for f in more)]
+            )
 
-    return docs.mapInArrow(make, ", ".join(["doc_id long, n long, class long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
+    return docs.mapInArrow(
+        make, ", ".join(["doc_id long, n long, class long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
+    )
 
 
 def range_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +292,10 @@ def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     open_ = None  # key, salt, kind, sizes from and to, and first class of the run that may go on
 
     def told(key: np.ndarray, kind: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.nulls(len(key), pa.int64()), pa.array(first), pa.array(lo), pa.array(hi)], names=_RUNS)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(kind), pa.nulls(len(key), pa.int64()), pa.array(first), pa.array(lo), pa.array(hi)],
+            names=_RUNS
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -299,7 +318,10 @@ def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         links_ = np.unique(np.stack([kind, name, of], 1)[of != name], axis=0)
         zero = np.zeros(len(links_), np.int64)
         if len(links_):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(links_), pa.int64()), *(pa.array(links_[:, i]) for i in range(3)), pa.array(zero), pa.array(zero)], names=_RUNS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(links_), pa.int64()), *(pa.array(links_[:, i]) for i in range(3)), pa.array(zero), pa.array(zero)],
+                names=_RUNS
+            )
         over = np.flatnonzero(salt[starts[:-1]] >= 0)
         if len(over):
             yield told(key[starts[over]], kind[starts[over]], first[over], low[over], lo[ends[over]])
@@ -347,18 +369,30 @@ def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
                     deal = np.where(level >= hot, np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0), 0)
                     deal = np.concatenate([deal, np.where(empty, EMPTY_RUNS, 0)])
                     kind = np.repeat(np.array([0, 1]), [len(rare), len(ranges)])
-                    parts.append((np.concatenate([rare, ranges]), np.where(deal > 0, name % np.maximum(deal, 1), -1), kind, np.full(len(kind), len(x)), np.full(len(kind), name)))
+                    parts.append(
+                        (
+                            np.concatenate([rare, ranges]), np.where(deal > 0, name % np.maximum(deal, 1), -1), kind,
+                            np.full(len(kind), len(x)), np.full(len(kind), name)
+                        )
+                    )
             key, salt, kind, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, (salt, kind, size, size, name))], names=["key", "salt", "kind", "lo", "hi", "class"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), *map(pa.array, (salt, kind, size, size, name))],
+                names=["key", "salt", "kind", "lo", "hi", "class"]
+            )
 
     hot, two = HOT.bit_length() - 1, both_kinds(percent)
     spark, out = docs.sparkSession, "key long, kind long, a long, b long, lo long, hi long"
     order_ = ["key", "salt", "kind", "lo", "class"]
-    shared = docs.mapInArrow(emit, "key long, salt long, kind long, lo long, hi long, class long").repartition("key", "salt").sortWithinPartitions(order_)
+    shared = docs.mapInArrow(
+        emit, "key long, salt long, kind long, lo long, hi long, class long"
+    ).repartition("key", "salt").sortWithinPartitions(order_)
     bounded_batches(spark, 20_000)
     found = materialize(shared.mapInArrow(lambda batches: _runs(percent, batches), out).distinct(), "runs")
     bounded_batches(spark)
-    firsts = found.where("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("salt"), "kind", "lo", "hi", F.col("b").alias("class"))
+    firsts = found.where("key IS NOT NULL").select(
+        "key", F.lit(-1).cast("long").alias("salt"), "kind", "lo", "hi", F.col("b").alias("class")
+    )
     met = firsts.repartition("key").sortWithinPartitions(order_).mapInArrow(lambda batches: _merged(percent, batches), out)
     return found.where("key IS NULL").select("kind", "a", "b").unionByName(met.select("kind", "a", "b"))
 
@@ -442,7 +476,10 @@ class Union:
         return x != y
 
 
-def links(found: list[np.ndarray], percent: int, order: Order | None = None, asks: np.ndarray | None = None, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(
+    found: list[np.ndarray], percent: int, order: Order | None = None, asks: np.ndarray | None = None,
+    roots: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct sets: places of two that reach the similarity.
 
     asks: where given, only pairs with an asking set are looked at. roots: where given, sets of equal roots are known to
@@ -480,7 +517,9 @@ def links(found: list[np.ndarray], percent: int, order: Order | None = None, ask
             left = size - np.searchsorted(mine, trie.last[kids], side="right")  # of mine, beyond the edge
             most = got + np.minimum(left, trie.longest[kids] - trie.depth[kids])
             low = np.maximum(trie.shortest[kids], least)
-            open_ = (trie.longest[kids] >= least) & ((100 + percent) * most >= percent * (size + low)) & (uniform[kids] != union.find(item))
+            open_ = (trie.longest[kids] >= least) & (
+                (100 + percent) * most >= percent * (size + low)
+            ) & (uniform[kids] != union.find(item))
             nodes, overlap = kids[open_], got[open_]
         mark[mine] = 0
     return out
@@ -497,7 +536,9 @@ def copies(documents: DataFrame, n: int, percent: int) -> DataFrame:
     Documents of null id, and those without a word, don't go.
     """
     found = _joined(documents, n, percent, F.xxhash64(F.col("text").cast("string")))
-    return found.where("doc_id IS NOT NULL AND n_shingles > 0 AND (doc_id <> component_id OR text_hash <> first_hash)").select("doc_id", "text_hash")
+    return found.where(
+        "doc_id IS NOT NULL AND n_shingles > 0 AND (doc_id <> component_id OR text_hash <> first_hash)"
+    ).select("doc_id", "text_hash")
 
 
 def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> DataFrame:
@@ -507,11 +548,17 @@ def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> Dat
         new = Once()
         for batch in sliced(batches, 1):
             found = [(name, x.tobytes()) for x in sets(_texts(batch), n) if new(name := class_of(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["class", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())],
+                names=["class", "grams"]
+            )
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["asks", "class"], ascending=[False, True]).drop_duplicates("class", ignore_index=True)
-        out = links([np.frombuffer(x, np.uint64) for x in frame["grams"]], percent, order.value, frame["asks"].to_numpy(bool), frame["root"].to_numpy())
+        out = links(
+            [np.frombuffer(x, np.uint64) for x in frame["grams"]], percent, order.value, frame["asks"].to_numpy(bool),
+            frame["root"].to_numpy()
+        )
         names = frame["class"].to_numpy()
         return pd.DataFrame({"a": names[[x for x, _ in out]], "b": names[[y for _, y in out]]}, dtype="int64")
 
@@ -539,17 +586,34 @@ def _large(docs: DataFrame, members: DataFrame, plan: DataFrame, n: int, percent
     first = own.unionByName(seeds.join(small(whole), "part")).withColumns({"y": F.lit(0), "z": F.lit(0)})
     found = materialize(_meet(docs, group(first, True, F.col("class")), n, percent, order), "within")
     roots = connected_components(found)
-    rooted = materialize(placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
-    main = rooted.groupBy("part", "root").agg(F.sum("n").alias("size")).groupBy("part").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    rooted = materialize(
+        placed.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")),
+        "rooted"
+    )
+    main = rooted.groupBy("part", "root").agg(F.sum("n").alias("size")).groupBy("part").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main")
+    )
     outside = materialize(rooted.join(small(main), "part").where("root <> main").drop("main"), "outside")
     chunks = outside.groupBy("part", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
     # groups: part, band and block of all classes (band, x), band and chunk of the outside ones (y, z)
     near = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("band") + d))
-    every = rooted.select("class", "first", "root", "part", "band", "x", near.alias("y")).join(small(chunks.withColumnRenamed("band", "y")), ["part", "y"])
-    every = every.select("class", "first", "root", "part", "band", "x", "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("z"), F.lit(False).alias("asks"))
-    asking = outside.join(small(chunks), ["part", "band"]).withColumn("z", F.pmod(F.xxhash64("class", F.lit(9)), F.col("chunks")).cast("int"))
-    asking = asking.select("class", "first", "root", "part", F.col("band").alias("y"), "z", near.alias("band")).join(small(blocks.select("part", "band", "blocks")), ["part", "band"])
-    asking = asking.select("class", "first", "root", "part", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", "z", F.lit(True).alias("asks"))
+    every = rooted.select(
+        "class", "first", "root", "part", "band", "x", near.alias("y")
+    ).join(small(chunks.withColumnRenamed("band", "y")), ["part", "y"])
+    every = every.select(
+        "class", "first", "root", "part", "band", "x", "y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("z"),
+        F.lit(False).alias("asks")
+    )
+    asking = outside.join(small(chunks), ["part", "band"]).withColumn(
+        "z", F.pmod(F.xxhash64("class", F.lit(9)), F.col("chunks")).cast("int")
+    )
+    asking = asking.select(
+        "class", "first", "root", "part", F.col("band").alias("y"), "z", near.alias("band")
+    ).join(small(blocks.select("part", "band", "blocks")), ["part", "band"])
+    asking = asking.select(
+        "class", "first", "root", "part", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", "z",
+        F.lit(True).alias("asks")
+    )
     return found.unionByName(_meet(docs, every.unionByName(asking), n, percent, order))
 
 
@@ -561,37 +625,59 @@ def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None
     rows = materialize(named(docs if text_hash is None else docs.withColumn("text_hash", text_hash), n), "classes")
     hashed = [] if text_hash is None else ["head"]
     head = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("head")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else []))
+    classes = rows.where("n > 0").groupBy("class").agg(
+        F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else [])
+    )
     order = share(spark, frequencies(docs, n))
     tied = materialize(candidates(docs, n, percent, order), "tied")
     near = connected_components(tied.where("kind = 0").select("a", "b"))
     if both_kinds(percent):
         ranges = connected_components(tied.where("kind = 1").select("a", "b")).withColumnRenamed("root", "two")
         near = near.join(ranges, "node").select("node", F.xxhash64("root", "two").alias("root"))
-    members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(F.col("node").alias("class"), F.col("root").alias("part"), "n", "first")
+    members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(
+        F.col("node").alias("class"), F.col("root").alias("part"), "n", "first"
+    )
     members = materialize(members, "members")
     # a class that is alone in its part links with nothing
-    members = members.join(small(materialize(members.groupBy("part").count().where("count > 1").select("part"), "parts")), "part", "left_semi")
+    members = members.join(
+        small(materialize(members.groupBy("part").count().where("count > 1").select("part"), "parts")), "part", "left_semi"
+    )
     # bands of length: a link's two lengths are in the same or in neighbouring ones
-    members = materialize(members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "banded")
+    members = materialize(
+        members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")), "banded"
+    )
     bands = members.groupBy("part", "band").agg(F.sum("n").alias("size"))
-    large = materialize(bands.join(bands.groupBy("part").agg(F.sum("size").alias("all")).where(F.col("all") > BLOCK), "part"), "large")
+    large = materialize(
+        bands.join(bands.groupBy("part").agg(F.sum("size").alias("all")).where(F.col("all") > BLOCK), "part"), "large"
+    )
     beyond, zero = small(large.select("part").distinct()), F.lit(0)
     sizes = materialize(members.groupBy("part").agg(F.sum("n").alias("size")), "sizes")
     total = sizes.where(F.col("size") <= SMALL).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # small parts share a group: band 1, and part is the group's number
     shared = F.pmod(F.xxhash64("part", F.lit(3)), F.lit(max(1, -(-total // TOGETHER))))
     alone = members.join(beyond, "part", "left_anti").join(small(sizes), "part").withColumn("few", F.col("size") <= SMALL)
-    alone = alone.select("class", "first", F.when(F.col("few"), shared).otherwise(F.col("part")).alias("part"), F.col("few").cast("int").alias("band"), *(zero.alias(c) for c in "xyz"), F.lit(True).alias("asks"), F.col("class").alias("root"))
+    alone = alone.select(
+        "class", "first", F.when(F.col("few"), shared).otherwise(F.col("part")).alias("part"),
+        F.col("few").cast("int").alias("band"), *(zero.alias(c) for c in "xyz"), F.lit(True).alias("asks"),
+        F.col("class").alias("root")
+    )
     edges = _meet(docs, alone, n, percent, order)
     if not large.isEmpty():
         edges = edges.unionByName(_large(docs, members.join(beyond, "part", "left_semi"), large, n, percent, order))
     final = connected_components(edges)
-    ids = classes.select("class", "first", *hashed).join(final.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = ids.groupBy("root").agg(F.min("first").alias("component_id"), *(F.min(c).getField("text_hash").alias("first_hash") for c in hashed))
+    ids = classes.select("class", "first", *hashed).join(
+        final.select(F.col("node").alias("class"), "root"), "class", "left"
+    ).withColumn("root", F.coalesce("root", "class"))
+    least = ids.groupBy("root").agg(
+        F.min("first").alias("component_id"), *(F.min(c).getField("text_hash").alias("first_hash") for c in hashed)
+    )
     ids = ids.drop("head").join(least, "root").select("class", "component_id", *(["first_hash"] if hashed else []))
     shown = ["doc_id", "n_shingles", "component_id", *(["text_hash", "first_hash"] if hashed else [])]
     rows = rows.withColumnRenamed("n", "n_shingles")
-    named_rows = rows.where("n_shingles > 0").join(ids, "class", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id")} | ({"first_hash": F.lit(None).cast("long")} if hashed else {}))
+    named_rows = rows.where("n_shingles > 0").join(ids, "class", "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    )
+    empty = rows.where("n_shingles = 0").withColumns(
+        {"component_id": F.col("doc_id")} | ({"first_hash": F.lit(None).cast("long")} if hashed else {})
+    )
     return named_rows.select(shown).unionByName(empty.select(shown))

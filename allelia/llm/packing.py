@@ -93,11 +93,19 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = model.ids(text.as_py() or "") + end
                 n = len(ids) // 4
-                rows.extend((doc_id, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n) for at in range(0, n, sequence))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows.extend(
+                    (doc_id, at, min(sequence, n - at), zlib.crc32(ids[4 * at : 4 * (at + sequence)]), n)
+                    for at in range(0, n, sequence)
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    )
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +138,24 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     groups = max(1, -(-parts.count() // group))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        frame = frame.sort_values(
+            ["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True
+        )
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), sequence)
         used = np.bincount(bins, weights=frame["length"])
         whole = used.astype(np.int64)
         padded = np.where(whole & (whole - 1), sequence, whole)
-        return frame.assign(sequence_id=frame["group"].to_numpy() + groups * bins, offset=offsets, padded=padded[bins]).drop(columns="group")
+        return frame.assign(
+            sequence_id=frame["group"].to_numpy() + groups * bins, offset=offsets, padded=padded[bins]
+        ).drop(columns="group")
 
-    salted = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    salted = parts.withColumn(
+        "group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    )
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
     packed = salted.groupBy("group").applyInPandas(fill, ", ".join(f"{c} long" for c in columns))
-    full = cut.where(F.col("length") == sequence).select(*columns[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(sequence).cast("long").alias("padded"))
+    full = cut.where(F.col("length") == sequence).select(
+        *columns[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        F.lit(sequence).cast("long").alias("padded")
+    )
     return packed.select(columns).unionByName(full)

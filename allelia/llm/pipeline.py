@@ -50,12 +50,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch(spark, "gone", "repeated"):
         gone = materialize(key(ngram_join.copies(docs, WORDS, PERCENT).withColumnRenamed("text_hash", text)).distinct(), "gone")
         left = lambda: named.alias("k").join(small(gone).alias("o"), same, "left_anti")
-        repeated = materialize(key(left().where("doc_id IS NOT NULL").groupBy("doc_id", text).count().where("count > 1")), "repeated")
+        repeated = materialize(
+            key(left().where("doc_id IS NOT NULL").groupBy("doc_id", text).count().where("count > 1")), "repeated"
+        )
     if repeated.isEmpty():
         return left().select(docs.columns)
     order = [f.name for f in docs.schema.fields if f.name != "text" and _has_order(f.dataType)]
     again = lambda how: left().alias("k").join(small(repeated).alias("o"), same, how)
-    once = again("left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(*order))).where(F.col(number) == 1)
+    once = again("left_semi").withColumn(
+        number, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(*order))
+    ).where(F.col(number) == 1)
     return once.select(docs.columns).unionByName(again("left_anti").select(docs.columns))
 
 

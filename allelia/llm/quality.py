@@ -34,7 +34,10 @@ LEAST_DOCS = 4
 SELECT = 0.5
 _PLACES = np.arange(256)
 #: For shapes: 1 lower, 2 upper, 4 digit, 8 mark, 16 other byte, 0 white space.
-_KIND = np.select([(_PLACES >= 97) & (_PLACES <= 122), (_PLACES >= 65) & (_PLACES <= 90), (_PLACES >= 48) & (_PLACES <= 57), _PLACES < 128], [1, 2, 4, 8], 16).astype(np.uint8)
+_KIND = np.select(
+    [(_PLACES >= 97) & (_PLACES <= 122), (_PLACES >= 65) & (_PLACES <= 90), (_PLACES >= 48) & (_PLACES <= 57), _PLACES < 128],
+    [1, 2, 4, 8], 16
+).astype(np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 
 
@@ -67,7 +70,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds = np.bitwise_or.reduceat(_KIND[buf], starts)
         marks = np.cumsum(_KIND[buf] == 8)
         tail = marks[ends - 1] - marks[starts] + (_KIND[buf[starts]] == 8)
-        shape = mix(kinds.astype(np.uint64) * np.uint64(64) + np.minimum(tail, 7).astype(np.uint64) * np.uint64(8) + np.minimum((ends - starts) // 4, 7).astype(np.uint64))
+        shape = mix(
+            kinds.astype(np.uint64) * np.uint64(64) + np.minimum(tail, 7).astype(np.uint64) * np.uint64(8) + np.minimum(
+                (ends - starts) // 4, 7
+            ).astype(np.uint64)
+        )
         again = np.zeros(len(hashes), np.uint64)
         again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         again[0] = last == (doc[0], hashes[0])
@@ -80,7 +87,9 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, which = np.unique(np.concatenate(keys), return_inverse=True)
     doc = key >> BITS
     # a rare word still counts in a long text; shapes and repeats are shares of the text
-    values = np.bincount(which, np.concatenate(shares), len(key)) / np.sqrt(counts[doc]) + np.bincount(which, np.concatenate(flats), len(key)) / counts[doc]
+    values = np.bincount(
+        which, np.concatenate(shares), len(key)
+    ) / np.sqrt(counts[doc]) + np.bincount(which, np.concatenate(flats), len(key)) / counts[doc]
     return doc, key & (1 << BITS) - 1, values.astype(np.float32)
 
 
@@ -123,7 +132,10 @@ def fit(texts: list[bytes], grades: np.ndarray, steps: int = 200, rate: float =
     return _fit(*features(texts), grades, steps, rate, ridge)
 
 
-def _fit(doc: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.05, ridge: float = 2e-4) -> Ordinal:
+def _fit(
+    doc: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.05,
+    ridge: float = 2e-4
+) -> Ordinal:
     top, n = int(grades.max()) if len(grades) else 1, len(grades)
     if not n or top == 0:
         return Ordinal(np.zeros(1 << BITS), np.zeros(max(top, 1)))
@@ -149,7 +161,9 @@ def _fit(doc: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndar
 def grades(labels: DataFrame) -> DataFrame:
     """doc_id, grade: one ordinal rating of the labels quality and toxic."""
     toxic = F.coalesce(F.col("toxic"), F.lit(0))
-    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long"), F.when(F.col("quality") == 0, 0).when(toxic == 1, 1).otherwise(2).alias("grade"))
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(
+        F.col("doc_id").cast("long"), F.when(F.col("quality") == 0, 0).when(toxic == 1, 1).otherwise(2).alias("grade")
+    )
 
 
 def learn(docs: DataFrame, rated: DataFrame, size: int = SAMPLE) -> Ordinal:
@@ -160,22 +174,37 @@ def learn(docs: DataFrame, rated: DataFrame, size: int = SAMPLE) -> Ordinal:
             doc, slots, values = features([x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             each = [(slots[a:b].astype(np.int32).tobytes(), values[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in each], pa.binary()), pa.array([y for _, y in each], pa.binary())], names=["doc_id", "grade", "slots", "shares"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array([x for x, _ in each], pa.binary()),
+                    pa.array([y for _, y in each], pa.binary())
+                ],
+                names=["doc_id", "grade", "slots", "shares"]
+            )
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")
         slots = [np.frombuffer(x, np.int32) for x in frame["slots"]]
-        model = _fit(np.repeat(np.arange(len(frame)), [len(x) for x in slots]), np.concatenate(slots).astype(np.int64), np.concatenate([np.frombuffer(x, np.float32) for x in frame["shares"]]), frame["grade"].to_numpy(np.int64))
+        model = _fit(
+            np.repeat(np.arange(len(frame)), [len(x) for x in slots]), np.concatenate(slots).astype(np.int64),
+            np.concatenate([np.frombuffer(x, np.float32) for x in frame["shares"]]), frame["grade"].to_numpy(np.int64)
+        )
         return pd.DataFrame({"weights": [model.weights.astype(np.float64).tobytes()], "thresholds": [model.thresholds.tolist()]})
 
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         chosen = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        named = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        texts = named.join(small(materialize(chosen, "rated")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+        named = docs.where(F.col("text").isNotNull()).select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        )
+        texts = named.join(small(materialize(chosen, "rated")), "doc_id").groupBy("doc_id").agg(
+            F.min("text").alias("text"), F.min("grade").alias("grade")
+        )
         made = texts.mapInArrow(make, "doc_id long, grade int, slots binary, shares binary")
         told = made.groupBy(F.lit(0).alias("all")).applyInPandas(whole, "weights binary, thresholds array<double>").collect()
-    return Ordinal(np.frombuffer(told[0]["weights"]), np.array(told[0]["thresholds"])) if told else Ordinal(np.zeros(1 << BITS), np.zeros(1))
+    return Ordinal(
+        np.frombuffer(told[0]["weights"]), np.array(told[0]["thresholds"])
+    ) if told else Ordinal(np.zeros(1 << BITS), np.zeros(1))
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -185,7 +214,12 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             tails = shared.value.tails([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= SELECT)], names=["doc_id", "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= SELECT)],
+                names=["doc_id", "expected_grade", "tail_probability", "selected"]
+            )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(grade, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        grade, "doc_id long, expected_grade double, tail_probability double, selected boolean"
+    )

@@ -119,7 +119,12 @@ def features(text: str, start: int, end: int, file: int) -> tuple[list[tuple[int
         case = 2 * (not t.islower() and any(map(str.isupper, t))) + (_LOWER.search(t) is not None)
         near = 1 if any(keyed[max(0, i - 3) : i]) else words
         previous = text[a - 1] if a > start else (before[-1][-1] if before else "")
-        rows.append((size * 4 + min(3, (digits + 2) // 3), case * 5 + min(4, (_changes(t) + 2) // 3), size + 11 * bool(_HEXLIKE.fullmatch(t)), _mark(previous), near, int(a > start), file, _mark(text[b : b + 1].strip())))
+        rows.append(
+            (
+                size * 4 + min(3, (digits + 2) // 3), case * 5 + min(4, (_changes(t) + 2) // 3),
+                size + 11 * bool(_HEXLIKE.fullmatch(t)), _mark(previous), near, int(a > start), file, _mark(text[b : b + 1].strip())
+            )
+        )
         may.append(len(t) >= MIN_SECRET and digits > 0 and t.isascii())
     return spans, np.array(rows, np.int64).reshape(-1, len(SIZES)), np.array(may, bool)
 
@@ -221,15 +226,28 @@ def generated(seed: int = 11, n: int = 1500) -> list[tuple[str, list[tuple[int,
     pick = lambda chars, k: "".join(rnd.choices(chars, k=k))
     alnum, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"
     word = lambda: pick("abcdefghijklmnopqrstuvwxyz", rnd.randint(2, 11))
-    secret = [lambda: pick("0123456789abcdef", rnd.choice([16, 20, 32, 40, 64])), lambda: pick(alnum + "+/", rnd.randint(20, 60)), lambda: rnd.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, rnd.randint(20, 40)), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: ".".join(["eyJ" + pick(alnum, 20), pick(alnum, 40), pick(alnum + "_-", 43)])]
-    plain = [lambda: ".".join(str(rnd.randint(1, 255)) for _ in range(4)), lambda: pick(digits, rnd.randint(8, 19)), lambda: f"{rnd.randint(1900, 2099)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", lambda: f"+{pick(digits, 2)}-{pick(digits, 3)}-{pick(digits, 7)}", lambda: f"{word()}{pick(digits, 2)}@{word()}.com", lambda: f"http://{word()}.{word()}/{word()}/{pick(digits, 4)}", lambda: f"{word()}_{word()}_{pick(digits, 2)}", lambda: f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 3)}", lambda: word() + pick(digits, 1) + word()]
+    secret = [
+        lambda: pick("0123456789abcdef", rnd.choice([16, 20, 32, 40, 64])), lambda: pick(alnum + "+/", rnd.randint(20, 60)),
+        lambda: rnd.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, rnd.randint(20, 40)),
+        lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
+        lambda: ".".join(["eyJ" + pick(alnum, 20), pick(alnum, 40), pick(alnum + "_-", 43)])
+    ]
+    plain = [
+        lambda: ".".join(str(rnd.randint(1, 255)) for _ in range(4)), lambda: pick(digits, rnd.randint(8, 19)),
+        lambda: f"{rnd.randint(1900, 2099)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}",
+        lambda: f"+{pick(digits, 2)}-{pick(digits, 3)}-{pick(digits, 7)}", lambda: f"{word()}{pick(digits, 2)}@{word()}.com",
+        lambda: f"http://{word()}.{word()}/{word()}/{pick(digits, 4)}", lambda: f"{word()}_{word()}_{pick(digits, 2)}",
+        lambda: f"v{pick(digits, 1)}.{pick(digits, 2)}.{pick(digits, 3)}", lambda: word() + pick(digits, 1) + word()
+    ]
     out = []
     for _ in range(n):
         left = " ".join(word() for _ in range(rnd.randint(1, 6))) + " "
         hidden = rnd.random() < 0.5
         body = rnd.choice(secret if hidden else plain)()
         if hidden and rnd.random() < 0.7:
-            left += rnd.choice(["password", "token", "secret", "api_key", "auth_token", "access_key", "Authorization", "private_key"]) + rnd.choice(["=", ": ", " = ", ' = "', ":", " "])
+            left += rnd.choice(
+                ["password", "token", "secret", "api_key", "auth_token", "access_key", "Authorization", "private_key"]
+            ) + rnd.choice(["=", ": ", " = ", ' = "', ":", " "])
         elif not hidden and rnd.random() < 0.5:
             left += word() + rnd.choice(["=", ": ", " = ", " "])
         close = '"' if left.endswith('"') else ""
@@ -260,7 +278,9 @@ def sequences(text: str, secrets: list[tuple[int, int]]) -> Iterator[Sequence]:
         for end in range(1, len(states) + 1):
             if end == len(states) or (end - start >= CUT and states[end - 1] == O):
                 if may[start:end].any():
-                    yield rows[start:end].astype(np.int8).tobytes(), may[start:end].tobytes(), np.array(states[start:end], np.int8).tobytes(), before
+                    yield rows[start:end].astype(np.int8).tobytes(), may[start:end].tobytes(), np.array(
+                        states[start:end], np.int8
+                    ).tobytes(), before
                 start, before = end, O
 
 
@@ -337,7 +357,9 @@ def _slope(data: tuple, tables: list[np.ndarray], moves: np.ndarray, grads: list
         np.add.at(g, rows[..., i].ravel(), change.reshape(-1, 3))
     np.add.at(grads[-1], before, change[:, 0])
     for j in range(1, t):
-        both = np.exp(np.minimum(alpha[:, j - 1, :, None] + moves[None, :3] + (emit[:, j] + beta[:, j])[:, None, :] - z[:, None, None], 0))
+        both = np.exp(
+            np.minimum(alpha[:, j - 1, :, None] + moves[None, :3] + (emit[:, j] + beta[:, j])[:, None, :] - z[:, None, None], 0)
+        )
         grads[-1][:3] -= (both * weight[:, None, None]).sum(0)
         np.add.at(grads[-1], (gold[:, j - 1], gold[:, j]), weight)
 
@@ -345,16 +367,26 @@ def _slope(data: tuple, tables: list[np.ndarray], moves: np.ndarray, grads: list
 def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
     """A field fitted on the `size` documents of the smallest hashes of id and text."""
     spark = docs.sparkSession
-    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
+    keyed = docs.where(F.col("text").isNotNull()).select(
+        F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text")
+    )
     keys = [r["key"] for r in keyed.select("key").orderBy("key").limit(size).collect()]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 0):
             rows = [x for t in batch.column(0).to_pylist() for x in sequences(t, _secrets_of(t))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.binary()] * 3 + [pa.int32()], strict=True)], names=["rows", "may", "states", "before"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, k) for c,
+                    k in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.binary()] * 3 + [pa.int32()], strict=True)
+                ],
+                names=["rows", "may", "states", "before"]
+            )
 
     bounded_batches(spark)
-    made = keyed.where(F.col("key") <= (keys[-1] if keys else 0)).select("text").mapInArrow(make, "rows binary, may binary, states binary, before int")
+    made = keyed.where(F.col("key") <= (keys[-1] if keys else 0)).select("text").mapInArrow(
+        make, "rows binary, may binary, states binary, before int"
+    )
     told = made.groupBy("rows", "may", "states", "before").count().collect() if keys else []
     return _fit({(bytes(r["rows"]), bytes(r["may"]), bytes(r["states"]), r["before"]): r["count"] for r in told})
 
@@ -373,11 +405,20 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                 told = [(k, f"{k}:{a}:{b}") for a, b, k, _ in spans]
                 base = [x for k, x in told if k != "crf"]
                 kinds = [k for k, _ in told]
-                rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(x for _, x in told)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                rows.append(
+                    (
+                        doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(",".join(base).encode()).hexdigest(),
+                        ",".join(x for _, x in told)
+                    )
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
+            )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    )
 
 
 def masked(text: str, field: Field) -> str:
@@ -397,9 +438,14 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, place):
-            texts = pa.array([None if x is None else masked(x, shared.value) for x in batch.column(place).to_pylist()], batch.schema.field(place).type)
+            texts = pa.array(
+                [None if x is None else masked(x, shared.value) for x in batch.column(place).to_pylist()],
+                batch.schema.field(place).type
+            )
             yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
     bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(mask, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.withColumn(
+        "n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+    ) if "n_chars" in docs.columns else out

@@ -45,7 +45,9 @@ EXACT = float(1 << 53)
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, v (array of long), norm (length) of every row that takes part: floor(scale * x) of every component."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")
+    ).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
     rows = rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))))
     rows = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
@@ -79,7 +81,10 @@ class Found:
     asked: dict[str, int]
 
 
-def search(queries: np.ndarray, query_rows: np.ndarray, floors: np.ndarray, items: np.ndarray, item_ids: np.ndarray, item_rows: np.ndarray, k: int) -> Found:
+def search(
+    queries: np.ndarray, query_rows: np.ndarray, floors: np.ndarray, items: np.ndarray, item_ids: np.ndarray, item_rows: np.ndarray,
+    k: int
+) -> Found:
     """Each query's k best items of one bucket whose score reaches its floor, its own row left out."""
     width = max(queries.shape[1], items.shape[1])
     queries, items = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries, items))
@@ -87,7 +92,9 @@ def search(queries: np.ndarray, query_rows: np.ndarray, floors: np.ndarray, item
     items, ids, rows = items[order], item_ids[order], item_rows[order]
     lengths, sizes = np.linalg.norm(items.astype(float), axis=1), np.linalg.norm(queries.astype(float), axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        needed = np.where(sizes > 0, floors / sizes, np.where(floors <= 0, -np.inf, np.inf))  # length that a candidate must have along the query
+        needed = np.where(
+            sizes > 0, floors / sizes, np.where(floors <= 0, -np.inf, np.inf)
+        )  # length that a candidate must have along the query
         cosine = np.where(lengths[0] > 0, needed / lengths[0], np.where(needed <= 0, -np.inf, np.inf))
     directions = items / np.maximum(lengths, 1e-300)[:, None]
     slack, m = 1e-9, len(items)
@@ -124,7 +131,9 @@ def search(queries: np.ndarray, query_rows: np.ndarray, floors: np.ndarray, item
             steep[part] = (cosine[part] > 0) & (FOCUS / width + ALONE * share < 1)
     for i in open_[steep[open_]]:  # coordinate pruning, of the candidates that are long enough
         places = np.arange(long_enough[i])
-        places = places[reach(units[i : i + 1], focus[i : i + 1], directions[places])[0] * lengths[places] >= needed[i] * (1 - slack) - slack]
+        places = places[
+            reach(units[i : i + 1], focus[i : i + 1], directions[places])[0] * lengths[places] >= needed[i] * (1 - slack) - slack
+        ]
         asked["coordinates"] += m
         kept["coordinates"] += len(places)
         if len(places):
@@ -160,19 +169,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET
         longest = float(np.linalg.norm(items.astype(float), axis=1).max(initial=0))
         for frame in frames:
             q = matrix(frame["v"], items.shape[1])
-            scores = products(q, np.pad(items, ((0, 0), (0, q.shape[1] - items.shape[1]))), longest * float(np.linalg.norm(q.astype(float), axis=1).max(initial=0))).astype(np.float64)
+            scores = products(
+                q, np.pad(items, ((0, 0), (0, q.shape[1] - items.shape[1]))),
+                longest * float(np.linalg.norm(q.astype(float), axis=1).max(initial=0))
+            ).astype(np.float64)
             scores[frame["row"].to_numpy()[:, None] == own] = -np.inf
             low = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(frame), -np.inf)
             yield frame.assign(least=low)
 
     # length ranges of about equal numbers, each dealt to buckets of bounded size by a hash
     ranges = min(64, max(1, -(-total // bucket)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"])) if ranges > 1 else []
-    placed = rows.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("norm"))) if cuts else F.lit(0))
-    facts = sorted(((r["range"], -(-r["n"] // bucket), r["longest"]) for r in placed.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()), reverse=True)
+    cuts = sorted(
+        set(rows.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"])
+    ) if ranges > 1 else []
+    placed = rows.withColumn(
+        "range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("norm"))) if cuts else F.lit(0)
+    )
+    facts = sorted(
+        (
+            (r["range"], -(-r["n"] // bucket), r["longest"])
+            for r in placed.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
+        ),
+        reverse=True
+    )
     salts = F.create_map(*(F.lit(x) for r, n, _ in facts for x in (r, n)))
     items = placed.withColumn("salt", F.pmod(F.xxhash64("row"), salts[F.col("range")]).cast("int"))
-    asked = queries.mapInPandas(floor, "vec_id long, v array<long>, norm double, row long, least double").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    asked = queries.mapInPandas(
+        floor, "vec_id long, v array<long>, norm double, row long, least double"
+    ).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     keys = ["block", "range", "salt"]
 
     def verify(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -180,10 +204,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET
             return pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")}, dtype="int64")
         own, own_ids, there, ids = (f[x].to_numpy() for f, x in ((q, "row"), (q, "vec_id"), (c, "row"), (c, "vec_id")))
         f = search(matrix(q["v"]), own, q["least"].to_numpy(), matrix(c["v"]), ids, there, k)
-        return pd.DataFrame({"query_row": own[f.query], "query_id": own_ids[f.query], "row": there[f.item], "vec_id": ids[f.item], "score": f.score})
+        return pd.DataFrame(
+            {"query_row": own[f.query], "query_id": own_ids[f.query], "row": there[f.item], "vec_id": ids[f.item], "score": f.score}
+        )
 
     def best(hits: DataFrame) -> DataFrame:
-        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")))
+        ranked = hits.withColumn(
+            "rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+        )
         return ranked.where(F.col("rank") <= k)
 
     hits, done, step = None, 0, 1
@@ -191,13 +219,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET
         mine, done, step = facts[done : done + step], done + step, 2 * step
         told = F.array(*(F.struct(F.lit(r).alias("range"), F.lit(n).alias("salts"), F.lit(x).alias("longest")) for r, n, x in mine))
         # a range whose longest vector can't reach the floor is not asked
-        some = asked.withColumn("r", F.explode(F.filter(told, lambda r: r["longest"] * F.col("norm") * (1 + 1e-9) >= F.col("least"))))
-        some = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("r.salts") - 1))).select("vec_id", "row", "v", "least", "block", F.col("r.range").alias("range"), "salt")
-        theirs = items.where(F.col("range").isin([r for r, _, _ in mine])).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        some = asked.withColumn(
+            "r", F.explode(F.filter(told, lambda r: r["longest"] * F.col("norm") * (1 + 1e-9) >= F.col("least")))
+        )
+        some = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("r.salts") - 1))).select(
+            "vec_id", "row", "v", "least", "block", F.col("r.range").alias("range"), "salt"
+        )
+        theirs = items.where(F.col("range").isin([r for r, _, _ in mine])).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        )
         new = some.groupBy(keys).cogroup(theirs.select("vec_id", "row", "v", *keys).groupBy(keys)).applyInPandas(verify, schema)
         hits = best(new if hits is None else hits.drop("rank").unionByName(new))
         if done < len(facts):
             hits = materialize(hits, "hits")
-            raised = hits.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("raised"))
-            asked = materialize(asked.join(small(raised), "row", "left").withColumn("least", F.greatest("least", F.coalesce("raised", F.col("least")))).drop("raised"), "asked")
+            raised = hits.where(F.col("rank") == k).select(
+                F.col("query_row").alias("row"), F.col("score").cast("double").alias("raised")
+            )
+            asked = materialize(
+                asked.join(small(raised), "row", "left").withColumn(
+                    "least", F.greatest("least", F.coalesce("raised", F.col("least")))
+                ).drop("raised"),
+                "asked"
+            )
     return hits.select("query_id", "rank", "vec_id", "score")

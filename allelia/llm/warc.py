@@ -53,18 +53,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     """One WARC record; a revisit has the whole payload's digest and size in its headers, and no block."""
     block = b"" if refers_to is not None else payload
     name = lambda x: f"<urn:page:{'null' if x is None else x}>"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}",
+        "WARC-Date: 1970-01-01T00:00:00Z"
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"
+        ]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def headers(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    return {
+        k.strip().lower(): v.strip() for k, _,
+        v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    }
 
 
 def records(stream: BinaryIO) -> Iterator[bytes]:
@@ -109,9 +117,13 @@ def classify(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     full = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     full = full.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    groups = full.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+    groups = full.where(F.col("payload_bytes") >= REVISIT_FROM).groupBy("payload_digest").agg(
+        F.min("page_id").alias("first_id"), F.count("*").alias("copies")
+    )
     copied = materialize(groups.where("copies > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id"), "copies")
-    return full.join(small(copied), "payload_digest", "left").withColumn("refers_to", F.expr("CASE WHEN first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END")).drop("first_id")
+    return full.join(small(copied), "payload_digest", "left").withColumn(
+        "refers_to", F.expr("CASE WHEN first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END")
+    ).drop("first_id")
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -128,14 +140,23 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             nonlocal count
             packer = zlib.compressobj(1, zlib.DEFLATED, 31)
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")), strict=True):
+                for row in zip(
+                    *(
+                        batch.column(c).to_pylist()
+                        for c in ("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")
+                    ),
+                    strict=True
+                ):
                     stream.write(packer.compress(record(*row)))
                     count += 1
             stream.write(packer.flush())
 
         system.create_dir(root, recursive=True)
         _put(system, path, body)
-        yield pa.RecordBatch.from_pydict({"path": [path] if count else [], "records": pa.array([count] if count else [], pa.int64())}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(
+            {"path": [path] if count else [], "records": pa.array([count] if count else [], pa.int64())},
+            pa.schema([("path", pa.string()), ("records", pa.int64())])
+        )
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(folder)
@@ -145,7 +166,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 with system.open_input_stream(path, compression=None) as source:
                     index = _put(system, target, lambda out, source=source: normalise(source, out))
                 _put(system, f"{target}.idx", lambda out, index=index: out.write("".join(f"{a}\t{n}\n" for a, n in index).encode()))
-                yield pa.RecordBatch.from_pydict({"path": [target], "records": [len(index)]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+                yield pa.RecordBatch.from_pydict(
+                    {"path": [target], "records": [len(index)]}, pa.schema([("path", pa.string()), ("records", pa.int64())])
+                )
 
     bounded_batches(pages.sparkSession)
     archives = materialize(pages.mapInArrow(monolith, "path string, records long"), "archives")
@@ -174,12 +197,24 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                         head = headers(item[:end])
                         payload = item[end + 4 : end + 4 + int(head["content-length"])]
                         size, digest = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
-                        if head["warc-type"] == "response" and (size, digest) != (len(payload), hashlib.sha256(payload).hexdigest()):
+                        if head["warc-type"] == "response" and (size, digest) != (
+                            len(payload), hashlib.sha256(payload).hexdigest()
+                        ):
                             raise ValueError(f"{path} at {at}: the payload isn't what was written")
-                        rows.append((number(head["warc-record-id"]), size, digest, head["warc-type"], number(head.get("warc-refers-to")), path.rpartition("/")[2], at))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names)
-
-    return archives.repartition(max(1, archives.count()), "path").mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long")
+                        rows.append(
+                            (
+                                number(head["warc-record-id"]), size, digest, head["warc-type"], number(head.get("warc-refers-to")),
+                                path.rpartition("/")[2], at
+                            )
+                        )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names
+                )
+
+    return archives.repartition(max(1, archives.count()), "path").mapInArrow(
+        fetch,
+        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long"
+    )
 
 
 def roundtrip(pages: DataFrame) -> DataFrame:

@@ -21,15 +21,23 @@ def test_pipeline_stages(spark):
         last = docs.count()
     packed = p.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == last
-    assert set(e.queries()) >= {f"op{n}_{x}" for n, x in ((3, "ngram_join"), (4, "langid"), (5, "decontaminate"), (6, "quality"), (8, "secrets"), (10, "packing"))} | {"pipeline"}
+    assert set(e.queries()) >= {
+        f"op{n}_{x}" for n,
+        x in ((3, "ngram_join"), (4, "langid"), (5, "decontaminate"), (6, "quality"), (8, "secrets"), (10, "packing"))
+    } | {"pipeline"}
 
 
 def test_near_copies_keep_one_of_each(spark):
     from allelia.llm import pipeline as p
 
     base = "a b c d e f g h i j k l m n o p q r s t"
-    rows = [(1, base), (2, base), (2, base), (3, base + " u"), (4, "other words that are not the same at all"), (4, "other words that are not the same at all"), (5, None), (5, None), (None, "x"), (None, "x"), (6, "")]
-    docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [
+        (1, base), (2, base), (2, base), (3, base + " u"), (4, "other words that are not the same at all"),
+        (4, "other words that are not the same at all"), (5, None), (5, None), (None, "x"), (None, "x"), (6, "")
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     kept = p.near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 4, 5, 6, None, None], key=repr)
@@ -40,8 +48,13 @@ def test_near_copies_judge_each_text_of_an_id(spark):
 
     a, b, c = ("a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1 l1", "a2 b2 c2 d2 e2 f2 g2 h2 i2 j2 k2 l2", "a3 b3 c3 d3 e3 f3 g3 h3 i3 j3 k3 l3")
     long = " ".join(f"w{i}" for i in range(40))
-    rows = [(3, a), (5, a), (5, b), (7, b), (9, b), (5, c), (20, long), (20, long + " more"), (20, long), (None, a), (30, None), (30, "")]
-    docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [
+        (3, a), (5, a), (5, b), (7, b), (9, b), (5, c), (20, long), (20, long + " more"), (20, long), (None, a), (30, None),
+        (30, "")
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     got = sorted(((r["doc_id"], r["text"]) for r in p.near_copies(spark, docs, SF).collect()), key=repr)
     twenty = [x for x in got if x[0] == 20]
     assert len(twenty) == 1 and twenty[0] in rows
@@ -65,10 +78,18 @@ def test_pipeline_with_odd_rows_and_clashing_names(spark, tmp_path):
     text = lambda lang, n: " ".join("".join(rnd.choices(syllables[lang], k=3)) for _ in range(n))
     rows = [(i, text(lang, 40), lang) for i, lang in enumerate(["xa", "xb"] * 30)]
     leak, long = text("xa", 25), text("xb", 30_000)
-    rows += [(100, None, "xa"), (101, "", None), (102, "12 . 34", "xb"), (103, long, "xb"), (104, long + " " + text("xb", 3), None), (None, text("xa", 30), None), (105, text("xa", 5) + " " + leak + " " + text("xa", 5), "xa")]
-    rows += [(3, rows[3][1], "xb"), (3, rows[3][1], "xb"), (106, rows[5][1], None), (107, text("xa", 20) + " password=hunter22 " + text("xa", 20), "xa"), (None, rows[7][1], "xb")]
+    rows += [
+        (100, None, "xa"), (101, "", None), (102, "12 . 34", "xb"), (103, long, "xb"), (104, long + " " + text("xb", 3), None),
+        (None, text("xa", 30), None), (105, text("xa", 5) + " " + leak + " " + text("xa", 5), "xa")
+    ]
+    rows += [
+        (3, rows[3][1], "xb"), (3, rows[3][1], "xb"), (106, rows[5][1], None),
+        (107, text("xa", 20) + " password=hunter22 " + text("xa", 20), "xa"), (None, rows[7][1], "xb")
+    ]
     _odd(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(1, leak), (2, None), (3, "")], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = p.table(spark, tmp_path, "documents"), []
     for name, stage in p.STAGES[:-1]:
         docs = p.materialize(stage(spark, docs, str(tmp_path)), name)
@@ -90,7 +111,9 @@ def test_pipeline_with_odd_rows_and_clashing_names(spark, tmp_path):
 def test_pipeline_of_nothing_and_without_labels(spark, tmp_path):
     from allelia.llm import pipeline as p
 
-    for name, rows in (("none", []), ("unlabelled", [(1, "some words that stand here alone", None), (2, None, None), (3, "...", None)])):
+    for name, rows in (
+        ("none", []), ("unlabelled", [(1, "some words that stand here alone", None), (2, None, None), (3, "...", None)])
+    ):
         _odd(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         assert {r["doc_id"] for r in p.run(spark, f"{tmp_path}/{name}").collect()} == ({1} if rows else set())
