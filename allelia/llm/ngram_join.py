@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialize, mix, share, shingles, sliced, small, word_hashes
+from .common import bounded_batches, connected_components, fits, materialize, mix, share, shingles, sieve, sifted, sliced, small, word_hashes
 
 #: Elements of all sets in one block, and of a component that is small.
 BLOCK, SMALL = 800_000, 50_000
@@ -541,6 +541,23 @@ def copies(documents: DataFrame, n: int, percent: int) -> DataFrame:
     ).select("doc_id", "text_hash")
 
 
+def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) whose id, null included, is in wanted's column first; where that is too large to broadcast, some
+    others too. No text is shuffled."""
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    if fits(ids):
+        return docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    held, empty = sieve(ids), not ids.where("doc_id IS NULL").isEmpty()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            found = sifted(held.value, batch.column(0).fill_null(0).to_numpy())
+            yield batch.filter(pa.array(np.where(null, empty, found)))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> DataFrame:
     """(a, b): the links found in each group (part, band, x, y, z) of asked, which has class, first, asks and root besides."""
 
@@ -563,8 +580,7 @@ def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> Dat
         return pd.DataFrame({"a": names[[x for x, _ in out]], "b": names[[y for _, y in out]]}, dtype="int64")
 
     # a class whose documents all lack an id is found by its null id
-    wanted = asked.select(F.col("first").alias("doc_id")).distinct()
-    chosen = docs.join(small(wanted), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    chosen = _chosen(docs, asked)
     full = chosen.mapInArrow(again, "class long, grams binary").join(asked.drop("first"), "class")
     return full.groupBy("part", "band", "x", "y", "z").applyInPandas(meet, "a long, b long")
 

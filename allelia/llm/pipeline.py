@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import decontaminate, langid, ngram_join, packing, secrets
-from .common import fresh, materialize, scratch, small, table
+from .common import among, fresh, materialize, scratch, table, without
 
 WORDS, PERCENT = 5, 80
 #: The vocabulary file for packing; a parameter of the operator.
@@ -46,21 +46,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, number = fresh(docs.columns, 2)
     named = docs.withColumn(text, F.xxhash64(F.col("text").cast("string")))
     key = lambda df: df.select(F.col("doc_id").alias("_i"), F.col(text).alias("_t"))
-    same = F.expr(f"k.doc_id <=> o._i AND k.{text} <=> o._t")
     with scratch(spark, "gone", "repeated"):
         gone = materialize(key(ngram_join.copies(docs, WORDS, PERCENT).withColumnRenamed("text_hash", text)).distinct(), "gone")
-        left = lambda: named.alias("k").join(small(gone).alias("o"), same, "left_anti")
-        repeated = materialize(
-            key(left().where("doc_id IS NOT NULL").groupBy("doc_id", text).count().where("count > 1")), "repeated"
-        )
+        ids = without(named.where("doc_id IS NOT NULL").select("doc_id", text), gone, ["doc_id", text])
+        repeated = materialize(key(ids.groupBy("doc_id", text).count().where("count > 1")), "repeated")
+    left = without(named, gone, ["doc_id", text])
     if repeated.isEmpty():
-        return left().select(docs.columns)
+        return left.select(docs.columns)
     order = [f.name for f in docs.schema.fields if f.name != "text" and _has_order(f.dataType)]
-    again = lambda how: left().alias("k").join(small(repeated).alias("o"), same, how)
-    once = again("left_semi").withColumn(
+    once = among(left, repeated, ["doc_id", text]).withColumn(
         number, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(*order))
     ).where(F.col(number) == 1)
-    return once.select(docs.columns).unionByName(again("left_anti").select(docs.columns))
+    return once.select(docs.columns).unionByName(without(left, repeated, ["doc_id", text]).select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 import __spark_entry__ as e
@@ -129,6 +130,40 @@ def test_pipeline_near_copies_against_brute_force(spark):
     assert {r["doc_id"] for r in p.near_copies(spark, docs, SF).collect()} == stays and len(stays) < len(rows)
 
 
+def test_pipeline_near_copies_shuffles_no_text_that_stays(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from allelia.llm import common
+    from allelia.llm import pipeline as p
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # as if more ids than may be broadcast were wanted, and went
+    rnd = random.Random(6)
+    rows = [(k, " ".join(rnd.randbytes(500).hex() for _ in range(12))) for k in range(300)]
+    rows += [(1000, rows[0][1]), (1001, rows[1][1] + " x"), (None, rows[2][1]), (None, "a"), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("more", F.lit(1)).coalesce(2)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = p.near_copies(spark, docs, "").select("doc_id", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(repr, map(tuple, got))) == sorted(
+        map(repr, [r for i, r in enumerate(rows) if i < 300 or r[0] is None])
+    )
+    assert written() - before < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_a_sieve_tells_what_is_not_in_it(spark):
+    from allelia.llm import common
+
+    held = common.sieve(spark.createDataFrame([(k * k - 50,) for k in range(3000)] + [(None,)], "a long")).value
+    assert common.sifted(held, np.arange(3000) ** 2 - 50).all()
+    assert common.sifted(held, np.arange(10**7, 10**7 + 20_000)).mean() < 0.01
+
+
 def test_pipeline_decontaminated_against_brute_force(spark):
     from allelia.llm import pipeline as p
     from tests.llm.test_operators import brute_leaks
