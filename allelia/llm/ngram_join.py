@@ -4,15 +4,16 @@
 2. One global order of all shingles: by how frequent they are, then by hash. The frequent ones are counted over all
    documents (by 32-bit buckets of their hashes); the ORDERED most frequent buckets are told apart by the logarithm of
    their count, all rarer ones are equal but for their hash. Whatever the counts, it is one order for all sets.
-3. Two sets that link share an element among the n - ceil(n percent / 100) + 1 last of each one's order, its rarest (the
-   prefix filter, which loses nothing). Each set gives these elements as keys; along a key sets go by size, and where
-   the next is too long for the one before, none after links with any before, so the run is cut there.
-4. Two sets that link differ in at most D elements (by their sizes), so of D + 1 ranges of hashes one holds the same
-   elements of both: what a set has in each range, as one hash, are keys of a second kind, which loses nothing either.
-   The keys of each kind tie sets to components, and sets are candidates that are in one component of either kind: rare
-   shingles that unlike texts share by chance tie the first kind, ranges of few elements the second, but seldom both.
-   Where a range would hold fewer than HELD elements on average, which follows from the similarity alone, the second
-   kind costs many keys that tell little, and the first kind's components are the candidates.
+3. Two sets that link share, among the n - ceil(n percent / 100) + SHARED last of each one's order, its rarest, SHARED
+   elements (the prefix filter, which loses nothing; tiny sets share all that a link needs). Each set gives these elements
+   as keys; along a key sets go by size, and where the next is too long for the one before, none after links with any
+   before, so the run is cut there. In a run of up to FEW sets all pairs are counted, and a pair is a link between
+   candidates if it shares SHARED keys; the sets of a longer run are all tied. So unlike texts that share a rare shingle or two
+   by chance, as more do the larger a corpus is, aren't tied, and sets are candidates that are in one component.
+4. Components beyond BLOCK elements are split by a second kind of keys: two sets that link differ in at most D elements (by
+   their sizes), so of D + 1 ranges of hashes one holds the same elements of both, and what a set has in each range, as
+   one hash, loses nothing either. Where a range would hold fewer than HELD elements on average, which follows from the
+   similarity alone, these keys cost much and tell little, and aren't used.
 5. A component is cut by length (a link needs lengths within the similarity) and, beyond BLOCK elements, dealt by a hash
    into blocks: every two classes that can link meet in a group, and no group grows with the data. Blocks meet a bounded
    number of the component's sets first, for most of a large cluster is one component then; blocks meet each other only
@@ -34,6 +35,7 @@ text's set takes 8 bytes a word in memory; the text itself is hashed piece by pi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,8 @@ EDGES = np.unique([int(np.ceil(1.5**b)) for b in range(60)])
 PAIRED, QUARTERS = 1000, 4
 #: Elements that ranges must hold on average for the second kind of keys: from a similarity of 0.89 on.
 HELD = 8
+#: Rarest elements that two sets share if they link, or as many as a link needs; members of a run whose pairs are counted.
+SHARED, FEW = 3, 16
 #: Runs that the key of an empty range is dealt to.
 EMPTY_RUNS = 64
 #: Elements of small components that are looked at in one group.
@@ -111,14 +115,20 @@ class Order:
         return np.argsort(-self.level(found), kind="stable")
 
     def keys(self, found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """A set's keys, the rarest elements of which any set that links with it, but isn't equal, has one; and their levels."""
+        """A set's keys, the rarest elements of which any set that links with it, but isn't equal, has needed(n) or more of the
+        smaller one; and their levels."""
         n = len(found)
         if 100 * n < percent * (n + 1):  # no other set is close enough
             return found[:0], np.zeros(0, np.int8)
-        rare = self.places(found)[-(n - -(-percent * n // 100) + 1) :]
+        rare = self.places(found)[-(n - -(-percent * n // 100) + int(needed(n, percent))) :]
         return found[rare], self.level(found[rare])
 
 
+def needed(n: np.ndarray | int, percent: int) -> np.ndarray:
+    """How many keys a set of n elements shares with any of n or more that it links with."""
+    return np.minimum(SHARED, -(-percent * n // 100))
+
+
 def _told_apart(buckets: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Range and gaps of ascending 32-bit buckets: of each range, the differences as 16-bit numbers, 65535 for that and no bucket."""
     place = (buckets >> np.uint32(LOW)).astype(np.int64)
@@ -288,8 +298,13 @@ _RUNS = ["key", "kind", "a", "b", "lo", "hi"]
 
 
 def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, kind, lo, hi = lo, class) in this order: links (key null, kind, a, b) of each run's members to its first, and the runs of salted keys."""
-    open_ = None  # key, salt, kind, sizes from and to, and first class of the run that may go on
+    """Rows (key, salt, kind, lo, hi = lo, class) in this order: links (key null, kind, a, b) within each run, and the runs of salted keys.
+
+    In unsalted runs of kind 0 of up to FEW classes, every pair that sizes allow is a row, with 1 for lo and needed for hi.
+    In all others members are linked with the first, and lo and hi are 0.
+    """
+    open_ = None  # key, salt, kind, sizes from and to, and first class of the run, not of pairs, that may go on
+    held = None  # rows of the run of pairs that may go on
 
     def told(key: np.ndarray, kind: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -297,35 +312,59 @@ def _runs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             names=_RUNS
         )
 
-    for batch in batches:
-        if not batch.num_rows:
+    def linked(kind: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *map(pa.array, (kind, a, b, lo, hi))], names=_RUNS)
+
+    for batch in chain(batches, [None]):
+        rows = [batch.column(i).to_numpy() for i in (0, 1, 2, 3, 5)] if batch is not None else [np.zeros(0, np.int64)] * 5
+        if held is not None:
+            rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
+        if not len(rows[0]):
             continue
-        key, salt, kind, lo, _, name = (batch.column(i).to_numpy() for i in range(6))
+        again = np.zeros(len(rows[0]), bool)  # a class that more than one task gave
+        again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in rows])
+        key, salt, kind, lo, name = (x[~again] for x in rows)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1]) | (percent * lo[1:] > 100 * lo[:-1])
         if open_ is not None:
             new[0] = (key[0], salt[0], kind[0]) != open_[:3] or percent * lo[0] > 100 * open_[4]
-            if new[0] and open_[1] >= 0:
-                yield told(*(np.array([x], np.int64) for x in (open_[0], open_[2], open_[5], open_[3], open_[4])))
+            if new[0]:
+                if open_[1] >= 0:
+                    yield told(*(np.array([x], np.int64) for x in (open_[0], open_[2], open_[5], open_[3], open_[4])))
+                open_ = None
         starts = np.flatnonzero(new)
         starts = starts if new[0] else np.concatenate([[0], starts])
-        ends = np.append(starts[1:], len(key)) - 1
-        first, low = name[starts], lo[starts]
+        sizes = np.diff(starts, append=len(key))
+        pairs = (salt[starts] < 0) & (kind[starts] == 0) & (sizes <= FEW)
+        pairs[0] &= bool(new[0])
+        if pairs[-1] and batch is not None:
+            held = [x[starts[-1] :] for x in (key, salt, kind, lo, name)]
+            key, salt, kind, lo, name = (x[: starts[-1]] for x in (key, salt, kind, lo, name))
+            starts, sizes, pairs = starts[:-1], sizes[:-1], pairs[:-1]
+            if not len(starts):
+                continue
+        run, alike = np.repeat(np.arange(len(starts)), sizes), np.repeat(pairs, sizes)
+        near = [
+            np.flatnonzero(alike[d:] & (run[d:] == run[:-d]) & (percent * lo[d:] <= 100 * lo[:-d]))
+            for d in range(1, int(sizes[pairs].max(initial=0)))
+        ]
+        x = np.concatenate([np.zeros(0, np.int64), *near])
+        y = np.concatenate([np.zeros(0, np.int64), *(at + d for d, at in enumerate(near, 1))])
+        if len(x):
+            yield linked(kind[x], name[x], name[y], np.ones(len(x), np.int64), needed(lo[x], percent))
+        first, low, ends = name[starts], lo[starts], starts + sizes - 1
         if not new[0]:
-            first, low = first.copy(), low.copy()
             first[0], low[0] = open_[5], open_[3]
-        of = np.repeat(first, ends - starts + 1)
-        links_ = np.unique(np.stack([kind, name, of], 1)[of != name], axis=0)
-        zero = np.zeros(len(links_), np.int64)
+        of = np.repeat(first, sizes)
+        links_ = np.unique(np.stack([kind, name, of], 1)[(of != name) & ~alike], axis=0)
         if len(links_):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(links_), pa.int64()), *(pa.array(links_[:, i]) for i in range(3)), pa.array(zero), pa.array(zero)],
-                names=_RUNS
-            )
-        over = np.flatnonzero(salt[starts[:-1]] >= 0)
+            zero = np.zeros(len(links_), np.int64)
+            yield linked(*(links_[:, i] for i in range(3)), zero, zero)
+        ended = starts if held is not None else starts[:-1]  # where rows are held, the run before them has ended
+        over = np.flatnonzero(salt[ended] >= 0)
         if len(over):
             yield told(key[starts[over]], kind[starts[over]], first[over], low[over], lo[ends[over]])
-        open_ = (key[-1], salt[-1], kind[-1], low[-1], lo[-1], first[-1])
+        open_ = None if held is not None or pairs[-1] else (key[-1], salt[-1], kind[-1], low[-1], lo[-1], first[-1])
     if open_ is not None and open_[1] >= 0:
         yield told(*(np.array([x], np.int64) for x in (open_[0], open_[2], open_[5], open_[3], open_[4])))
 
@@ -351,50 +390,58 @@ def both_kinds(percent: int) -> bool:
     return 100 + percent >= 2 * (100 - percent) * HELD
 
 
-def candidates(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """kind (0, 1), a, b: links between classes. Every two classes that can link are in one component of each kind there is.
+def candidates(docs: DataFrame, n: int, percent: int, order=None) -> DataFrame:
+    """a, b: links between classes; every two classes that can link are in one component. By their rarest elements in this
+    order, or without one by what they hold in ranges.
 
-    A key's classes are sorted by size and streamed, never gathered. The run of a key that HOT or more documents have, or of
-    an empty range, is dealt by class to salted runs, whose firsts and sizes make a second, short run.
+    A key's classes are sorted by size and streamed, never gathered. In a run of FEW or less each pair is counted, and those that
+    share fewer keys than a link has go; they don't link, or are tied by a longer run. The run of a key that HOT or more documents
+    have, or of an empty range, is dealt by class to salted runs, whose firsts and sizes make a second, short run.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = Once()
         for batch in sliced(batches, 1):
-            parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))]
+            parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
             for x in sets(_texts(batch), n):
                 if len(x) and new(name := class_of(x)):
-                    rare, level = order.value.keys(x, percent)
-                    ranges, empty = range_keys(x, percent) if two else (rare[:0], np.zeros(0, bool))
-                    deal = np.where(level >= hot, np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0), 0)
-                    deal = np.concatenate([deal, np.where(empty, EMPTY_RUNS, 0)])
-                    kind = np.repeat(np.array([0, 1]), [len(rare), len(ranges)])
+                    if order is None:
+                        keys, empty = range_keys(x, percent)
+                        deal = np.where(empty, EMPTY_RUNS, 0)
+                    else:
+                        keys, level = order.value.keys(x, percent)
+                        deal = np.where(level >= hot, np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0), 0)
                     parts.append(
                         (
-                            np.concatenate([rare, ranges]), np.where(deal > 0, name % np.maximum(deal, 1), -1), kind,
-                            np.full(len(kind), len(x)), np.full(len(kind), name)
+                            keys, np.where(deal > 0, name % np.maximum(deal, 1), -1), np.full(len(keys), len(x)),
+                            np.full(len(keys), name)
                         )
                     )
-            key, salt, kind, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, salt, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), *map(pa.array, (salt, kind, size, size, name))],
+                [pa.array(key.view(np.int64)), *map(pa.array, (salt, np.full(len(key), kind), size, size, name))],
                 names=["key", "salt", "kind", "lo", "hi", "class"]
             )
 
-    hot, two = HOT.bit_length() - 1, both_kinds(percent)
+    hot, kind = HOT.bit_length() - 1, int(order is None)
     spark, out = docs.sparkSession, "key long, kind long, a long, b long, lo long, hi long"
     order_ = ["key", "salt", "kind", "lo", "class"]
     shared = docs.mapInArrow(
         emit, "key long, salt long, kind long, lo long, hi long, class long"
     ).repartition("key", "salt").sortWithinPartitions(order_)
     bounded_batches(spark, 20_000)
-    found = materialize(shared.mapInArrow(lambda batches: _runs(percent, batches), out).distinct(), "runs")
+    pair = F.expr("key IS NULL AND hi > 0")
+    runs = shared.mapInArrow(lambda batches: _runs(percent, batches), out).select(
+        "key", "kind", "a", "b", F.when(pair, 0).otherwise(F.col("lo")).alias("lo"), "hi", F.when(pair, F.col("lo")).alias("times")
+    )
+    runs = runs.groupBy("key", "kind", "a", "b", "lo", "hi").agg(F.sum("times").alias("times"))
+    found = materialize(runs.where("times IS NULL OR times >= hi").drop("times"), "runs")
     bounded_batches(spark)
     firsts = found.where("key IS NOT NULL").select(
         "key", F.lit(-1).cast("long").alias("salt"), "kind", "lo", "hi", F.col("b").alias("class")
     )
     met = firsts.repartition("key").sortWithinPartitions(order_).mapInArrow(lambda batches: _merged(percent, batches), out)
-    return found.where("key IS NULL").select("kind", "a", "b").unionByName(met.select("kind", "a", "b"))
+    return found.where("key IS NULL").select("a", "b").unionByName(met.select("a", "b"))
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -645,15 +692,18 @@ def _joined(documents: DataFrame, n: int, percent: int, text_hash: Column | None
         F.min("doc_id").alias("first"), F.first("n").alias("n"), *([head] if hashed else [])
     )
     order = share(spark, frequencies(docs, n))
-    tied = materialize(candidates(docs, n, percent, order), "tied")
-    near = connected_components(tied.where("kind = 0").select("a", "b"))
-    if both_kinds(percent):
-        ranges = connected_components(tied.where("kind = 1").select("a", "b")).withColumnRenamed("root", "two")
-        near = near.join(ranges, "node").select("node", F.xxhash64("root", "two").alias("root"))
+    near = connected_components(candidates(docs, n, percent, order))
     members = near.join(classes.select(F.col("class").alias("node"), "n", "first"), "node").select(
         F.col("node").alias("class"), F.col("root").alias("part"), "n", "first"
     )
     members = materialize(members, "members")
+    wide = materialize(members.groupBy("part").agg(F.sum("n").alias("size")).where(F.col("size") > BLOCK).select("part"), "wide")
+    if both_kinds(percent) and not wide.isEmpty():  # ranges may tell such a component's classes apart
+        inside = materialize(members.join(small(wide), "part", "left_semi"), "inside")
+        ranges = connected_components(candidates(_chosen(docs, inside), n, percent)).toDF("class", "two")
+        inside = inside.join(ranges, "class", "left").withColumn("part", F.xxhash64("part", F.coalesce("two", "class")))
+        members = members.join(small(wide), "part", "left_anti").unionByName(inside.select(members.columns))
+        members = materialize(members, "split")
     # a class that is alone in its part links with nothing
     members = members.join(
         small(materialize(members.groupBy("part").count().where("count > 1").select("part"), "parts")), "part", "left_semi"

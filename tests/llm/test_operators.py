@@ -311,6 +311,39 @@ def test_runs_are_cut_by_size_alone():
                 assert u.find(x[5]) == u.find(y[5])
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_shingles_shared_by_chance_tie_nothing(spark, n, percent):
+    rnd = random.Random(percent)
+    texts = [words(rnd, 60).split() for _ in range(200)]
+    for k in range(199):  # each has a shingle of its own with the next, and of the next but four
+        texts[k][:n] = texts[k + 1][20 : 20 + n]
+        texts[k][-n:] = texts[max(0, k - 4)][30 : 30 + n]
+    copy = list(texts[7])
+    copy[40] = "other"
+    rows = docs(spark, [(k, " ".join(x)) for k, x in enumerate([*texts, copy])]).select("doc_id", "text")
+    order = common.share(spark, ngram_join.frequencies(rows, n))
+    found = ngram_join.candidates(rows, n, percent, order).where("a <> b").select("a", "b").distinct().collect()
+    names = {ngram_join.class_of(x) for x in ngram_join.sets([" ".join(x).encode() for x in (texts[7], copy)], n)}
+    assert [{r["a"], r["b"]} for r in found] == [names]
+
+
+def test_wide_components_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 150)
+    monkeypatch.setattr(ngram_join, "FEW", 1)  # every run ties all
+    rnd = random.Random(2)
+    rows = []
+    for k in range(12):
+        base = words(rnd, 60).split()
+        for c in range(5):
+            text = list(base)
+            text[rnd.randrange(60)] = words(rnd, 1)
+            text[:3] = words(random.Random(k // 3), 3).split()  # a shingle that unlike texts share
+            rows.append((10 * k + c, " ".join(text)))
+    rows += [(None, rows[3][1]), (500, rows[4][1]), (501, "a b c d")]
+    got = ngram_join.join(docs(spark, rows), 3, 90).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_join(rows, 3, 90)
+
+
 def test_a_large_cluster_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 20_000)
     monkeypatch.setattr(ngram_join, "SMALL", 5_000)
