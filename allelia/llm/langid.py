@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, mix, scratch, share, sliced, small
+from .common import bounded_batches, give_back, kept, materialize, mix, scratch, share, sliced, small, tidy
 
 ORDER = 5
 SAMPLE, CALIBRATE = 400, 1000
@@ -270,14 +270,9 @@ class Identifier:
         ], np.where(none, 0.0, score), rejected
 
 
-_model: list[tuple[int, bytes, Model]] = []
-
-
 def _loaded(data: bytes) -> Model:
-    """This worker's model; the last one is kept."""
-    if not _model or _model[0][1] != data:
-        _model[:] = [(0, data, Model.from_bytes(data))]
-    return _model[0][2]
+    """This worker's model, until another operator's state is kept."""
+    return kept(("language", data), lambda: Model.from_bytes(data))
 
 
 def sample(docs: DataFrame, learn: Column, size: int, more: int) -> DataFrame:
@@ -317,6 +312,7 @@ def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, more:
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         texts = frame.sort_values("text", kind="stable")["text"].tolist()
         np.savez(out := io.BytesIO(), **count([t for t in texts if any(map(str.isalpha, t))] or ["a"], order))
+        give_back()
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "model": [out.getvalue()]})
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
@@ -332,6 +328,7 @@ def fit(docs: DataFrame, learn: Column | None = None, size: int = SAMPLE, more:
         names, data = rows[0]["languages"], bytes(rows[0]["model"])
         held = share(spark, data)
 
+        @tidy
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 1):
                 entropy, counts = _loaded(held.value).cross_entropy(batch.column(1).to_pylist())
@@ -353,6 +350,7 @@ def _scan(docs: DataFrame, model: Identifier, schema: str, make) -> DataFrame:
     shared = share(docs.sparkSession, model)
     place = docs.columns.index("text")
 
+    @tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, place):
             yield make(batch, *shared.value.predict([x or "" for x in batch.column(place).to_pylist()]))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, fits, materialize, mix, share, shingles, sieve, sifted, sliced, small, word_hashes
+from .common import bounded_batches, connected_components, fits, materialize, mix, share, shingles, sieve, sifted, sliced, small, tidy, word_hashes
 
 #: Elements of all sets in one block, and of a component that is small.
 BLOCK, SMALL = 800_000, 50_000
@@ -177,6 +177,7 @@ def frequencies(docs: DataFrame, n: int) -> Order:
     counts are then added up, streamed.
     """
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -197,6 +198,7 @@ def frequencies(docs: DataFrame, n: int) -> Order:
         if size:
             yield told()
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen = None, Counts()
 
@@ -234,6 +236,7 @@ def named(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n (set size), class of each document, and what columns there are after doc_id and text."""
     more = docs.schema.fields[2:]
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             found = sets(_texts(batch), n)
@@ -399,6 +402,7 @@ def candidates(docs: DataFrame, n: int, percent: int, order=None) -> DataFrame:
     have, or of an empty range, is dealt by class to salted runs, whose firsts and sizes make a second, short run.
     """
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = Once()
         for batch in sliced(batches, 1):
@@ -431,7 +435,7 @@ def candidates(docs: DataFrame, n: int, percent: int, order=None) -> DataFrame:
     ).repartition("key", "salt").sortWithinPartitions(order_)
     bounded_batches(spark, 20_000)
     pair = F.expr("key IS NULL AND hi > 0")
-    runs = shared.mapInArrow(lambda batches: _runs(percent, batches), out).select(
+    runs = shared.mapInArrow(tidy(lambda batches: _runs(percent, batches)), out).select(
         "key", "kind", "a", "b", F.when(pair, 0).otherwise(F.col("lo")).alias("lo"), "hi", F.when(pair, F.col("lo")).alias("times")
     )
     runs = runs.groupBy("key", "kind", "a", "b", "lo", "hi").agg(F.sum("times").alias("times"))
@@ -608,6 +612,7 @@ def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _meet(docs: DataFrame, asked: DataFrame, n: int, percent: int, order) -> DataFrame:
     """(a, b): the links found in each group (part, band, x, y, z) of asked, which has class, first, asks and root besides."""
 
+    @tidy
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = Once()
         for batch in sliced(batches, 1):

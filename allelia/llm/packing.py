@@ -23,19 +23,40 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, kept, materialize, tidy
 
 SEQUENCE, END_ID = 4096, 2
 #: Pieces of one packing group on average; a group is one task's memory.
 GROUP = 20_000
-#: Entries of a worker's word cache, which is emptied when full.
-CACHE = 500_000
+#: Entries of a worker's word cache, which is emptied when full: some 40 MB.
+CACHE = 200_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts for which normalising means lower-casing alone, and whose white space is ASCII.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įĲ-ž]*")
 
 
+class Words(dict):
+    """Ids of lower-case words as little-endian bytes, encoded when first asked for; never more than CACHE, emptied when full."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def _encode(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = _PIECE.findall(word)
+        ids = self._encode(word) if len(found) == 1 else b"".join([self[p] for p in found])
+        if len(word) <= 40:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordTokens:
     """Ids of whole texts as little-endian bytes, each word and piece of a word encoded once and then remembered."""
 
@@ -43,49 +64,24 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        out = []
-        for piece in _PIECE.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self._encode(piece)
-                if len(piece) <= 40:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(word) <= 40:
-            self.words[word] = ids
-        return ids
+        self.words = Words(self.tokenizer)
 
     def ids(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return self._encode(unicodedata.normalize("NFC", text))
-        if len(self.words) > CACHE or len(self.pieces) > CACHE:
-            self.words.clear()
-            self.pieces.clear()
-        known = self.words
-        return b"".join([known[w] if w in known else self._word(w) for w in text.lower().split()])
-
-
-_loaded: dict[str, WordTokens] = {}
+            found = self.tokenizer.encode(unicodedata.normalize("NFC", text), add_special_tokens=False).ids
+            return np.array(found, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 def tokens(path: str) -> WordTokens:
-    """This worker's tokenizer for a file; it outlives tasks with its cache."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    """This worker's tokenizer for a file; it outlives tasks with its cache, until another operator's state is kept."""
+    return kept(("tokens", path), lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece: documents cut at multiples of the sequence length."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = tokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:

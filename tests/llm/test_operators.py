@@ -5,6 +5,8 @@ import hashlib
 import io
 import random
 import re
+import resource
+import weakref
 import zlib
 
 import numpy as np
@@ -1002,3 +1004,36 @@ def test_packing_covers_every_id_once(spark):
             at += length
         assert at <= 4096
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_word_cache_is_bounded_within_a_text(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 1000)
+    model, text = packing.WordTokens(TOKENIZER), words(random.Random(5), 20_000)
+    assert model.ids(text) == np.array(model.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(model.words) <= 1000
+
+
+def test_worker_keeps_the_state_of_one_operator():
+    held = weakref.ref(packing.tokens(TOKENIZER))
+    assert held() is packing.tokens(TOKENIZER)
+    langid._loaded(langid.Model.merge({"en": langid.count(["a text"], 2)}, 2).to_bytes())
+    assert held() is None
+
+
+def test_task_gives_back_what_it_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    pins = []
+
+    def fill(batches):
+        for batch in batches:
+            held = [np.ones(64 << 10, np.uint8) for _ in range(2000)]
+            pins.append(np.ones(64 << 10, np.uint8))  # above what is freed, which thus can't go by itself
+            del held
+            pins.append(resident())
+            yield batch
+
+    assert list(common.tidy(fill)([1])) == [1]
+    assert resident() < pins[1] - (64 << 20)
