@@ -12,6 +12,7 @@ their own; a null doc_id is kept as null; an empty table gives no rows; columns
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,20 +37,30 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-įĲ-ž]*")
 
 
+#: The characters that byte-level vocabularies write bytes 0 to 255 as.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTES = {b: 256 + k for k, b in enumerate(_OTHERS)}
+
+
 class Words(dict):
     """Ids of lower-case words as little-endian bytes, encoded when first asked for; never more than CACHE, emptied when full."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def _encode(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        if len(piece) > 40:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        else:  # a piece is in normal form and is not cut further, so the model alone tells its ids
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        found = _PIECE.findall(word)
-        ids = self._encode(word) if len(found) == 1 else b"".join([self[p] for p in found])
+        found = [] if word.isalpha() else _PIECE.findall(word)
+        ids = self._encode(word) if len(found) < 2 else b"".join([self[p] for p in found])
         if len(word) <= 40:
             if len(self) >= CACHE:
                 self.clear()

@@ -1037,3 +1037,11 @@ def test_task_gives_back_what_it_freed():
 
     assert list(common.tidy(fill)([1])) == [1]
     assert resident() < pins[1] - (64 << 20)
+
+
+def test_plain_words_need_the_model_alone():
+    text = "it's 3.14 don't \"quoted\" Été ça-va straße ¡hola! 'tis we'll we''ll x_y\n" + words(random.Random(6), 500)
+    model = packing.WordTokens(TOKENIZER)
+    wanted = np.array(model.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    model.tokenizer = model.words.tokenizer = None  # the whole tokenizer costs several times the model's time for a word
+    assert model.ids(text) == wanted
