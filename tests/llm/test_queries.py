@@ -156,6 +156,29 @@ def test_pipeline_near_copies_shuffles_no_text_that_stays(spark, monkeypatch):
     assert written() - before < 0.4 * sum(len(t) for _, t in rows)
 
 
+def test_rows_that_go_are_not_shuffled_either(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from allelia.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    rnd = random.Random(7)
+    rows = [(k if k % 9 else None, rnd.randbytes(3000).hex()) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("t", F.xxhash64("text")).coalesce(2)
+    gone = common.materialize(docs.where("doc_id % 10 > 0 OR doc_id IS NULL").select(F.col("doc_id").alias("i"), "t"), "gone")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    got = common.without(docs, gone, ["doc_id", "t"]).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] is not None and r[0] % 10 == 0)
+    assert written() - before < 0.1 * sum(len(t) for _, t in rows)
+    # all pass a sieve of one bit: those that have no match stay, though there are more than may be broadcast
+    monkeypatch.setattr(common, "sifted", lambda bits, numbers: np.ones(len(numbers), bool))
+    got = common.without(docs, gone, ["doc_id", "t"]).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] is not None and r[0] % 10 == 0)
+
+
 def test_a_sieve_tells_what_is_not_in_it(spark):
     from allelia.llm import common
 
